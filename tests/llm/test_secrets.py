@@ -46,7 +46,7 @@ def test_entropy_and_allow_list():
     for plain in ("internationalization", "12345678901234567890123", "550e8400-e29b-41d4-a716-446655440000", "https://a.example/Zx9Qk2LmPt7Rw4Vb8Nc1Ye", "EXAMPLEx9Qk2LmPt7Rw4Vb8Nc1Ye", "AAAA1111bbbbAAAA1111bbbb", "well-known-state-of-the-art-words"):
         assert kinds(plain) == [], plain
     assert kinds('Token: "Zx9Qk2LmPt7Rw4Vb8Nc1Ye"') == ["assign"]
-    assert kinds("ſecret=abcdefgh toKen=abcdefgh") == []  # only ASCII letters fold
+    assert kinds("ſecret=abcdefgh toKen=abcdefgh") == []  # only ASCII letters fold
     assert kinds("TOKEN=abcdef token=abc") == ["assign"]
 
 
