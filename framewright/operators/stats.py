@@ -181,7 +181,7 @@ def ap_compare(frames: DataFrame) -> DataFrame:
     """Totals of APs side by side, frame types as columns."""
     kinds = ["Management", "Control", "Data", "Other"]
     at = frames.where(F.col("bssid").isNotNull() & (F.col("bssid") != P.BROADCAST)).withColumn("kind", P.frame_type(F.col("subtype")))
-    wide = at.groupBy("bssid").pivot("kind", kinds).agg(F.count("*")).na.fill(0, kinds)
+    wide = at.groupBy("bssid").pivot("kind", kinds).agg(F.count(F.lit(1))).na.fill(0, kinds)
     wide = wide.select("bssid", *[F.col(k).alias(k.lower()) for k in kinds])
     sums = at.groupBy("bssid").agg(
         F.count("*").alias("total"),

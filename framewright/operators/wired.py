@@ -35,7 +35,8 @@ def exchanges(rows: DataFrame, timeout_us: int = SECOND, late_us: int = LATE_US)
     """
     keys = ["host", "target", "ident", "seq"]
     nxt = F.lead("epoch_us").over(Window.partitionBy(*keys).orderBy("epoch_us", "number"))
-    req = rows.where("side = 'req'").select(*keys, F.col("epoch_us").alias("t"), "number").withColumn("next_us", nxt)
+    asked = rows.where("side = 'req'").withColumn("next_us", nxt)
+    req = asked.select(*keys, F.col("epoch_us").alias("t"), "number", "next_us")
     rep = rows.where("side = 'rep'").select(*keys, F.col("epoch_us").alias("rep_us"))
     best = range_join(req, rep, keys, "rep_us", 0, max(timeout_us, late_us)).groupBy("number").agg(F.min("rep_us").alias("rep_us"))
     d = F.col("rep_us") - F.col("t")

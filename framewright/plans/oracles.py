@@ -43,7 +43,7 @@ PINGS = """echoes AS (
     CASE WHEN min(p.epoch_us) - q.epoch_us <= 1000000 THEN 'matched' WHEN min(p.epoch_us) IS NOT NULL THEN 'late' END AS status
   FROM (SELECT * FROM dd WHERE side = 'req') q LEFT JOIN (SELECT * FROM dd WHERE side = 'rep') p
     ON p.src = q.src AND p.dst = q.dst AND p.ident = q.ident AND p.icmp_seq = q.icmp_seq AND p.epoch_us BETWEEN q.epoch_us AND q.epoch_us + 30000000
-  GROUP BY ALL
+  GROUP BY q.src, q.dst, q.ident, q.icmp_seq, q.epoch_us, q.number, q.sta, q.retry, q.rssi
 ), st AS (
   SELECT * REPLACE (CASE WHEN status IS NOT NULL THEN status WHEN EXISTS (SELECT 1 FROM dd d WHERE d.side = 'rep' AND d.src = pm.src AND d.dst = pm.dst AND d.ident = pm.ident)
     AND NOT EXISTS (SELECT 1 FROM dd d WHERE d.side = 'rep' AND d.src = pm.src AND d.dst = pm.dst AND d.ident = pm.ident AND d.icmp_seq = pm.icmp_seq) THEN 'loss' END AS status) FROM pm
@@ -60,7 +60,7 @@ WIRED = """pk AS (
   FROM (
     SELECT q.*, min(p.epoch_us) - q.epoch_us AS d FROM (SELECT *, lead(epoch_us) OVER (PARTITION BY host, target, ident, seq ORDER BY epoch_us, number) AS nxt FROM pk WHERE side = 'req') q
     LEFT JOIN (SELECT * FROM pk WHERE side = 'rep') p ON p.host = q.host AND p.target = q.target AND p.ident = q.ident AND p.seq = q.seq AND p.epoch_us BETWEEN q.epoch_us AND q.epoch_us + 5000000
-    GROUP BY ALL) q
+    GROUP BY q.side, q.host, q.target, q.ident, q.seq, q.epoch_us, q.number, q.nxt) q
 ), own AS (SELECT ex.* FROM ex SEMI JOIN chief USING (host)),
 fin AS (
   SELECT * FROM own WHERE NOT (rtt_us IS NULL AND late_us IS NULL AND epoch_us > (SELECT max(epoch_us) FROM pk SEMI JOIN chief USING (host)) - 1000000)
@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
     "throughput": frames_sql("SELECT round(sum(data_bytes) / (max(sec) - min(sec) + 1) * 8 / 1e6, 6) AS avg_mbps, round(max(data_bytes) * 8 / 1e6, 6) AS peak_mbps FROM secs", SECONDS),
     "retry_by_mcs": frames_sql(f"SELECT mcs, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames WHERE mcs IS NOT NULL GROUP BY mcs"),
     "retry_per_sec": frames_sql(f"SELECT ta, epoch_us // 1000000 AS sec, count(*) AS total, {pct(one('retry'), 'count(*)', 1)} AS retry_pct FROM frames WHERE ta IS NOT NULL GROUP BY ALL"),
-    "rssi_buckets": frames_sql("SELECT l.*, mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi, count(*) AS n FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT ta, sec, arg_max(mcs, k) AS mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, mcs, count(*) * 1000 - mcs AS k FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL AND mcs IS NOT NULL GROUP BY ALL) GROUP BY ALL) m USING (ta, sec)"),
+    "rssi_buckets": frames_sql("SELECT l.*, mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi, count(*) AS n FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT ta, sec, arg_max(mcs, k) AS mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, mcs, count(*) * 1000 - mcs AS k FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL AND mcs IS NOT NULL GROUP BY 1, 2, 3) GROUP BY ALL) m USING (ta, sec)"),
     "device_stats": frames_sql(f"SELECT device, epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, {pct(one(LEGACY), 'count(mcs_phy)')} AS legacy_pct, round(avg(rssi), 6) AS avg_rssi FROM (SELECT *, unnest([ta, ra]) AS device FROM frames) WHERE device IS NOT NULL GROUP BY ALL"),
     "system_peaks": frames_sql(f"SELECT * FROM (SELECT epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1) WHERE total > 50 AND retry_pct >= 10 ORDER BY retry_pct DESC, bucket LIMIT 3"),
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),
@@ -136,13 +136,13 @@ ORACLES: dict[str, str] = {
     "ping_stats": frames_sql(f"SELECT l.src, n, min_us, max_us, avg_us, p50_us, p95_us, p99_us, losses, late, {pct('losses', 'judged')} AS loss_pct, {pct('(losses + late)', 'judged')} AS timeout_pct FROM (SELECT src, {RATED} AS losses, {one(LATE)} AS late, {one('status IS NOT NULL')} AS judged FROM st GROUP BY src) l LEFT JOIN (SELECT src, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, round(avg(rtt_us), 6) AS avg_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.5) AS bigint)) + 1] AS p50_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.95) AS bigint)) + 1] AS p95_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.99) AS bigint)) + 1] AS p99_us FROM st WHERE rtt_us IS NOT NULL GROUP BY src) s USING (src)", PINGS),
     "ping_per_sec": frames_sql(f"SELECT sec, sta, count(*) AS total, {RATED} AS loss, {pct(RATED, 'count(*)')} AS loss_pct, round(avg(rtt_us), 6) AS avg_rtt_us, cast(grouping(sec, sta) AS bigint) AS level FROM (SELECT *, epoch_us // 1000000 AS sec FROM st WHERE status IS NOT NULL) GROUP BY GROUPING SETS ((sec), (sec, sta))", PINGS),
     "ping_streaks": frames_sql("SELECT sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, arg_min(icmp_seq, epoch_us) AS first_seq, arg_max(icmp_seq, epoch_us) AS last_seq FROM isl GROUP BY sta, isl HAVING count(*) >= 2", PINGS, "lost AS (SELECT * FROM st WHERE status = 'loss')", f"isl AS ({_islands('lost', 'sta', 'epoch_us, req_num', 60_000_000)})"),
-    "loss_cause": frames_sql(f"SELECT sta, epoch_us, req_num, retry_pct, avg_rssi, CASE WHEN roam THEN 'roaming' WHEN retry_pct > 60 THEN 'high_retry' WHEN avg_rssi < -75 THEN 'weak_signal' WHEN retry_pct > 30 THEN 'retry' ELSE 'unknown' END AS cause FROM (SELECT l.sta, l.epoch_us, l.req_num, CASE WHEN count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000) > 0 THEN round(100 * count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000 AND f.retry) / count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 2) END AS retry_pct, round(avg(f.rssi) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 6) AS avg_rssi, coalesce(bool_or(f.roam AND abs(f.epoch_us - l.epoch_us) < 2000000), false) AS roam FROM (SELECT * FROM st WHERE status = 'loss') l LEFT JOIN (SELECT unnest([ta, ra]) AS sta, epoch_us, retry, rssi, {ROAM} AS roam FROM frames) f ON f.sta = l.sta AND f.epoch_us BETWEEN l.epoch_us - 2000000 AND l.epoch_us + 2000000 GROUP BY ALL)", PINGS),
+    "loss_cause": frames_sql(f"SELECT sta, epoch_us, req_num, retry_pct, avg_rssi, CASE WHEN roam THEN 'roaming' WHEN retry_pct > 60 THEN 'high_retry' WHEN avg_rssi < -75 THEN 'weak_signal' WHEN retry_pct > 30 THEN 'retry' ELSE 'unknown' END AS cause FROM (SELECT l.sta, l.epoch_us, l.req_num, CASE WHEN count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000) > 0 THEN round(100 * count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000 AND f.retry) / count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 2) END AS retry_pct, round(avg(f.rssi) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 6) AS avg_rssi, coalesce(bool_or(f.roam AND abs(f.epoch_us - l.epoch_us) < 2000000), false) AS roam FROM (SELECT * FROM st WHERE status = 'loss') l LEFT JOIN (SELECT unnest([ta, ra]) AS sta, epoch_us, retry, rssi, {ROAM} AS roam FROM frames) f ON f.sta = l.sta AND f.epoch_us BETWEEN l.epoch_us - 2000000 AND l.epoch_us + 2000000 GROUP BY l.sta, l.epoch_us, l.req_num)", PINGS),
     "capture_mode": frames_sql("SELECT CASE WHEN b > 0 AND b = q THEN 'bidirectional' WHEN b > 0 THEN 'mixed' WHEN n > 0 THEN 'unidirectional' ELSE 'none' END AS mode FROM (SELECT count(*) AS n, count(*) FILTER (WHERE q AND p) AS b, count(*) FILTER (WHERE q) AS q FROM (SELECT bool_or(side = 'req') AS q, bool_or(side = 'rep') AS p FROM dd GROUP BY src, dst, ident))", PINGS),
     "wired_pairs": frames_sql("SELECT * FROM ex", WIRED),
     "wired_sender": frames_sql("SELECT * FROM chief", WIRED),
     "wired_trailing": frames_sql("SELECT host, target, number, epoch_us, rtt_us FROM own WHERE epoch_us <= (SELECT max(epoch_us) FROM own WHERE rtt_us IS NOT NULL)", WIRED),
     "wired_ground_truth": frames_sql(f"SELECT host, target, count(*) AS total, count(rtt_us) AS ok, count(*) - count(rtt_us) AS ng, count(late_us) AS late, {pct('(count(*) - count(rtt_us))', 'count(*)')} AS loss_pct, round(avg(rtt_us), 6) AS avg_us, list_sort(list(rtt_us) FILTER (WHERE rtt_us IS NOT NULL))[cast(ceil(0.95 * count(rtt_us)) AS bigint)] AS p95_us FROM fin GROUP BY host, target", WIRED),
-    "wired_loss_context": frames_sql(f"SELECT s.host, s.start_us, s.n, count(f.epoch_us) AS frames, count(*) FILTER (WHERE f.roam) AS roaming, CASE WHEN count(f.epoch_us) > 0 THEN round(100 * count(*) FILTER (WHERE f.retry) / count(f.epoch_us), 2) END AS retry_pct FROM (SELECT host, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n FROM isl GROUP BY host, target, isl HAVING count(*) >= 2) s LEFT JOIN (SELECT epoch_us, retry, {ROAM} AS roam FROM frames) f ON f.epoch_us BETWEEN s.start_us - 2000000 AND s.end_us + 2000000 GROUP BY ALL", WIRED, "lost AS (SELECT * FROM fin WHERE rtt_us IS NULL)", f"isl AS ({_islands('lost', 'target', 'epoch_us, number', 2_000_000)})"),
+    "wired_loss_context": frames_sql(f"SELECT s.host, s.start_us, s.n, count(f.epoch_us) AS frames, count(*) FILTER (WHERE f.roam) AS roaming, CASE WHEN count(f.epoch_us) > 0 THEN round(100 * count(*) FILTER (WHERE f.retry) / count(f.epoch_us), 2) END AS retry_pct FROM (SELECT host, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n FROM isl GROUP BY host, target, isl HAVING count(*) >= 2) s LEFT JOIN (SELECT epoch_us, retry, {ROAM} AS roam FROM frames) f ON f.epoch_us BETWEEN s.start_us - 2000000 AND s.end_us + 2000000 GROUP BY s.host, s.start_us, s.end_us, s.n", WIRED, "lost AS (SELECT * FROM fin WHERE rtt_us IS NULL)", f"isl AS ({_islands('lost', 'target', 'epoch_us, number', 2_000_000)})"),
     "exping_rows": frames_sql("SELECT CASE WHEN rtt_us IS NOT NULL THEN 'OK' ELSE 'NG' END AS result, epoch_us, target AS ip, CASE WHEN rtt_us IS NOT NULL THEN 'Time:' || lpad(cast((rtt_us + 276) // 1000 AS varchar), 6, ' ') || 'ms' ELSE 'Request timed out' END AS status FROM fin", WIRED),
     "retry_bursts": frames_sql(f"SELECT first_num, burst_len, burst_us, arg_min(c.epoch_us, c.rank) - b.end_us AS delay_us, arg_min(c.number, c.rank) AS ctrl_num, arg_min(c.detail, c.rank) AS detail FROM (SELECT arg_min(number, rank) AS first_num, count(*) AS burst_len, max(epoch_us) - min(epoch_us) AS burst_us, max(epoch_us) AS end_us, max(rank) AS last_rank FROM (SELECT *, sum(CASE WHEN retry THEN 0 ELSE 1 END) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS g FROM rk) WHERE retry GROUP BY g HAVING count(*) >= 3) b JOIN (SELECT * FROM rk WHERE ctrl AND NOT retry) c ON c.rank BETWEEN b.last_rank + 1 AND b.last_rank + 50 GROUP BY first_num, burst_len, burst_us, b.end_us", f"rk AS (SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS rank, number, epoch_us, retry, {CTRL} AS ctrl, CASE WHEN arp_opcode IS NOT NULL THEN CASE WHEN arp_opcode = 1 THEN 'ARP Req' ELSE 'ARP Reply' END WHEN icmp_type = 8 THEN 'ICMP Req' WHEN icmp_type = 0 THEN 'ICMP Reply' ELSE 'TCP ACK' END AS detail FROM frames)"),
     "rate_fallback": frames_sql("SELECT arg_min(number, rank) AS first_num, min(epoch_us) AS start_us, count(*) AS n, arg_min(mcs, rank) AS first_mcs, arg_max(mcs, rank) AS last_mcs FROM (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS rank, number, epoch_us, mcs, retry AND mcs IS NOT NULL AS hit FROM frames)) WHERE hit GROUP BY g HAVING count(*) >= 2 AND arg_min(mcs, rank) > arg_max(mcs, rank)"),

@@ -47,9 +47,9 @@ def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = _shaped(spark, sf_dir)
     kinds = _kinds({"long": "bigint"})
     parts = None
-    for e, slot, where, fields in KINDS:
-        cells = _cells(slot, fields, kinds)
-        part = shaped.where(f"event_type = '{e}' and {where}").select(*[F.expr(x).alias(c) for c, x in cells.items()])
+    for event in dict.fromkeys(e for e, *_ in KINDS):  # one scan for each type of event
+        slots = [f"case when {w} then named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {x}' for c, x in _cells(n, fields, kinds).items())}) end" for e, n, w, fields in KINDS if e == event]
+        part = shaped.where(F.col("event_type") == event).select(F.expr(f"inline(filter(array({', '.join(slots)}), x -> x is not null))"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
