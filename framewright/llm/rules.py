@@ -17,6 +17,7 @@ repeated rows count as often as they occur; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc, exp, gamma, sqrt
 
 import numpy as np
 import pandas as pd
@@ -124,14 +125,22 @@ def vector() -> list[Column]:
 
 
 def chi_squared(dim: int, tail: float) -> float:
-    """Quantile of the chi-squared distribution (Wilson and Hilferty)."""
-    lo, hi = -10.0, 10.0
-    from math import erfc, sqrt
-
-    while hi - lo > 1e-9:
+    """Quantile of the chi-squared distribution, from its exact upper tail."""
+
+    def beyond(h: float) -> float:
+        a, q = (0.5, erfc(sqrt(h))) if dim % 2 else (1.0, exp(-h))
+        while a < dim / 2:
+            q += h**a * exp(-h) / gamma(a + 1)
+            a += 1
+        return q
+
+    lo, hi = 0.0, dim + 10.0
+    while beyond(hi) > tail:
+        hi *= 2
+    while hi - lo > 1e-9 * hi:
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if erfc(mid / sqrt(2)) / 2 > tail else (lo, mid)
-    return dim * (1 - 2 / (9 * dim) + lo * sqrt(2 / (9 * dim))) ** 3
+        lo, hi = (mid, hi) if beyond(mid) > tail else (lo, mid)
+    return 2 * hi
 
 
 def _distance() -> Column:
