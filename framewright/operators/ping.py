@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
+from framewright.functions.tables import settled
 from framewright.operators.joins import SECOND, islands, range_join
 from framewright.operators.stats import one_if, percent, second
 
@@ -45,7 +46,8 @@ def dedup(frames: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
 
     Kept rows anchor the window, so a chain of repeats is not followed. Rows
     are first cut where nothing came for a whole window, which always starts
-    anew; the fold then sees one short run each.
+    anew; the fold then sees one short run each. The result is a table, as
+    every use reads it more than once.
     """
     rows = echoes(frames)
     keys = ["side", *FLOW, "icmp_seq"]
@@ -55,7 +57,7 @@ def dedup(frames: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     # The anchors rise strictly; the first row of an anchor's time is the one kept.
     each = kept.select(*keys, F.explode("kept").alias("at"), "rows")
     row = F.element_at(F.filter("rows", lambda r: r["epoch_us"] == F.col("at")), 1)
-    return each.select(*keys, row.alias("r")).select(*keys, "r.*")
+    return settled(each.select(*keys, row.alias("r")).select(*keys, "r.*"), "echoes")
 
 
 def _paired(events: Column, window_us: int) -> Column:
@@ -75,12 +77,16 @@ def _paired(events: Column, window_us: int) -> Column:
 
 
 def matches(frames: DataFrame, window_us: int = WINDOW_US, timeout_us: int = TIMEOUT_US) -> DataFrame:
-    """Every first request with its reply, if any: status matched or late.
+    """Every first request with its reply, if any: status matched or late."""
+    return matched(dedup(frames, window_us), window_us, timeout_us)
+
+
+def matched(rows: DataFrame, window_us: int = WINDOW_US, timeout_us: int = TIMEOUT_US) -> DataFrame:
+    """As :func:`matches`, from first sends.
 
     Pairs are one to one, the earliest request first. Events of a key are cut
     where nothing came for more than a window, so each fold is short.
     """
-    rows = dedup(frames, window_us)
     keys = [*FLOW, "icmp_seq"]
     event = F.struct(F.col("epoch_us").alias("t"), F.when(F.col("side") == "req", 0).otherwise(1).alias("side"), "number")
     runs = islands(rows, keys, ["epoch_us", "side", "number"], window_us)
@@ -99,9 +105,9 @@ def statuses(frames: DataFrame) -> DataFrame:
     rows = dedup(frames)
     seqs = rows.where("side = 'rep'").select(*FLOW, "icmp_seq").distinct().withColumn("has_seq", F.lit(True))
     flows = rows.where("side = 'rep'").select(*FLOW).distinct().withColumn("has_flow", F.lit(True))
-    found = matches(frames).join(seqs, [*FLOW, "icmp_seq"], "left").join(flows, FLOW, "left")
+    found = matched(rows).join(seqs, [*FLOW, "icmp_seq"], "left").join(flows, FLOW, "left")
     lost = F.col("has_flow") & F.col("has_seq").isNull()
-    return found.withColumn("status", F.coalesce("status", F.when(lost, "loss"))).drop("has_seq", "has_flow")
+    return settled(found.withColumn("status", F.coalesce("status", F.when(lost, "loss"))).drop("has_seq", "has_flow"), "statuses")
 
 
 def cross_validation(frames: DataFrame) -> DataFrame:
