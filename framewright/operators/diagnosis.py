@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
+from framewright.functions.tables import settled
 from framewright.operators import ping, roaming, signals, stats
-from framewright.operators.joins import SECOND, islands
+from framewright.operators.joins import SECOND, islands, slices
 from framewright.operators.stats import one_if, percent
 
 # Windows of incidents, joining pause and overlap; weights of
@@ -98,7 +99,7 @@ def grounded(found: DataFrame) -> DataFrame:
 
 
 def _incidents(rows: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one run of losses; joined to the current one's trigger."""
+    """Windows of runs of losses; joined to the current one's trigger."""
     out: list[list[int]] = []
     for r in rows.sort_values(["epoch_us", "req_num"]).itertuples(index=False):
         t, a, b = int(r.epoch_us), int(r.epoch_us) - BEFORE_US, int(r.epoch_us) + AFTER_US
@@ -117,7 +118,7 @@ def incidents(frames: DataFrame) -> DataFrame:
     """Windows around losses, close or overlapping ones joined."""
     lost = ping.statuses(frames).where("status = 'loss'").select(F.lit(0).alias("g"), "epoch_us", "req_num")
     runs = islands(lost, ["g"], ["epoch_us", "req_num"], BEFORE_US + AFTER_US)
-    return runs.groupBy("island").applyInPandas(_incidents, "start_us long, end_us long, trigger_us long, trigger_num long, losses long")
+    return slices(runs, ["g"]).applyInPandas(_incidents, "start_us long, end_us long, trigger_us long, trigger_num long, losses long")
 
 
 def casefile(frames: DataFrame) -> DataFrame:
@@ -162,6 +163,7 @@ def causality(found: DataFrame) -> DataFrame:
     A group joins an issue that overlaps all of it by half; it counts from two
     kinds on. Issues are already one row a station and kind.
     """
+    found = settled(found, "issues")
     net = found.where("sta is null").select("category", "start_us", "end_us")
     own = found.where("sta is not null").select("sta", "category", "start_us", "end_us")
     nets = F.sort_array(F.collect_list(F.struct("start_us", "end_us", "category")))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
+
+from framewright.functions.tables import settled
 
 SECOND = 1_000_000
 #: Time that one window's partition spans in :func:`carried`.
@@ -60,15 +63,28 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
 def islands(rows: DataFrame, keys: list[str], order: list[str], gap_us: int, name: str = "island", at_least: bool = False) -> DataFrame:
     """Numbers runs without a pause: the time each run began.
 
-    A pause is longer than ``gap_us`` (with ``at_least``: that long).
+    A pause is longer than ``gap_us`` (with ``at_least``: that long). Rows are
+    settled first, since the two look-backs read them four times.
     """
-    t = F.col(order[0])
+    t, rows = F.col(order[0]), settled(rows, "runs")
     known = carried(rows, keys, order, t, "__prev", inclusive=False)
     pause = t - F.col("__prev")
     starts = F.col("__prev").isNull() | ((pause >= gap_us) if at_least else (pause > gap_us))
     return carried(known.withColumn("__start", F.when(starts, t)), keys, order, F.col("__start"), name).drop("__prev", "__start")
 
 
+def slices(runs: DataFrame, keys: list[str], fan: int = 1, slice_us: int = CHUNK_US) -> GroupedData:
+    """Runs of :func:`islands` by the slice of time in which they began.
+
+    For grouped functions whose state ends with a run, so that runs may follow
+    one another: a group is a slice's worth of rows, of whole runs, rather
+    than one call a run. ``keys`` stay together; with ``fan`` they share a
+    slice with others of one hash.
+    """
+    began = F.floor(F.col("island") / slice_us).alias("slice")
+    return runs.groupBy(*keys, began) if fan == 1 else runs.groupBy(F.pmod(F.xxhash64(*keys), F.lit(fan)).alias("part"), began)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, strict: bool = False) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row up to its ``t``.
 

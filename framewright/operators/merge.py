@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.operators.joins import SECOND, islands, range_join
+from framewright.operators.joins import SECOND, islands, range_join, slices
 from framewright.operators.stats import one_if, percent, second
 
 # Duplicate window, live groups of a key, least pairs of an
@@ -52,12 +52,12 @@ def tsf_offset(frames: DataFrame, reference: str = "w1") -> DataFrame:
 
 
 def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs of a key, the nearest first."""
-    used: set[tuple[str, int]] = set()
+    """One-to-one pairs, the nearest first; a frame is in one key's pairs."""
+    used: set[tuple[str, str, int]] = set()
     out = []
     for r in rows.assign(a=rows["d"].abs()).sort_values(["a", "ref_num", "oth_num"]).itertuples(index=False):
-        if ("r", r.ref_num) not in used and ("o", r.oth_num) not in used:
-            used |= {("r", r.ref_num), ("o", r.oth_num)}
+        if (r.source, "r", r.ref_num) not in used and (r.source, "o", r.oth_num) not in used:
+            used |= {(r.source, "r", r.ref_num), (r.source, "o", r.oth_num)}
             out.append((r.source, r.d))
     return pd.DataFrame(out, columns=["source", "d"])
 
@@ -71,7 +71,7 @@ def seq_offset(frames: DataFrame, reference: str = "w1") -> DataFrame:
     near = range_join(ref, oth, keys, "oth_us", -REACH_US, REACH_US).withColumn("d", F.col("t") - F.col("oth_us"))
     # Pairs of a key are cut by pauses, so that a number used all day is many small groups.
     runs = islands(near.withColumn("at", F.col("t")), [*keys, "source"], ["at", "ref_num", "oth_num"], 2 * REACH_US)
-    found = runs.groupBy(*keys, "source", "island").applyInPandas(_nearest, "source string, d long")
+    found = slices(runs, [*keys, "source"], 16).applyInPandas(_nearest, "source string, d long")
     return _by_rank(found, ["source"]).where(F.col("n") >= LEAST_PAIRS).select("source", F.col("n").alias("pairs"), "offset_us", "iqr_us")
 
 
@@ -86,14 +86,18 @@ def _score(r: tuple, at: dict[str, int]) -> int:
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Representatives of one run of a key's frames, with their sources."""
-    names = list(rows.columns)
+    """Representatives of runs of keys' frames, with their sources."""
+    names, keys = list(rows.columns), ["k1", "k2", "k3", "k4"]
     at = {c: k for k, c in enumerate(names)}
-    table = rows.astype(object).where(rows.notna(), None).sort_values(["epoch_us", "source", "number"], kind="stable")
+    table = rows.astype(object).where(rows.notna(), None).sort_values([*keys, "epoch_us", "source", "number"], kind="stable")
+    same = [at[k] for k in keys]
+    held = None
     live: list[dict] = []
     every: list[dict] = []
     for f in map(list, table.itertuples(index=False, name=None)):
-        t, source = f[at["epoch_us"]], f[at["source"]]
+        t, source, key = f[at["epoch_us"]], f[at["source"]], [f[k] for k in same]
+        if key != held:
+            live, held = [], key
         while live and t - live[0]["made"] > WINDOW_US:
             live.pop(0)
         fits = [g for g in live if source not in g["sources"] and abs(t - g["made"]) <= WINDOW_US]
@@ -136,9 +140,9 @@ def dedup(frames: DataFrame) -> DataFrame:
     columns = frames.columns
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return _merged(rows[columns])
+        return _merged(rows[[*columns, *keys]])[[*columns, "sources"]]
 
-    return runs.groupBy(*keys, "island").applyInPandas(merge, fields)
+    return slices(runs, keys, 16, 60 * SECOND).applyInPandas(merge, fields)
 
 
 def coverage(merged: DataFrame) -> DataFrame:

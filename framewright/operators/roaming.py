@@ -2,7 +2,7 @@
 
 The order-dependent rules hold state for a few seconds only. Rows are first
 cut into runs at pauses longer than any state lives, so that each grouped
-function sees one short run of one station, whatever its share of frames.
+function sees whole runs of one slice of time, whatever a station's share.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
 from framewright.functions import thresholds as L
-from framewright.operators.joins import SECOND, carried, islands, range_join
+from framewright.functions.tables import settled
+from framewright.operators.joins import SECOND, carried, islands, range_join, slices
 from framewright.operators.stats import channel_map, one_if, percent, roles
 
 # Fixed values, in microseconds: oldest anchor, one exchange, one attempt,
@@ -32,7 +33,7 @@ def events(frames: DataFrame) -> DataFrame:
     """Auth, Assoc and Reassoc frames of stations: sta, ap, kind."""
     kind = F.when(F.col("subtype") == 11, "auth").when(F.col("subtype").isin(0, 2), "assoc")
     known = frames.where(F.col("subtype").isin(0, 2, 11)).select("epoch_us", "number", "subtype", "ta", "ra", "current_ap", kind.alias("kind"))
-    sta = stations(frames)
+    sta = settled(stations(frames), "stations")
     sent = known.join(sta, F.col("ta") == F.col("sta")).select("sta", F.col("ra").alias("ap"), "kind", F.lit("request").alias("basis"), "subtype", "current_ap", "epoch_us", "number")
     got = known.where("kind = 'auth'").join(sta, F.col("ra") == F.col("sta")).select("sta", F.col("ta").alias("ap"), "kind", F.lit("response").alias("basis"), "subtype", "current_ap", "epoch_us", "number")
     return sent.unionByName(got.join(sta.select(F.col("sta").alias("ap")), "ap", "left_anti"))
@@ -42,7 +43,7 @@ PAIRED = "sta string, ap string, prev_ap string, assoc_us long, assoc_num long,
 
 
 def _paired(rows: pd.DataFrame) -> pd.DataFrame:
-    """Associations of one run of a station with their anchors."""
+    """Associations of a station's runs with their anchors."""
     anchors: dict[str, tuple[int, int, str]] = {}
     last, out = None, []
     for r in rows.sort_values(["epoch_us", "number"]).itertuples(index=False):
@@ -71,7 +72,7 @@ def pairing(frames: DataFrame) -> DataFrame:
     Without one the gap is null; with a response only it is a lower bound.
     """
     runs = islands(events(frames), ["sta"], ["epoch_us", "number"], PAIR_US)
-    return runs.groupBy("sta", "island").applyInPandas(_paired, PAIRED)
+    return settled(slices(runs, ["sta"]).applyInPandas(_paired, PAIRED), "roams")
 
 
 def anchor_sql(frames: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def anchor_sql(frames: DataFrame) -> DataFrame:
     An as-of look-back over station and AP; agrees with :func:`pairing`
     where each association has an authentication request of its own.
     """
-    rows = events(frames)
+    rows = settled(events(frames), "roaming")
     auth = F.when((F.col("kind") == "auth") & (F.col("basis") == "request"), F.col("epoch_us"))
     seen = carried(rows, ["sta", "ap"], ["epoch_us", "number"], auth, "auth_us").where("kind = 'assoc'")
     gap = F.col("epoch_us") - F.col("auth_us")
@@ -91,7 +92,7 @@ SHAKE = "sta string, ap string, start_us long, end_us long, completion_us long,
 
 
 def _shakes(rows: pd.DataFrame) -> pd.DataFrame:
-    """Handshakes of one run of a station's EAPOL messages."""
+    """Handshakes of runs of a station's EAPOL messages."""
     out, now = [], None
 
     def close() -> None:
@@ -122,7 +123,7 @@ def _shakes(rows: pd.DataFrame) -> pd.DataFrame:
 def eapol_messages(frames: DataFrame) -> DataFrame:
     """EAPOL messages 1 to 4 of stations: sta, ap, msg."""
     known = frames.where(F.col("eapol_msgnr").between(1, 4)).select("epoch_us", "number", "retry", F.col("eapol_msgnr").alias("msg"), "ta", "ra")
-    sta = stations(frames)
+    sta = settled(stations(frames), "stations")
     sent = known.join(sta, F.col("ta") == F.col("sta")).select("sta", F.col("ra").alias("ap"), "msg", "retry", "epoch_us", "number")
     got = known.join(sta.select(F.col("sta").alias("ta")), "ta", "left_anti").join(sta, F.col("ra") == F.col("sta")).select("sta", F.col("ta").alias("ap"), "msg", "retry", "epoch_us", "number")
     return sent.unionByName(got)
@@ -135,7 +136,7 @@ def handshakes(frames: DataFrame) -> DataFrame:
     2 was seen.
     """
     runs = islands(eapol_messages(frames), ["sta"], ["epoch_us", "number"], HANDSHAKE_US)
-    return runs.groupBy("sta", "island").applyInPandas(_shakes, SHAKE)
+    return slices(runs, ["sta"]).applyInPandas(_shakes, SHAKE)
 
 
 def four_way(frames: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
-from framewright.operators.joins import SECOND, carried, islands, overlap_join
+from framewright.functions.tables import settled
+from framewright.operators.joins import SECOND, carried, islands, overlap_join, slices
 from framewright.operators.ping import statuses
 from framewright.operators.roaming import pairing
 from framewright.operators.stats import one_if, per_second, rssi_buckets
@@ -21,7 +22,7 @@ BURST, AHEAD = 3, 50
 
 
 def _cliffs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Drops of one run of a sender's seconds."""
+    """Drops of runs of a sender's seconds."""
     line = rows.sort_values("sec")
     sec, low, high = line["sec"].tolist(), line["min_rssi"].tolist(), line["max_rssi"].tolist()
     found, i = [], 0
@@ -53,7 +54,7 @@ def cliffs(frames: DataFrame) -> DataFrame:
     buckets = rssi_buckets(frames).select("ta", "sec", "min_rssi", "max_rssi")
     enough = buckets.groupBy("ta").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_BUCKETS)
     runs = islands(buckets.join(enough, "ta", "left_semi").withColumn("us", F.col("sec") * SECOND), ["ta"], ["us"], DROP_SEC * SECOND)
-    return runs.groupBy("ta", "island").applyInPandas(_cliffs, "ta string, sec long, before int, after int, took_sec long")
+    return slices(runs, ["ta"]).applyInPandas(_cliffs, "ta string, sec long, before int, after int, took_sec long")
 
 
 def cliff_pairs(frames: DataFrame) -> DataFrame:
@@ -68,8 +69,7 @@ def delay_zones(frames: DataFrame) -> DataFrame:
     """Stretches of slow or lost pings, and what likely caused them.
 
     A round trip is high at twice the rolling mean of ten, or two deviations
-    above it. The rolling rows of a station run within slices of ten minutes
-    that take the last nine rows of the slice before along.
+    above it. The rolling window runs over a station's answered pings only.
     """
     found = statuses(frames)
     rtt = found.where("rtt_us is not null").select("sta", "epoch_us", "req_num", "rtt_us")
@@ -83,7 +83,7 @@ def delay_zones(frames: DataFrame) -> DataFrame:
 
 def delay_causes(frames: DataFrame) -> DataFrame:
     """Delay zones with their cause: roaming nearby, retries, or unknown."""
-    zones = delay_zones(frames)
+    zones = settled(delay_zones(frames), "zones")
     spans = zones.select(F.lit(0).alias("g"), "sta", "start_us", "end_us", (F.col("start_us") - ZONE_US).alias("l_start"), (F.col("end_us") + ZONE_US).alias("l_end"))
     roams = pairing(frames).select(F.lit(0).alias("g"), F.coalesce("auth_us", "assoc_us").alias("r_start")).withColumn("r_end", F.col("r_start"))
     near = overlap_join(spans, roams, ["g"]).select("sta", "start_us").distinct().withColumn("roam", F.lit(True))
@@ -103,7 +103,7 @@ def retry_bursts(frames: DataFrame) -> DataFrame:
     """
     order = ["epoch_us", "source", "number"]
     rows = frames.select(*order, "retry", P.is_control_traffic().alias("ctrl"), P.control_detail().alias("detail")).withColumn("g", F.lit(0))
-    ranked = _numbered(rows)
+    ranked = settled(_numbered(rows), "ranked")
     runs = carried(ranked, ["g"], order, F.when(~F.col("retry"), F.col("rank")), "after")
     bursts = runs.where("retry").groupBy("after").agg(F.count("*").alias("n"), F.min("epoch_us").alias("start_us"), F.max("epoch_us").alias("end_us"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"), F.min_by("number", "rank").alias("first_num")).where(F.col("n") >= BURST)
     spans = bursts.select(F.lit(0).alias("g"), "n", "start_us", "end_us", "first_num", (F.col("last_rank") + 1).alias("l_start"), (F.col("last_rank") + AHEAD).alias("l_end"))
@@ -126,7 +126,7 @@ def rate_fallback(frames: DataFrame) -> DataFrame:
     order = ["epoch_us", "source", "number"]
     rows = frames.select(*order, "retry", "mcs").withColumn("g", F.lit(0))
     hit = F.col("retry") & F.col("mcs").isNotNull()
-    ranked = _numbered(rows)
+    ranked = settled(_numbered(rows), "ranked")
     runs = carried(ranked, ["g"], order, F.when(~hit, F.col("rank")), "after").where(hit)
     found = runs.groupBy("after").agg(F.count("*").alias("n"), F.min_by("mcs", "rank").alias("first_mcs"), F.max_by("mcs", "rank").alias("last_mcs"), F.min("epoch_us").alias("start_us"), F.min_by("number", "rank").alias("first_num"))
     return found.where("n >= 2 and first_mcs > last_mcs").select("first_num", "start_us", "n", "first_mcs", "last_mcs")

@@ -82,18 +82,19 @@ def roles(frames: DataFrame) -> DataFrame:
     """APs and stations with names numbered by frames: mac, role, name, count.
 
     APs send beacons, probe or association responses. Stations are unicast
-    peers of data frames of known APs, with at least five frames.
+    peers of data frames of known APs that send or receive at least five
+    frames of any kind.
     """
-    ap = frames.where(F.col("subtype").isin(1, 3, 5, 8) & F.col("ta").isNotNull()).select(F.col("ta").alias("mac")).distinct()
-    ends = frames.select(F.explode(F.array_distinct(F.array("ta", "ra"))).alias("mac")).where(F.col("mac").isNotNull())
+    ap = frames.where(F.col("subtype").isin(1, 3, 5, 8) & P.is_unicast(F.col("ta"))).select(F.col("ta").alias("mac")).distinct()
+    ends = frames.select(F.explode(F.array("ta", "ra")).alias("mac")).where(F.col("mac").isNotNull())
     counts = ends.groupBy("mac").agg(F.count("*").alias("count"))
     data = frames.where(F.col("subtype").isin(*P.DATA))
     known = data.join(ap.select(F.col("mac").alias("bssid")), "bssid", "left_semi")
     some_ap = ap.limit(1).select(F.lit(True).alias("some"))
     loose = data.join(some_ap, F.lit(True), "left_anti").select("ta", "ra")  # without any AP the filter is skipped
     peers = known.select("ta", "ra").unionByName(loose).select(F.explode(F.array("ta", "ra")).alias("mac"))
-    sta = peers.where(P.is_unicast(F.col("mac"))).join(ap, "mac", "left_anti").groupBy("mac").count().where(F.col("count") >= LEAST_FRAMES).select("mac")
-    every = ap.select("mac", F.lit("AP").alias("role")).unionByName(sta.select("mac", F.lit("STA").alias("role"))).join(counts, "mac")
+    sta = peers.where(P.is_unicast(F.col("mac"))).join(ap, "mac", "left_anti").distinct()
+    every = ap.select("mac", F.lit("AP").alias("role")).unionByName(sta.select("mac", F.lit("STA").alias("role"))).join(counts, "mac").where((F.col("role") == "AP") | (F.col("count") >= LEAST_FRAMES))
     rank = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("count"), "mac"))
     tail = F.right(F.regexp_replace("mac", ":", ""), F.lit(6))
     return every.select("mac", "role", F.concat("role", rank.cast("string"), F.lit("("), tail, F.lit(")")).alias("name"), "count")

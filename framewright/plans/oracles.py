@@ -22,10 +22,10 @@ def pct(part: str, whole: str, digits: int = 2) -> str:
     return f"CASE WHEN {whole} > 0 THEN round(100 * {part} / {whole}, {digits}) END"
 
 
-ROLES = f"""ap AS (SELECT DISTINCT ta AS mac FROM frames WHERE subtype IN (1, 3, 5, 8) AND ta IS NOT NULL),
+ROLES = f"""ap AS (SELECT DISTINCT mac FROM (SELECT ta AS mac FROM frames WHERE subtype IN (1, 3, 5, 8)) WHERE {UNICAST}),
 sta AS (
-  SELECT mac FROM (SELECT unnest([ta, ra]) AS mac FROM frames WHERE subtype IN (32, 40, 44) AND (bssid IN (SELECT mac FROM ap) OR NOT EXISTS (SELECT 1 FROM ap)))
-  WHERE {UNICAST} AND mac NOT IN (SELECT mac FROM ap) GROUP BY mac HAVING count(*) >= 5
+  SELECT mac FROM (SELECT unnest([ta, ra]) AS mac FROM frames)
+  WHERE mac IN (SELECT unnest([ta, ra]) FROM frames WHERE subtype IN (32, 40, 44) AND (bssid IN (SELECT mac FROM ap) OR NOT EXISTS (SELECT 1 FROM ap))) AND {UNICAST} AND mac NOT IN (SELECT mac FROM ap) GROUP BY mac HAVING count(*) >= 5
 )"""
 SECONDS = """secs AS (
   SELECT epoch_us // 1000000 AS sec, count(*) AS total, cast(count(*) FILTER (WHERE retry) AS bigint) AS retry, cast(sum(length) AS bigint) AS bytes,
@@ -109,7 +109,7 @@ ORACLES: dict[str, str] = {
     "overview": frames_sql(f"SELECT count(*) AS frames, {pct(one('retry'), 'count(*)')} AS retry_pct, (max(epoch_us) - min(epoch_us)) / 1000000 AS duration_sec, count(DISTINCT ta) AS senders, count(DISTINCT channel_freq) AS channels FROM frames"),
     "overview_kinds": frames_sql(f"SELECT {KIND} AS kind, {NAME} AS subtype, count(*) AS n, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1, 2"),
     "protocol_topk": frames_sql("SELECT protocol, count(*) AS n FROM frames GROUP BY protocol ORDER BY n DESC, min(struct_pack(a := epoch_us, b := number)) LIMIT 20"),
-    "roles": frames_sql("SELECT mac, role, role || row_number() OVER (PARTITION BY role ORDER BY cnt DESC, mac) || '(' || right(replace(mac, ':', ''), 6) || ')' AS name, cnt AS count FROM (SELECT mac, role, count(*) AS cnt FROM (SELECT mac, 'AP' AS role FROM ap UNION ALL SELECT mac, 'STA' FROM sta) JOIN (SELECT unnest(list_distinct([ta, ra])) AS mac FROM frames) USING (mac) GROUP BY ALL)", ROLES),
+    "roles": frames_sql("SELECT mac, role, role || row_number() OVER (PARTITION BY role ORDER BY cnt DESC, mac) || '(' || right(replace(mac, ':', ''), 6) || ')' AS name, cnt AS count FROM (SELECT mac, role, count(*) AS cnt FROM (SELECT mac, 'AP' AS role FROM ap UNION ALL SELECT mac, 'STA' FROM sta) JOIN (SELECT unnest([ta, ra]) AS mac FROM frames) USING (mac) GROUP BY ALL)", ROLES),
     "channel_map": frames_sql(f"SELECT ap, f AS channel_freq, {CHANNEL} AS channel, {BAND} AS band FROM (SELECT ta AS ap, channel_freq AS f, row_number() OVER (PARTITION BY ta ORDER BY count(*) DESC, min(epoch_us)) AS r FROM frames WHERE subtype = 8 AND channel_freq IS NOT NULL GROUP BY ta, channel_freq) WHERE r = 1"),
     "channel_distribution": frames_sql(f"SELECT f AS channel_freq, {CHANNEL} AS channel, {BAND} AS band, n FROM (SELECT channel_freq AS f, count(*) AS n FROM frames WHERE channel_freq IS NOT NULL GROUP BY 1)"),
     "device_ips": frames_sql(f"SELECT mac, ip, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY mac ORDER BY weight DESC, ip) AS rank FROM (SELECT *, max(weight) OVER (PARTITION BY mac) AS top FROM (SELECT mac, ip, cast(sum(w) AS bigint) AS weight FROM (SELECT ta AS mac, ip_src AS ip, 2 AS w FROM frames UNION ALL SELECT ra, ip_dst, 1 FROM frames) WHERE ip IS NOT NULL AND {UNICAST} GROUP BY ALL)) WHERE weight >= greatest(2, 0.05 * top)) WHERE rank <= 5"),
