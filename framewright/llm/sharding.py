@@ -24,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a merged file, rows of an arriving shard, ratio of tiers, least
 #: shards in a run (fewer merge only in the last, closing round), and runs
@@ -48,6 +49,9 @@ class ShardStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _none(self, schema: T.StructType) -> DataFrame:
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
     def version(self) -> int:
         """The last committed version; 0 before the first."""
         fs, where = self._path("commits")
@@ -57,7 +61,7 @@ class ShardStore:
         """Live shards: name, level (merges behind it), arrival, rows, bytes."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
+            return self._none(T.StructType.fromDDL(MANIFEST))
         name = self.spark.read.text(f"{self.root}/commits/{version:020d}").first()[0]
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
@@ -119,14 +123,14 @@ class ShardStore:
             reduce(DataFrame.union, parts).write.mode("append").option("compression", "zstd").parquet(path)
         level = max(r["level"] for r in runs) + 1
         new = self._described(reader.parquet(path), level, max(r["arrived"] for r in runs))
-        gone = self.spark.createDataFrame([(s,) for r in runs for s in r["shards"]], "shard string")
-        self._commit(self.manifest(version - 1).join(gone, "shard", "left_anti").unionByName(new), version)
+        gone = F.lit([s for r in runs for s in r["shards"]])  # names that the driver has planned with
+        self._commit(self.manifest(version - 1).where(~F.array_contains(gone, F.col("shard"))).unionByName(new), version)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """Rows of a version, with the shard each lies in as ``shard``."""
         names = [r[0] for r in self.manifest(version).select("shard").collect()]
         if not names:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
+            return self._none(schema).withColumn("shard", F.lit(None).cast("string"))
         data = self.spark.read.schema(schema).parquet(*names)
         return data.withColumn("shard", data.metadataColumn("_metadata")["file_path"])
 
