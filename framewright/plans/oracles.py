@@ -97,8 +97,8 @@ def _islands(table: str, part: str, order: str, gap: int) -> str:
 
 OFFSET = """tp AS (
   SELECT b.source, a.epoch_us - b.epoch_us AS d
-  FROM (SELECT bssid, tsf, min(epoch_us) AS epoch_us FROM both WHERE subtype = 8 AND source = 'w1' GROUP BY ALL HAVING count(*) = 1) a
-  JOIN (SELECT source, bssid, tsf, min(epoch_us) AS epoch_us FROM both WHERE subtype = 8 AND source <> 'w1' GROUP BY ALL HAVING count(*) = 1) b USING (bssid, tsf)
+  FROM (SELECT bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND source = 'w1' GROUP BY ALL HAVING count(*) = 1) a
+  JOIN (SELECT source, bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND source <> 'w1' GROUP BY ALL HAVING count(*) = 1) b USING (bssid, tsf)
 ), off AS (
   SELECT source, count(*) AS pairs, round(median(d), 3) AS offset_us, cast(quantile_disc(d, 0.25) AS bigint) AS q1_us, cast(quantile_disc(d, 0.75) AS bigint) AS q3_us FROM tp GROUP BY source HAVING count(*) >= 10
 )"""
@@ -152,8 +152,8 @@ ORACLES: dict[str, str] = {
     "roaming_events": frames_sql("SELECT * FROM ev", ROLES, ASSOC),
     "nearest_roaming": frames_sql("SELECT h.number, h.epoch_us, arg_min(r.number, struct_pack(a := abs(r.epoch_us - h.epoch_us), b := r.epoch_us, c := r.number)) AS roam_num, min(abs(r.epoch_us - h.epoch_us)) AS distance_us FROM (SELECT * FROM frames WHERE subtype IN (10, 12)) h LEFT JOIN (SELECT * FROM frames WHERE subtype IN (0, 1, 2, 3, 11)) r ON abs(r.epoch_us - h.epoch_us) < 5000000 GROUP BY h.number, h.epoch_us"),
     "tsf_offset": both_sql("SELECT * FROM off", OFFSET),
-    "renumbered": both_sql("SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS number, number AS orig_number, source, epoch_us FROM (SELECT number, source, epoch_us + coalesce((SELECT cast(round(offset_us) AS bigint) FROM off WHERE off.source = both.source), 0) AS epoch_us FROM both)", OFFSET),
-    "sniffer_compare": both_sql(f"SELECT source, epoch_us // 1000000 AS sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi FROM both GROUP BY ALL"),
+    "renumbered": both_sql("SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS number, number AS orig_number, source, epoch_us FROM (SELECT number, source, epoch_us + coalesce((SELECT cast(round(offset_us) AS bigint) FROM off WHERE off.source = heard.source), 0) AS epoch_us FROM heard)", OFFSET),
+    "sniffer_compare": both_sql(f"SELECT source, epoch_us // 1000000 AS sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi FROM heard GROUP BY ALL"),
     "wpa_episodes": log_sql("SELECT * FROM ep", EPISODES),
     "scan_pairs": log_sql("SELECT * FROM sc", SCANS),
     "last_scan_asof": log_sql("SELECT l.sta, l.epoch_us AS cmd_us, l.line, max(s.done_us) AS scan_us FROM (SELECT * FROM logged WHERE event = 'roam') l LEFT JOIN (SELECT * FROM sc WHERE NOT orphan) s ON s.sta = l.sta AND s.done_us < l.epoch_us GROUP BY ALL", SCANS),

@@ -80,9 +80,9 @@ FROM (SELECT event_id, event_type, {BASE_US} + (epoch_us(ts) - {BASE_US}) // {SQ
 
 
 def sql_two() -> str:
-    """As :func:`sql`, and ``both``: the frames of two sniffers."""
+    """As :func:`sql`, and ``heard``: the frames of two sniffers."""
     cells = {"epoch_us": "epoch_us + 2500000 + CASE WHEN subtype = 8 THEN 0 ELSE number // 10 % 5 * 1000 END", "source": "'w2'", "rssi": "rssi - 3", "ip_src": "CASE WHEN number // 10 % 3 <> 0 THEN ip_src END"}
-    return sql() + f""", both AS (
+    return sql() + f""", heard AS (
 SELECT {", ".join(COLUMNS)} FROM frames UNION ALL
 SELECT {", ".join(f"{cells[c]} AS {c}" if c in cells else c for c in COLUMNS)} FROM frames WHERE number // 10 % 4 <> 3
 )"""
