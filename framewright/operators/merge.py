@@ -142,7 +142,7 @@ def dedup(frames: DataFrame) -> DataFrame:
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _merged(rows[[*columns, *keys]])[[*columns, "sources"]]
 
-    return slices(runs, keys, 16, 60 * SECOND).applyInPandas(merge, fields)
+    return slices(runs, keys, 16).applyInPandas(merge, fields)
 
 
 def coverage(merged: DataFrame) -> DataFrame:
