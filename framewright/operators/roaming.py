@@ -29,11 +29,14 @@ def stations(frames: DataFrame) -> DataFrame:
     return roles(frames).where("role = 'STA'").select(F.col("mac").alias("sta"))
 
 
-def events(frames: DataFrame) -> DataFrame:
-    """Auth, Assoc and Reassoc frames of stations: sta, ap, kind."""
+def events(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
+    """Auth, Assoc and Reassoc frames of stations: sta, ap, kind.
+
+    ``sta`` are the settled :func:`stations`, where a caller has them.
+    """
     kind = F.when(F.col("subtype") == 11, "auth").when(F.col("subtype").isin(0, 2), "assoc")
     known = frames.where(F.col("subtype").isin(0, 2, 11)).select("epoch_us", "number", "subtype", "ta", "ra", "current_ap", kind.alias("kind"))
-    sta = settled(stations(frames), "stations")
+    sta = settled(stations(frames), "stations") if sta is None else sta
     sent = known.join(sta, F.col("ta") == F.col("sta")).select("sta", F.col("ra").alias("ap"), "kind", F.lit("request").alias("basis"), "subtype", "current_ap", "epoch_us", "number")
     got = known.where("kind = 'auth'").join(sta, F.col("ra") == F.col("sta")).select("sta", F.col("ta").alias("ap"), "kind", F.lit("response").alias("basis"), "subtype", "current_ap", "epoch_us", "number")
     return sent.unionByName(got.join(sta.select(F.col("sta").alias("ap")), "ap", "left_anti"))
@@ -66,12 +69,12 @@ def _paired(rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({c: "Int64" for c in ("assoc_us", "assoc_num", "auth_us", "auth_num", "gap_us")})
 
 
-def pairing(frames: DataFrame) -> DataFrame:
+def pairing(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
     """Every association with its authentication, if one was captured.
 
     Without one the gap is null; with a response only it is a lower bound.
     """
-    runs = islands(events(frames), ["sta"], ["epoch_us", "number"], PAIR_US)
+    runs = islands(events(frames, sta), ["sta"], ["epoch_us", "number"], PAIR_US)
     return settled(slices(runs, ["sta"]).applyInPandas(_paired, PAIRED), "roams")
 
 
@@ -120,29 +123,30 @@ def _shakes(rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"completion_us": "Int64", "duration_us": "Int64"})
 
 
-def eapol_messages(frames: DataFrame) -> DataFrame:
+def eapol_messages(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
     """EAPOL messages 1 to 4 of stations: sta, ap, msg."""
     known = frames.where(F.col("eapol_msgnr").between(1, 4)).select("epoch_us", "number", "retry", F.col("eapol_msgnr").alias("msg"), "ta", "ra")
-    sta = settled(stations(frames), "stations")
+    sta = settled(stations(frames), "stations") if sta is None else sta
     sent = known.join(sta, F.col("ta") == F.col("sta")).select("sta", F.col("ra").alias("ap"), "msg", "retry", "epoch_us", "number")
     got = known.join(sta.select(F.col("sta").alias("ta")), "ta", "left_anti").join(sta, F.col("ra") == F.col("sta")).select("sta", F.col("ta").alias("ap"), "msg", "retry", "epoch_us", "number")
     return sent.unionByName(got)
 
 
-def handshakes(frames: DataFrame) -> DataFrame:
+def handshakes(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
     """Four-way handshakes: messages, retries, duration where 1 and 4 show.
 
     One ends at a pause over 5 s, another AP, or a new message 1 once message
     2 was seen.
     """
-    runs = islands(eapol_messages(frames), ["sta"], ["epoch_us", "number"], HANDSHAKE_US)
+    runs = islands(eapol_messages(frames, sta), ["sta"], ["epoch_us", "number"], HANDSHAKE_US)
     return slices(runs, ["sta"]).applyInPandas(_shakes, SHAKE)
 
 
 def four_way(frames: DataFrame) -> DataFrame:
     """Associations with the first handshake that begins about then."""
-    assoc = pairing(frames).withColumn("t", F.col("assoc_us"))
-    shakes = handshakes(frames).select("sta", "ap", F.col("start_us").alias("shake_us"), "end_us", "completion_us", "complete")
+    sta = settled(stations(frames), "stations")
+    assoc = pairing(frames, sta).withColumn("t", F.col("assoc_us"))
+    shakes = handshakes(frames, sta).select("sta", "ap", F.col("start_us").alias("shake_us"), "end_us", "completion_us", "complete")
     near = range_join(assoc, shakes, ["sta", "ap"], "shake_us", -SLACK_US, AFTER_US)
     best = near.groupBy("assoc_num").agg(F.min(F.struct("shake_us", "end_us", "completion_us", "complete")).alias("s"))
     return assoc.drop("t").join(best, "assoc_num", "left").select(*[c.split()[0] for c in PAIRED.split(", ")], F.col("s.shake_us").alias("shake_us"), F.col("s.completion_us").alias("completion_us"), F.col("s.complete").alias("complete"), (F.col("s.completion_us") - F.coalesce("auth_us", "assoc_us")).alias("total_us"))

@@ -142,3 +142,11 @@ def test_empty_capture(spark, basic):
     none = basic.where("false")
     for operator in (stats.per_second, stats.roles, ping.statuses, roaming.pairing, roaming.handshakes, merge.dedup):
         assert operator(none).count() == 0
+
+
+def test_handshake_after_a_roam(spark):
+    roam = [{"epoch_us": BASE + t, "subtype": s, "ta": a, "ra": b} for t, s, a, b in ((500_000, 11, STA, AP), (550_000, 0, STA, AP), (560_000, 1, AP, STA))]
+    beacon = {"epoch_us": BASE, "subtype": 8, "ta": AP, "ra": P.BROADCAST, "channel_freq": 2412}
+    keys = [{"epoch_us": BASE + 560_000 + 10_000 * m, "subtype": 40, "eapol_msgnr": m, "ta": AP if m % 2 else STA, "ra": STA if m % 2 else AP} for m in (1, 2, 3, 4)]
+    found = roaming.four_way(capture(spark, [beacon, *roam, *keys])).collect()
+    assert [(r.sta, r.ap, r.gap_us, r.shake_us - BASE, r.complete, r.total_us) for r in found] == [(STA, AP, 50_000, 570_000, True, 100_000)]
