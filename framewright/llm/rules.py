@@ -31,9 +31,10 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Rows for an estimate of a group's own, concentration steps, and the tail
 #: of the chi-squared distribution beyond which a row is rejected.
-LEAST, STEPS, TAIL = 50, 3, 1e-9
-#: Least standard deviation of each coordinate: what clean texts vary by.
-FLOOR = (0.12, 0.08, 0.15, 0.15)
+LEAST, STEPS, TAIL = 50, 3, 1e-3
+#: Least standard deviation of each coordinate: small enough that each alone
+#: can reject a text that passes the base rules.
+FLOOR = (0.06, 0.05, 0.06, 0.12)
 DIM = len(FLOOR)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]

@@ -72,6 +72,22 @@ def test_own_group_of_a_large_source(spark):
     assert got[100].kept and got[100].distance is None
 
 
+def test_each_coordinate_alone_rejects(spark):
+    word = lambda k, n=5: f"{k:0{n}d}"
+    clean = [" ".join(word(100 * k + i, 5 + (k + i) % 2) for i in range(100)) for k in range(80)]
+    far = {
+        "long words": " ".join(word(i, 9) for i in range(100)),
+        "symbols": " ".join(word(i, 5) if i % 2 else word(i, 4) + "&" for i in range(100)),
+        "repeated lines": "".join("end\n" if i % 5 == 4 else word(i) + " \n"[i % 5 == 3] for i in range(100)),
+        "repeated words": " ".join(word(i % 86) for i in range(100)),
+    }
+    docs = spark.createDataFrame([(str(k), "en", "big", t) for k, t in enumerate(clean)] + [(k, "en", "big", t) for k, t in far.items()], "doc_id string, lang string, source string, text string")
+    got = {r.doc_id: r.verdict for r in rules.judged(docs.withColumn("stats", rules.measured(docs.text))).collect()}
+    assert all(got[str(k)].kept for k in range(80))
+    for k in far:
+        assert not got[k].base_failed and not got[k].kept, k
+
+
 def test_clean_documents_stay(spark, judged):
     docs, got = judged
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
