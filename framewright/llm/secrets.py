@@ -4,8 +4,8 @@ Patterns find assignments, access keys and long hexadecimal strings. Beyond
 them, runs of key-like characters are cut into stretches of one character
 class; a window slides over each stretch with counts that change by one
 character in and one out, and windows whose Shannon entropy reaches the
-class's threshold are joined into spans. An allow list suppresses UUIDs, web
-paths, counting sequences and placeholders; spans that touch a pattern's span
+class's threshold are joined into spans. UUIDs, web paths, word-like segments of
+paths, counting sequences and placeholders are cut out by position; spans that touch a pattern's span
 are left out, since that one stays.
 
 Defined cases: null text is empty; a text without a finding has '' as spans;
@@ -37,7 +37,13 @@ CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 16, 2.8),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.7),
 )
-ALLOW = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|https?|www|/.*/.*/|example|sample|placeholder|0123456789|12345678|abcdefgh|x{6,}", re.I)
+#: What is cut out of a run: UUIDs, counting sequences, word-like segments of a
+#: path, placeholders with the letters and digits around them, and of the text
+#: web addresses up to a query.
+ALLOW = re.compile(r"(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])|0123456789|12345678|abcdefgh|x{6,}", re.I)
+SEGMENT = re.compile(r"(?<![^/])(?:[A-Z]?[a-z]{2,}[0-9]{0,2}|[0-9]{4})(?:[_-](?:[A-Z]?[a-z]{2,}[0-9]{0,2}|[0-9]{1,4}))*(?![^/])")
+PLACEHOLDER, AROUND = re.compile(r"example|sample|placeholder", re.I), 40
+WEB = re.compile(r"(?:https?://|\bwww\.)[^\s?#\"'<>]*", re.I)
 _TERM = [0.0]
 
 
@@ -72,30 +78,65 @@ def _mixed(s: str, kind: str) -> bool:
     return digits >= 2 and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)
 
 
+def allowed(run: str) -> list[tuple[int, int]]:
+    """Places in a run that hold no secret."""
+    out = [m.span() for m in ALLOW.finditer(run)]
+    if "/" in run:
+        out += [m.span() for m in SEGMENT.finditer(run)]
+    for m in PLACEHOLDER.finditer(run):
+        a, b = m.span()
+        while a > max(0, m.start() - AROUND) and run[a - 1].isalnum():
+            a -= 1
+        while b < min(len(run), m.end() + AROUND) and run[b].isalnum():
+            b += 1
+        out.append((a, b))
+    return out
+
+
+def outside(a: int, b: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the cuts leave of a range."""
+    for s, e in sorted(cuts):
+        if s > a:
+            yield a, min(s, b)
+        a = max(a, e)
+        if a >= b:
+            return
+    if a < b:
+        yield a, b
+
+
+def found_in(run: str) -> list[list[int]]:
+    """Joined windows of high entropy in a run, by the first class that has any."""
+    for kind, chars, width, least in CLASSES:
+        at, found = 0, []
+        while at < len(run):
+            end = at
+            while end < len(run) and run[end] in chars:
+                end += 1
+            part = run[at:end]
+            for k, bits in enumerate(windows(part, width) if len(part) >= width and _mixed(part, kind) else ()):
+                if bits >= least and _mixed(part[k : k + width], kind):
+                    if found and at + k <= found[-1][1]:
+                        found[-1][1] = at + k + width
+                    else:
+                        found.append([at + k, at + k + width])
+            at = end + 1
+        if found:
+            return found
+    return []
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Joined windows of high entropy in candidates, not on the allow list."""
+    """Joined windows of high entropy in candidates, outside of what is allowed."""
     out = []
+    web = [m.span() for m in WEB.finditer(text)] if "://" in text or "www." in text.lower() else []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if ALLOW.search(run) or not any("0" <= c <= "9" for c in run):
+        run, at = m.group(), m.start()
+        if not any("0" <= c <= "9" for c in run):
             continue
-        for kind, chars, width, least in CLASSES:
-            at, found = 0, []
-            while at < len(run):
-                end = at
-                while end < len(run) and run[end] in chars:
-                    end += 1
-                part = run[at:end]
-                for k, bits in enumerate(windows(part, width) if len(part) >= width and _mixed(part, kind) else ()):
-                    if bits >= least and _mixed(part[k : k + width], kind):
-                        if found and at + k <= found[-1][1]:
-                            found[-1][1] = at + k + width
-                        else:
-                            found.append([at + k, at + k + width])
-                at = end + 1
-            if found:
-                out += [(m.start() + a, m.start() + b) for a, b in found]
-                break
+        cuts = [(at + a, at + b) for a, b in allowed(run)] + [w for w in web if w[0] < m.end() and at < w[1]]
+        for s, e in outside(at, m.end(), cuts):
+            out += [(s + a, s + b) for a, b in found_in(text[s:e])]
     return out
 
 
