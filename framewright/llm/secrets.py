@@ -31,10 +31,12 @@ HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Name, characters, window and least entropy (bits) of each class, most
-#: special first; a random window has about 3.2 and 4.1 bits.
+#: Name, characters, window and least entropy (bits) of each class; a random
+#: window has about 3.2, 3.8, 3.8 (base32 3.7) and 4.1 bits.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 16, 2.8),
+    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.3),
+    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.3),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.7),
 )
 #: What is cut out of a run: UUIDs, counting sequences, word-like segments of a
@@ -70,19 +72,32 @@ def windows(text: str, width: int) -> Iterator[float]:
             yield log2(width) - total / width
 
 
+def _kinds(s: str) -> str:
+    """Letters and digits of a string as d, l or u."""
+    return "".join("d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" for c in s if c.isalnum())
+
+
 def _mixed(s: str, kind: str) -> bool:
-    """Letters and digits as keys have them; words and numbers don't."""
-    digits = sum("0" <= c <= "9" for c in s)
+    """Letters and digits as keys have them; words and numbers don't.
+
+    Few digits in mixed case pass only where the kind of character changes
+    more often than at the start of words.
+    """
+    kinds = _kinds(s)
+    digits = kinds.count("d")
     if kind == "hex":
         return 2 <= digits <= len(s) - 2
-    return digits >= 2 and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)
+    changes = sum(a != b and a + b != "ul" for a, b in zip(kinds, kinds[1:]))
+    if kind == "base64":
+        return "l" in kinds and "u" in kinds and (digits >= 2 or changes >= 0.25 * len(kinds))
+    return digits >= 1 and len(kinds) > digits and changes >= (3 if kind == "lower" else 2)
 
 
 def allowed(run: str) -> list[tuple[int, int]]:
     """Places in a run that hold no secret."""
     out = [m.span() for m in ALLOW.finditer(run)]
-    if "/" in run:
-        out += [m.span() for m in SEGMENT.finditer(run)]
+    if len(words := [m.span() for m in SEGMENT.finditer(run)] if "/" in run else []) > 1:  # one may be chance
+        out += words
     for m in PLACEHOLDER.finditer(run):
         a, b = m.span()
         while a > max(0, m.start() - AROUND) and run[a - 1].isalnum():
@@ -106,24 +121,28 @@ def outside(a: int, b: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int,
 
 
 def found_in(run: str) -> list[list[int]]:
-    """Joined windows of high entropy in a run, by the first class that has any."""
+    """Joined windows of high entropy in a run, of all classes together.
+
+    The mix is asked of a whole stretch; a window needs two kinds of character.
+    """
+    spans = []
     for kind, chars, width, least in CLASSES:
-        at, found = 0, []
+        at = 0
         while at < len(run):
             end = at
             while end < len(run) and run[end] in chars:
                 end += 1
             part = run[at:end]
-            for k, bits in enumerate(windows(part, width) if len(part) >= width and _mixed(part, kind) else ()):
-                if bits >= least and _mixed(part[k : k + width], kind):
-                    if found and at + k <= found[-1][1]:
-                        found[-1][1] = at + k + width
-                    else:
-                        found.append([at + k, at + k + width])
+            if len(part) >= width and _mixed(part, kind):
+                spans += [[at + k, at + k + width] for k, bits in enumerate(windows(part, width)) if bits >= least and len(set(_kinds(part[k : k + width]))) > 1]
             at = end + 1
-        if found:
-            return found
-    return []
+    found: list[list[int]] = []
+    for a, b in sorted(spans):
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(b, found[-1][1])
+        else:
+            found.append([a, b])
+    return found
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
@@ -132,7 +151,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     web = [m.span() for m in WEB.finditer(text)] if "://" in text or "www." in text.lower() else []
     for m in CANDIDATE.finditer(text):
         run, at = m.group(), m.start()
-        if not any("0" <= c <= "9" for c in run):
+        if run.islower() and not any("0" <= c <= "9" for c in run):
             continue
         cuts = [(at + a, at + b) for a, b in allowed(run)] + [w for w in web if w[0] < m.end() and at < w[1]]
         for s, e in outside(at, m.end(), cuts):
