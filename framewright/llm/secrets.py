@@ -5,8 +5,8 @@ them, runs of key-like characters are cut into stretches of one character
 class; a window slides over each stretch with counts that change by one
 character in and one out, and windows whose Shannon entropy reaches the
 class's threshold are joined into spans. UUIDs, web paths, word-like segments of
-paths, counting sequences and placeholders are cut out by position; spans that touch a pattern's span
-are left out, since that one stays.
+paths, counting sequences and placeholders are cut out by position, and so are
+the patterns' spans, since those stay.
 
 Defined cases: null text is empty; a text without a finding has '' as spans;
 offsets count code points, ends are exclusive.
@@ -15,7 +15,7 @@ offsets count code points, ends are exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import log2
 
 import pandas as pd
@@ -145,15 +145,15 @@ def found_in(run: str) -> list[list[int]]:
     return found
 
 
-def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Joined windows of high entropy in candidates, outside of what is allowed."""
+def entropy_spans(text: str, known: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Joined windows of high entropy in candidates, outside of what is allowed or known."""
     out = []
     web = [m.span() for m in WEB.finditer(text)] if "://" in text or "www." in text.lower() else []
     for m in CANDIDATE.finditer(text):
         run, at = m.group(), m.start()
         if run.islower() and not any("0" <= c <= "9" for c in run):
             continue
-        cuts = [(at + a, at + b) for a, b in allowed(run)] + [w for w in web if w[0] < m.end() and at < w[1]]
+        cuts = [(at + a, at + b) for a, b in allowed(run)] + [w for w in (*web, *known) if w[0] < m.end() and at < w[1]]
         for s, e in outside(at, m.end(), cuts):
             out += [(s + a, s + b) for a, b in found_in(text[s:e])]
     return out
@@ -176,7 +176,7 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     if not text:
         return []
     base = base_spans(text)
-    more = [(a, "entropy", b) for a, b in entropy_spans(text) if not any(s < b and a < e for s, _, e in base)]
+    more = [(a, "entropy", b) for a, b in entropy_spans(text, [(s, e) for s, _, e in base])]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
