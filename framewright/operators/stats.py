@@ -14,6 +14,8 @@ from framewright.operators.joins import SECOND
 FILL_CAP = 21_600
 LEAST_FRAMES, TOP = 5, 20
 BINS = 60
+#: Slices of time in which frames are ranked.
+SLICE_US = 600 * SECOND
 
 
 def second(t: Column | None = None) -> Column:
@@ -236,8 +238,16 @@ def control_list(frames: DataFrame) -> DataFrame:
 
 
 def uniform_sample(frames: DataFrame, k: int = 100) -> DataFrame:
-    """k frame numbers evenly spread over capture order, first and last too."""
-    order = frames.select("number", F.row_number().over(Window.orderBy("epoch_us", "source", "number")).alias("n"))
+    """k frame numbers evenly spread over capture order, first and last too.
+
+    A place is a rank within a slice of time and the size of all slices before
+    it, so no single task sorts the capture.
+    """
+    cut = frames.select("number", "epoch_us", "source", F.floor(F.col("epoch_us") / SLICE_US).alias("__s"))
+    sizes = cut.groupBy("__s").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__s").alias("__b"), (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy("epoch_us", "source", "number"))
+    order = cut.withColumn("__r", rank).join(before, F.col("__s").eqNullSafe(F.col("__b"))).select("number", (F.col("__r") + F.col("__before")).alias("n"))
     total = frames.agg(F.count("*").alias("total"))
     at = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     wanted = total.where("total > 0").select("total", at.alias("i")).select(F.when(F.col("i") == k - 1, F.col("total")).otherwise(F.floor(F.col("i") * F.col("total") / k) + 1).cast("int").alias("n")).distinct()

@@ -150,3 +150,14 @@ def test_handshake_after_a_roam(spark):
     keys = [{"epoch_us": BASE + 560_000 + 10_000 * m, "subtype": 40, "eapol_msgnr": m, "ta": AP if m % 2 else STA, "ra": STA if m % 2 else AP} for m in (1, 2, 3, 4)]
     found = roaming.four_way(capture(spark, [beacon, *roam, *keys])).collect()
     assert [(r.sta, r.ap, r.gap_us, r.shake_us - BASE, r.complete, r.total_us) for r in found] == [(STA, AP, 50_000, 570_000, True, 100_000)]
+
+
+def test_uniform_sample_ranks_within_slices(spark):
+    rng = random.Random(4)
+    rows = [{"epoch_us": BASE + rng.randrange(90) * 60 * SECOND} for _ in range(777)]
+    frames = capture(spark, rows)
+    order = sorted(range(777), key=lambda n: (rows[n]["epoch_us"], n))
+    got = stats.uniform_sample(frames)
+    assert sorted(r.number for r in got.collect()) == sorted(order[777 - 1 if i == 99 else i * 777 // 100] + 1 for i in range(100))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(__s" in plan and "row_number() windowspecdefinition(epoch_us" not in plan
