@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Subtype codes of 802.11 frames and their display names.
+# Subtype codes of 802.11 frames and their display names, and
+# the codes of each type.
 SUBTYPES = {
     0: "AssocReq", 1: "AssocResp", 2: "ReassocReq", 3: "ReassocResp", 4: "ProbeReq", 5: "ProbeResp",
-    8: "Beacon", 10: "DisAssoc", 11: "Auth", 12: "DeAuth", 13: "Action",
-    24: "BlockAckReq", 25: "BlockAck", 27: "RTS", 28: "CTS", 29: "ACK",
-    32: "Data", 36: "Null", 40: "QoS-Data", 44: "QoS-Null",
+    8: "Beacon", 10: "DisAssoc", 11: "Auth", 12: "DeAuth", 13: "Action", 14: "ActionNoAck",
+    18: "Trigger", 21: "VHT NDP Ann", 24: "BAR", 25: "BA", 27: "RTS", 28: "CTS", 29: "ACK", 30: "CF-End",
+    32: "Data", 37: "VHT NDP Ann", 40: "QoS Data", 44: "QoS Null",
 }
 DATA = (32, 40, 44)
+MANAGEMENT = (0, 1, 2, 3, 4, 5, 8, 10, 11, 12, 13, 14)
+CONTROL = (18, 21, 24, 25, 27, 28, 29, 30, 37)
 ROAMING = (0, 1, 2, 3, 11, 12)
 ICMP_REQUEST, ICMP_REPLY = 8, 0
 BROADCAST = "ff:ff:ff:ff:ff:ff"
@@ -25,8 +28,8 @@ def subtype_name(code: Column) -> Column:
 
 
 def frame_type(code: Column) -> Column:
-    """Management, Control, Data or Other by the range of the code."""
-    return F.when(code.between(0, 15), "Management").when(code.between(16, 31), "Control").when(code.between(32, 47), "Data").otherwise("Other")
+    """Management, Control or Data by the code; codes in none are Other."""
+    return F.when(code.isin(*MANAGEMENT), "Management").when(code.isin(*CONTROL), "Control").when(code.isin(*DATA), "Data").otherwise("Other")
 
 
 def is_request() -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from framewright.functions.frames import SUBTYPES
 from framewright.sources import adapter
 
 CTRL = "(arp_opcode IS NOT NULL OR icmp_type IS NOT NULL OR coalesce(tcp_len = 0 AND tcp_flags IS NOT NULL, false))"
 ROAM = "(subtype IN (0, 1, 2, 3, 11, 12) OR coalesce(protocol = 'EAPOL', false))"
 UNICAST = "(mac <> 'ff:ff:ff:ff:ff:ff' AND mac NOT LIKE '33:33%' AND mac NOT LIKE '01:00:5e%' AND mac NOT LIKE '01:80:c2%' AND cast('0x' || substr(mac, 1, 2) AS integer) & 1 = 0)"
-KIND = "CASE WHEN subtype BETWEEN 0 AND 15 THEN 'Management' WHEN subtype BETWEEN 16 AND 31 THEN 'Control' WHEN subtype BETWEEN 32 AND 47 THEN 'Data' ELSE 'Other' END"
-NAME = "CASE subtype " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in SUBTYPES.items()) + " ELSE 'type=' || subtype END"
+KIND = "CASE WHEN subtype IN (0, 1, 2, 3, 4, 5, 8, 10, 11, 12, 13, 14) THEN 'Management' WHEN subtype IN (18, 21, 24, 25, 27, 28, 29, 30, 37) THEN 'Control' WHEN subtype IN (32, 40, 44) THEN 'Data' ELSE 'Other' END"
+NAME = """CASE subtype WHEN 0 THEN 'AssocReq' WHEN 1 THEN 'AssocResp' WHEN 2 THEN 'ReassocReq' WHEN 3 THEN 'ReassocResp' WHEN 4 THEN 'ProbeReq' WHEN 5 THEN 'ProbeResp'
+  WHEN 8 THEN 'Beacon' WHEN 10 THEN 'DisAssoc' WHEN 11 THEN 'Auth' WHEN 12 THEN 'DeAuth' WHEN 13 THEN 'Action' WHEN 14 THEN 'ActionNoAck' WHEN 18 THEN 'Trigger' WHEN 21 THEN 'VHT NDP Ann'
+  WHEN 24 THEN 'BAR' WHEN 25 THEN 'BA' WHEN 27 THEN 'RTS' WHEN 28 THEN 'CTS' WHEN 29 THEN 'ACK' WHEN 30 THEN 'CF-End' WHEN 37 THEN 'VHT NDP Ann'
+  WHEN 32 THEN 'Data' WHEN 40 THEN 'QoS Data' WHEN 44 THEN 'QoS Null' ELSE 'type=' || subtype END"""
 CHANNEL = "CASE WHEN f BETWEEN 2412 AND 2472 THEN (f - 2407) // 5 WHEN f = 2484 THEN 14 WHEN f BETWEEN 5150 AND 5895 THEN (f - 5000) // 5 WHEN f = 5935 THEN 2 WHEN f BETWEEN 5955 AND 7115 THEN (f - 5950) // 5 END"
 BAND = "CASE WHEN f BETWEEN 2400 AND 2500 THEN '2.4GHz' WHEN f BETWEEN 5150 AND 5895 THEN '5GHz' WHEN f = 5935 OR f BETWEEN 5955 AND 7125 THEN '6GHz' END"
 
@@ -123,7 +125,7 @@ ORACLES: dict[str, str] = {
     "ap_compare_pivot": frames_sql(f"SELECT bssid, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi) FILTER (WHERE subtype = 8), 6) AS beacon_rssi, {one('subtype IN (0, 2)')} AS roam_in, {', '.join(one(KIND + f' = {chr(39)}{k}{chr(39)}') + f' AS {k.lower()}' for k in ('Management', 'Control', 'Data', 'Other'))} FROM frames WHERE bssid <> 'ff:ff:ff:ff:ff:ff' GROUP BY bssid"),
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),
     "anomalies": frames_sql(f"SELECT kind, n, round(100 * n / total, 6) AS share, CASE WHEN kind = 'deauth' THEN CASE WHEN n > 10 THEN 'high' WHEN n > 3 THEN 'medium' END WHEN kind = 'probe' THEN CASE WHEN 100 * n / total > 20 THEN 'high' WHEN 100 * n / total > 10 THEN 'medium' WHEN 100 * n / total > 5 THEN 'low' END ELSE CASE WHEN 100 * n / total > 10 THEN 'high' WHEN 100 * n / total > 5 THEN 'medium' WHEN 100 * n / total > 2 THEN 'low' END END AS level FROM (SELECT 'deauth' AS kind, {one('subtype IN (10, 12)')} AS n, count(*) AS total FROM frames UNION ALL SELECT 'probe', {one('subtype IN (4, 5)')}, count(*) FROM frames UNION ALL SELECT 'arp', {one('arp_opcode IS NOT NULL')}, count(*) FROM frames) WHERE total > 0"),
-    "severity_levels": frames_sql(f"SELECT ta, CASE WHEN r > 15 THEN 'danger' WHEN r > 5 THEN 'warning' ELSE 'good' END AS retry_level, CASE WHEN s IS NULL THEN 'unknown' WHEN s < -75 THEN 'danger' WHEN s < -65 THEN 'warning' ELSE 'good' END AS rssi_level, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 3 THEN 'danger' WHEN m < 6 THEN 'warning' ELSE 'good' END AS mcs_level FROM (SELECT ta, 100 * {one('retry')} / count(*) AS r, avg(rssi) AS s, avg(mcs) AS m FROM frames WHERE ta IS NOT NULL GROUP BY ta)"),
+    "severity_levels": frames_sql(f"SELECT ta, CASE WHEN r > 15 THEN 'danger' WHEN r > 5 THEN 'warn' ELSE 'good' END AS retry_level, CASE WHEN s IS NULL THEN 'unknown' WHEN s < -75 THEN 'danger' WHEN s < -65 THEN 'warn' ELSE 'good' END AS rssi_level, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 3 THEN 'danger' WHEN m < 6 THEN 'warn' ELSE 'good' END AS mcs_level FROM (SELECT ta, 100 * {one('retry')} / count(*) AS r, avg(rssi) AS s, avg(mcs) AS m FROM frames WHERE ta IS NOT NULL GROUP BY ta)"),
     "time_axis_bins": frames_sql(f"SELECT cast(least(greatest((epoch_us - a) * 60 // greatest(b - a, 1), 0), 59) AS bigint) AS bin, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi FROM frames, (SELECT min(epoch_us) AS a, max(epoch_us) AS b FROM frames) GROUP BY 1"),
     "downsample_peak": frames_sql("SELECT sec // 60 AS stride, arg_max(sec, struct_pack(a := retry, b := -sec)) AS sec, max(retry) AS retry FROM secs GROUP BY 1", SECONDS),
     "control_list": frames_sql(f"SELECT number, epoch_us, ta, ra, CASE WHEN arp_opcode IS NOT NULL THEN CASE WHEN arp_opcode = 1 THEN 'ARP Req' ELSE 'ARP Reply' END WHEN icmp_type = 8 THEN 'ICMP Req' WHEN icmp_type = 0 THEN 'ICMP Reply' WHEN icmp_type IS NOT NULL THEN 'ICMP t=' || icmp_type ELSE 'TCP ACK' END AS detail, retry FROM frames WHERE {CTRL}"),

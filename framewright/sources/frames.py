@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,10 @@ COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 # The decoder's 34 fields in their order.
 RAW = (
-    "number", "epoch", "timestamp", "retry", "subtype", "protocol", "length", "ht_mcs", "rssi", "ta", "ra", "ip_src", "ip_dst",
-    "icmp_type", "icmp_seq", "arp_opcode", "tcp_len", "tcp_flags", "seq", "bssid", "ht_mcs_2", "vht_mcs", "eht_mcs", "he_mcs",
-    "vht_nss", "he_nss", "eht_nss", "data_rate", "icmp_ident", "reason_code", "current_ap", "channel_freq", "eapol_msgnr", "tsf",
+    "number", "epoch", "timestamp", "retry", "subtype", "protocol", "length", "ht_mcs", "rssi", "ta", "ra", "bssid",
+    "ip_src", "ip_dst", "icmp_type", "arp_opcode", "tcp_len", "tcp_flags", "seq", "icmp_seq",
+    "ht_mcs_2", "vht_mcs", "eht_mcs", "he_mcs", "data_rate", "icmp_ident", "reason_code", "current_ap", "channel_freq",
+    "eapol_msgnr", "tsf", "vht_nss", "he_nss", "eht_nss",
 )
 LEAST_FIELDS = 7
 
@@ -33,7 +36,9 @@ def typed(raw: DataFrame, source: str = "w1") -> DataFrame:
     """Frames from a table of raw text fields; absent fields are null.
 
     The rate comes from the first field present of HT, VHT, EHT, HE; without
-    any the format is Legacy.
+    any the format is Legacy. Streams come from the field of that format only.
+    Rows without a number, a time or (where one is given) a whole length are
+    dropped.
     """
     have = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW])
     ht = F.coalesce(_text("ht_mcs"), _text("ht_mcs_2"))
@@ -62,14 +67,24 @@ def typed(raw: DataFrame, source: str = "w1") -> DataFrame:
         "tsf": P.first_token(F.col("tsf")).try_cast("long"),
         **ints,
     }
-    return have.select(*[found[c].alias(c) for c in COLUMNS]).where(F.col("number").isNotNull() & F.col("epoch_us").isNotNull())
+    sized = have.where(_text("length").isNull() | F.trim("length").try_cast("int").isNotNull())
+    return sized.select(*[found[c].alias(c) for c in COLUMNS]).where(F.col("number").isNotNull() & F.col("epoch_us").isNotNull())
+
 
+def parsed(lines: DataFrame, source: str = "w1", fields: Sequence[str] = RAW) -> DataFrame:
+    """Frames from decoder lines (column value); short lines are dropped.
+
+    ``fields`` names the columns of a decoder that lacks some of :data:`RAW`;
+    those are null.
+    """
+    cells = F.split(F.btrim("value", F.lit(" \t\r\n")), "\t")
+    cut = lines.select(cells.alias("c")).where(F.size("c") >= LEAST_FIELDS)
+    return typed(cut.select(*[F.try_element_at("c", F.lit(k + 1)).alias(n) for k, n in enumerate(fields)]), source)
 
-def read_decoder_text(spark: SparkSession, path: str, source: str = "w1") -> DataFrame:
-    """Frames from tab-separated decoder output; short lines are dropped."""
-    cells = F.split(F.col("value"), "\t")
-    lines = spark.read.text(path).select(cells.alias("c")).where(F.size("c") >= LEAST_FIELDS)
-    return typed(lines.select(*[F.try_element_at("c", F.lit(k + 1)).alias(n) for k, n in enumerate(RAW)]), source)
+
+def read_decoder_text(spark: SparkSession, path: str, source: str = "w1", fields: Sequence[str] = RAW) -> DataFrame:
+    """Frames from files of tab-separated decoder output."""
+    return parsed(spark.read.text(path), source, fields)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -93,8 +108,12 @@ def selected(frames: DataFrame, start_us: int | None = None, end_us: int | None
 
 
 def union_captures(pieces: list[DataFrame]) -> DataFrame:
-    """Pieces of a rotated capture as one table; rows are not deduplicated."""
+    """Pieces of a rotated capture in order of time; nothing is deduplicated.
+
+    Frames are numbered anew where their numbers would clash, by whoever needs
+    unique ones (``merge.renumbered``).
+    """
     whole = pieces[0]
     for p in pieces[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
-    return whole
+    return whole.orderBy("epoch_us", "source", "number")

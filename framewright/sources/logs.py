@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+?)\[(\w+)\] (?:(\S+?): )?(.*)$"
+# How the lines of station logs are written.
+LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\S+?)\[(\w+)\]\s*(.*)$"
+IFACE = r"^([A-Za-z0-9_.-]+):\s*(.*)$"
+MAC = r"((?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2})"
+COMMAND = rf"Control interface command 'ROAM {MAC}'"
+CONNECTED = rf"CTRL-EVENT-CONNECTED - Connection to {MAC}"
+STATE = r"State: ([A-Z_0-9]+) -> ([A-Z_0-9]+)"
+FAIL_STATES = ("DISCONNECTED", "SCANNING", "INACTIVE")
+TIMED_OUT = r"Event AUTH_TIMED_OUT \(\d+\) received"
+SCAN_START = r"wlan:\s*\S+\s+START SCAN"
+SCAN_DONE = r"wlan:\s*SCAN COMPLETED: scanned AP count=(\d+)"
+ADDRESS = r"bridge:\s*wlan IPv4 updated\s*=\s*(\d+\.\d+\.\d+\.\d+)"
+DECISION = rf"Roaming:\s*{MAC}\s*→\s*{MAC}"
+CANDIDATE = rf"Roam candidate:\s*{MAC},\s*rssi=(-?\d+)dB(?:\s*\(diff=(-?\d+)dB\))?.*?reason=([^,]+),\s*score=([\d.]+)"
+CONDITION = r"roaming condition:\s*(-?\d+)\s*<\s*(-?\d+)\s*\(base=(-?\d+),\s*trend=(\w+)\)"
+SKIP = r"Roam skipped|No suitable roam candidate"
+#: Files of one station's set, and what each one's absence leaves unknown.
+STATION_FILES = {"wpa.log": "no wpa.log: whole roam times are unknown", "kern.log": "no kern.log: scan times and the station's address are unknown", "logger.log": "no logger.log: reasons of roams are unknown"}
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+# The header of a wired result file (full-width letters), and the
+# words that make a line of a foreign log worth showing.
+HEADER = ("結果", "日時", "対象", "ＩＰアドレス", "ステータス", "備考")
+KEYWORDS = (
+    "ROAM", "roam", "AUTH", "auth", "ASSOC", "assoc", "EAPOL", "eapol", "DISCONNECT", "disconnect", "SCAN", "scan",
+    "CONNECT", "connect", "carrier", "link", "signal", "rssi", "RSSI", "4-Way", "4way", "handshake", "deauth", "DEAUTH",
+)
 #: Columns of a wired result file.
 EXPING = ("result", "time", "target", "ip", "status", "remark")
 
@@ -17,32 +43,94 @@ def micros(text: Column, pattern: str) -> Column:
 
 
 def station_lines(lines: DataFrame) -> DataFrame:
-    """Parsed station log lines (column value); others are skipped."""
+    """Parsed station log lines (column value); others are skipped.
+
+    Columns beside ``value`` stay. The interface is a word and a colon before
+    the message; ``mono`` is the kernel's own clock, in seconds.
+    """
     cell = lambda k: F.regexp_extract("value", LINE, k)
-    mono = F.regexp_extract(cell(5), r"^\[\s*(\d+\.\d+)\]", 1)
-    return lines.where(F.col("value").rlike(LINE)).select(micros(cell(1), "yyyy-MM-dd HH:mm:ss.SSS").alias("epoch_us"), cell(2).alias("proc"), cell(3).alias("level"), F.nullif(cell(4), F.lit("")).alias("iface"), cell(5).alias("msg"), mono.try_cast("double").alias("mono"))
+    head = lines.where(F.col("value").rlike(LINE)).withColumns({"epoch_us": micros(cell(1), "yyyy-MM-dd HH:mm:ss.SSS"), "proc": cell(2), "level": cell(3), "rest": cell(4)})
+    iface = F.col("rest").rlike(IFACE)
+    msg = F.when(iface, F.regexp_extract("rest", IFACE, 2)).otherwise(F.col("rest"))
+    found = head.where(F.col("epoch_us").isNotNull()).withColumns({"iface": F.when(iface, F.regexp_extract("rest", IFACE, 1)), "msg": msg})
+    return found.withColumn("mono", F.regexp_extract("msg", r"\[(\d+\.\d+)\]", 1).try_cast("double")).drop("rest", "value")
 
 
 def read_station_log(spark: SparkSession, path: str) -> DataFrame:
-    """Station log lines of files."""
-    return station_lines(spark.read.text(path))
+    """Station log lines of files, numbered in order as ``line``.
+
+    Numbers rise within a file; they are not consecutive.
+    """
+    return station_lines(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
 
 
 def station_events(lines: DataFrame) -> DataFrame:
-    """Events of station log lines: roam, connected, failed, scans, roaming."""
+    """Events of station log lines: ``event`` and what it says.
+
+    roam, connected: bssid. failed: a state no roam passes through, or a
+    timeout. associating: the state the procedure starts with. scan_start,
+    scan_done: ap_count. address: ip. condition: trigger_rssi, trigger_th,
+    trend. candidate: bssid, rssi, reason, score. decision: from_bssid, bssid.
+    skip: what was considered is void.
+    """
     m = F.col("msg")
-    bssid = r"([0-9a-fA-F]{2}(?::[0-9a-fA-F]{2}){5})"
+    state = F.regexp_extract(m, STATE, 2)
     kind = (
-        F.when(m.rlike(f"'ROAM {bssid}"), "roam")
-        .when(m.contains("CTRL-EVENT-CONNECTED"), "connected")
-        .when(m.rlike("AUTH_TIMED_OUT|State: .* -> DISCONNECTED"), "failed")
-        .when(m.contains("START SCAN"), "scan_start")
-        .when(m.contains("SCAN COMPLETED"), "scan_done")
-        .when(m.rlike(f"Roaming: {bssid} "), "decision")
-        .when(m.contains("Roam candidate"), "candidate")
-        .when(m.contains("roaming condition"), "condition")
+        F.when(m.rlike(COMMAND), "roam")
+        .when(state.isin(*FAIL_STATES) | m.rlike(TIMED_OUT), "failed")
+        .when(state == "AUTHENTICATING", "associating")
+        .when(m.rlike(CONNECTED), "connected")
+        .when(m.rlike(SCAN_START), "scan_start")
+        .when(m.rlike(SCAN_DONE), "scan_done")
+        .when(m.rlike(ADDRESS), "address")
+        .when(m.rlike(CONDITION), "condition")
+        .when(m.rlike(CANDIDATE), "candidate")
+        .when(m.rlike(SKIP), "skip")
+        .when(m.rlike(DECISION), "decision")
+    )
+    mac = lambda pattern, k=1: F.lower(F.regexp_extract(m, pattern, k))
+    of = lambda event, value: F.when(F.col("event") == event, value)
+    number = lambda pattern, k, to="int": F.regexp_extract(m, pattern, k).try_cast(to)
+    found = lines.withColumn("event", kind).where(F.col("event").isNotNull())
+    return found.withColumns(
+        {
+            "bssid": F.coalesce(of("roam", mac(COMMAND)), of("connected", mac(CONNECTED)), of("candidate", mac(CANDIDATE)), of("decision", mac(DECISION, 2))),
+            "from_bssid": of("decision", mac(DECISION)),
+            "ap_count": of("scan_done", number(SCAN_DONE, 1)),
+            "ip": of("address", F.regexp_extract(m, ADDRESS, 1)),
+            "rssi": of("candidate", number(CANDIDATE, 2)),
+            "reason": of("candidate", F.trim(F.regexp_extract(m, CANDIDATE, 4))),
+            "score": of("candidate", number(CANDIDATE, 5, "double")),
+            "trigger_rssi": of("condition", number(CONDITION, 1)),
+            "trigger_th": of("condition", number(CONDITION, 2)),
+            "trend": of("condition", F.regexp_extract(m, CONDITION, 4)),
+        }
     )
-    return lines.select("epoch_us", "iface", kind.alias("event"), F.nullif(F.lower(F.regexp_extract(m, bssid, 1)), F.lit("")).alias("bssid"), "msg").where(F.col("event").isNotNull())
+
+
+def station_address(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each log's own address: the commonest one it was given, first seen first.
+
+    The unset address doesn't count. ``addresses`` tells how many there were.
+    """
+    seen = events.where("event = 'address' and ip <> '0.0.0.0'").groupBy(*keys, "ip").agg(F.count("*").alias("n"), F.min(F.struct("epoch_us", "line")).alias("first"))
+    best = F.max_by("ip", F.struct("n", -F.col("first.epoch_us"), -F.col("first.line")))
+    return seen.groupBy(*keys).agg(best.alias("sta_ip"), F.count("*").alias("addresses"))
+
+
+def read_station_set(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """Events of one station's log files, and warnings of files that lack."""
+    unknown = set(files) - set(STATION_FILES)
+    if unknown:
+        raise ValueError(f"no station log is called {', '.join(sorted(unknown))}")
+    warnings = [text for name, text in STATION_FILES.items() if name not in files]
+    parts = [read_station_log(spark, path).withColumn("file", F.lit(name)) for name, path in files.items()]
+    if not parts:
+        parts = [station_lines(spark.createDataFrame([], "value string, line long, file string"))]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return station_events(whole), warnings
 
 
 def generic_lines(lines: DataFrame, year: int = 2026) -> DataFrame:
@@ -59,10 +147,13 @@ def generic_lines(lines: DataFrame, year: int = 2026) -> DataFrame:
     return lines.select(found.alias("epoch_us"), v.alias("text")).where(F.col("epoch_us").isNotNull())
 
 
-def merged_logs(lines: DataFrame, keyword: str | None = None, limit: int = 100) -> DataFrame:
-    """The first lines in time that hold a keyword."""
+def merged_logs(lines: DataFrame, keywords: Sequence[str] = KEYWORDS, limit: int = 100) -> DataFrame:
+    """The first lines in time that hold one of the keywords, case and all."""
     found = generic_lines(lines)
-    return (found.where(F.lower("text").contains(keyword.lower())) if keyword else found).orderBy("epoch_us", "text").limit(limit)
+    hit = F.lit(False)
+    for word in keywords:
+        hit = hit | F.col("text").contains(word)
+    return found.where(hit).orderBy("epoch_us", "text").limit(limit)
 
 
 def ntp_micros(text: Column) -> Column:
@@ -107,8 +198,19 @@ def shifted_lines(lines: DataFrame, delta_us: int) -> DataFrame:
 
 
 def read_exping(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a wired result file of six columns, by their place."""
+    """Rows of a wired result file, whose header must be :data:`HEADER`."""
     raw = spark.read.csv(path, header=True, multiLine=True, encoding="UTF-8")
-    if len(raw.columns) != len(EXPING):
-        raise ValueError(f"{len(EXPING)} columns are expected, not {len(raw.columns)}")
+    found = [c.lstrip("\ufeff").strip('"') for c in raw.columns]
+    if found != list(HEADER):
+        raise ValueError(f"the header {HEADER} is expected, not {found}")
     return raw.toDF(*EXPING)
+
+
+def write_exping(rows: DataFrame, path: str) -> None:
+    """Result lines as quoted CSV files; columns as :func:`read_exping` names them.
+
+    Every field is quoted and lines end in CR and LF. Each file of the folder
+    has the header, so that each can be read alone.
+    """
+    named = rows.select(*[F.col(c).cast("string").alias(h) for c, h in zip(EXPING, HEADER, strict=True)])
+    named.write.csv(path, header=True, quoteAll=True, encoding="UTF-8", lineSep="\r\n", emptyValue="", nullValue="")
