@@ -6,27 +6,33 @@ long ones, so their number is fixed and the state tables (``CLASSES`` rows)
 have a proven size whatever the corpus, while word counts grow with it and are
 only ever joined, never broadcast.
 
-One pass cuts the documents into blocks of about ``BLOCK`` tokens: word
-numbers local to the block, and one row for each distinct word of a block with
-its training count. Counts of all words are sums over those rows; they return
-to the blocks as a join on the word and a cogroup on the block. Baum-Welch
-passes run over the blocks alone: each task adds up expected counts of its
-blocks, rows of one class meet by a grouped sum, and the driver sees
-``CLASSES`` sums. Forward and backward recursions are scaled at every token
-and walk all documents of a block together.
-
-Only the starting point comes from a sample (``INIT_DOCS`` training documents,
-``INIT_ROUNDS`` rounds); every later count covers all training rows.
+One pass cuts the documents into blocks of about ``BLOCK`` tokens: a row with
+word numbers local to the block, its distinct words and their training counts.
+A block's words are then dealt to slots by a hash, packed, so that a slot has
+all blocks' rows of its words (about ``SLOT`` entries, and of a common word one
+small entry a block). Each slot sums its counts and sends back to the blocks
+only those that differ from the block's own, so words of one block alone, most
+of a vocabulary, never travel back.
+
+Baum-Welch covers every training document from the start: its first counts
+come from documents dealt to states whole, by random projections of their
+classes, so that documents of like words start in one state; then ``PASSES``
+passes. Each task adds up expected counts of its blocks, rows of one class meet
+by a grouped sum, and the driver sees ``CLASSES`` sums. Forward and backward
+recursions are scaled at every token and walk all documents of a block
+together. Nothing depends on how rows are laid out, but for rounding.
 
 Defined cases: null text is empty and scores its end alone; ids may repeat or
 be null (null hashes as ''); with no training rows every word has probability
-one within its class and states are uniform; an empty table gives no rows.
+one within its class and states are those of the background; texts of any
+length are one sequence; equal rows are scored and counted each; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log, log10
 
 import numpy as np
@@ -45,8 +51,9 @@ END = CLASSES - 1
 #: Words of more bytes are classed by their last ``SUFFIX`` bytes.
 LONG, SUFFIX = 6, 4
 BLOCK = 1_500_000
-PASSES = 2
-INIT_DOCS, INIT_ROUNDS = 800, 10
+#: Words of blocks that one slot counts.
+SLOT = 1_000_000
+PASSES = 3
 #: Weight, in tokens, of the class background in a state's emissions.
 PRIOR = 200.0
 #: Fold of ids that is held out.
@@ -65,13 +72,18 @@ class Model:
         self.start, self.move, self.emit = start, move, emit  # emit: classes x states
 
     @classmethod
-    def first(cls, background: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
-        """States that stay, each a disturbed background."""
-        noise = np.random.default_rng(seed).gamma(1.0, 1.0, (len(background), states))
-        emit = background[:, None] * (0.2 + noise)
-        move = np.full((states, states), 0.1 / (states - 1))
+    def first(cls, start: np.ndarray, emit: np.ndarray, background: np.ndarray, seed: int = 3) -> Model:
+        """States that stay, from counts of the documents dealt to each.
+
+        A third of a state's emissions is background, and each class is
+        disturbed, so that states of like documents differ too.
+        """
+        states = len(start)
+        move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(move, 0.9)
-        return cls(np.full(states, 1 / states), move, (emit / emit.sum(axis=0)).astype(np.float32))
+        noise = np.random.default_rng(seed).gamma(1.0, 1.0, emit.shape)
+        e = (emit + (PRIOR + 0.5 * emit.sum(axis=0)) * background[:, None]) * (0.2 + noise)
+        return cls((start + 1) / (start + 1).sum(), move / move.sum(axis=1, keepdims=True), (e / e.sum(axis=0)).astype(np.float32))
 
     @classmethod
     def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, background: np.ndarray) -> Model:
@@ -138,54 +150,37 @@ def expected(classes: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.nd
     return gamma[first].sum(axis=0, dtype=np.float64), move * model.move, emit
 
 
+class Numbers(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of blocks and rows of their words, in one pass over the texts.
+    """Rows of blocks, in one pass over the texts.
 
-    A block (word null): its number of training documents (as tf), doc_ids,
-    held, sizes, ids (int32 local word numbers without ends) and classes
-    (uint16 by local number). A word: block, local,
-    word (bytes), class and its count in training documents.
+    A block has its documents' doc_ids, held flags and sizes in words, their
+    ids (int32 local word numbers, without ends), and by local number the
+    words (joined by line feeds), classes (uint16) and counts in training
+    documents; n_words and n_train count its words and training documents.
     """
     kind = docs.select(F.col(doc_id)).schema[0].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("local", T.IntegerType()),
-            T.StructField("word", T.BinaryType()),
-            T.StructField("class", T.IntegerType()),
-            T.StructField("tf", T.LongType()),
-            T.StructField("doc_ids", T.ArrayType(kind)),
-            T.StructField("held", T.BinaryType()),
-            T.StructField("sizes", T.BinaryType()),
-            T.StructField("ids", T.BinaryType()),
-            T.StructField("classes", T.BinaryType()),
-        ]
-    )
-    names = schema.names
+    packed = [T.StructField(c, T.BinaryType()) for c in ("held", "sizes", "ids", "words", "classes", "tf")]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), *packed, T.StructField("n_words", T.LongType()), T.StructField("n_train", T.LongType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq = TaskContext.get().partitionId(), 0
-
-        class Numbers(dict):
-            def __missing__(self, w: bytes) -> int:
-                self[w] = n = len(self)
-                return n
-
         number, own, held, runs, total = Numbers(), [], [], [], 0
 
-        def closed() -> Iterator[pd.DataFrame]:
+        def closed() -> pd.DataFrame:
             ids, size = np.concatenate(runs), lengths_of(runs)
-            learns = np.repeat(~np.array(held, bool), size)
-            tf = np.bincount(ids[learns], minlength=len(number))
+            tf = np.bincount(ids[np.repeat(~np.array(held, bool), size)], minlength=len(number))
             words = list(number)
-            cls = np.fromiter(map(class_of, words), np.uint16, len(words))
-            block = part << 32 | seq
-            row = [block, -1, None, -1, held.count(False), list(own), np.array(held, np.uint8).tobytes(), size.astype("<i8").tobytes(), ids.astype("<i4").tobytes(), cls.tobytes()]
-            yield pd.DataFrame([row], columns=names)
-            for a in range(0, len(words), 50_000):
-                w = words[a : a + 50_000]
-                n = len(w)
-                yield pd.DataFrame({"block": block, "local": np.arange(a, a + n), "word": w, "class": cls[a : a + n].astype(np.int32), "tf": tf[a : a + n]}).reindex(columns=names).astype({"doc_ids": object, "held": object, "sizes": object, "ids": object, "classes": object}).where(lambda x: x.notna(), None)
+            cls = np.fromiter(map(class_of, words), "<u2", len(words))
+            row = [part << 32 | seq, list(own), np.array(held, np.uint8).tobytes(), size.astype("<i8").tobytes(), ids.astype("<i4").tobytes(), b"\n".join(words), cls.tobytes(), tf.astype("<i4").tobytes(), len(words), held.count(False)]
+            return pd.DataFrame([row], columns=schema.names)
 
         for batch in batches:
             for d, h, t in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
@@ -196,20 +191,69 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 runs.append(run)
                 total += len(run) + 1
                 if total >= BLOCK:
-                    yield from closed()
+                    yield closed()
                     number, own, held, runs, total, seq = Numbers(), [], [], [], 0, seq + 1
         if own:
-            yield from closed()
+            yield closed()
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (bucket(F.col(doc_id), FOLDS) == HELD).alias("held"))
     return source.mapInPandas(cut, schema)
 
 
+def counted(table: DataFrame) -> DataFrame:
+    """Training counts over all blocks: two kinds of rows.
+
+    With a block: packed local numbers and the counts of those words whose
+    count is not the block's own. With a class: training tokens ``n`` and
+    distinct words ``v`` of it among a slot's words.
+    """
+    slots = max(1, -(-(table.agg(F.sum("n_words")).first()[0] or 0) // SLOT))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                words = row.words.split(b"\n")
+                slot = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % slots
+                order = np.argsort(slot, kind="stable")
+                cls, tf, slot = np.frombuffer(row.classes, "<u2")[order], np.frombuffer(row.tf, "<i4")[order], slot[order]
+                cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(words)]
+                own, place = order.tolist(), order.astype("<i4")
+                yield pd.DataFrame(
+                    [(int(slot[a]), row.block, place[a:b].tobytes(), b"\n".join([words[i] for i in own[a:b]]), cls[a:b].tobytes(), tf[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])],
+                    columns=["slot", "block", "local", "words", "classes", "tf"],
+                )
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        number, codes = Numbers(), []
+        for words in part["words"]:
+            codes.append(np.fromiter(map(number.__getitem__, words.split(b"\n")), np.int32))
+        flat = np.concatenate(codes)
+        c = np.bincount(flat, weights=np.concatenate([np.frombuffer(x, "<i4") for x in part["tf"]])).astype(np.int64)
+        cls = np.zeros(len(c), np.int64)
+        cls[flat] = np.concatenate([np.frombuffer(x, "<u2") for x in part["classes"]])
+        out = []
+        for block, local, tf, code in zip(part["block"], part["local"], part["tf"], codes, strict=True):
+            own = c[code]
+            more = own != np.frombuffer(tf, "<i4")
+            if more.any():
+                out.append((block, np.frombuffer(local, "<i4")[more].tobytes(), own[more].astype("<i8").tobytes()))
+        n, v = np.bincount(cls, weights=c), np.bincount(cls[c > 0], minlength=int(cls.max()) + 1)
+        seen = np.flatnonzero(v)
+        empty = [None] * len(seen)
+        rows = {"block": [x[0] for x in out] + empty, "local": [x[1] for x in out] + empty, "c": [x[2] for x in out] + empty}
+        none = [None] * len(out)
+        rows |= {"class": none + seen.tolist(), "n": none + n[seen].astype(np.int64).tolist(), "v": none + v[seen].tolist()}
+        return pd.DataFrame(rows).astype({"block": "Int64", "class": "Int32", "n": "Int64", "v": "Int64"})
+
+    dealt = table.where("n_words > 0").select("block", "words", "classes", "tf").mapInPandas(deal, "slot long, block long, local binary, words binary, classes binary, tf binary")
+    return dealt.groupBy("slot").applyInPandas(count, "block long, local binary, c binary, class int, n long, v long")
+
+
 def _sequences(row: pd.Series | tuple, training: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class sequences with ends, their sizes, and places of the words."""
     size = np.frombuffer(row.sizes, "<i8")
     ids = np.frombuffer(row.ids, "<i4")
-    cls = np.frombuffer(row.classes, np.uint16)
+    cls = np.frombuffer(row.classes, "<u2")
     if training:
         learns = np.frombuffer(row.held, np.uint8) == 0
         ids, size = ids[np.repeat(learns, size)], size[learns]
@@ -221,33 +265,33 @@ def _sequences(row: pd.Series | tuple, training: bool) -> tuple[np.ndarray, np.n
     return full, size + 1, word
 
 
-def _sample(table: DataFrame) -> list[np.ndarray]:
-    """Class sequences of at most ``INIT_DOCS`` training documents."""
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                full, size, _ = _sequences(row, True)
-                cuts = np.split(full, np.cumsum(size)[:-1]) if len(size) else []
-                yield pd.DataFrame({"run": [x.tobytes() for x in cuts[:: max(1, len(cuts) // 100)][:100]]})
 
-    rows = table.select("held", "sizes", "ids", "classes").mapInPandas(few, "run binary").limit(INIT_DOCS).collect()
-    return [np.frombuffer(r.run, np.uint16) for r in rows]
+def dealt_whole(classes: np.ndarray, size: np.ndarray, direction: np.ndarray, centre: np.ndarray) -> Sums:
+    """Counts of starts and emissions with each document in one state.
 
+    The state is the direction in which the mean of a document's classes lies
+    furthest from the ``centre``, that of the whole corpus.
+    """
+    states = direction.shape[1]
+    mean = np.add.reduceat(direction[classes], np.cumsum(size) - size, axis=0) / size[:, None] - centre
+    state = mean.argmax(axis=1)
+    of = np.repeat(state, size)
+    emit = np.stack([np.bincount(classes[of == k], minlength=CLASSES) for k in range(states)], axis=1)
+    return np.bincount(state, minlength=states).astype(float), np.zeros((states, states)), emit.astype(float)
 
-def _pass(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training documents of all blocks."""
-    states = len(model.start)
-    shared = table.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+
+def _total(table: DataFrame, states: int, count: Callable[[np.ndarray, np.ndarray], Sums]) -> Sums:
+    """Sums of ``count`` over all training documents of all blocks."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
         sums = np.zeros((CLASSES + 1 + states, states))
         for batch in batches:
             for row in batch.itertuples(index=False):
                 full, size, _ = _sequences(row, True)
                 if len(size):
-                    start, move, emit = expected(full, size, own)
+                    start, move, emit = count(full, size)
                     sums[:CLASSES] += emit
                     sums[CLASSES] += start
                     sums[CLASSES + 1 :] += move
@@ -256,26 +300,35 @@ def _pass(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
 
     found = table.select("held", "sizes", "ids", "classes").mapInPandas(gather, "row int, " + ", ".join(f"s{k} double" for k in range(states)))
     total = np.zeros((CLASSES + 1 + states, states))
-    for r in found.groupBy("row").agg(*[F.sum(f"s{k}") for k in range(states)]).collect():
+    for r in found.groupBy("row").agg(*[F.sum(f"s{k}") for k in range(states)]).collect():  # CLASSES rows and a few
         total[r[0]] = r[1:]
-    shared.unpersist()
     return total[CLASSES], total[CLASSES + 1 :], total[:CLASSES]
 
 
+def directions(states: int = STATES, seed: int = 7) -> np.ndarray:
+    """A random vector for each class."""
+    return np.random.default_rng(seed).normal(size=(CLASSES, states)).astype(np.float32)
+
+
 def train(table: DataFrame, background: np.ndarray, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch from a sampled start over every training document."""
-    model = Model.first(background, states)
-    sample = _sample(table)
-    if not sample:
-        return model
-    flat, size = np.concatenate(sample), lengths_of(sample)
-    for _ in range(INIT_ROUNDS):
-        model = Model.from_counts(*expected(flat, size, model), background)
+    """Baum-Welch over every training document of :func:`blocks`."""
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast((directions(states), background @ directions(states)))
+    start, _, emit = _total(table, states, lambda full, size: dealt_whole(full, size, *shared.value))
+    shared.unpersist()
+    model = Model.first(start, emit, background)
     for _ in range(passes):
-        model = Model.from_counts(*_pass(table, model), background)
+        shared = context.broadcast((model.start, model.move, model.emit))
+        model = Model.from_counts(*_total(table, states, lambda full, size: expected(full, size, Model(*shared.value))), background)
+        shared.unpersist()
     return model
 
 
+def smoothed(in_class: np.ndarray) -> np.ndarray:
+    """Shares of classes in training tokens, none of them zero."""
+    return (in_class + 0.5) / (in_class + 0.5).sum()
+
+
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
     """Base and model log10 probability of every document.
 
@@ -284,18 +337,16 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes:
     """
     spark = docs.sparkSession
     table, _ = materialize(blocks(docs, doc_id, text), "blocks")
-    words = table.where(F.col("word").isNotNull())
-    whole = table.where(F.col("word").isNull()).select("block", "doc_ids", "held", "sizes", "ids", "classes")
-    counts, _ = materialize(words.where("tf > 0").groupBy("word").agg(F.sum("tf").alias("c"), F.first("class").alias("class")), "counts")
+    counts, _ = materialize(counted(table), "counts")
     in_class, of_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy("class").agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows at most
+    for r in counts.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("n"), F.sum("v")).collect():  # CLASSES rows at most
         in_class[r[0]], of_class[r[0]] = r[1], r[2]
-    ends = table.where(F.col("word").isNull()).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    ends = table.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     tokens = int(in_class.sum()) + ends
     distinct = int(of_class.sum()) + (ends > 0)
     in_class[END] = ends
-    background = (in_class + 0.5) / (in_class + 0.5).sum()
-    model = train(whole, background, passes=passes)
+    whole = table.select("block", "doc_ids", "held", "sizes", "ids", "classes", "tf")
+    model = train(whole, smoothed(in_class), passes=passes)
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit, in_class, of_class))
     kind = docs.select(F.col(doc_id)).schema[0].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
@@ -304,9 +355,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes:
         start, move, emit, n_class, v_class = shared.value
         out = []
         for row in left.itertuples(index=False):
-            cls = np.frombuffer(row.classes, np.uint16)
-            c = np.zeros(len(cls))
-            c[right["local"].to_numpy()] = right["c"].to_numpy()
+            cls = np.frombuffer(row.classes, "<u2")
+            c = np.frombuffer(row.tf, "<i4").astype(float)
+            for local, more in zip(right["local"], right["c"], strict=True):
+                c[np.frombuffer(local, "<i4")] = np.frombuffer(more, "<i8")
             full, size, word = _sequences(row, False)
             ids = np.frombuffer(row.ids, "<i4")
             of = np.repeat(np.arange(len(size)), size)
@@ -318,7 +370,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes:
             out.append(pd.DataFrame({"doc_id": list(row.doc_ids), "held_out": np.frombuffer(row.held, np.uint8) == 1, "n_tokens": size, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": like}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=schema.names)
 
-    back = words.select(F.col("block").alias("of"), "local", "word").join(counts.select("word", "c"), "word").select("of", "local", "c")
+    back = counts.where(F.col("block").isNotNull()).select(F.col("block").alias("of"), "local", "c")
     return whole.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(score, schema)
 
 

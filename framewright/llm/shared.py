@@ -3,45 +3,20 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
-FALLBACK_DIR = "/tmp/checkpoints"
+from framewright.functions.tables import release, shared_dir
+from framewright.functions.tables import write as materialize
+
+__all__ = ["WORD", "bucket", "join_labels", "lengths_of", "materialize", "raw", "release", "shared_dir", "table"]
 
 #: What separates words everywhere in this subpackage: ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
-
-    Lost executors then re-read files rather than repeat the work. Columns of
-    type void become strings, as Parquet has no such type. Gives the table
-    and its path, for :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    kept = df.withColumns({f"`{c}`" if "." in c else c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
-    kept.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(kept.schema).parquet(path), path
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more."""
-    for p in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import hmm
 
@@ -69,8 +70,102 @@ def test_model_beats_base_on_held_out(scored):
     assert all(r.score <= 0 for r in got.values())
 
 
-def test_class_probabilities_sum_to_one(scored):
-    """Within a class: known words by count + 1, one share for all unknown."""
+def plain_corpus(rows):
+    """Documents as class sequences with ends, and training counts, restated."""
+    cut = [[*(r.text or "").encode("utf-8", "replace").lower().split(), None] for r in rows]
+    held = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 == 2 for r in rows]
+    c = Counter(w for words, h in zip(cut, held) if not h for w in words)
+    cls = lambda w: hmm.END if w is None else hmm.class_of(w)
+    n_class, v_class = Counter(), Counter()
+    for w, n in c.items():
+        n_class[cls(w)] += n
+        v_class[cls(w)] += 1
+    return cut, held, c, cls, n_class, v_class
+
+
+def plain_model(cut, held, cls, n_class):
+    """The training restated: documents one by one, dense recursions."""
+    background = np.array([n_class[k] + 0.5 for k in range(hmm.CLASSES)])
+    background /= background.sum()
+    way = hmm.directions()
+    centre, k = background @ way, hmm.STATES
+    seqs = [np.array([cls(w) for w in words]) for words, h in zip(cut, held) if not h]
+    start, emit = np.zeros(k), np.zeros((hmm.CLASSES, k))
+    for s in seqs:
+        z = int((way[s].astype(float).mean(axis=0) - centre).argmax())
+        start[z] += 1
+        np.add.at(emit[:, z], s, 1)
+    move = np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1))
+    smooth = lambda e: (e + hmm.PRIOR * background[:, None]) / (e + hmm.PRIOR * background[:, None]).sum(axis=0)
+    noise = np.random.default_rng(3).gamma(1.0, 1.0, emit.shape)
+    emit = (emit + (hmm.PRIOR + emit.sum(axis=0) / 2) * background[:, None]) * (0.2 + noise)
+    start, emit = (start + 1) / (start + 1).sum(), emit / emit.sum(axis=0)
+    for _ in range(hmm.PASSES):
+        s0, m0, e0 = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.CLASSES, k))
+        for s in seqs:
+            n = len(s)
+            a, scale, b = np.zeros((n, k)), np.zeros(n), np.ones((n, k))
+            for t in range(n):
+                x = (start if t == 0 else a[t - 1] @ move) * emit[s[t]]
+                scale[t] = x.sum()
+                a[t] = x / scale[t]
+            for t in range(n - 2, -1, -1):
+                b[t] = move @ (emit[s[t + 1]] * b[t + 1]) / scale[t + 1]
+            g = a * b
+            s0 += g[0]
+            np.add.at(e0, s, g)
+            for t in range(n - 1):
+                m0 += np.outer(a[t], emit[s[t + 1]] * b[t + 1]) * move / scale[t + 1]
+        start, move, emit = (s0 + 1) / (s0 + 1).sum(), (m0 + 1) / (m0 + 1).sum(axis=1, keepdims=True), smooth(e0)
+    return start, move, emit
+
+
+def plain_score(s, model):
+    start, move, emit = model
+    total, a = 0.0, None
+    for t, c in enumerate(s):
+        x = (start if t == 0 else a @ move) * emit[c]
+        total += math.log10(x.sum())
+        a = x / x.sum()
+    return total
+
+
+def test_query_score_by_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    rows = docs.collect()
+    cut, held, c, cls, n_class, v_class = plain_corpus(rows)
+    model = plain_model(cut, held, cls, n_class)
+    got = {r.doc_id: r for r in hmm.scored(docs).collect()}
+    for r, words in zip(rows, cut):
+        within = sum(math.log10((c[w] + 1) / (n_class[cls(w)] + v_class[cls(w)] + 1)) for w in words if w is not None)
+        assert math.isclose(got[r.doc_id].score, plain_score([cls(w) for w in words], model) + within, rel_tol=1e-4), r.doc_id
+
+
+def test_layout_changes_nothing(spark, monkeypatch):
+    """Other partitions, blocks, slots and order of rows: the same scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    first = {r.doc_id: r for r in hmm.scored(docs).collect()}
+    monkeypatch.setattr(hmm, "BLOCK", 3000)
+    monkeypatch.setattr(hmm, "SLOT", 500)
+    for r in hmm.scored(docs.repartition(7, F.reverse(F.col("doc_id").cast("string")))).collect():
+        assert math.isclose(r.score, first[r.doc_id].score, rel_tol=1e-6)
+        assert (r.n_known, r.n_tokens, r.train_tokens) == (first[r.doc_id].n_known, first[r.doc_id].n_tokens, first[r.doc_id].train_tokens)
+        assert math.isclose(r.base_score, first[r.doc_id].base_score, rel_tol=1e-9)
+
+
+def test_probabilities_of_the_next_word_sum_to_one(spark):
+    """Over all known words, the end, and of each class one unknown word."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text")).collect()
+    cut, held, c, cls, n_class, v_class = plain_corpus(rows)
+    start, move, emit = plain_model(cut, held, cls, n_class)
+    assert np.isclose(start.sum(), 1) and np.allclose(move.sum(axis=1), 1)
+    for z in range(hmm.STATES):
+        total = emit[hmm.END, z]
+        for w in c:
+            if w is not None:
+                total += emit[cls(w), z] * (c[w] + 1) / (n_class[cls(w)] + v_class[cls(w)] + 1)
+        total += sum(emit[k, z] / (n_class[k] + v_class[k] + 1) for k in range(hmm.END))
+        assert math.isclose(total, 1, rel_tol=1e-9)
     assert hmm.class_of(b"of") != hmm.END and hmm.class_of(b"a" * 50) == hmm.class_of(b"b" * 50 + b"aaaa")
 
 
