@@ -7,11 +7,18 @@ reads stored bytes back: it follows the program tables to the stream, checks
 the continuity counters and table checksums, reassembles elementary packets
 and returns timestamps and random-access points.
 
+A packet that repeats its predecessor (same counter, same content but for the
+clock reference) is a duplicate that the standard allows once, and is left
+out; a jump of the counter at a packet with the discontinuity indicator is
+announced and no error.
+
 Both are row-wise over binary columns in Arrow batches and never shuffle.
 
 Defined cases: null samples are empty and give program tables alone; bytes
 that aren't whole packets, lose sync or miss a table raise nothing but are
-counted in ``errors``; a null media column demuxes to an empty payload.
+counted in ``errors``; a null media column demuxes to an empty payload; equal
+samples give equal streams, however often they occur; samples of any length
+are one stream; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,6 +123,23 @@ def _table(packets: np.ndarray, begin: np.ndarray, rows: np.ndarray, table_id: i
     return body, bad
 
 
+def _continuous(packets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of one packet id's packets with payload (row numbers ``at``): those
+    that are no allowed duplicates, and the number of counter errors."""
+    counter = packets[at, 3] & 15
+    again = np.zeros(len(at), bool)
+    for k in (np.flatnonzero(counter[1:] == counter[:-1]) + 1).tolist():
+        a, b = packets[at[k - 1]].copy(), packets[at[k]].copy()
+        if a[3] & 0x20 and a[4] >= 7 and a[5] & 0x10:  # the clock reference may differ
+            a[6:12] = b[6:12]
+        again[k] = not again[k - 1] and bool((a == b).all())
+    kept = at[~again]
+    own = packets[kept]
+    announced = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)
+    jumps = (own[1:, 3] & 15) != (own[:-1, 3] + 1 & 15)
+    return kept, int((jumps & ~announced[1:]).sum())
+
+
 def demux(media: bytes | None) -> dict:
     """What a stream holds; see the fields of :data:`DEMUXED`."""
     media = media or b""
@@ -145,10 +169,9 @@ def demux(media: bytes | None) -> dict:
     kind, stream = struct.unpack_from(">BH", pmt, 4 + (struct.unpack_from(">H", pmt, 2)[0] & 0xFFF))
     found["stream_type"] = kind
     for p in (0, program, stream & 0x1FFF):
-        counters = packets[(pid == p) & (control & 1 > 0), 3] & 15
-        found["errors"] += int(((counters[:-1] + 1 & 15) != counters[1:]).sum())
-    own = (pid == stream & 0x1FFF) & (control & 1 > 0)
-    es, begin, starts = packets[own], begin[own], starts[own]
+        own, bad = _continuous(packets, np.flatnonzero((pid == p) & (control & 1 > 0)))
+        found["errors"] += bad
+    es, begin, starts = packets[own], begin[own], starts[own]  # the stream's come last
     if not len(es):
         return found
     first = np.flatnonzero(starts)
