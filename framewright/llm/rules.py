@@ -1,17 +1,33 @@
 """Quality rules: base statistics and robust multivariate outliers.
 
-Statistics of whole texts become a vector of transformed ratios. For each
-language and source a minimum-covariance-determinant estimate is found by
-concentration steps: from coordinate medians on, the half of the rows nearest
-by Mahalanobis distance gives the next mean and covariance. All of it is
-grouped aggregation over every row (partial sums and quantile sketches), so a
-source with a third of all rows is no single task's work and only tables of
-one row a group are joined back.
+Statistics of whole texts become a vector of transformed ratios, and for each
+language and source a minimum-covariance-determinant estimate says what is
+usual: of all halves of the group's rows, the one whose (regularised)
+covariance has the least determinant, sought from several starts.
+
+A group of any size is searched in one small task, since its rows are first
+summed, by map-side combined aggregation, over the cells of a fine grid: a
+cell keeps the count, the sums and the sums of products of its rows, so means
+and covariances of cells are those of their rows, and the number of cells has
+a bound (:data:`SPAN`) that doesn't depend on the rows. Concentration steps
+take whole cells from the nearest on and of the last one just the share that
+completes the half, until the determinant stops falling; the least determinant
+of all starts wins. Only tables of one row a group are joined back.
+
+Ratios are counts over sizes, mostly zero, and the half of least determinant
+has no spread in them at all. Each coordinate therefore has a least deviation:
+for counts what one event amounts to in a document of the group's median
+length (one symbol, one line, one window of words), though never so much that
+the coordinate alone could not reject; for word lengths half the deviation of
+all the group's rows.
 
 Defined cases: null text has no words and fails the base rules; null language
-or source is a group of its own; groups under ``LEAST`` rows are judged by
-their language, and where that is too small too, only by the base rules;
-repeated rows count as often as they occur; an empty table gives no rows.
+or source is a group of its own; a group's estimate is drawn to its language's
+the more, the fewer its rows are, and groups of at most ``LEAST`` rows are
+judged by their language (all its rows), and where that is too small too, only
+by the base rules; repeated rows count as often as they occur, and rows of one
+cell go together; very long texts are measured whole; columns may have any
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +40,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.shared import WORD, materialize
+from framewright.llm.shared import WORD, materialize, release
 
 #: Rule values of the base verdict.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-#: Rows for an estimate of a group's own, concentration steps, and the tail
-#: of the chi-squared distribution beyond which a row is rejected.
-LEAST, STEPS, TAIL = 50, 3, 1e-3
-#: Least standard deviation of each coordinate: small enough that each alone
-#: can reject a text that passes the base rules.
-FLOOR = (0.06, 0.05, 0.06, 0.12)
-DIM = len(FLOOR)
+#: Rows below which a group has no estimate of its own, and the tail of the
+#: chi-squared distribution beyond which a row is rejected.
+LEAST, TAIL = 50, 1e-3
+DIM = 4
+#: What one event adds to a count: symbols, repeated lines, repeated words;
+#: and the largest ratio that the base rules let pass.
+EVENT, REACH = (1, 1, WINDOW), (1.0, 1.0, REPEAT_PERCENT / 100)
+#: Starts, of which so many are followed to their end, after so many steps.
+STARTS, FOLLOWED, FIRST_STEPS, MOST_STEPS = 40, 5, 2, 100
+#: Cells: of word lengths a 32nd of the deviation, to 4 deviations either way;
+#: of the others a third of the least deviation, 16 and what lies beyond.
+FINE, SPAN, COARSE, ABOVE = 32, 128, 3, 16
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+KEYS = ["lang_g", "source_g"]
 _DROP = str.maketrans("", "", SYMBOLS)
 
 
@@ -152,67 +174,164 @@ def _distance() -> Column:
     return total
 
 
-_MODEL = ["lang_g", "source_g"] + [f"m{i}" for i in range(DIM)] + [f"p{i}{j}" for i, j in PAIRS]
-
-
-def _inverted(cov: DataFrame) -> DataFrame:
-    """Means and covariances (c*) of groups, as means and precisions (p*)."""
-
-    def invert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            c = np.zeros((len(part), DIM, DIM))
-            for i, j in PAIRS:
-                c[:, i, j] = c[:, j, i] = part[f"c{i}{j}"]
-            floor = np.array(FLOOR) ** 2
-            p = np.linalg.inv(c + np.diag(floor)) if len(part) else c
-            yield part[["lang_g", "source_g", *[f"m{i}" for i in range(DIM)]]].assign(**{f"p{i}{j}": p[:, i, j] for i, j in PAIRS})
-
-    return cov.mapInPandas(invert, "lang_g string, source_g string, " + ", ".join(f"{c} double" for c in _MODEL[2:]))
-
-
 def _joined(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
     right = model.select(F.col("lang_g").alias("lang_r"), F.col("source_g").alias("source_r"), *[c for c in model.columns if c not in ("lang_g", "source_g")])
     return rows.join(right, F.col("lang_g").eqNullSafe(F.col("lang_r")) & F.col("source_g").eqNullSafe(F.col("source_r")), how).drop("lang_r", "source_r")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """MCD mean and precision of each group (lang_g, source_g) of vectors x*.
+def scales(rows: DataFrame) -> DataFrame:
+    """Of each group that is large enough: n, centre and width of its word
+    lengths, and the least deviation f* of each coordinate."""
+    passed = ~base_failed()
+    median = lambda c: F.percentile_approx(F.when(passed, F.col(c)), 0.5, 10000)
+    sums = rows.groupBy(*KEYS).agg(F.count(F.when(passed, 1)).alias("n"), F.avg("x0").alias("centre"), F.stddev_pop("x0").alias("width"), median("n_words").alias("words"), median("word_chars").alias("chars")).where(F.col("n") >= LEAST)
+    cut = 0.95 / sqrt(chi_squared(DIM, TAIL))
+    ratio = [F.sqrt(F.least(F.lit(r * cut * cut), e / F.greatest(F.col(size), F.lit(1)))) for e, r, size in zip(EVENT, REACH, ("chars", "words", "words"), strict=True)]
+    width = F.greatest(F.col("width"), F.lit(1e-3))
+    return sums.select(*KEYS, "n", "centre", width.alias("width"), (width / 2).alias("f0"), *[x.alias(f"f{i}") for i, x in enumerate(ratio, 1)])
+
+
+def cells(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """Sums of the groups' rows over a grid: k*, w, s*, q** and scale."""
+    placed = _joined(rows, scale)
+    within = lambda x, lo, hi: F.least(F.greatest(F.floor(x), F.lit(lo)), F.lit(hi)).cast("int")
+    grid = [within((F.col("x0") - F.col("centre")) * FINE / F.col("width"), -SPAN, SPAN)] + [within(F.col(f"x{i}") * COARSE / F.col(f"f{i}"), 0, ABOVE) for i in range(1, DIM)]
+    placed = placed.select(*KEYS, *[g.alias(f"k{i}") for i, g in enumerate(grid)], *[f"x{i}" for i in range(DIM)], *[f"f{i}" for i in range(DIM)])
+    return placed.groupBy(*KEYS, *[f"k{i}" for i in range(DIM)]).agg(
+        F.count("*").alias("w"),
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS],
+        *[F.max(f"f{i}").alias(f"f{i}") for i in range(DIM)],
+    )
+
 
-    One row a group. The covariance of the nearest half is scaled so that the
-    median distance is that of the normal distribution, and each coordinate's
-    floor is added.
+class Half:
+    """Halves of a group's rows, from the sums of its cells."""
+
+    def __init__(self, w: np.ndarray, s: np.ndarray, q: np.ndarray, floor: np.ndarray) -> None:
+        self.w, self.s, self.q, self.floor = w, s, q, np.diag(floor**2)
+        self.x = s / w[:, None]
+        self.size = (int(w.sum()) + DIM + 1) // 2
+
+    def moments(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of so much of each cell."""
+        n = share @ self.w
+        mean = share @ self.s / n
+        return mean, np.tensordot(share, self.q, 1) / n - np.outer(mean, mean)
+
+    def step(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mean and covariance of the half nearest to an estimate, and the
+        squared distance at which it ends."""
+        off = self.x - mean
+        d = np.einsum("ni,ij,nj->n", off, np.linalg.inv(cov + self.floor), off)
+        order = np.argsort(d, kind="stable")
+        upto = np.cumsum(self.w[order])
+        share = np.zeros(len(d))
+        share[order] = np.clip(1 - (upto - self.size) / self.w[order], 0, 1)
+        return *self.moments(share), float(d[order[np.searchsorted(upto, self.size)]])
+
+    def volume(self, cov: np.ndarray) -> float:
+        """Logarithm of the regularised covariance's determinant."""
+        return float(np.linalg.slogdet(cov + self.floor)[1])
+
+    def starts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All rows; coordinate medians; and random cells, a few each."""
+        yield self.moments(np.ones(len(self.w)))
+
+        def median(v: np.ndarray) -> float:
+            order = np.argsort(v, kind="stable")
+            return v[order[np.searchsorted(np.cumsum(self.w[order]), self.w.sum() / 2)]]
+
+        middle = np.array([median(v) for v in self.x.T])
+        yield middle, np.diag([(1.4826 * median(np.abs(v - m))) ** 2 for v, m in zip(self.x.T, middle)])
+        rng = np.random.default_rng(17)
+        for _ in range(STARTS - 2):
+            share = np.zeros(len(self.w))
+            some = rng.choice(len(self.w), min(DIM + 1, len(self.w)), replace=False, p=self.w / self.w.sum())
+            share[some] = 1 / self.w[some]
+            yield self.moments(share)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mean, covariance (consistent for normal rows) and its volume."""
+        tried = []
+        for k, (mean, cov) in enumerate(self.starts()):
+            for _ in range(FIRST_STEPS):
+                mean, cov, _ = self.step(mean, cov)
+            tried.append((self.volume(cov), k, mean, cov))
+        found = None
+        for volume, _, mean, cov in sorted(tried, key=lambda t: t[:2])[:FOLLOWED]:
+            for _ in range(MOST_STEPS):
+                new_mean, new_cov, _ = self.step(mean, cov)
+                new = self.volume(new_cov)
+                if new >= volume - 1e-10:
+                    break
+                mean, cov, volume = new_mean, new_cov, new
+            if found is None or volume < found[2] - 1e-10:
+                found = mean, cov, volume
+        mean, cov, volume = found
+        # The nearest half of normal rows has smaller covariance than all.
+        return mean, cov * max(1.0, self.step(mean, cov)[2] / chi_squared(DIM, 0.5)), volume
+
+
+_ESTIMATE = ["n", *[f"m{i}" for i in range(DIM)], *[f"c{i}{j}" for i, j in PAIRS], "volume"]
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Of each group (lang_g, source_g) of rows that pass the base rules and
+    its language (source_g null): n, mean m*, covariance c** with the least
+    deviations added, and the volume of the half it comes from.
+
+    ``rows`` have x* and the statistics; failing rows only enter the scales.
     """
-    keys = ["lang_g", "source_g"]
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"m{i}") for i in range(DIM)])
-    middle, _ = materialize(middle, "medians")
-    spread = _joined(rows, middle).groupBy(*keys).agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)],
-        *[(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10000) * 1.4826).alias(f"s{i}") for i in range(DIM)],
-    )
-    cov = spread.select(*keys, *[f"m{i}" for i in range(DIM)], *[(F.pow(f"s{i}", 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS])
-    model, _ = materialize(_inverted(cov), "mcd")
-    for _step in range(steps):
-        far = _joined(rows, model).withColumn("d", _distance())
-        half, _ = materialize(far.groupBy(*keys).agg(F.percentile_approx("d", 0.5, 10000).alias("half")), "half")
-        near = _joined(far, half).where("d <= half")
-        sums = near.groupBy(*keys).agg(
-            *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIM)],
-            *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS],
-            F.max("half").alias("half"),
-        )
-        # Consistency: the nearest half of normal rows has smaller covariance.
-        scale = F.greatest(F.lit(1.0), F.col("half") / chi_squared(DIM, 0.5))
-        cov = sums.select(*keys, *[f"m{i}" for i in range(DIM)], *[(F.col(f"c{i}{j}") * scale).alias(f"c{i}{j}") for i, j in PAIRS])
-        model, _ = materialize(_inverted(cov), "mcd")
-    return model
+    both = rows.withColumn("source_g", F.explode(F.array_distinct(F.array(F.col("source_g"), F.lit(None).cast("string")))))
+    scale, scale_path = materialize(scales(both), "scales")
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([f"k{i}" for i in range(DIM)])
+        q = np.zeros((len(part), DIM, DIM))
+        for i, j in PAIRS:
+            q[:, i, j] = q[:, j, i] = part[f"q{i}{j}"]
+        half = Half(part["w"].to_numpy(float), part[[f"s{i}" for i in range(DIM)]].to_numpy(float), q, part[[f"f{i}" for i in range(DIM)]].to_numpy(float)[0])
+        mean, cov, volume = half.best()
+        cov = cov + half.floor
+        return pd.DataFrame([[part["lang_g"].iloc[0], part["source_g"].iloc[0], int(half.w.sum()), *mean, *[cov[i, j] for i, j in PAIRS], volume]], columns=[*KEYS, *_ESTIMATE])
+
+    schema = "lang_g string, source_g string, n long, " + ", ".join(f"{c} double" for c in _ESTIMATE[1:])
+    found, _ = materialize(cells(both.where(~base_failed()), scale).groupBy(*KEYS).applyInPandas(search, schema), "mcd")
+    release(rows.sparkSession, scale_path)
+    return found
+
+
+def models(found: DataFrame) -> DataFrame:
+    """Mean m* and precision p** of each estimate, a source's drawn to its
+    language's: that counts for ``LEAST`` of the source's rows."""
+    own = ["n", *[c for c in _ESTIMATE if c[0] in "mc"]]
+    wide = found.where("source_g is null").select(F.col("lang_g").alias("lang_w"), *[F.col(c).alias(f"w_{c}") for c in own])
+    both = found.select(*KEYS, *own).join(wide, F.col("lang_g").eqNullSafe(F.col("lang_w")))
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            share = np.where(part["source_g"].isna(), 1.0, 1 - LEAST / part["n"].to_numpy(float))
+            mine, theirs = (part[[f"{w}m{i}" for i in range(DIM)]].to_numpy(float) for w in ("", "w_"))
+            c = np.zeros((2, len(part), DIM, DIM))
+            for k, w in enumerate(("", "w_")):
+                for i, j in PAIRS:
+                    c[k, :, i, j] = c[k, :, j, i] = part[f"{w}c{i}{j}"]
+            a, off = share[:, None, None], mine - theirs
+            mean = share[:, None] * mine + (1 - share[:, None]) * theirs
+            cov = a * c[0] + (1 - a) * c[1] + a * (1 - a) * off[:, :, None] * off[:, None, :]
+            p = np.linalg.inv(cov) if len(part) else cov
+            yield part[KEYS].assign(**{f"m{i}": mean[:, i] for i in range(DIM)}, **{f"p{i}{j}": p[:, i, j] for i, j in PAIRS})
+
+    return both.mapInPandas(merge, "lang_g string, source_g string, " + ", ".join(f"{c} double" for c in [*[f"m{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in PAIRS]]))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """Rows with their group: language and source, or the language alone."""
-    sizes, _ = materialize(rows.where(~base_failed()).groupBy("lang_g", "source_g").count(), "sizes")
+    sizes, _ = materialize(rows.where(~base_failed()).groupBy(*KEYS).count(), "sizes")
     joined = _joined(rows, sizes, "left")
-    own = F.coalesce(F.col("count"), F.lit(0)) >= LEAST
-    # A source of its own is tagged, so that no source can be taken for a language's rest.
+    own = F.coalesce(F.col("count"), F.lit(0)) > LEAST
+    # A source of its own is tagged, so that no source can be taken for the language's rows.
     return joined.withColumn("source_g", F.when(own, F.concat(F.lit("="), F.coalesce("source_g", F.lit("\0"))))).drop("count")
 
 
@@ -228,11 +347,9 @@ def judged(rows: DataFrame, stats: str = "stats", verdict: str = "verdict", lang
     for i, x in enumerate(vector()):
         named = named.withColumn(f"x{i}", x)
     named = _grouped(named)
-    fit = named.where(~base_failed()).select("lang_g", "source_g", *[f"x{i}" for i in range(DIM)])
-    enough, _ = materialize(fit.groupBy("lang_g", "source_g").count().where(F.col("count") >= LEAST).drop("count"), "sizes")
-    model = estimates(_joined(fit, enough, "left_semi"))
+    model, _ = materialize(models(estimates(named.select(*KEYS, *STATS, *[f"x{i}" for i in range(DIM)]))), "models")
     failed = base_failed()
     distance = F.when(~failed, _distance())
     kept = ~failed & F.coalesce(distance <= chi_squared(DIM, tail), F.lit(True))
-    found = F.struct(failed.alias("base_failed"), kept.alias("kept"), distance.alias("distance"))
-    return _joined(named, model, "left").select(*[F.col(f"c{k}__").alias(c) for k, c in enumerate(columns)], found.alias(verdict))
+    told = F.struct(failed.alias("base_failed"), kept.alias("kept"), distance.alias("distance"))
+    return _joined(named, model, "left").select(*[F.col(f"c{k}__").alias(c) for k, c in enumerate(columns)], told.alias(verdict))
