@@ -4,12 +4,18 @@ Arrivals are written as many small Parquet shards at once. Compaction looks at
 the manifest alone: live shards below the target fall into tiers by size,
 neighbours of one tier (in order of arrival) form runs of at most the target
 size, and a run of enough shards becomes one file. A run is read and written
-by one task, so no row is shuffled. Each change writes a new manifest and
-commits it by creating its version's marker, which fails if another writer
-came first; readers see the old version until then and whole files after.
+by one task, so no row is shuffled, and that task's work is bounded by the
+target.
 
-Data moves by DataFrame reads and writes only. The driver handles names and
-sizes of shards, never rows.
+Each change writes a whole new manifest beside the others and commits it by
+renaming its folder to its version, which fails if that version exists: a
+version is there with all its content or not at all, and of two writers one
+gets a :class:`CommitConflict`. A writer that dies leaves files that no version
+names. Readers see the old version until the rename and whole files after.
+
+Data moves by DataFrame reads and writes only. The driver handles names of
+shards, a few runs at a time; a read of a version names its files, as any read
+does.
 
 Defined cases: nulls, empty and very long texts are rows like any other; ties
 and repeated rows are all kept; an empty arrival commits a version without new
@@ -21,14 +27,17 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import islice
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.shared import materialize, release
+
 #: Bytes of a merged file, rows of an arriving shard, ratio of tiers, least
-#: shards in a run (fewer merge only in the last, closing round), and runs
-#: that one Spark job merges.
+#: shards in a run, and runs that one Spark job merges.
 TARGET, ARRIVAL_ROWS, FAN_IN, LEAST_RUN, AT_ONCE = 128 << 20, 2000, 4, 4, 64
 #: Shards planned in one window's partition.
 PLANNED = 50_000
@@ -52,28 +61,41 @@ class ShardStore:
     def _none(self, schema: T.StructType) -> DataFrame:
         return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
+    def versions(self) -> list[int]:
+        """Committed versions that are kept, in order."""
+        fs, where = self._path("manifests")
+        names = (s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else ()
+        return sorted(int(n) for n in names if n.isdigit())
+
     def version(self) -> int:
         """The last committed version; 0 before the first."""
-        fs, where = self._path("commits")
-        return max([0, *(int(s.getPath().getName()) for s in fs.listStatus(where))]) if fs.exists(where) else 0
+        return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Live shards: name, level (merges behind it), arrival, rows, bytes."""
         version = self.version() if version is None else version
         if not version:
             return self._none(T.StructType.fromDDL(MANIFEST))
-        name = self.spark.read.text(f"{self.root}/commits/{version:020d}").first()[0]
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version:020d}")
 
     def _commit(self, shards: DataFrame, version: int) -> int:
-        name = f"{version:020d}-{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
-        fs, where = self._path(f"commits/{version:020d}")
-        if fs.exists(where):
-            raise CommitConflict(f"version {version} exists")
-        out = fs.create(where, False)  # atomic: the second of two creators fails
-        out.writeBytes(name)
-        out.close()
+        """Publish ``shards`` as ``version``; see the module for what is atomic."""
+        mine = uuid.uuid4().hex
+        shards.write.parquet(f"{self.root}/manifests/_{mine}")
+        fs, new = self._path(f"manifests/_{mine}")
+        fs.create(self._path(f"manifests/_{mine}/_owner-{mine}")[1], False).close()
+        _, final = self._path(f"manifests/{version:020d}")
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(fs.makeQualified(new), fs.makeQualified(final), plain)
+        except Py4JJavaError as failed:
+            if not fs.exists(final):
+                raise
+            raise CommitConflict(f"version {version} exists") from failed
+        if not fs.exists(self._path(f"manifests/{version:020d}/_owner-{mine}")[1]):
+            raise CommitConflict(f"version {version} is another writer's")
         return version
 
     def _described(self, data: DataFrame, level: int, arrived: int) -> DataFrame:
@@ -100,47 +122,61 @@ class ShardStore:
         tier = F.floor(F.log(float(FAN_IN), F.greatest(F.col("n_bytes"), F.lit(1))))
         by = Window.partitionBy("slice", "tier").orderBy("arrived", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cut = live.withColumn("slice", F.pmod(F.col("arrived"), F.lit(slices))).withColumn("tier", tier)
-        if least < LEAST_RUN:  # the closing round: what is left of all tiers
-            cut = cut.withColumn("tier", F.lit(0))
         cut = cut.withColumn("run", F.floor((F.sum("n_bytes").over(by) - 1) / self.target))
         runs = cut.groupBy("slice", "tier", "run").agg(F.collect_list("shard").alias("shards"), F.max("level").alias("level"), F.max("arrived").alias("arrived"), F.sum("n_bytes").alias("n_bytes"))
         return runs.where(F.size("shards") >= least)
 
-    def compact(self, schema=None) -> int:
-        """Merge runs until none is left; returns the last version."""
-        for least in (LEAST_RUN, LEAST_RUN, 2):
-            runs = self.plan(least).select("shards", "level", "arrived").collect()
-            if runs:
-                self._merge(runs, schema)
-        return self.version()
+    def compact(self, schema=None, least: int = LEAST_RUN) -> int:
+        """Merge runs of ``least`` shards or more until none is left.
 
-    def _merge(self, runs: list, schema) -> None:
+        Returns the last version. A merge that leaves its tier may complete a
+        run of the next, which a further round merges.
+        """
+        while True:
+            runs, path = materialize(self.plan(least).select("shards", "level", "arrived"), "runs")
+            some = runs.agg(F.max("level"), F.max("arrived")).first()
+            if some[0] is None:
+                release(self.spark, path)
+                return self.version()
+            self._merge(runs, schema, some[0] + 1, some[1])
+            release(self.spark, path)
+
+    def _merge(self, runs: DataFrame, schema, level: int, arrived: int) -> None:
         version = self.version() + 1
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         path = f"{self.root}/data/merge-{version}-{uuid.uuid4().hex}"
-        for a in range(0, len(runs), AT_ONCE):
-            parts = [reader.parquet(*r["shards"]).coalesce(1) for r in runs[a : a + AT_ONCE]]
+        names = (r["shards"] for r in runs.select("shards").toLocalIterator())
+        while some := list(islice(names, AT_ONCE)):
+            parts = [reader.parquet(*shards).coalesce(1) for shards in some]
             reduce(DataFrame.union, parts).write.mode("append").option("compression", "zstd").parquet(path)
-        level = max(r["level"] for r in runs) + 1
-        new = self._described(reader.parquet(path), level, max(r["arrived"] for r in runs))
-        gone = F.lit([s for r in runs for s in r["shards"]])  # names that the driver has planned with
-        self._commit(self.manifest(version - 1).where(~F.array_contains(gone, F.col("shard"))).unionByName(new), version)
-
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """Rows of a version, with the shard each lies in as ``shard``."""
-        names = [r[0] for r in self.manifest(version).select("shard").collect()]
-        if not names:
-            return self._none(schema).withColumn("shard", F.lit(None).cast("string"))
-        data = self.spark.read.schema(schema).parquet(*names)
-        return data.withColumn("shard", data.metadataColumn("_metadata")["file_path"])
+        new = self._described(reader.parquet(path), level, arrived)
+        gone = runs.select(F.explode("shards").alias("shard"))
+        self._commit(self.manifest(version - 1).join(gone, "shard", "left_anti").unionByName(new), version)
+
+    def read(self, schema: T.StructType, version: int | None = None, shard_as: str | None = None) -> DataFrame:
+        """Rows of a version; on demand with the shard each lies in.
+
+        The name for that must be free.
+        """
+        if shard_as and shard_as.lower() in (n.lower() for n in schema.names):
+            raise ValueError(f"the rows have a column {shard_as} of their own")
+        names = [r[0] for r in self.manifest(version).select("shard").toLocalIterator()]
+        data = self.spark.read.schema(schema).parquet(*names) if names else self._none(schema)
+        if not shard_as:
+            return data
+        return data.withColumn(shard_as, data.metadataColumn("_metadata")["file_path"] if names else F.lit(None).cast("string"))
 
     def expire(self) -> None:
-        """Delete shards that only versions before the last one name."""
-        last = self.version()
-        live = {r[0].rsplit("/", 1)[1] for r in self.manifest().select("shard").collect()}
-        fs, where = self._path("data")
-        for folder in fs.listStatus(where) if last and fs.exists(where) else []:
-            files = [s.getPath() for s in fs.listStatus(folder.getPath())]
-            for p in files:
-                if p.getName().endswith(".parquet") and p.getName() not in live:
-                    fs.delete(p, False)
+        """Delete older versions, and shards that only they name.
+
+        Manifests go last, so that a run cut short can be repeated.
+        """
+        *old, last = self.versions() or [0]
+        if not old:
+            return
+        named = reduce(DataFrame.union, [self.manifest(v).select("shard") for v in old]).distinct()
+        fs, _ = self._path("data")
+        for r in named.join(self.manifest(last).select("shard"), "shard", "left_anti").toLocalIterator():
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(r[0])), False)
+        for v in old:
+            fs.delete(self._path(f"manifests/{v:020d}")[1], True)

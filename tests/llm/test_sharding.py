@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import sharding
 from framewright.llm.queries import op10_sharding
@@ -23,15 +24,15 @@ def test_appends_and_compaction_keep_every_row(spark):
         s.append(h, shard_rows=20)
     before = s.manifest()
     assert s.version() == 2 and before.count() >= 50
-    old = rows(s.read(docs.schema, 2).drop("shard"))
+    old = rows(s.read(docs.schema, 2))
     s.compact(docs.schema)
     after = s.manifest().collect()
     assert len(after) < 0.4 * before.count() and sum(r.n_rows for r in after) == docs.count()
     assert max(r.level for r in after) >= 1 and sum(r.n_bytes < 100_000 for r in after) <= 2
-    assert rows(s.read(docs.schema).drop("shard")) == rows(docs) == old
-    assert rows(s.read(docs.schema, 2).drop("shard")) == old  # readers of the old version are not disturbed
+    assert rows(s.read(docs.schema)) == rows(docs) == old
+    assert rows(s.read(docs.schema, 2)) == old  # readers of the old version are not disturbed
     s.expire()
-    assert rows(s.read(docs.schema).drop("shard")) == old
+    assert rows(s.read(docs.schema)) == old
     version = s.version()
     assert s.compact(docs.schema) == version  # nothing is left to merge
 
@@ -44,6 +45,56 @@ def test_second_writer_of_a_version_fails(spark):
     assert s.version() == 1
 
 
+def test_a_writer_that_dies_leaves_readers_alone(spark):
+    """What is left before the rename is no version, and later commits work."""
+    s = store(spark)
+    docs = spark.range(5).toDF("doc_id")
+    s.append(docs)
+    fs, where = s._path("manifests/_dead")
+    fs.mkdirs(where)
+    fs.create(s._path("manifests/_dead/_owner-dead")[1], False).close()
+    docs.write.parquet(f"{s.root}/data/arrival-2-dead")
+    assert s.version() == 1 and rows(s.read(docs.schema)) == rows(docs)
+    s.append(docs)
+    assert s.version() == 2 and s.read(docs.schema).count() == 10
+    s.expire()
+    assert s.versions() == [2] and s.read(docs.schema).count() == 10
+    s.expire()
+
+
+def test_writers_at_once_commit_one_after_another(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = store(spark)
+    one = spark.range(3).toDF("doc_id")
+
+    def append(k):
+        try:
+            return s.append(one.withColumn("k", F.lit(k)))
+        except sharding.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [v for v in pool.map(append, range(4)) if v]
+    assert sorted(won) == s.versions() and s.read(one.withColumn("k", F.lit(0)).schema).count() == 3 * len(won)
+
+
+def test_tiers_merge_over_arrivals(spark):
+    """Runs never mix sizes further apart than a tier; tiers rise with merges."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    s, seen = store(spark, target=60_000), set()
+    for k in range(8):
+        s.append(docs.where(F.pmod("doc_id", F.lit(8)) == k), shard_rows=16)
+        for r in s.plan().collect():
+            sizes = [x.n_bytes for x in s.manifest().collect() if x.shard in r["shards"]]
+            assert len(sizes) >= 4 and max(sizes) <= 4 * min(sizes) and sum(sizes) <= 60_000 + max(sizes)
+        s.compact(docs.schema)
+        seen |= {x.level for x in s.manifest().collect()}
+        s.expire()
+    assert rows(s.read(docs.schema)) == rows(docs) and {0, 1} & seen and max(seen) >= 1
+    assert s.plan().count() == 0
+
+
 def test_odd_rows(spark, odd, none):
     s = store(spark)
     odd = odd.withColumnRenamed("kept", "shard").withColumnRenamed("fp", "_metadata")
@@ -51,6 +102,11 @@ def test_odd_rows(spark, odd, none):
     s.append(odd.where("false"))
     s.compact()
     assert sum(r.n_rows for r in s.manifest().collect()) == odd.count()
+    kept = odd.withColumn("a.b", F.col("`a.b`").cast("string"))
+    assert rows(s.read(kept.schema)) == rows(kept)
+    with pytest.raises(ValueError):
+        s.read(kept.schema, shard_as="Shard")
+    assert s.read(kept.schema, shard_as="lies_in").select("lies_in").distinct().count() >= 1
     empty = store(spark)
     assert empty.manifest().count() == 0 and empty.compact() == 0
     empty.append(none)
