@@ -8,22 +8,31 @@ pruned. No pair of documents is ever formed outside the budget, and a
 fingerprint has at most 1 + 64 + 2016 neighbours within two bits, so the
 work per distinct fingerprint is bounded however large a group of copies is.
 
-On a cluster the trie's upper levels are cut into leaves of bounded size (by
-counts of prefixes, deeper where a prefix is heavy), and every pair of leaves
-within the budget is one group of work. Equal fingerprints are collapsed
-before the join, so exact copies cost one row. Each group returns a spanning
-forest of its links, never the links themselves; stars over the forest give
-components.
+On a cluster the trie is walked in as many orders of bits as the budget plus
+one. The bits are cut into that many blocks; a pair within the budget agrees on
+one block at least, so in the order that begins with that block its nodes part
+only below it. Each order is therefore dealt to groups by its first block
+alone, a fingerprint goes to three groups whatever their number, and groups
+hold about ``LEAF`` fingerprints. Where one value of a block has more, its
+fingerprints are dealt anew by blocks of the bits that are left, and so on:
+distinct fingerprints that share 48 bits can't be more than ``LEAF``, so every
+group is bounded.
+
+Equal fingerprints are collapsed before the join, so exact copies cost one row;
+the results return to them by a join that spreads the commonest fingerprints
+over many keys. Each group returns a spanning forest of its links, never the
+links themselves; stars over the forest give components.
 
 Defined cases: null or wordless text has fingerprint zero and links like any
 other; repeated rows and equal ids are rows of their own; a component whose
-ids are all null has component_id null; an empty table gives no rows; other
-columns are ignored by :func:`components`.
+ids are all null has component_id null; very long texts are read whole; an
+empty table gives no rows; other columns are ignored by :func:`components`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,11 +45,12 @@ from framewright.llm.shared import join_labels, lengths_of, materialize, raw, re
 BUDGET = 2
 SEED = 42
 SHINGLE = 3
-#: Fingerprints in a leaf of the distributed trie, and its least depth.
+#: Fingerprints in a group of the distributed trie, and least groups an order.
 LEAF = 1 << 16
-LEAST_DEPTH = 5
-#: Leaves that the driver plans at most; beyond that leaves grow instead.
-LEAVES = 2048
+LEAST_GROUPS = 16
+#: A fingerprint is spread that has more than one in so many of all rows, over
+#: so many keys.
+HOT_SHARE, SALTS = 1000, 64
 #: Node pairs expanded at once, and element pairs compared without descent.
 FRONTIER, BRUTE = 1 << 18, 16
 _LANES = np.uint64(0x0101010101010101)
@@ -89,17 +99,17 @@ def _split(a: np.ndarray, lo: np.ndarray, bit: int) -> np.ndarray:
     return np.searchsorted(a, (a[lo] & high) | np.uint64(1 << bit))
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None = None, depth: int = 0, err: int = 0, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of sorted distinct ``a`` and ``b`` within the budget.
 
-    Without ``b`` the trie joins itself and each pair comes once, i < j.
-    ``depth`` bits are taken as walked, with ``err`` of them differing.
+    Without ``b`` the trie joins itself and each pair comes once, i < j. The
+    first ``exact`` bits must agree: nodes part only below them.
     """
     itself = b is None
     b = a if itself else b
     if not len(a) or not len(b):
         return
-    stack = [(depth, np.array([[0], [len(a)], [0], [len(b)], [err]]))]
+    stack = [(0, np.array([[0], [len(a)], [0], [len(b)], [0]]))]
     while stack:
         d, f = stack.pop()
         if f.shape[1] > FRONTIER:
@@ -114,7 +124,10 @@ def trie_join(a: np.ndarray, b: np.ndarray | None = None, depth: int = 0, err: i
             at = np.repeat(np.arange(len(n)), n)
             k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             i, j = x[0][at] + k // w[at], x[2][at] + k % w[at]
-            keep = np.bitwise_count(a[i] ^ b[j]) <= budget
+            off = a[i] ^ b[j]
+            keep = np.bitwise_count(off) <= budget
+            if exact:
+                keep &= off >> np.uint64(64 - exact) == 0
             if itself:
                 keep &= i < j
             if keep.any():
@@ -125,110 +138,69 @@ def trie_join(a: np.ndarray, b: np.ndarray | None = None, depth: int = 0, err: i
         alo, ahi, blo, bhi, e = f
         amid = np.minimum(_split(a, alo, 63 - d), ahi)
         bmid = np.minimum(_split(b, blo, 63 - d), bhi)
-        same = (alo == blo) & (ahi == bhi) if itself else np.zeros(len(alo), bool)
-        new = np.concatenate(
-            [
-                np.stack([alo, amid, blo, bmid, e]),
-                np.stack([amid, ahi, bmid, bhi, e]),
-                np.stack([alo, amid, bmid, bhi, e + 1]),
-                np.stack([amid, ahi, blo, bmid, e + 1])[:, ~same],
-            ],
-            axis=1,
-        )
+        new = [np.stack([alo, amid, blo, bmid, e]), np.stack([amid, ahi, bmid, bhi, e])]
+        if d >= exact:
+            same = (alo == blo) & (ahi == bhi) if itself else np.zeros(len(alo), bool)
+            new += [np.stack([alo, amid, bmid, bhi, e + 1]), np.stack([amid, ahi, blo, bmid, e + 1])[:, ~same]]
+        new = np.concatenate(new, axis=1)
         new = new[:, (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= budget)]
         if new.shape[1]:
             stack.append((d + 1, new))
 
 
-def _leaves(unique: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest value and depth of each leaf, from counts of prefixes.
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (fp, path, exact, p) once for each block of their free bits.
 
-    A round counts up to eight more bits below each heavy leaf; it brings at
-    most 256 counts for each of a bounded number of leaves to the driver.
+    ``p`` has the bits of ``fp`` in another order, of which the first ``exact``
+    are those that fellows of a group share; the block comes next, turned to
+    the front of what is left.
     """
-    top = F.shiftrightunsigned("fp", 64 - 8).alias("p")
-    counts = np.zeros(256, np.int64)
-    for p, n in unique.groupBy(top).count().collect():
-        counts[p] = n
-    size = max(LEAF, int(counts.sum()) // LEAVES)
-    done: list[tuple[int, int]] = []
-
-    def cut(base: int, depth: int, below: np.ndarray) -> list[tuple[int, int]]:
-        """Split a node of known counts; returns leaves that are still heavy."""
-        if len(below) == 1:
-            if below[0] > size and depth < 64:
-                return [(base, depth)]
-            done.append((base, depth))
-            return []
-        if depth >= LEAST_DEPTH and below.sum() <= size:
-            done.append((base, depth))
-            return []
-        half = len(below) // 2
-        return cut(base, depth + 1, below[:half]) + cut(base | 1 << (63 - depth), depth + 1, below[half:])
-
-    heavy = cut(0, 0, counts)
-    while heavy:
-        depth = heavy[0][1]  # all at one depth: each round adds eight bits
-        more = unique.where(F.shiftrightunsigned("fp", 64 - depth).isin([b >> (64 - depth) for b, _ in heavy]))
-        found = {p: n for p, n in more.groupBy(F.shiftrightunsigned("fp", 64 - depth - 8).alias("p")).count().collect()}
-        heavy = [x for b, d in heavy for x in cut(b, d, np.array([found.get((b >> (64 - d - 8)) + k, 0) for k in range(256)]))]
-    done.sort()
-    return np.array([b for b, _ in done], np.uint64), np.array([d for _, d in done])
-
-
-def _leaf_pairs(base: np.ndarray, depth: np.ndarray, budget: int) -> np.ndarray:
-    """Pairs (i <= j) of leaves whose shared prefix differs within the budget."""
-    found = []
-    for i in range(len(base)):
-        common = np.minimum(depth[i], depth[i:])
-        diff = np.bitwise_count((base[i] ^ base[i:]) >> (64 - common).astype(np.uint64))
-        found += [(i, i + k) for k in np.flatnonzero(diff <= budget)]
-    return np.array(found, np.int64).reshape(-1, 2)
+    rest = "(64 - exact)"
+    low = f"(p & case when exact = 0 then -1L else shiftleft(1L, {rest}) - 1 end)"
+    first = f"({rest} - {parts - 1} * ({rest} div {parts}))"
+    each = []
+    for i in range(parts):
+        turn = f"cast({first} + {i - 1} * ({rest} div {parts}) as int)" if i else "0"
+        size = f"{rest} div {parts}" if i else first
+        turned = f"shiftleft({low}, {turn}) | shiftrightunsigned({low}, cast({rest} - {turn} as int))" if i else low
+        each.append(f"struct(path * {parts} + {i + 1} as path, cast(exact + {size} as int) as exact, (p - {low}) | (({turned}) & case when exact = 0 then -1L else shiftleft(1L, {rest}) - 1 end) as p)")
+    return rows.select("fp", F.explode(F.expr(f"array({', '.join(each)})")).alias("r")).select("fp", "r.*").withColumn("key", F.expr("shiftrightunsigned(p, 64 - exact)"))
+
+
+def _forest(part: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """Spanning forest of a group's links, as edges to smaller ``fp``."""
+    p = part["p"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(p)
+    p, fp = p[order], part["fp"].to_numpy(np.int64)[order]
+    by = np.argsort(fp)  # so that the smallest index is the smallest signed value
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    root = np.arange(len(p))
+    for x, y in trie_join(p, None, budget, int(part["exact"].iloc[0])):
+        root = join_labels(len(root), place[x], place[y], root)
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"a": fp[by][moved], "b": fp[by][root[moved]]})
 
 
 def links(unique: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Spanning forests (a, b), b < a, of the links between distinct ``fp``.
 
     Joined over all groups they connect exactly what pairs within the budget
-    connect.
+    connect. ``unique`` should be a materialised table.
     """
-    base, depth = _leaves(unique)
-    pairs = _leaf_pairs(base, depth, budget)
-    of = [np.flatnonzero((pairs == k).any(axis=1)) for k in range(len(base))]
-    width, flat = lengths_of(of), np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64)
-    first = np.cumsum(width) - width
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            fp = part.fp.to_numpy(np.int64)
-            leaf = np.searchsorted(base, fp.view(np.uint64), side="right") - 1
-            n = width[leaf]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame({"pair": flat[np.repeat(first[leaf], n) + k], "fp": np.repeat(fp, n)})
-
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = pairs[part.pair.iloc[0]]
-        fp = np.sort(part.fp.to_numpy(np.int64).view(np.uint64))
-        if i == j:
-            a, b, all_fp, shift = fp, None, fp, 0
-            walked, err = int(depth[i]), 0
-        else:
-            mine = np.searchsorted(base, fp, side="right") - 1 == i
-            a, b = fp[mine], fp[~mine]
-            all_fp, shift = np.concatenate([a, b]), len(a)
-            walked = int(min(depth[i], depth[j]))
-            err = int(np.bitwise_count((base[i] ^ base[j]) >> np.uint64(64 - walked)))
-        signed = all_fp.view(np.int64)
-        order = np.argsort(signed)  # so that the smallest index is the smallest signed value
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        root = np.arange(len(all_fp))
-        for x, y in trie_join(a, b, walked, err, budget):
-            root = join_labels(len(root), place[x], place[y + shift], root)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": signed[order][moved], "b": signed[order][root[moved]]})
-
-    return unique.mapInPandas(deal, "pair long, fp long").groupBy("pair").applyInPandas(join, "a long, b long")
+    groups = max(LEAST_GROUPS, -(-unique.count() // (LEAF // 2)))
+    rows, found = unique.select("fp", F.lit(0).alias("path"), F.lit(0).alias("exact"), F.col("fp").alias("p")), []
+    while True:
+        dealt = _dealt(rows, budget + 1)
+        heavy, path = materialize(dealt.groupBy("path", "key").count().where(F.col("count") > LEAF).select("path", "key"), "heavy")
+        some = heavy.limit(1).count() > 0
+        light = dealt.join(heavy, ["path", "key"], "left_anti") if some else dealt
+        group = F.pmod(F.xxhash64("path", "key"), F.lit(groups)).alias("group")
+        found.append(light.groupBy("path", group).applyInPandas(lambda part: _forest(part, budget), "a long, b long"))
+        if not some:
+            release(unique.sparkSession, path)
+            return reduce(DataFrame.unionByName, found)
+        rows, _ = materialize(dealt.join(heavy, ["path", "key"], "left_semi").select("fp", "path", "exact", "p"), "heavy-rows")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -258,18 +230,31 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, doc_id: str = "doc_id", budget: int = BUDGET) -> DataFrame:
-    """``prints`` (with ``fp``) and its component_id: the smallest id reachable.
+    """``prints`` (with ``fp``), the ``root`` of its component and component_id,
+    the smallest id reachable.
 
     ``prints`` is read several times and should be a materialised table.
     """
     spark = prints.sparkSession
-    unique, path = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "prints")
-    linked, _ = materialize(stars(links(unique.select("fp"), budget)), "stars")
+    unique, path = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id"), F.count("*").alias("n")), "prints")
+    linked, star_path = materialize(stars(links(unique.select("fp"), budget)), "stars")
     linked = linked.select(F.col("node").alias("fp"), "root")
-    rooted = unique.join(linked, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = unique.join(linked, "fp", "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    owner = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(owner, "fp")
+    owner, _ = materialize(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "owners")
+    release(spark, path, star_path)
+    return _spread_join(prints, owner)
+
+
+def _spread_join(prints: DataFrame, owner: DataFrame) -> DataFrame:
+    """``prints`` with its owner's columns; common fingerprints have many keys."""
+    total = owner.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(owner.where(F.col("n") * HOT_SHARE > total).select(F.col("fp").alias("hot_fp")))  # fewer than HOT_SHARE rows
+    at = F.when(F.col("hot_fp").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = prints.join(hot, F.col("fp") == F.col("hot_fp"), "left").withColumn("salt", at).drop("hot_fp")
+    copies = F.when(F.col("hot_fp").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    owners = owner.join(hot, F.col("fp") == F.col("hot_fp"), "left").select("fp", "root", "component_id", F.explode(copies).alias("salt"))
+    return salted.join(owners, ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
