@@ -99,11 +99,12 @@ def _split(a: np.ndarray, lo: np.ndarray, bit: int) -> np.ndarray:
     return np.searchsorted(a, (a[lo] & high) | np.uint64(1 << bit))
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of sorted distinct ``a`` and ``b`` within the budget.
+def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, exact: int = 0, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of sorted ``a`` and ``b`` within the budget.
 
     Without ``b`` the trie joins itself and each pair comes once, i < j. The
-    first ``exact`` bits must agree: nodes part only below them.
+    first ``exact`` bits must agree: nodes part only below them. Bits beyond
+    the first ``bits`` don't count.
     """
     itself = b is None
     b = a if itself else b
@@ -117,7 +118,15 @@ def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET,
             stack += [(d, f[:, :half]), (d, f[:, half:])]
             continue
         alo, ahi, blo, bhi, e = f
-        small = ((ahi - alo) * (bhi - blo) <= BRUTE) | (d >= 64)
+        small = (ahi - alo) * (bhi - blo) <= BRUTE
+        if d >= bits:  # what is left of a node agrees: halves, until few pairs are formed at once
+            small = (ahi - alo) * (bhi - blo) <= FRONTIER
+            for x in f[:, ~small].T.tolist():
+                i, j = (x[0] + x[1]) // 2, (x[2] + x[3]) // 2
+                quarters = [(x[0], i, x[2], j), (x[0], i, j, x[3]), (i, x[1], j, x[3])] + [(i, x[1], x[2], j)] * (not itself or x[0] != x[2])
+                stack += [(d, np.array([[*q, x[4]]]).T) for q in quarters if q[0] < q[1] and q[2] < q[3]]
+            f, small = f[:, small], small[small]
+            alo, ahi, blo, bhi, e = f
         if small.any():
             x, w = f[:, small], (bhi - blo)[small]
             n = (ahi - alo)[small] * w
@@ -125,7 +134,7 @@ def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET,
             k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             i, j = x[0][at] + k // w[at], x[2][at] + k % w[at]
             off = a[i] ^ b[j]
-            keep = np.bitwise_count(off) <= budget
+            keep = np.bitwise_count(off >> np.uint64(64 - bits)) <= budget
             if exact:
                 keep &= off >> np.uint64(64 - exact) == 0
             if itself:
@@ -243,18 +252,18 @@ def components(prints: DataFrame, doc_id: str = "doc_id", budget: int = BUDGET)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     owner, _ = materialize(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "owners")
     release(spark, path, star_path)
-    return _spread_join(prints, owner)
+    return _spread_join(prints, owner, ["fp"], ["root", "component_id"])
 
 
-def _spread_join(prints: DataFrame, owner: DataFrame) -> DataFrame:
-    """``prints`` with its owner's columns; common fingerprints have many keys."""
+def _spread_join(prints: DataFrame, owner: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+    """``prints`` with its owner's columns; the commonest have many keys."""
     total = owner.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(owner.where(F.col("n") * HOT_SHARE > total).select(F.col("fp").alias("hot_fp")))  # fewer than HOT_SHARE rows
-    at = F.when(F.col("hot_fp").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
-    salted = prints.join(hot, F.col("fp") == F.col("hot_fp"), "left").withColumn("salt", at).drop("hot_fp")
-    copies = F.when(F.col("hot_fp").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    owners = owner.join(hot, F.col("fp") == F.col("hot_fp"), "left").select("fp", "root", "component_id", F.explode(copies).alias("salt"))
-    return salted.join(owners, ["fp", "salt"]).drop("salt")
+    hot = F.broadcast(owner.where(F.col("n") * HOT_SHARE > total).select(*on, F.lit(True).alias("hot")))  # fewer than HOT_SHARE rows
+    at = F.when(F.col("hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = prints.join(hot, on, "left").withColumn("salt", at).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    owners = owner.join(hot, on, "left").select(*on, *more, F.explode(copies).alias("salt"))
+    return salted.join(owners, [*on, "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,15 +272,158 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return components(prints).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: its smallest doc_id.
-
-    Among rows of one id the one written first stays; a row without an id
-    stays only where none of its component has one. Columns are kept.
+#: Near copies: words in a shingle, least Jaccard similarity, 64-bit words of
+#: the wide fingerprint, and the differing bits (of 384; at a similarity of 0.8
+#: 58 +- 7) up to which a pair is compared by its texts.
+NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS = 5, 0.8, 6, 72
+#: A wide fingerprint is walked from every ``STEP`` bits on, over a slice: its
+#: first bits agree, and of all its bits so many may differ.
+STEP, SLICE, LEAST_EXACT, SLICE_BUDGET = 16, 32, 12, 3
+#: Fingerprints of one value of a slice's first bits that stay together.
+NEAR_LEAF = 1 << 13
+WORDS = [f"w{k}" for k in range(WIDE)]
+
+
+def wide_of(text: str | None) -> list[int]:
+    """The wide fingerprint: as many of 64 bits, over the set of shingles."""
+    h = np.unique(np.array(hashes(text, NEAR_SHINGLE), np.uint64))
+    out = []
+    for k in range(WIDE):
+        x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(fingerprint_of(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def _slices(rows: DataFrame, exact: int) -> DataFrame:
+    """Rows (id, w*) once for each start of a slice: with ``p``, the 64 bits
+    from there on, around the end, and its first bits as ``key``."""
+    each = []
+    for at in range(0, 64 * WIDE, STEP):
+        k, off = divmod(at, 64)
+        p = f"w{k}" if not off else f"shiftleft(w{k}, {off}) | shiftrightunsigned(w{(k + 1) % WIDE}, {64 - off})"
+        each.append(f"struct({at // STEP} as path, {p} as p)")
+    return rows.select("id", *WORDS, F.explode(F.expr(f"array({', '.join(each)})")).alias("r")).select("id", *WORDS, "r.*").withColumn("key", F.shiftrightunsigned("p", 64 - exact))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links that join components most closely (all ties
+    resolved by place), and the roots after them: a least spanning forest."""
+    rank = np.empty(len(d), np.int64)
+    rank[np.argsort(d, kind="stable")] = np.arange(len(d))
+    at, chosen = np.arange(len(d)), [np.zeros(0, np.int64)]
+    while True:
+        ra, rb = root[a[at]], root[b[at]]
+        far = ra != rb
+        at, ra, rb = at[far], ra[far], rb[far]
+        if not len(at):
+            return np.concatenate(chosen), root
+        best = np.full(len(root), len(d))
+        np.minimum.at(best, ra, rank[at])
+        np.minimum.at(best, rb, rank[at])
+        picked = at[(rank[at] == best[ra]) | (rank[at] == best[rb])]
+        chosen.append(picked)
+        root = join_labels(len(root), a[picked], b[picked], root)
+
+
+def _near_forest(part: pd.DataFrame, exact: int) -> pd.DataFrame:
+    """Pairs of a group that the wide fingerprint calls close: of those met
+    together a least spanning forest, so that of a large cluster not all pairs
+    are named and those named are its most similar."""
+    order = np.lexsort((part["id"].to_numpy(), part["p"].to_numpy(np.int64).view(np.uint64)))
+    p = part["p"].to_numpy(np.int64).view(np.uint64)[order]
+    wide = part[WORDS].to_numpy(np.int64).view(np.uint64)[order]
+    ids = part["id"].to_numpy()[order]
+    root, found = np.arange(len(p)), []
+    for x, y in trie_join(p, None, SLICE_BUDGET, exact, SLICE):
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        d = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
+        near = d <= NEAR_BITS
+        x, y, d = x[near], y[near], d[near]
+        picked, root = spanning(x, y, d, root)
+        found.append(np.stack([ids[x[picked]], ids[y[picked]]], axis=1))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
+
+
+def near_pairs(unique: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct wide fingerprints (id, w*) to compare by text.
+
+    A pair is met in a slice whose first bits agree and whose bits differ in
+    at most ``SLICE_BUDGET``; slices have independent bits, so that of pairs
+    at a similarity of 0.8 about seven in eight are met in some slice, at 0.9
+    nearly all. The number of first bits grows with the logarithm of the rows,
+    as any key's must. A value of them that many more share (of near copies in
+    large numbers) goes by the whole slice, and a whole slice's value that many
+    share by chance, differently in every slice, so that a group is bounded and
+    what one slice parts another joins.
+    """
+    n = unique.count()
+    exact = min(SLICE, max(LEAST_EXACT, int(2 * n // NEAR_LEAF).bit_length()))
+    groups = max(LEAST_GROUPS, -(-n // NEAR_LEAF))
+    cut = _slices(unique, exact).withColumn("slice", F.shiftrightunsigned("p", 64 - SLICE))
+    many = lambda keys, name: cut.groupBy("path", *keys).count().where(F.col("count") > NEAR_LEAF).select("path", *keys, F.ceil(F.col("count") / NEAR_LEAF).alias(name))
+    heavy, _ = materialize(many(["key"], "by_slice"), "heavy")
+    same, _ = materialize(many(["slice"], "chunks"), "heavy")
+    dealt = cut.join(heavy, ["path", "key"], "left").join(same, ["path", "slice"], "left")
+    rest = F.when(F.col("by_slice").isNotNull(), F.col("slice")).otherwise(-1)
+    chunk = F.pmod(F.xxhash64("id", "path"), F.coalesce("chunks", F.lit(1)))
+    group = F.pmod(F.xxhash64("path", "key", rest, chunk), F.lit(groups)).alias("group")
+    return dealt.groupBy("path", group).applyInPandas(lambda part: _near_forest(part, exact), "a long, b long").distinct()
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of two texts' sets of shingles; of none and none 1."""
+    x, y = set(hashes(a, NEAR_SHINGLE)), set(hashes(b, NEAR_SHINGLE))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """``row`` and ``root``, the smallest row of its group, of every row.
+
+    ``rows`` (row, text, w*) should be a materialised table. Pairs that
+    :func:`near_pairs` names link where their texts' similarity is 0.8 or
+    more; equal fingerprints are one.
     """
+    spark = rows.sparkSession
+    prints = rows.select("row", *WORDS)
+    unique, path = materialize(prints.groupBy(*WORDS).agg(F.min("row").alias("id"), F.count("*").alias("n")), "wide")
+    pairs, pair_path = materialize(near_pairs(unique), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts, text_path = materialize(rows.select("row", "text").join(ends, "row", "left_semi"), "ends")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
+    linked, star_path = materialize(stars(both.where(alike("ta", "tb")).select("a", "b")), "stars")
+    owner, _ = materialize(unique.join(linked.withColumnRenamed("node", "id"), "id", "left").select(*WORDS, "n", F.coalesce("root", "id").alias("root")), "owners")
+    release(spark, path, pair_path, text_path, star_path)
+    return _spread_join(prints, owner, WORDS, ["root"]).select("row", "root")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: its smallest id.
+
+    Near copies by :func:`near_copies`: five-word shingles, a Jaccard
+    similarity of 0.8 or more. Among rows of one id the one
+    written first stays; a row without an id stays only where none of its
+    group has one. All columns are kept, whatever their names.
+    """
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in WORDS))
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([wide_of(t) for t in texts], np.uint64).reshape(-1, WIDE)
+        return pd.DataFrame(found.view(np.int64), columns=WORDS)
+
     columns = docs.columns
-    row, fp = "__row", "__fp"
-    rows, _ = materialize(fingerprints(docs, "text", fp).withColumn(row, F.monotonically_increasing_id()), "dedup")
-    found = components(rows.select(F.col(row), "doc_id", F.col(fp).alias("fp")))
-    best = found.groupBy("root").agg(F.expr(f"min_by({row}, struct(doc_id is null, doc_id, {row}))").alias(row))
-    return rows.join(best.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    own_id, own_text = (f"c{columns.index(c)}__" for c in (doc_id, text))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}__") for k, c in enumerate(columns)], wide(F.col(text)).alias("wide__"))
+    rows, _ = materialize(named.withColumn("row__", F.monotonically_increasing_id()), "dedup")
+    found = near_copies(rows.select(F.col("row__").alias("row"), F.col(own_text).alias("text"), *[F.col(f"wide__.{c}").alias(c) for c in WORDS]))
+    with_id = found.withColumnRenamed("row", "row__").join(rows.select("row__", F.col(own_id).alias("id__")), "row__")
+    best = with_id.groupBy("root").agg(F.expr("min_by(row__, struct(id__ is null, id__, row__))").alias("row__"))
+    return rows.join(best.select("row__"), "row__", "left_semi").select(*[F.col(f"c{k}__").alias(c) for k, c in enumerate(columns)])

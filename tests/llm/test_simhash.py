@@ -59,6 +59,98 @@ def test_trie_join_equals_all_pairs():
         assert got == {(i, j) for i in range(len(values)) for j in range(len(other)) if bin(int(values[i]) ^ int(other[j])).count("1") <= 2}
 
 
+def test_trie_join_of_first_bits():
+    """Only the first bits count, some must agree, values may repeat."""
+    rng = random.Random(2)
+    for n in (0, 1, 40, 400):
+        values = np.array(sorted(rng.choice((0xABC, 0xABD, 0x123)) << 52 | rng.getrandbits(5) << 40 | rng.getrandbits(20) for _ in range(n)), np.uint64)
+        got = [(int(i), int(j)) for a, b in simhash.trie_join(values, None, 1, 12, 24) for i, j in zip(a, b)]
+        assert len(got) == len(set(got))
+        off = lambda i, j: int(values[i]) ^ int(values[j])
+        assert set(got) == {(i, j) for i, j in itertools.combinations(range(n), 2) if off(i, j) >> 52 == 0 and bin(off(i, j) >> 40).count("1") <= 1}
+
+
+def test_many_equal_values_are_paired_in_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    values = np.array([7 << 40] * 37 + [9 << 50] * 21, np.uint64)
+    got = [(int(i), int(j)) for a, b in simhash.trie_join(values, None, 1, 12, 24) for i, j in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in itertools.combinations(range(58), 2) if values[i] == values[j]}
+
+
+def test_least_spanning_forest():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n, m = 30, 60
+        a, b, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        picked, root = simhash.spanning(a, b, d, np.arange(n))
+        want, total = list(range(n)), 0
+        for k in np.argsort(d, kind="stable"):
+            if want[a[k]] != want[b[k]]:
+                total += d[k]
+                lo, hi = sorted((want[a[k]], want[b[k]]))
+                want = [lo if x == hi else x for x in want]
+        assert root.tolist() == want and d[picked].sum() == total and len(picked) == n - len(set(want))
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        out.append({b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set()))
+    return out
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_near_copies_by_brute_force(spark):
+    """Kept rows have no kept partner; dropped ones hang on links that are real."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rng = random.Random(6)
+    for k in range(60):  # copies with a few words changed, around the similarity that links
+        words = docs[7 * k].text.split()
+        for i in rng.sample(range(len(words)), max(1, len(words) // rng.choice((40, 60, 90, 150)))):
+            words[i] = f"other{rng.randrange(10**6)}"
+        docs.append((10_000 + k, " ".join(words)))
+    frame = spark.createDataFrame([tuple(d) for d in docs], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    ids, sets = [d[0] for d in docs], brute_sets([d[1] for d in docs])
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    for i, j in links:
+        parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(ids[i])
+    least = {min(g) for g in groups.values()}
+    assert least <= kept and len(links) > 100
+    assert len(kept - least) <= 0.03 * sum(len(g) - 1 for g in groups.values())
+    close = [(i, j) for i, j in links if jaccard(sets[i], sets[j]) >= 0.9]
+    assert all(ids[i] not in kept or ids[j] not in kept for i, j in close)
+
+
+def test_large_cluster_of_near_copies(spark, monkeypatch):
+    """More near copies than a group takes: dealt on, and still one stays."""
+    monkeypatch.setattr(simhash, "NEAR_LEAF", 50)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(400)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"y{k}x{i}" for i in range(60))) for k in range(50)]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0} | {1000 + k for k in range(50)}
+
+
 def test_join_labels():
     a, b = np.array([5, 4, 3, 9]), np.array([4, 3, 2, 8])
     assert join_labels(10, a, b).tolist() == [0, 1, 2, 2, 2, 2, 6, 7, 8, 8]
