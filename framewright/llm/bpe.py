@@ -11,8 +11,9 @@ The vocabulary is a word-end BPE of the ``tokenizers`` JSON layout: NFC,
 white space collapsed, lower case; words by a pattern; bytes as symbols.
 
 Defined cases: null and blank texts have no ids and decode to ''; strings of
-special tokens within a text are their ids, as the library reads them;
-repeated rows and ties need no rule; other columns pass by.
+special tokens within a text are their ids, as the library reads them; texts
+of any length are encoded whole; repeated rows and ties need no rule; other
+columns pass by, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 #: White space of Unicode, which str.split widens by \x1c to \x1f.
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Chunks and words a worker remembers; characters of texts taken at once.
-REMEMBER, AT_ONCE = 150_000, 1 << 21
+#: Chunks and words a worker remembers, and their characters; characters of
+#: texts taken at once.
+REMEMBER, REMEMBER_CHARS, AT_ONCE = 150_000, 1 << 24, 1 << 21
 _NONE = np.int64(2**62)
 
 
@@ -69,6 +71,7 @@ class WordBPE:
         self.merged = np.array([vocab[a + b] for a, b in pairs])
         self.kept_words: dict[str, list[int]] = {}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.kept_chars = 0
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -132,6 +135,7 @@ class WordBPE:
         new = list({w: None for words in cut for w in words if w not in self.kept_words})
         if new:
             self.kept_words.update(zip(new, self.merge([w.encode("utf-8", "replace") for w in new]), strict=True))
+        self.kept_chars += sum(map(len, chunks))
         for c, words in zip(chunks, cut, strict=True):
             ids = [i for w in words for i in self.kept_words[w]]
             self.kept[c] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)))
@@ -141,9 +145,10 @@ class WordBPE:
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, decimal ids and decoded text of each text."""
-        if len(self.kept) > REMEMBER or len(self.kept_words) > REMEMBER:
+        if len(self.kept) > REMEMBER or len(self.kept_words) > REMEMBER or self.kept_chars > REMEMBER_CHARS:
             self.kept.clear()
             self.kept_words.clear()
+            self.kept_chars = 0
         for s, i in self.special.items():
             self.kept[s] = (1, str(i), s)
         parts: list[list[str]] = []

@@ -12,8 +12,9 @@ A group leaves at most a few bins less than full, so the loss against one
 global packing is a fraction of a bin in thousands.
 
 Defined cases: a null text is empty and yields its end id alone; repeated rows
-are packed as often as they occur; an empty table gives no rows; other columns
-are ignored.
+are packed as often as they occur; ties in length go by place; very long texts
+are cut into full pieces; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ CAPACITY = 2048
 END = 0
 #: Pieces in one group of packing.
 GROUP = 8192
-#: Chunks whose ids a worker remembers; then it starts afresh.
-REMEMBER = 200_000
+#: Chunks whose ids a worker remembers, then it starts afresh; longer ones than
+#: so many characters are encoded each time.
+REMEMBER, LONGEST = 200_000, 256
 
 
 class ChunkEncoder:
@@ -71,9 +73,11 @@ class ChunkEncoder:
             try:
                 ids = kept[c]
             except KeyError:
-                if len(kept) >= REMEMBER:
-                    kept.clear()
-                ids = kept[c] = self._chunk(c)
+                ids = self._chunk(c)
+                if len(c) <= LONGEST:
+                    if len(kept) >= REMEMBER:
+                        kept.clear()
+                    kept[c] = ids
             if ids is None:
                 return self._whole(text)
             out.append(ids)
@@ -174,8 +178,8 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``found`` (with ``length``) and each row's sequence_id and offset.
 
-    Rows are dealt to groups by a hash of all their columns and a salt of
-    their place, so that equal rows don't meet in one group.
+    Rows are dealt to groups by a hash of their place, so that equal rows
+    don't meet in one group.
     """
     rows, _ = materialize(found.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.where(F.col("length") < capacity).count() // GROUP))

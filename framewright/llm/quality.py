@@ -6,12 +6,15 @@ a chunk is a feature, a chunk's features give a log odds, and the document's
 probability is that of the chunks' mean log odds.
 
 It is trained on the driver on a bounded sample: at most ``SAMPLE`` labelled
-documents of each label, those with the smallest hash of their id, from the
-training folds only. Scoring is row-wise in Arrow batches and never shuffles.
+documents of each label and ``SAMPLE_BYTES`` of text in all, those with the
+smallest hash of their id, from the training folds only. Scoring is row-wise in Arrow batches and never shuffles.
 
 Defined cases: null and empty texts are one chunk of padding and get a score
 like any other; with no labels, or one label only, every score is that label's
-share (0.5 with none); repeated label rows count once an id.
+share (0.5 with none); repeated label rows count once an id (the higher label),
+of rows of one id the shortest text trains; very long texts are scored whole,
+but don't train where they exceed what is left of the sample's bytes; equal
+texts score alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from framewright.llm.shared import bucket, raw
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 4, 16
-#: Labelled documents of each label that training may take.
-SAMPLE = 1000
+#: Labelled documents of each label that training may take, and their bytes.
+SAMPLE, SAMPLE_BYTES = 1000, 64 << 20
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -150,9 +153,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     by_id = {r["doc_id"]: r["quality"] for r in chosen}
     if not by_id:
         return []
-    found = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in by_id], docs.select("doc_id").schema)), "doc_id", "left_semi")
-    best = found.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return [(r["text"], int(by_id[r["doc_id"]])) for r in best]
+    spark, key = docs.sparkSession, docs.select("doc_id").schema
+    size = F.min(F.octet_length(F.coalesce("text", F.lit("")))).alias("size")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    room, some = SAMPLE_BYTES, []
+    of = lambda ids: texts.join(F.broadcast(spark.createDataFrame([(d,) for d in ids], key)), "doc_id", "left_semi")
+    for r in of(by_id).groupBy("doc_id").agg(size).orderBy(*order).collect():  # ids and sizes of at most two samples
+        if r["size"] <= room:
+            room -= r["size"]
+            some.append(r["doc_id"])
+    if not some:
+        return []
+    best = of(some).withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).groupBy("doc_id").agg(F.min_by("text", F.struct("size", "text")).alias("text"))
+    return [(r["text"], int(by_id[r["doc_id"]])) for r in best.orderBy(*order).collect()]
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ConvNet:

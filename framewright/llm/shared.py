@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions.tables import release, shared_dir
 from framewright.functions.tables import write as materialize
 
-__all__ = ["WORD", "bucket", "join_labels", "lengths_of", "materialize", "raw", "release", "shared_dir", "table"]
+__all__ = ["WORD", "bucket", "fresh", "join_labels", "lengths_of", "materialize", "raw", "release", "shared_dir", "table"]
 
 #: What separates words everywhere in this subpackage: ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores more as make it new to ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; the id null counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
