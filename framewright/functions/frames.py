@@ -32,6 +32,42 @@ def frame_type(code: Column) -> Column:
     return F.when(code.isin(*MANAGEMENT), "Management").when(code.isin(*CONTROL), "Control").when(code.isin(*DATA), "Data").otherwise("Other")
 
 
+# Protocols by group; names of the 802.11 header itself have none.
+HEADER_ONLY = ("802.11", "WLAN", "MNGT", "CTRL")
+PROTOCOLS = {
+    "auth": "EAPOL EAP RSN WPS EAP-TLS EAP-PEAP EAP-TTLS EAP-MD5 EAP-MSCHAPV2",
+    "l2l3": "ARP RARP LLC ICMP ICMPV6 IGMP IGMPV3 STP RSTP MSTP LLDP CDP VTP DTP OAM GRE ESP AH PIM OSPF EIGRP ISIS BGP RIP HSRP VRRP MPLS VXLAN GENEVE",
+    "tcp": "TCP HTTP HTTPS HTTP2 SSH SSHV2 TLS SSL FTP FTP-DATA SMTP SMTPS POP POP3 IMAP IMAPS RDP VNC TELNET HTTP/JSON HTTP/XML MSRPC SMB SMB2 SMB3 NBSS WEBSOCKET IRC NNTP MYSQL PGSQL POSTGRES REDIS MONGO MONGODB MSSQL ORACLE KAFKA RTMP AMQP MQTT XMPP STOMP GIT RSYNC SVN GRAPHQL GRPC TDS",
+    "udp": "UDP QUIC DNS MDNS NBNS BROWSER NETBIOS DHCP DHCPV6 NTP SNTP SNMP TFTP RTP RTCP SSDP LLMNR WSD COAP BACNET OPENVPN WIREGUARD L2TP IPSEC RADIUS TACACS TACACS+ SIP RTSP SRTP",
+}
+
+
+def frame_category(code: Column) -> Column:
+    """mgmt, ctrl, data by the range of the code, else other."""
+    return F.when(code.between(0, 15), "mgmt").when(code.between(16, 31), "ctrl").when(code.between(32, 47), "data").otherwise("other")
+
+
+def protocol_category(protocol: Column) -> Column:
+    """Group of a protocol, header_only for the 802.11 header, else other."""
+    name = F.upper(F.coalesce(protocol, F.lit("")))
+    found = F.when(name.isin(*HEADER_ONLY), "header_only")
+    for group, names in PROTOCOLS.items():
+        found = found.when(name.isin(*names.split()), group)
+    return found.otherwise("other")
+
+
+def time_short(stamp: Column) -> Column:
+    """The first word of a time text with two colons and a point, cut to 15
+    characters; a text without one stays as it is."""
+    words = F.filter(F.split(stamp, " "), lambda w: w.contains(".") & (F.length(w) - F.length(F.replace(w, F.lit(":"), F.lit(""))) == 2))
+    return F.coalesce(F.left(F.get(words, F.lit(0)), F.lit(15)), stamp)
+
+
+def retry_units(value: Column) -> Column:
+    """A flag or a count of retries as a count; negative and missing are none."""
+    return F.greatest(F.coalesce(value.cast("int"), F.lit(0)), F.lit(0))
+
+
 def is_request() -> Column:
     """An ICMP echo request."""
     return F.col("icmp_type") == ICMP_REQUEST

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
+from framewright.functions import thresholds as L
 from framewright.functions.tables import settled
 from framewright.operators import ping, roaming, signals, stats
 from framewright.operators.joins import SECOND, islands, slices
@@ -55,26 +56,78 @@ def evidence_refs(frames: DataFrame) -> DataFrame:
 
 
 def health_score(frames: DataFrame) -> DataFrame:
-    """Retry, loss and roaming scores and their weighted mean; nulls drop out."""
-    over = frames.agg((100 * one_if(F.col("retry")) / F.count("*")).alias("retry_pct"))
-    loss = ping.statuses(frames).agg((100 * one_if(F.col("status") == "loss") / F.nullif(one_if(F.col("status").isNotNull()), F.lit(0))).alias("loss_pct"))
-    slow = roaming.slow_roams(frames).where("is_slow is not null").agg((100 * one_if(F.col("is_slow")) / F.nullif(F.count("*"), F.lit(0))).alias("slow_pct"))
+    """Retry, loss and roaming scores and their weighted mean; nulls drop out.
+
+    Without roams nothing is wrong with them; roams that nothing is known of
+    count in no score.
+    """
+    over = frames.agg(percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"))
+    loss = ping.totals(frames).select("loss_pct")
+    slow = roaming.slow_roams(frames).agg(F.count("*").alias("roams"), one_if(F.col("slow_basis").isNotNull()).alias("decided"), one_if(F.col("is_slow")).alias("slow"))
     one = over.crossJoin(loss).crossJoin(slow)  # one row each
-    fall = lambda c, k: F.greatest(F.lit(0.0), 100 - k * F.col(c))
-    parts = [(F.when(F.col(c).isNotNull(), fall(c, k)), w) for c, k, w in (("retry_pct", 5, 0.3), ("loss_pct", 10, 0.4), ("slow_pct", 2, 0.3))]
+    slow_pct = F.when(F.col("roams") == 0, 0.0).when(F.col("decided") > 0, 100 * F.col("slow") / F.col("decided"))
+    fall = lambda x, k: F.when(x.isNotNull(), F.greatest(F.lit(0.0), 100 - k * x))
+    parts = [(fall(F.col("retry_pct"), 5), 0.3), (fall(F.col("loss_pct"), 10), 0.4), (fall(slow_pct, 2), 0.3)]
     weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
     total = sum((F.coalesce(x, F.lit(0.0)) * w for x, w in parts), F.lit(0.0)) / F.nullif(weight, F.lit(0.0))
-    grade = F.when(total >= 80, "good").when(total >= 60, "fair").when(total.isNotNull(), "poor")
-    return one.select(*[F.round(x, 6).alias(n) for (x, _), n in zip(parts, ("retry_score", "loss_score", "roam_score"), strict=True)], F.round(total, 4).alias("score"), grade.alias("grade"))
+    score = F.bround(total, 0).cast("int")
+    grade = F.when(score >= 80, "green").when(score >= 60, "yellow").when(score.isNotNull(), "red")
+    return one.select(*[F.round(x, 6).alias(n) for (x, _), n in zip(parts, ("retry_score", "loss_score", "roam_score"), strict=True)], score.alias("score"), grade.alias("grade"))
 
 
 def sta_scores(frames: DataFrame) -> DataFrame:
-    """Scores of stations from retries and signal."""
-    s = frames.where(F.col("ta").isNotNull()).groupBy(F.col("ta").alias("sta")).agg((100 * one_if(F.col("retry")) / F.count("*")).alias("r"), F.avg("rssi").alias("s"))
+    """Scores of stations from retries, signal and roaming, and their mean."""
+    sta = settled(roaming.stations(frames), "stations")
+    ends = frames.select(F.explode(F.array("ta", "ra")).alias("sta"), "retry").join(sta, "sta", "left_semi").groupBy("sta").agg(percent(one_if(F.col("retry")), F.count("*"), 1).alias("r"))
+    heard = frames.groupBy(F.col("ta").alias("sta")).agg(F.avg("rssi").alias("s"))
+    roams = roaming.slow_roams(frames, sta).groupBy("sta").agg(one_if(F.col("slow_basis").isNotNull()).alias("decided"), one_if(F.col("is_slow")).alias("slow"))
+    all_ = ends.join(heard, "sta", "left").join(roams, "sta", "left")
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    retry, rssi = clip(100 - 5 * F.col("r")), clip((F.col("s") + 90) * 2.5)
-    both = F.when(F.col("s").isNotNull(), (0.35 * retry + 0.35 * rssi) / 0.7).otherwise(retry)
-    return s.select("sta", F.round(retry, 6).alias("retry_score"), F.round(rssi, 6).alias("rssi_score"), F.round(both, 4).alias("score"))
+    roam = F.when(F.col("decided").isNull(), 100.0).when(F.col("decided") > 0, F.greatest(F.lit(0.0), 100 - 200 * F.col("slow") / F.col("decided")))
+    parts = [(clip(100 - 5 * F.col("r")), 0.35, "retry_score"), (F.when(F.col("s").isNotNull(), clip((F.col("s") + 90) * 2.5)).otherwise(100.0), 0.35, "rssi_score"), (roam, 0.3, "roam_score")]
+    weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w, _ in parts), F.lit(0.0))
+    total = sum((F.coalesce(x, F.lit(0.0)) * w for x, w, _ in parts), F.lit(0.0)) / weight
+    return all_.select("sta", *[F.round(x, 6).alias(n) for x, _, n in parts], F.bround(F.round(total, 9), 0).cast("int").alias("score"))
+
+
+def conclusions(frames: DataFrame) -> DataFrame:
+    """What can be said of each station, each with the frames it rests on.
+
+    Codes: ping_loss, retry_high or retry_some, weak_signal, retry_peak (over
+    3000 retries in a minute), many_roams (over 3 authentications), normal;
+    and what to do: advise_retry, advise_roaming, advise_ping. ``value`` is the
+    measure, ``refs`` how many of the frames (at most a hundred) are listed.
+    """
+    sta = settled(roaming.stations(frames), "stations")
+    own = frames.select(F.explode(F.array_distinct(F.array("ta", "ra"))).alias("sta"), "number", "epoch_us", "retry", "rssi", "subtype", "ta", P.is_request().alias("ask"), F.col("ip_src").alias("src"), F.col("ip_dst").alias("dst"), "icmp_seq").join(sta, "sta", "left_semi")
+    told = ping.statuses(frames).where(F.col("status").isNotNull()).groupBy("src", "dst", "icmp_seq").agg(F.max(F.col("status") != "loss").alias("answered"))
+    sent = F.col("ask") & ~F.col("retry")
+    own = settled(own.join(told, ["src", "dst", "icmp_seq"], "left").select("sta", "number", "epoch_us", "retry", "rssi", F.floor(F.col("epoch_us") / (60 * SECOND)).alias("minute"), ((F.col("subtype") == 11) & (F.col("ta") == F.col("sta"))).alias("auth"), F.coalesce(sent & ~F.col("answered"), F.lit(False)).alias("lost"), F.coalesce(sent & F.col("answered"), F.lit(False)).alias("met")), "conclusions")
+    minutes = own.where("retry").groupBy("sta", "minute").agg(F.count("*").alias("k")).groupBy("sta").agg(F.max("k").alias("peak"), F.max_by("minute", F.struct("k", -F.col("minute"))).alias("peak_minute"))
+    sums = own.groupBy("sta").agg(F.count("*").alias("n"), one_if(F.col("retry")).alias("retries"), F.min("rssi").alias("low"), one_if(F.coalesce(F.col("auth"), F.lit(False))).alias("auths"), one_if(F.col("lost")).alias("lost"), one_if(F.col("met")).alias("met")).join(minutes, "sta", "left")
+    share = 100 * F.col("retries") / F.col("n")
+    some = lambda when, value: F.when(when, value.cast("double"))
+    weak, loss, auths, peak = F.col("low") < L.RSSI_DBM[1], F.col("lost") > 0, F.col("auths"), F.coalesce("peak", F.lit(0))
+    high, warn = share > L.RETRY_PERCENT[1], share.between(L.RETRY_PERCENT[0], L.RETRY_PERCENT[1]) & (share > L.RETRY_PERCENT[0])
+    quiet = ~(loss | high | warn | F.coalesce(weak, F.lit(False)) | (peak > 3000) | (auths > 3))
+    worse, roams = loss & (share > 2 * L.RETRY_PERCENT[1]), loss & (auths > 2)
+    rules = [
+        ("ping_loss", "WARNING", some(loss, 100 * F.col("lost") / (F.col("lost") + F.col("met"))), F.col("lost_")),
+        ("retry_high", "WARNING", some(high, share), F.col("retry")),
+        ("retry_some", "INFO", some(warn, share), F.col("retry")),
+        ("weak_signal", "WARNING", some(weak, F.col("low")), F.col("rssi") < L.RSSI_DBM[1]),
+        ("retry_peak", "WARNING", some(peak > 3000, peak), F.col("retry") & (F.col("minute") == F.col("peak_minute"))),
+        ("many_roams", "INFO", some(auths > 3, auths), F.col("auth")),
+        ("normal", "INFO", some(quiet, F.col("n")), F.lit(True)),
+        ("advise_retry", "WARNING", some(worse, share), F.col("lost_") | F.col("retry")),
+        ("advise_roaming", "WARNING", some(roams, auths), F.col("lost_") | F.col("auth")),
+        ("advise_ping", "WARNING", some(loss & ~worse & ~roams, F.col("lost")), F.col("lost_")),
+    ]
+    said = sums.select("sta", "peak_minute", F.explode(F.array(*[F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), F.round(value, 6).alias("value")) for code, level, value, _ in rules])).alias("c")).select("sta", "peak_minute", "c.*").where(F.col("value").isNotNull())
+    on = F.filter(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(code)) for code, _, _, hit in rules]), lambda c: c.isNotNull())
+    rows = own.withColumnRenamed("lost", "lost_").join(sums.select("sta", "peak_minute"), "sta").select("sta", "number", "epoch_us", F.explode(on).alias("code"))
+    seen = rows.groupBy("sta", "code").agg(F.count("*").alias("k"), F.min("epoch_us").alias("start_us"), F.max("epoch_us").alias("end_us"), F.min(F.struct("epoch_us", "number")).alias("first"))
+    return said.join(seen, ["sta", "code"]).select("sta", "code", "level", "value", F.least(F.col("k"), F.lit(REFS)).cast("long").alias("refs"), F.col("first.number").alias("first_ref"), "start_us", "end_us")
 
 
 def issues(frames: DataFrame) -> DataFrame:

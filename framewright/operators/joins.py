@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
-from framewright.functions.tables import settled
-
 SECOND = 1_000_000
 #: Time that one window's partition spans in :func:`carried`.
 CHUNK_US = 600 * SECOND
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], at: str, low: int, high: int, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, on: list[str], at: str, low: int, high: int) -> DataFrame:
     """Rows whose ``right.at`` lies in ``[left.t + low, left.t + high]``.
 
     ``left`` has its time as ``t``; both share the columns ``on`` (null keys
@@ -28,15 +26,14 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], at: str, low: i
     width = max(1, high - low)
     bucket = lambda x: F.floor(x / width).cast("long")
     wide = left.withColumn("__b", F.explode(F.sequence(bucket(F.col("t") + low), bucket(F.col("t") + high))))
-    keyed = right.withColumn("__b", bucket(F.col(at)))
-    if how == "inner":
-        hit = wide.join(keyed, [*on, "__b"]).drop("__b")
-        return hit.where(F.col(at).between(F.col("t") + low, F.col("t") + high))
-    if how == "left":
-        found = range_join(left, right, on, at, low, high)
-        extra = [c for c in right.columns if c not in on]
-        return left.join(found, left.columns, "left").select(*left.columns, *extra)
-    raise ValueError(how)
+    hit = wide.join(right.withColumn("__b", bucket(F.col(at))), [*on, "__b"]).drop("__b")
+    return hit.where(F.col(at).between(F.col("t") + low, F.col("t") + high))
+
+
+def _chunked(rows: DataFrame, keys: list[str], order: list[str], chunk_us: int) -> DataFrame:
+    """Rows with their key as one column (nulls in it equal each other, and
+    windows, sums and joins on it share one shuffle) and their chunk of time."""
+    return rows.withColumns({"__k": F.struct(*keys), "__chunk": F.floor(F.col(order[0]) / chunk_us).cast("long")})
 
 
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, inclusive: bool = True, chunk_us: int = CHUNK_US) -> DataFrame:
@@ -47,30 +44,61 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     goes from chunk to chunk is one row a chunk, so that neither a busy key
     nor a long capture is one task's work.
     """
-    cut = rows.withColumn("__v", value).withColumn("__chunk", F.floor(F.col(order[0]) / chunk_us).cast("long"))
-    within = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    last = cut.groupBy(*keys, "__chunk").agg(F.expr(f"max_by(__v, struct({', '.join(order)})) filter (where __v is not null)").alias("__last"))
-    over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = last.select(*keys, "__chunk", F.last("__last", ignorenulls=True).over(over).alias("__before"))
+    cut = _chunked(rows.withColumn("__v", value), keys, order, chunk_us)
+    within = Window.partitionBy("__k", "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    last = cut.groupBy("__k", "__chunk").agg(F.expr(f"max_by(__v, struct({', '.join(order)})) filter (where __v is not null)").alias("__last"))
+    over = Window.partitionBy("__k").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("__k", "__chunk", F.last("__last", ignorenulls=True).over(over).alias("__before"))
     local = cut.withColumn("__local", F.last("__v", ignorenulls=True).over(within))
-    same = [local[k].eqNullSafe(before[k]) for k in [*keys, "__chunk"]]
-    met = same[0]
-    for s in same[1:]:
-        met = met & s
-    return local.join(before, met).select(*[local[c] for c in rows.columns], F.coalesce("__local", "__before").alias(name))
+    return local.join(before, ["__k", "__chunk"]).select(*rows.columns, F.coalesce("__local", "__before").alias(name))
 
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], gap_us: int, name: str = "island", at_least: bool = False) -> DataFrame:
     """Numbers runs without a pause: the time each run began.
 
-    A pause is longer than ``gap_us`` (with ``at_least``: that long). Rows are
-    settled first, since the two look-backs read them four times.
+    A pause is longer than ``gap_us`` (with ``at_least``: that long). One pass:
+    pauses within a chunk of time come from a window over it, and the edges of
+    chunks, a row each, tell whether a chunk begins a run or goes on with the
+    one before.
+    """
+    t = F.col(order[0])
+    cut = _chunked(rows, keys, order, CHUNK_US)
+    by = Window.partitionBy("__k", "__chunk").orderBy(*order)
+    broken = (lambda wait: wait >= gap_us) if at_least else (lambda wait: wait > gap_us)
+    marked = cut.withColumn("__start", F.when(broken(t - F.lag(t).over(by)), t))
+    local = marked.withColumn("__local", F.last("__start", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edges = local.groupBy("__k", "__chunk").agg(F.min(t).alias("__first"), F.max(t).alias("__end"), F.max("__start").alias("__last"))
+    over = Window.partitionBy("__k").orderBy("__chunk")
+    wait = F.col("__first") - F.lag("__end").over(over)
+    fresh = edges.withColumn("__fresh", F.when(wait.isNull() | broken(wait), F.col("__first")))
+    before = F.last(F.coalesce("__last", "__fresh"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    entry = fresh.select("__k", "__chunk", F.coalesce("__fresh", before).alias("__entry"))
+    return local.join(entry, ["__k", "__chunk"]).select(*rows.columns, F.coalesce("__local", "__entry").alias(name))
+
+
+def numbered(rows: DataFrame, slice_us: int = CHUNK_US) -> DataFrame:
+    """Rows (epoch_us, source, number) and their ``rank`` in capture order.
+
+    From 1 on: a rank within a slice of time and the size of all slices before
+    it, so no single task sorts the capture.
+    """
+    cut = rows.withColumn("__s", F.floor(F.col("epoch_us") / slice_us))
+    sizes = cut.groupBy("__s").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__s").alias("__b"), (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__s").orderBy("epoch_us", "source", "number"))
+    return cut.withColumn("__r", place).join(before, F.col("__s").eqNullSafe(F.col("__b"))).select(*rows.columns, (F.col("__r") + F.col("__before")).alias("rank"))
+
+
+def by_rank(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Values at places (from 0, as columns over ``n``) of each group's order.
+
+    Counts of distinct values add up along the order, so that a group's rows
+    are never in one task, only its distinct values.
     """
-    t, rows = F.col(order[0]), settled(rows, "runs")
-    known = carried(rows, keys, order, t, "__prev", inclusive=False)
-    pause = t - F.col("__prev")
-    starts = F.col("__prev").isNull() | ((pause >= gap_us) if at_least else (pause > gap_us))
-    return carried(known.withColumn("__start", F.when(starts, t)), keys, order, F.col("__start"), name).drop("__prev", "__start")
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    line = Window.partitionBy(*keys).orderBy(value)
+    upto = counts.withColumns({"__upto": F.sum("__c").over(line), "n": F.sum("__c").over(Window.partitionBy(*keys))})
+    return upto.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
 
 def slices(runs: DataFrame, keys: list[str], fan: int = 1, slice_us: int = CHUNK_US) -> GroupedData:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.operators.joins import SECOND, islands, range_join, slices
+from framewright.functions.tables import settled
+from framewright.operators.joins import SECOND, by_rank, islands, numbered, range_join, slices
 from framewright.operators.stats import one_if, percent, second
 
 # Duplicate window, live groups of a key, least pairs of an
@@ -21,13 +21,11 @@ FILLED = ("ip_src", "ip_dst", "icmp_type", "icmp_seq", "icmp_ident", "arp_opcode
 GENERIC = ("802.11", None)
 
 
-def _by_rank(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of ``d`` and IQR by integer index of each group's pairs."""
-    ds = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("ds"), F.count("*").alias("n"))
-    at = lambda k: F.element_at("ds", (k + 1).cast("int"))
+def _middle(pairs: DataFrame) -> DataFrame:
+    """Number, median and spread (by integer places) of each source's ``d``."""
     n = F.col("n")
-    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    return ds.select(*keys, "n", middle.alias("offset_us"), F.when(n >= 4, at(F.floor(3 * n / 4)) - at(F.floor(n / 4))).alias("iqr_us"))
+    at = by_rank(pairs, ["source"], "d", {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "q1": F.floor(n / 4), "q3": F.floor(3 * n / 4)})
+    return at.where(n >= LEAST_PAIRS).select("source", n.alias("pairs"), ((F.col("low") + F.col("high")) / 2).alias("offset_us"), F.when(n >= 4, F.col("q3") - F.col("q1")).otherwise(0).alias("iqr_us"))
 
 
 def tsf_pairs(frames: DataFrame, reference: str = "w1") -> DataFrame:
@@ -41,14 +39,8 @@ def tsf_pairs(frames: DataFrame, reference: str = "w1") -> DataFrame:
 
 
 def tsf_offset(frames: DataFrame, reference: str = "w1") -> DataFrame:
-    """Clock offset of each source to the reference, from ten beacons on.
-
-    The median comes from a quantile over all pairs, which Spark merges from
-    partial counts of distinct offsets.
-    """
-    pairs = tsf_pairs(frames, reference)
-    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by d)")
-    return pairs.groupBy("source").agg(F.count("*").alias("pairs"), F.round(F.median("d"), 3).alias("offset_us"), at(0.25).cast("long").alias("q1_us"), at(0.75).cast("long").alias("q3_us")).where(F.col("pairs") >= LEAST_PAIRS)
+    """Clock offset of each source to the reference, from ten beacons on."""
+    return _middle(tsf_pairs(frames, reference))
 
 
 def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +64,7 @@ def seq_offset(frames: DataFrame, reference: str = "w1") -> DataFrame:
     # Pairs of a key are cut by pauses, so that a number used all day is many small groups.
     runs = islands(near.withColumn("at", F.col("t")), [*keys, "source"], ["at", "ref_num", "oth_num"], 2 * REACH_US)
     found = slices(runs, [*keys, "source"], 16).applyInPandas(_nearest, "source string, d long")
-    return _by_rank(found, ["source"]).where(F.col("n") >= LEAST_PAIRS).select("source", F.col("n").alias("pairs"), "offset_us", "iqr_us")
+    return _middle(found)
 
 
 def aligned(frames: DataFrame, reference: str = "w1") -> DataFrame:
@@ -129,20 +121,29 @@ def dedup(frames: DataFrame) -> DataFrame:
     Copies agree on sender, sequence number, subtype and retry flag (without a
     number: on subtype, a peer and the flag). A group holds each source once
     and its window starts at its first frame. Runs of a key end at pauses
-    beyond the window, after which no group can take a frame.
+    beyond the window, after which no group can take a frame; a run of one
+    source has nothing to merge and passes as it is, others are folded.
     """
     seq = F.col("seq").isNotNull()
     peer = F.when(seq, F.col("ta")).otherwise(F.coalesce("ta", "ra"))
     keyed = frames.withColumns({"k1": F.coalesce(peer, F.lit("")), "k2": F.coalesce("seq", F.lit(-1)), "k3": F.coalesce("subtype", F.lit(-1)), "k4": F.coalesce("retry", F.lit(False))})
-    keys = ["k1", "k2", "k3", "k4"]
+    keys, columns = ["k1", "k2", "k3", "k4"], frames.columns
     runs = islands(keyed, keys, ["epoch_us", "source", "number"], WINDOW_US)
+    by = Window.partitionBy(*keys, "island")
+    told = settled(runs.withColumn("mixed", F.min("source").over(by) != F.max("source").over(by)), "runs")
+    alone = told.where(~F.col("mixed")).select(*columns, F.col("source").alias("sources"))
     fields = T.StructType([*frames.schema.fields, T.StructField("sources", T.StringType())])
-    columns = frames.columns
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _merged(rows[[*columns, *keys]])[[*columns, "sources"]]
 
-    return slices(runs, keys, 16).applyInPandas(merge, fields)
+    return alone.unionByName(slices(told.where("mixed").drop("mixed"), keys, 16).applyInPandas(merge, fields))
+
+
+def summary(merged: DataFrame) -> DataFrame:
+    """What a merge came to: span, kept frames, duplicates, coverage."""
+    heard = F.size(F.split("sources", ","))
+    return merged.agg(F.min("epoch_us").alias("start_us"), F.max("epoch_us").alias("end_us"), F.count("*").alias("kept"), F.sum(heard - 1).cast("long").alias("duplicates"), one_if(heard > 1).alias("shared"), one_if(heard == 1).alias("alone"))
 
 
 def coverage(merged: DataFrame) -> DataFrame:
@@ -155,19 +156,6 @@ def sniffer_compare(frames: DataFrame) -> DataFrame:
     return frames.groupBy("source", second().alias("sec")).agg(F.count("*").alias("total"), one_if(F.col("retry")).alias("retry"), percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"), F.round(F.avg("rssi"), 6).alias("avg_rssi"))
 
 
-def renumbered(merged: DataFrame, parts_us: int = 600 * SECOND) -> DataFrame:
-    """Frames numbered 1..n in order of time, the old number kept.
-
-    Numbers are a rank within a slice of time and the size of all slices
-    before it, so no single task sorts the capture.
-    """
-    from pyspark.sql import Window
-
-    cut = merged.withColumn("__s", F.floor(F.col("epoch_us") / parts_us))
-    sizes = cut.groupBy("__s").agg(F.count("*").alias("__n"))
-    before = sizes.select("__s", (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__s").orderBy("epoch_us", "source", "number"))
-    ranked = cut.withColumn("__r", rank).join(before, "__s")
-    return ranked.withColumn("orig_number", F.col("number")).withColumn("number", (F.col("__r") + F.col("__before")).cast("long")).drop("__s", "__n", "__before", "__r")
-
-
+def renumbered(merged: DataFrame) -> DataFrame:
+    """Frames numbered 1..n in order of time, the old number kept."""
+    return numbered(merged).withColumns({"orig_number": F.col("number"), "number": F.col("rank").cast("long")}).drop("rank")

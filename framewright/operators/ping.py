@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
 from framewright.functions.tables import settled
-from framewright.operators.joins import SECOND, islands, range_join
+from framewright.operators.joins import SECOND, islands, range_join, slices
 from framewright.operators.stats import one_if, percent, second
 
 # Reply window and timeout, widest gap of sequence numbers
@@ -34,11 +35,16 @@ def echoes(frames: DataFrame) -> DataFrame:
     )
 
 
-def kept_anchor(times: Column, window_us: int) -> Column:
-    """Of sorted times, those at least a window after the last one kept."""
-    start = F.array().cast("array<bigint>")
-    keep = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= window_us), F.concat(acc, F.array(t))).otherwise(acc)
-    return F.aggregate(times, start, keep)
+def _first_sends(rows: pd.DataFrame, keys: list[str], window_us: int) -> pd.DataFrame:
+    """Rows of runs that are a window or more after the last one kept."""
+    line = rows.sort_values([*keys, "epoch_us", "number"], kind="stable", na_position="first")
+    same = line[keys].fillna("").astype(str).agg("\0".join, axis=1).to_numpy()
+    keep, held, last = [], None, 0
+    for key, t in zip(same, line["epoch_us"].tolist()):
+        keep.append(key != held or t - last >= window_us)
+        if keep[-1]:
+            held, last = key, t
+    return line[keep]
 
 
 def dedup(frames: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
@@ -46,18 +52,19 @@ def dedup(frames: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
 
     Kept rows anchor the window, so a chain of repeats is not followed. Rows
     are first cut where nothing came for a whole window, which always starts
-    anew; the fold then sees one short run each. The result is a table, as
-    every use reads it more than once.
+    anew. A run shorter than the window keeps its first row; only longer ones,
+    of numbers that keep repeating, are gone through in order. The result is a
+    table, as every use reads it more than once.
     """
-    rows = echoes(frames)
-    keys = ["side", *FLOW, "icmp_seq"]
-    runs = islands(rows, keys, ["epoch_us", "number"], window_us, at_least=True)
-    sorted_times = F.sort_array(F.collect_list("epoch_us"))
-    kept = runs.groupBy(*keys, "island").agg(kept_anchor(sorted_times, window_us).alias("kept"), F.sort_array(F.collect_list(F.struct("epoch_us", "number", "retry", "sta", "rssi"))).alias("rows"))
-    # The anchors rise strictly; the first row of an anchor's time is the one kept.
-    each = kept.select(*keys, F.explode("kept").alias("at"), "rows")
-    row = F.element_at(F.filter("rows", lambda r: r["epoch_us"] == F.col("at")), 1)
-    return settled(each.select(*keys, row.alias("r")).select(*keys, "r.*"), "echoes")
+    keys, columns = ["side", *FLOW, "icmp_seq"], ["epoch_us", "number", "retry", "sta", "rssi"]
+    runs = islands(echoes(frames), keys, ["epoch_us", "number"], window_us, at_least=True)
+    by = Window.partitionBy(*keys, "island")
+    told = runs.withColumns({"long": F.max("epoch_us").over(by) - F.col("island") >= window_us, "first": F.row_number().over(by.orderBy("epoch_us", "number")) == 1})
+    short = told.where(~F.col("long") & F.col("first")).select(*keys, *columns)
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    chains = slices(told.where("long").select(*keys, *columns, "island"), keys, 16)
+    kept = chains.applyInPandas(lambda part: _first_sends(part, keys, window_us)[[*keys, *columns]], ", ".join(f"{c} {kinds[c]}" for c in (*keys, *columns)))
+    return settled(short.unionByName(kept), "echoes")
 
 
 def _paired(events: Column, window_us: int) -> Column:
@@ -84,16 +91,23 @@ def matches(frames: DataFrame, window_us: int = WINDOW_US, timeout_us: int = TIM
 def matched(rows: DataFrame, window_us: int = WINDOW_US, timeout_us: int = TIMEOUT_US) -> DataFrame:
     """As :func:`matches`, from first sends.
 
-    Pairs are one to one, the earliest request first. Events of a key are cut
-    where nothing came for more than a window, so each fold is short.
+    First sends of a key are a window apart, so the first reply within the
+    window is a request's own, except where one comes exactly a window after
+    it, as another request's would at once: such keys are paired in order, one
+    to one, the earliest request first.
     """
     keys = [*FLOW, "icmp_seq"]
-    event = F.struct(F.col("epoch_us").alias("t"), F.when(F.col("side") == "req", 0).otherwise(1).alias("side"), "number")
-    runs = islands(rows, keys, ["epoch_us", "side", "number"], window_us)
-    pairs = runs.groupBy(*keys, "island").agg(F.explode(_paired(F.sort_array(F.collect_list(event)), window_us)).alias("p")).select(F.col("p.req").alias("req_num"), F.col("p.rep").alias("rep_num"), F.col("p.at").alias("rep_us"))
     req = rows.where("side = 'req'").select(*keys, "epoch_us", F.col("number").alias("req_num"), "sta", "retry", "rssi")
+    asked = req.select(*keys, F.col("epoch_us").alias("t"), "req_num")
+    rep = rows.where("side = 'rep'").select(*keys, F.col("epoch_us").alias("rep_us"), F.col("number").alias("rep_num"))
+    near = range_join(asked, rep, keys, "rep_us", 0, window_us)
+    edge = near.where(F.col("rep_us") - F.col("t") == window_us).select(*keys).distinct()
+    plain = near.join(edge, keys, "left_anti").groupBy("req_num").agg(F.min(F.struct("rep_us", "rep_num")).alias("r")).select("req_num", F.col("r.rep_num").alias("rep_num"), F.col("r.rep_us").alias("rep_us"))
+    event = F.struct(F.col("epoch_us").alias("t"), F.when(F.col("side") == "req", 0).otherwise(1).alias("side"), "number")
+    runs = islands(rows.join(edge, keys, "left_semi"), keys, ["epoch_us", "side", "number"], window_us)
+    chained = runs.groupBy(*keys, "island").agg(F.explode(_paired(F.sort_array(F.collect_list(event)), window_us)).alias("p")).select(F.col("p.req").alias("req_num"), F.col("p.rep").alias("rep_num"), F.col("p.at").alias("rep_us"))
     rtt = F.col("rep_us") - F.col("epoch_us")
-    return req.join(pairs, "req_num", "left").select(*keys, "epoch_us", "req_num", "sta", "retry", "rssi", "rep_num", rtt.alias("rtt_us"), F.when(rtt <= timeout_us, "matched").when(rtt.isNotNull(), "late").alias("status"))
+    return req.join(plain.unionByName(chained), "req_num", "left").select(*keys, "epoch_us", "req_num", "sta", "retry", "rssi", "rep_num", rtt.alias("rtt_us"), F.when(rtt <= timeout_us, "matched").when(rtt.isNotNull(), "late").alias("status"))
 
 
 def statuses(frames: DataFrame) -> DataFrame:
@@ -139,8 +153,66 @@ def seq_gap_loss(rows: DataFrame) -> DataFrame:
 def gap_losses(frames: DataFrame) -> DataFrame:
     """:func:`seq_gap_loss` over flows of which one side alone was seen."""
     rows = dedup(frames)
-    sides = rows.groupBy(*FLOW).agg(F.count_distinct("side").alias("sides")).where("sides = 1")
-    return seq_gap_loss(rows.join(sides, FLOW, "left_semi"))
+    sides = rows.groupBy(*FLOW).agg(F.min("side").alias("one"), F.max("side").alias("other")).where("one = other")
+    direction = sides.select(*FLOW, F.when(F.col("one") == "req", "request").otherwise("reply").alias("direction"))
+    return seq_gap_loss(rows.join(sides, FLOW, "left_semi")).join(direction, FLOW)
+
+
+def observations(frames: DataFrame) -> DataFrame:
+    """Echoes seen without what would measure them.
+
+    Unanswered requests of flows without replies, replies of flows without
+    requests, and replies whose number no request of the flow has.
+    """
+    rows = dedup(frames)
+    has = rows.groupBy(*FLOW).agg(F.max(F.col("side") == "req").alias("asked"), F.max(F.col("side") == "rep").alias("answered"))
+    flows = rows.join(has, FLOW)
+    asked = rows.where("side = 'req' and icmp_seq is not null").select(*FLOW, "icmp_seq").distinct()
+    open_ = flows.where("side = 'req' and not answered")
+    lone = flows.where("side = 'rep' and not asked")
+    missed = flows.where("side = 'rep' and asked and icmp_seq is not null").join(asked, [*FLOW, "icmp_seq"], "left_anti")
+    told = lambda df, direction: df.select(*FLOW, "icmp_seq", "epoch_us", "number", "sta", "retry", "rssi", F.lit(direction).alias("direction"))
+    return told(open_, "request").unionByName(told(lone, "reply")).unionByName(told(missed, "reply"))
+
+
+def totals(frames: DataFrame) -> DataFrame:
+    """One row: pairs, late, losses (with those of gaps), unmeasurable, and
+    the shares of losses and of late or lost pings among them all."""
+    found = statuses(frames)
+    sums = found.agg(one_if(F.col("status").isin("matched", "late")).alias("pairs"), one_if(F.col("status") == "late").alias("late"), one_if(F.col("status") == "loss").alias("lost"))
+    gaps = gap_losses(frames).agg(F.count("*").alias("gaps"))
+    sides = dedup(frames).groupBy(*FLOW).agg(F.max(F.col("side") == "req").alias("q"), F.max(F.col("side") == "rep").alias("p"), F.count("*").alias("n"))
+    open_ = sides.agg(F.coalesce(F.sum(F.when(~(F.col("q") & F.col("p")), F.col("n"))), F.lit(0)).alias("unmeasurable"))
+    one = sums.crossJoin(gaps).crossJoin(open_)  # one row each
+    losses = F.col("lost") + F.col("gaps")
+    base = F.col("pairs") + losses + F.col("unmeasurable")
+    return one.select("pairs", "late", losses.alias("losses"), "unmeasurable", percent(losses, base).alias("loss_pct"), percent(losses + F.col("late"), base).alias("timeout_pct"))
+
+
+def loss_basis(wired: DataFrame, wireless: DataFrame) -> DataFrame:
+    """The loss to judge by: of the wire where it saw exchanges, else of the air.
+
+    ``wired`` and ``wireless`` are one row each, with loss_pct; the wire's has
+    total, and partial where its capture was not read to the end. Without
+    either, both results are null.
+    """
+    w = wired.select(F.col("loss_pct").alias("w_pct"), "total", "partial")
+    both = wireless.select(F.col("loss_pct").alias("a_pct")).crossJoin(w)  # one row each
+    usable = (F.coalesce("total", F.lit(0)) > 0) & ~F.coalesce("partial", F.lit(False)) & F.col("w_pct").isNotNull()
+    return both.select(F.when(usable, F.col("w_pct")).otherwise(F.col("a_pct")).alias("loss_pct"), F.when(usable, "wired_ground_truth").when(F.col("a_pct").isNotNull(), "wireless_observed").alias("loss_basis"))
+
+
+def devices(frames: DataFrame, roles: DataFrame) -> DataFrame:
+    """Names of addresses that echoes tell, the last one told winning.
+
+    Of an answered or lost request the sender's and the receiver's; ``roles``
+    name MACs.
+    """
+    found = statuses(frames).where(F.col("status").isNotNull()).select("req_num", "epoch_us")
+    sent = frames.where(P.is_request()).select(F.col("number").alias("req_num"), "ta", "ra", "ip_src", "ip_dst")
+    ends = found.join(sent, "req_num").select("epoch_us", "req_num", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("ip_src").alias("ip"), F.col("ta").alias("mac")), F.struct(F.lit(1).alias("k"), F.col("ip_dst").alias("ip"), F.col("ra").alias("mac")))).alias("e"))
+    named = ends.select("epoch_us", "req_num", "e.*").where("ip is not null and mac is not null").join(roles.select("mac", "name"), "mac", "left")
+    return named.groupBy("ip").agg(F.max_by(P.mac_name(F.col("mac"), F.col("name")), F.struct("epoch_us", "req_num", "k")).alias("device"))
 
 
 def ping_stats(frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ function sees whole runs of one slice of time, whatever a station's share.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
@@ -142,14 +142,19 @@ def handshakes(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
     return slices(runs, ["sta"]).applyInPandas(_shakes, SHAKE)
 
 
-def four_way(frames: DataFrame) -> DataFrame:
-    """Associations with the first handshake that begins about then."""
-    sta = settled(stations(frames), "stations")
+def four_way(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
+    """Associations with the first handshake after them that shows message 4.
+
+    Of handshakes that begin together the one with more messages. The total
+    runs from the authentication to message 4, and is null without either.
+    """
+    sta = settled(stations(frames), "stations") if sta is None else sta
     assoc = pairing(frames, sta).withColumn("t", F.col("assoc_us"))
-    shakes = handshakes(frames, sta).select("sta", "ap", F.col("start_us").alias("shake_us"), "end_us", "completion_us", "complete")
+    kinds = sum((F.when(F.col(f"n{k}") > 0, 1).otherwise(0) for k in (1, 2, 3, 4)), F.lit(0))
+    shakes = handshakes(frames, sta).where("n4 > 0").select("sta", "ap", F.col("start_us").alias("shake_us"), (-kinds).alias("order"), "end_us", "completion_us", "duration_us", "complete")
     near = range_join(assoc, shakes, ["sta", "ap"], "shake_us", -SLACK_US, AFTER_US)
-    best = near.groupBy("assoc_num").agg(F.min(F.struct("shake_us", "end_us", "completion_us", "complete")).alias("s"))
-    return assoc.drop("t").join(best, "assoc_num", "left").select(*[c.split()[0] for c in PAIRED.split(", ")], F.col("s.shake_us").alias("shake_us"), F.col("s.completion_us").alias("completion_us"), F.col("s.complete").alias("complete"), (F.col("s.completion_us") - F.coalesce("auth_us", "assoc_us")).alias("total_us"))
+    best = near.groupBy("assoc_num").agg(F.min(F.struct("shake_us", "order", "end_us", "completion_us", "duration_us", "complete")).alias("s"))
+    return assoc.drop("t").join(best, "assoc_num", "left").select(*[c.split()[0] for c in PAIRED.split(", ")], F.col("s.shake_us").alias("shake_us"), F.col("s.completion_us").alias("completion_us"), F.col("s.duration_us").alias("four_way_us"), F.col("s.complete").alias("complete"), (F.col("s.completion_us") - F.col("auth_us")).alias("total_us"))
 
 
 def slow_by(sta_total_ms: Column, capture_total_ms: Column, gap_ms: Column) -> tuple[Column, Column]:
@@ -159,14 +164,27 @@ def slow_by(sta_total_ms: Column, capture_total_ms: Column, gap_ms: Column) -> t
     can only confirm slowness.
     """
     ok = lambda c: c.isNotNull() & ~F.isnan(c) & (c >= 0)
-    slow = F.when(ok(sta_total_ms), sta_total_ms > L.SLOW_STATION_MS).when(ok(capture_total_ms), capture_total_ms > L.SLOW_CAPTURE_MS).when(ok(gap_ms) & (gap_ms > L.SLOW_CAPTURE_MS), F.lit(True))
-    basis = F.when(ok(sta_total_ms), "station").when(ok(capture_total_ms), "capture").when(ok(gap_ms) & (gap_ms > L.SLOW_CAPTURE_MS), "gap")
+    sure = ok(gap_ms) & (gap_ms > L.SLOW_CAPTURE_MS)
+    slow = F.when(ok(sta_total_ms), sta_total_ms > L.SLOW_STATION_MS).when(ok(capture_total_ms), capture_total_ms > L.SLOW_CAPTURE_MS).otherwise(sure)
+    basis = F.when(ok(sta_total_ms), "sta_log_total").when(ok(capture_total_ms), "total").when(sure, "gap_lower_bound")
     return slow, basis
 
 
-def slow_roams(frames: DataFrame) -> DataFrame:
-    """Roams with the slowness verdict from the capture alone."""
-    found = four_way(frames)
+def reclassified(found: DataFrame, totals: DataFrame) -> DataFrame:
+    """:func:`slow_roams` judged anew by what stations' logs tell.
+
+    ``totals``: assoc_num and sta_total_ms of the roams a log was attached to.
+    """
+    slow, basis = slow_by(F.col("sta_total_ms"), F.col("total_us") / 1000, F.col("gap_us") / 1000)
+    return found.join(totals.select("assoc_num", "sta_total_ms"), "assoc_num", "left").withColumns({"is_slow": slow, "slow_basis": basis})
+
+
+def slow_roams(frames: DataFrame, sta: DataFrame | None = None) -> DataFrame:
+    """Roams with the slowness verdict from the capture alone.
+
+    Without a basis (``slow_basis`` null) nothing is known, and not slow.
+    """
+    found = four_way(frames, sta)
     slow, basis = slow_by(F.lit(None).cast("double"), F.col("total_us") / 1000, F.col("gap_us") / 1000)
     return found.select("sta", "ap", "prev_ap", "assoc_us", "assoc_num", "gap_us", "total_us", slow.alias("is_slow"), basis.alias("slow_basis"))
 
@@ -177,6 +195,12 @@ def roam_summary(frames: DataFrame) -> DataFrame:
     return found.groupBy("sta").agg(F.count("*").alias("roams"), F.round(F.avg("gap_us"), 6).alias("avg_gap_us"), F.max("gap_us").alias("max_gap_us"), one_if(F.col("is_slow")).alias("slow"), one_if(F.col("gap_us").isNull()).alias("unmeasured"), F.count_distinct("ap").alias("aps"))
 
 
+def directions(frames: DataFrame) -> DataFrame:
+    """Of each station and pair of APs: roams, and the severity of their gap."""
+    found = pairing(frames).groupBy("sta", "prev_ap", "ap").agg(F.count("*").alias("roams"), (F.avg("gap_us") / 1000).alias("gap_ms"))
+    return found.select("sta", "prev_ap", "ap", "roams", L.above(F.col("gap_ms"), L.ROAM_GAP_MS).alias("gap_level"))
+
+
 def structured(frames: DataFrame) -> DataFrame:
     """Roams with the channels and bands they left and joined.
 
@@ -189,13 +213,26 @@ def structured(frames: DataFrame) -> DataFrame:
 
 
 def roam_impact(frames: DataFrame) -> DataFrame:
-    """Retries and signal of the station three seconds around each roam."""
-    assoc = pairing(frames).select("sta", F.col("assoc_us").alias("t"), "assoc_num")
-    own = frames.select(F.explode(F.array_distinct(F.array("ta", "ra"))).alias("sta"), "epoch_us", "retry", "rssi").where(F.col("sta").isNotNull())
-    near = range_join(assoc, own, ["sta"], "epoch_us", -IMPACT_US, IMPACT_US)
+    """Retries, signal and pings of the station three seconds around each roam.
+
+    A roam begins with its authentication, if one was seen. A ping is lost
+    whose first send is the last echo of its addresses within those seconds. A
+    problem is a loss, or over half of the frames after the roam being retries.
+    """
+    assoc = pairing(frames).select("sta", F.coalesce("auth_us", "assoc_us").alias("t"), "assoc_num")
+    req = P.is_request()
+    flow = F.when(req, F.struct(F.col("ip_src").alias("a"), F.col("ip_dst").alias("b"))).when(P.is_reply(), F.struct(F.col("ip_dst").alias("a"), F.col("ip_src").alias("b")))
+    echo = F.when(req & ~F.col("retry"), "req").when(P.is_reply(), "rep")
+    own = frames.select(F.explode(F.array_distinct(F.array("ta", "ra"))).alias("sta"), "epoch_us", "number", "retry", "rssi", flow.alias("flow"), echo.alias("echo")).where(F.col("sta").isNotNull())
+    near = settled(range_join(assoc, own, ["sta"], "epoch_us", -IMPACT_US, IMPACT_US), "impact")
     before, after = F.col("epoch_us") < F.col("t"), F.col("epoch_us") >= F.col("t")
     seen = near.groupBy("sta", "t", "assoc_num").agg(*[x for n, c in (("before", before), ("after", after)) for x in (one_if(c).alias(f"{n}_frames"), percent(one_if(c & F.col("retry")), one_if(c)).alias(f"{n}_retry_pct"), F.round(F.avg(F.when(c, F.col("rssi"))), 6).alias(f"{n}_rssi"))])
-    return seen.select("sta", F.col("t").alias("assoc_us"), "assoc_num", "before_frames", "before_retry_pct", "before_rssi", "after_frames", "after_retry_pct", "after_rssi", F.coalesce(F.col("after_retry_pct") > 50, F.lit(False)).alias("problem"))
+    line = Window.partitionBy("assoc_num", "flow").orderBy("epoch_us", "number")
+    echoes = near.where("echo is not null").select("assoc_num", F.col("echo"), F.lag("echo").over(line).alias("prior"), F.lead("echo").over(line).isNull().alias("last"))
+    pings = echoes.groupBy("assoc_num").agg(one_if((F.col("echo") == "rep") & (F.col("prior") == "req")).alias("matched"), one_if(F.col("last") & (F.col("echo") == "req")).alias("lost"))
+    found = seen.join(pings, "assoc_num", "left").na.fill(0, ["matched", "lost"])
+    problem = F.coalesce(F.col("after_retry_pct") > 50, F.lit(False)) | (F.col("lost") > 0)
+    return found.select("sta", F.col("t").alias("start_us"), "assoc_num", "before_frames", "before_retry_pct", "before_rssi", "after_frames", "after_retry_pct", "after_rssi", "matched", "lost", problem.alias("problem"))
 
 
 def roaming_events(frames: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.joins import SECOND, asof_backward, carried, islands, range_join
+from framewright.functions.tables import settled
+from framewright.operators.joins import SECOND, asof_backward, carried, islands, range_join, slices
 
 # Search reach, coarse pause, tolerance, least matches, bucket.
 SEARCH_US, TOLERANCE_US, LEAST_MATCHES, COARSE_US = 30 * SECOND, 250_000, 5, 100_000
@@ -37,30 +38,46 @@ def scan_pairs(log: DataFrame) -> DataFrame:
 
 
 def _once(rows: pd.DataFrame) -> pd.DataFrame:
-    last, keep = None, []
-    ordered = rows.sort_values(["epoch_us", "line"])
-    for t in ordered["epoch_us"]:
-        keep.append(last is None or t - last >= REPEAT_US)
-        last = t if keep[-1] else last
-    return ordered[keep]
+    """Decisions but for those told again, by runs of stations."""
+    keep, held = [], None
+    line = rows.sort_values(["sta", "epoch_us", "line"])
+    for r in line.itertuples(index=False):
+        again = held is not None and held[:3] == (r.sta, r.from_bssid, r.bssid) and r.epoch_us - held[3] <= REPEAT_US
+        keep.append(not again)
+        if not again:
+            held = (r.sta, r.from_bssid, r.bssid, r.epoch_us)
+    return line[keep][["sta", "line"]]
 
 
 def roam_decisions(log: DataFrame) -> DataFrame:
     """Decisions with the last condition and candidate since a reset.
 
-    A decision consumes what came before it and a skip clears it; repeats of
-    one target within half a second of the last kept one are dropped.
+    A decision consumes what came before it and a skip clears it. The same
+    roam told again within half a second of the last one kept is dropped and
+    consumes nothing.
     """
     rows = log.where(F.col("event").isin("condition", "candidate", "decision", "skip"))
-    reset = F.when(F.col("event").isin("decision", "skip"), F.struct(*ORDER))
+    told = rows.where("event = 'decision'").select("sta", "from_bssid", "bssid", *ORDER)
+    runs = islands(told, ["sta"], ORDER, REPEAT_US)
+    kept = slices(runs, ["sta"]).applyInPandas(_once, "sta string, line long").withColumn("kept", F.lit(True))
+    rows = settled(rows.join(kept, ["sta", "line"], "left"), "decisions")
+    reset = F.when((F.col("event") == "skip") | F.col("kept"), F.struct(*ORDER))
     cut = carried(rows, ["sta"], ORDER, reset, "since", inclusive=False)
-    for kind, value in (("condition", F.col("epoch_us")), ("candidate", F.col("epoch_us"))):
-        cut = carried(cut, ["sta"], ORDER, F.when(F.col("event") == kind, F.struct(*ORDER, value.alias("x"))), kind, inclusive=False)
-    fresh = lambda c: F.when(F.col("since").isNull() | (F.struct(F.col(f"{c}.epoch_us"), F.col(f"{c}.line")) > F.col("since")), F.col(f"{c}.x"))
-    found = cut.where("event = 'decision'").select("sta", "bssid", "epoch_us", "line", fresh("condition").alias("condition_us"), fresh("candidate").alias("candidate_us"))
-    runs = islands(found, ["sta", "bssid"], ORDER, REPEAT_US, at_least=True)
-    schema = "sta string, bssid string, epoch_us long, line long, condition_us long, candidate_us long, island long"
-    return runs.groupBy("sta", "bssid", "island").applyInPandas(lambda p: _once(p).astype({"condition_us": "Int64", "candidate_us": "Int64"}), schema).drop("island")
+    for kind in ("condition", "candidate"):
+        cut = carried(cut, ["sta"], ORDER, F.when(F.col("event") == kind, F.struct(*ORDER)), kind, inclusive=False)
+    fresh = lambda c: F.when(F.col("since").isNull() | (F.col(c) > F.col("since")), F.col(c)["epoch_us"])
+    return cut.where("kept").select("sta", "from_bssid", "bssid", "epoch_us", "line", fresh("condition").alias("condition_us"), fresh("candidate").alias("candidate_us"))
+
+
+def last_decision(commands: DataFrame, decisions: DataFrame) -> DataFrame:
+    """For each roam command, when the last decision before it was made.
+
+    A decision may be up to a millisecond after the command. ``commands``:
+    sta, cmd_us, line.
+    """
+    cmd = commands.select("sta", (F.col("cmd_us") + DECISION_US).alias("t"), "line")
+    made = decisions.select("sta", F.col("epoch_us").alias("at"), F.col("epoch_us").alias("decision_us"))
+    return asof_backward(cmd, made, ["sta"], "at", "decision_us", strict=True).select("sta", (F.col("t") - DECISION_US).alias("cmd_us"), "line", "decision_us")
 
 
 def last_scan(log: DataFrame) -> DataFrame:
@@ -97,7 +114,7 @@ def bind_addresses(frames: DataFrame) -> DataFrame:
 
 
 def _attached(rows: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs, the smallest residual first."""
+    """One-to-one pairs of runs of a station, the smallest residual first."""
     used: set[tuple[str, int]] = set()
     out = []
     for r in rows.assign(a=rows["residual_us"].abs()).sort_values(["a", "cmd_us", "assoc_num"]).itertuples(index=False):
@@ -110,22 +127,16 @@ def _attached(rows: pd.DataFrame) -> pd.DataFrame:
 def attach(commands: DataFrame, roams: DataFrame, tolerance_us: int = TOLERANCE_US) -> DataFrame:
     """Roam commands and captured roams of one AP within the tolerance.
 
-    ``commands``: sta, bssid, cmd_us, line. Candidates further apart than two
-    tolerances share no row, so greedy choice runs in short pieces.
+    ``commands``: sta, bssid, cmd_us (on the capture's clock), line. A roam
+    begins with its authentication, if one was seen. Candidates further apart
+    than two tolerances share no row, so greedy choice runs in short pieces.
     """
     cmd = commands.select("sta", F.col("bssid").alias("ap"), F.col("cmd_us").alias("t"), "line")
-    air = roams.select("sta", "ap", F.col("assoc_us").alias("air_us"), "assoc_num")
+    air = roams.select("sta", "ap", F.coalesce("auth_us", "assoc_us").alias("air_us"), "assoc_num")
     near = range_join(cmd, air, ["sta", "ap"], "air_us", -tolerance_us, tolerance_us)
     near = near.select("sta", F.col("t").alias("cmd_us"), "line", "assoc_num", (F.col("air_us") - F.col("t")).alias("residual_us"))
     runs = islands(near, ["sta"], ["cmd_us", "line", "assoc_num"], 2 * tolerance_us)
-    return runs.groupBy("sta", "island").applyInPandas(_attached, "sta string, line long, cmd_us long, assoc_num long, residual_us long")
-
-
-def nearest_within(left: DataFrame, right: DataFrame, on: list[str], at: str, ident: str, reach_us: int) -> DataFrame:
-    """The nearest right row of each left row (t), without exclusivity."""
-    near = range_join(left, right, on, at, -reach_us, reach_us)
-    best = near.groupBy(*left.columns).agg(F.min(F.struct(F.abs(F.col(at) - F.col("t")).alias("d"), at, ident)).alias("b"))
-    return best.select(*left.columns, F.col(f"b.{ident}").alias(ident), (F.col(f"b.{at}") - F.col("t")).alias("residual_us"))
+    return slices(runs, ["sta"]).applyInPandas(_attached, "sta string, line long, cmd_us long, assoc_num long, residual_us long")
 
 
 def summary(episodes: DataFrame) -> DataFrame:

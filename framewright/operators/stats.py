@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from framewright.functions import channels as C
 from framewright.functions import frames as P
 from framewright.functions import thresholds as L
-from framewright.operators.joins import SECOND
+from framewright.operators.joins import SECOND, numbered
 
 #: Longest span, in seconds, that is filled with empty seconds.
 FILL_CAP = 21_600
 LEAST_FRAMES, TOP = 5, 20
 BINS = 60
-#: Slices of time in which frames are ranked.
-SLICE_US = 600 * SECOND
 
 
 def second(t: Column | None = None) -> Column:
@@ -70,11 +68,14 @@ def protocol_topk(frames: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def overview(frames: DataFrame) -> DataFrame:
-    """One row: frames, retry share, duration, devices, channels."""
+    """One row: frames, retry share, duration, devices, channels.
+
+    The duration is from the first frame listed to the last.
+    """
     return frames.agg(
         F.count("*").alias("frames"),
         percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"),
-        ((F.max("epoch_us") - F.min("epoch_us")) / SECOND).alias("duration_sec"),
+        ((F.max_by("epoch_us", "number") - F.min_by("epoch_us", "number")) / SECOND).alias("duration_sec"),
         F.count_distinct("ta").alias("senders"),
         F.count_distinct("channel_freq").alias("channels"),
     )
@@ -137,6 +138,30 @@ def retry_by_mcs(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("mcs").isNotNull()).groupBy("mcs").agg(F.count("*").alias("total"), one_if(F.col("retry")).alias("retry"), percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"))
 
 
+def top_mcs_share(frames: DataFrame) -> DataFrame:
+    """Rate indices 14 and 15 among all rated frames."""
+    return frames.where(F.col("mcs").isNotNull()).agg(F.count("*").alias("rated"), one_if(F.col("mcs").isin(14, 15)).alias("top"), percent(one_if(F.col("mcs").isin(14, 15)), F.count("*")).alias("top_pct"))
+
+
+def legacy_share(frames: DataFrame) -> DataFrame:
+    """Share of legacy frames among sent ones, from 10 s buckets, and whether
+    it is an issue (30 % or more)."""
+    b = frames.where(F.col("ta").isNotNull()).groupBy(F.floor(F.col("epoch_us") / (10 * SECOND)).alias("bucket")).agg(F.count("*").alias("tx"), percent(one_if(F.col("mcs_phy") == "Legacy"), F.count("*"), 1).alias("pct"))
+    share = F.round(F.sum(F.col("pct") * F.col("tx")) / F.nullif(F.sum("tx"), F.lit(0)), 1)
+    return b.agg(F.count("*").alias("buckets"), F.coalesce(share, F.lit(0.0)).alias("legacy_pct")).withColumn("issue", F.col("legacy_pct") >= 30)
+
+
+def categories(frames: DataFrame) -> DataFrame:
+    """Frames by category of their subtype and of their protocol."""
+    return frames.groupBy(P.frame_category(F.col("subtype")).alias("frame_category"), P.protocol_category(F.col("protocol")).alias("protocol_category")).agg(F.count("*").alias("n"))
+
+
+def frame_rows(frames: DataFrame) -> DataFrame:
+    """Frames as lines of a table: what a reader looks up by number."""
+    stamp = F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return frames.select("number", stamp.alias("timestamp"), P.time_short(stamp).alias("time"), F.concat_ws("/", P.frame_type(F.col("subtype")), P.subtype_name(F.col("subtype"))).alias("type_subtype"), "retry", "mcs", "rssi", "reason_code", "seq", "source")
+
+
 def retry_per_sec(frames: DataFrame) -> DataFrame:
     """Retry share of each sender and second."""
     return frames.where(F.col("ta").isNotNull()).groupBy("ta", second().alias("sec")).agg(F.count("*").alias("total"), percent(one_if(F.col("retry")), F.count("*"), 1).alias("retry_pct"))
@@ -218,12 +243,28 @@ def severity_levels(frames: DataFrame) -> DataFrame:
     return s.select("ta", L.above(F.col("r"), L.RETRY_PERCENT).alias("retry_level"), L.below(F.col("s"), L.RSSI_DBM).alias("rssi_level"), L.below(F.col("m"), L.MCS).alias("mcs_level"))
 
 
+def time_axis(frames: DataFrame) -> DataFrame:
+    """One row: the span of time that all series share."""
+    return frames.agg(F.min("epoch_us").alias("a"), F.max("epoch_us").alias("b"))
+
+
+def in_bins(rows: DataFrame, axis: DataFrame, bins: int = BINS) -> DataFrame:
+    """Rows with their ``bin`` of the axis; a span of one point is one bin."""
+    place = F.floor((F.col("epoch_us") - F.col("a")) * bins / F.greatest(F.col("b") - F.col("a"), F.lit(1)))
+    placed = rows.crossJoin(F.broadcast(axis))  # one row
+    return placed.withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).cast("long")).drop("a", "b")
+
+
 def time_axis_bins(frames: DataFrame, bins: int = BINS) -> DataFrame:
     """Frames, retry share and signal over equal bins of the whole span."""
-    axis = frames.agg(F.min("epoch_us").alias("a"), F.max("epoch_us").alias("b"))
-    placed = frames.select("epoch_us", "retry", "rssi").crossJoin(F.broadcast(axis))  # one row
-    place = F.floor((F.col("epoch_us") - F.col("a")) * bins / F.greatest(F.col("b") - F.col("a"), F.lit(1)))
-    return placed.groupBy(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("total"), percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"), F.round(F.avg("rssi"), 6).alias("avg_rssi"), F.min("rssi").alias("min_rssi"), F.max("rssi").alias("max_rssi"))
+    placed = in_bins(frames.select("epoch_us", "retry", "rssi"), time_axis(frames), bins)
+    return placed.groupBy("bin").agg(F.count("*").alias("total"), F.sum(P.retry_units(F.col("retry"))).alias("retries"), percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"), F.round(F.avg("rssi"), 6).alias("avg_rssi"), F.min("rssi").alias("min_rssi"), F.max("rssi").alias("max_rssi"))
+
+
+def ping_bins(found: DataFrame, axis: DataFrame, bins: int = BINS) -> DataFrame:
+    """Answered and lost pings (epoch_us, status) over the same bins."""
+    known = found.where(F.col("status").isin("matched", "late", "loss", "loss_gap")).select("epoch_us", F.col("status").isin("loss", "loss_gap").alias("lost"))
+    return in_bins(known, axis, bins).groupBy("bin").agg(one_if(~F.col("lost")).alias("success"), one_if(F.col("lost")).alias("loss"), F.count("*").alias("total"), percent(one_if(F.col("lost")), F.count("*"), 1).alias("loss_pct"))
 
 
 def downsample_peak(frames: DataFrame, stride: int = 60) -> DataFrame:
@@ -240,14 +281,9 @@ def control_list(frames: DataFrame) -> DataFrame:
 def uniform_sample(frames: DataFrame, k: int = 100) -> DataFrame:
     """k frame numbers evenly spread over capture order, first and last too.
 
-    A place is a rank within a slice of time and the size of all slices before
-    it, so no single task sorts the capture.
+    The order is that of :func:`framewright.operators.joins.numbered`.
     """
-    cut = frames.select("number", "epoch_us", "source", F.floor(F.col("epoch_us") / SLICE_US).alias("__s"))
-    sizes = cut.groupBy("__s").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__s").alias("__b"), (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__s").orderBy("epoch_us", "source", "number"))
-    order = cut.withColumn("__r", rank).join(before, F.col("__s").eqNullSafe(F.col("__b"))).select("number", (F.col("__r") + F.col("__before")).alias("n"))
+    order = numbered(frames.select("number", "epoch_us", "source")).select("number", F.col("rank").alias("n"))
     total = frames.agg(F.count("*").alias("total"))
     at = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     wanted = total.where("total > 0").select("total", at.alias("i")).select(F.when(F.col("i") == k - 1, F.col("total")).otherwise(F.floor(F.col("i") * F.col("total") / k) + 1).cast("int").alias("n")).distinct()

@@ -6,33 +6,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.joins import SECOND, islands, range_join
+from framewright.operators.joins import SECOND, islands, range_join, slices
 
 TOLERANCE_US, LEAST = SECOND, 3
 
 
 def _matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """Events in order, each with the nearest reply not yet taken."""
-    used, out = set(), []
-    for (_, line), own in rows.sort_values(["t", "line_no"]).groupby(["t", "line_no"], sort=True):
-        free = own[~own["frame_no"].isin(used)]
-        if len(free):
-            r = free.assign(a=(free["org_us"] - free["t"]).abs()).sort_values(["a", "org_us", "frame_no"]).iloc[0]
-            used.add(r.frame_no)
-            out.append((r.dst, line, int(r.frame_no), int(r.arrival_us - r.org_us), int(r.org_us - r.t)))
+    """Events in order, each with the nearest reply of an address not yet taken."""
+    out = []
+    for dst, own in rows.groupby("dst", sort=True):
+        used: set[int] = set()
+        held, best = None, None
+        line = own.assign(a=(own["org_us"] - own["t"]).abs()).sort_values(["t", "line_no", "a", "org_us", "frame_no"])
+        for r in line.itertuples(index=False):
+            if (r.t, r.line_no) != held:
+                held, best = (r.t, r.line_no), None
+            if best is None and r.frame_no not in used:
+                best = r.frame_no
+                used.add(best)
+                out.append((dst, r.line_no, int(r.frame_no), int(r.arrival_us - r.org_us), int(r.org_us - r.t)))
     return pd.DataFrame(out, columns=["dst", "line_no", "frame_no", "offset_us", "residual_us"])
 
 
 def matches(ntp: DataFrame, syncs: DataFrame, tolerance_us: int = TOLERANCE_US) -> DataFrame:
     """Log contacts with replies of each address, one to one.
 
-    offset_us is capture minus device clock, residual_us reply minus log.
+    offset_us is capture minus device clock, residual_us reply minus log. A
+    contact meets the replies of its own few buckets of time only, whatever
+    their addresses.
     """
-    dsts = ntp.select("dst").distinct()
-    left = syncs.select(F.col("ts_us").alias("t"), "line_no").join(dsts, F.lit(True))
-    near = range_join(left, ntp, ["dst"], "org_us", -tolerance_us, tolerance_us)
+    left = syncs.select(F.col("ts_us").alias("t"), "line_no", F.lit(0).alias("g"))
+    near = range_join(left, ntp.withColumn("g", F.lit(0)), ["g"], "org_us", -tolerance_us, tolerance_us).drop("g")
     runs = islands(near, ["dst"], ["t", "line_no", "frame_no"], 2 * tolerance_us)
-    return runs.groupBy("dst", "island").applyInPandas(_matched, "dst string, line_no long, frame_no long, offset_us long, residual_us long")
+    return slices(runs, ["dst"]).applyInPandas(_matched, "dst string, line_no long, frame_no long, offset_us long, residual_us long")
 
 
 def device(found: DataFrame) -> DataFrame:

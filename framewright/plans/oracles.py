@@ -97,18 +97,152 @@ def _islands(table: str, part: str, order: str, gap: int) -> str:
     return f"SELECT *, sum(brk) OVER (PARTITION BY {part} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN epoch_us - lag(epoch_us) OVER (PARTITION BY {part} ORDER BY {order}) <= {gap} THEN 0 ELSE 1 END AS brk FROM {table})"
 
 
-OFFSET = """tp AS (
-  SELECT b.source, a.epoch_us - b.epoch_us AS d
-  FROM (SELECT bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND source = 'w1' GROUP BY ALL HAVING count(*) = 1) a
-  JOIN (SELECT source, bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND source <> 'w1' GROUP BY ALL HAVING count(*) = 1) b USING (bssid, tsf)
-), off AS (
-  SELECT source, count(*) AS pairs, round(median(d), 3) AS offset_us, cast(quantile_disc(d, 0.25) AS bigint) AS q1_us, cast(quantile_disc(d, 0.75) AS bigint) AS q3_us FROM tp GROUP BY source HAVING count(*) >= 10
+#: One list of rows in order, folded; ``x`` is the row, ``a`` what came before.
+def fold(rows: str, order: str, step: str, start: str) -> str:
+    return f"list_reduce(list({rows} ORDER BY {order}), lambda a, x: {step}, {start})"
+
+
+#: Associations with their authentications. Each station's events in order; an
+#: association takes the anchor of its AP and clears all.
+PAIRED = ("""rv AS (
+  SELECT ta AS sta, ra AS ap, CASE WHEN subtype = 11 THEN 'auth' ELSE 'assoc' END AS kind, 'request' AS basis, subtype, current_ap, epoch_us AS t, number FROM frames WHERE subtype IN (0, 2, 11) AND ta IN (SELECT mac FROM sta)
+  UNION ALL SELECT ra, ta, 'auth', 'response', subtype, current_ap, epoch_us, number FROM frames WHERE subtype = 11 AND ra IN (SELECT mac FROM sta) AND ta NOT IN (SELECT mac FROM sta)
+), rf AS (SELECT sta, """
++ fold(
+    "{'k': kind, 'b': basis, 's': subtype, 'cur': current_ap, 'ap': ap, 't': t, 'n': number}",
+    "t, number",
+    """CASE WHEN x.k = 'auth' THEN {
+      'held': CASE WHEN x.b = 'request' OR len(list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t <= 10000000)) = 0 OR x.t - list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t <= 10000000)[1].t > 1000000
+        THEN list_append(list_filter(a.held, lambda y: y.ap <> x.ap AND x.t - y.t <= 10000000), {'ap': x.ap, 't': x.t, 'n': x.n, 'b': x.b}) ELSE list_filter(a.held, lambda y: x.t - y.t <= 10000000) END,
+      'lt': a.lt, 'ls': a.ls, 'la': a.la, 'out': a.out}
+    WHEN len(list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)) = 0 AND coalesce(x.t - a.lt BETWEEN 0 AND 200000 AND a.ls = x.s AND a.la = x.ap, false)
+      THEN {'held': list_filter(a.held, lambda y: y.ap <> x.ap), 'lt': a.lt, 'ls': a.ls, 'la': a.la, 'out': a.out}
+    ELSE {'held': list_filter(a.held, lambda y: false), 'lt': x.t, 'ls': x.s, 'la': x.ap,
+      'out': list_append(a.out, {'ap': x.ap, 'cur': x.cur, 't': x.t, 'n': x.n, 'at': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].t, 'an': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].n, 'b': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].b})} END""",
+    "{'held': cast([] as struct(ap varchar, t bigint, n bigint, b varchar)[]), 'lt': cast(NULL as bigint), 'ls': cast(NULL as integer), 'la': cast(NULL as varchar), 'out': cast([] as struct(ap varchar, cur varchar, t bigint, n bigint, at bigint, an bigint, b varchar)[])}",
+)
++ """ AS f FROM rv GROUP BY sta
+), pr AS (SELECT sta, o.ap AS ap, o.cur AS prev_ap, o.t AS assoc_us, o.n AS assoc_num, o.at AS auth_us, o.an AS auth_num, o.b AS basis, o.t - o.at AS gap_us FROM (SELECT sta, unnest(f.out) AS o FROM rf))""")
+CLOSED = "(a.cur.s IS NOT NULL AND (x.t - a.cur.e > 5000000 OR x.ap <> a.cur.ap OR x.m = 1 AND a.cur.c[2] + a.cur.c[3] + a.cur.c[4] > 0))"
+NEW = f"({CLOSED} OR a.cur.s IS NULL)"
+SHAKEN = ("""em AS (
+  SELECT ta AS sta, ra AS ap, eapol_msgnr AS m, retry, epoch_us AS t, number FROM frames WHERE eapol_msgnr BETWEEN 1 AND 4 AND ta IN (SELECT mac FROM sta)
+  UNION ALL SELECT ra, ta, eapol_msgnr, retry, epoch_us, number FROM frames WHERE eapol_msgnr BETWEEN 1 AND 4 AND ta NOT IN (SELECT mac FROM sta) AND ra IN (SELECT mac FROM sta)
+), ef AS (SELECT sta, """
++ fold(
+    "{'ap': ap, 'm': m, 'r': retry, 't': t}",
+    "t, number",
+    f"""{{'cur': {{'ap': x.ap, 's': CASE WHEN {NEW} THEN x.t ELSE a.cur.s END, 'e': x.t,
+      'c': list_transform([1, 2, 3, 4], lambda i: CASE WHEN {NEW} THEN 0 ELSE a.cur.c[i] END + CASE WHEN i = x.m THEN 1 ELSE 0 END),
+      'r': list_transform([1, 2, 3, 4], lambda i: CASE WHEN {NEW} THEN 0 ELSE a.cur.r[i] END + CASE WHEN i = x.m AND x.r THEN 1 ELSE 0 END),
+      'f': list_transform([1, 2, 3, 4], lambda i: coalesce(CASE WHEN {NEW} THEN NULL ELSE a.cur.f[i] END, CASE WHEN i = x.m THEN x.t END))}},
+    'out': CASE WHEN {CLOSED} THEN list_append(a.out, a.cur) ELSE a.out END}}""",
+    "{'cur': cast(NULL as struct(ap varchar, s bigint, e bigint, c integer[], r integer[], f bigint[])), 'out': cast([] as struct(ap varchar, s bigint, e bigint, c integer[], r integer[], f bigint[])[])}",
+)
++ """ AS g FROM em GROUP BY sta
+), hs AS (
+  SELECT sta, h.ap AS ap, h.s AS start_us, h.e AS end_us, h.f[4] AS completion_us, h.f[4] - h.f[1] AS duration_us, cast(h.c[1] AS bigint) AS n1, cast(h.c[2] AS bigint) AS n2, cast(h.c[3] AS bigint) AS n3, cast(h.c[4] AS bigint) AS n4,
+    cast(list_sum(list_transform([1, 2, 3, 4], lambda i: CASE WHEN h.c[i] > 0 THEN greatest(h.c[i] - 1, h.r[i]) ELSE 0 END)) AS bigint) AS retries, h.c[1] > 0 AND h.c[2] > 0 AND h.c[3] > 0 AND h.c[4] > 0 AS complete
+  FROM (SELECT sta, unnest(list_append(g.out, g.cur)) AS h FROM ef)
+)""")
+FOUR = """fw AS (
+  SELECT * EXCLUDE (r) FROM (
+    SELECT pr.*, h.start_us AS shake_us, h.completion_us, h.duration_us AS four_way_us, h.complete, h.completion_us - pr.auth_us AS total_us,
+      row_number() OVER (PARTITION BY pr.assoc_num ORDER BY h.start_us, -(CASE WHEN n1 > 0 THEN 1 ELSE 0 END + CASE WHEN n2 > 0 THEN 1 ELSE 0 END + CASE WHEN n3 > 0 THEN 1 ELSE 0 END), h.end_us) AS r
+    FROM pr LEFT JOIN hs h ON h.sta = pr.sta AND h.ap = pr.ap AND h.n4 > 0 AND h.start_us BETWEEN pr.assoc_us - 50000 AND pr.assoc_us + 5000000
+  ) WHERE r = 1
+), sl AS (
+  SELECT *, CASE WHEN total_us >= 0 THEN total_us > 100000 ELSE coalesce(gap_us > 100000, false) END AS is_slow, CASE WHEN total_us >= 0 THEN 'total' WHEN gap_us > 100000 THEN 'gap_lower_bound' END AS slow_basis FROM fw
 )"""
+ROAMS = (ROLES, PAIRED)
+SLOW = (ROLES, PAIRED, SHAKEN, FOUR)
+#: The channel map of APs.
+CHANNELS = f"""cm AS (SELECT ap, f AS channel_freq, {CHANNEL} AS channel, {BAND} AS band FROM (SELECT ta AS ap, channel_freq AS f, row_number() OVER (PARTITION BY ta ORDER BY count(*) DESC, min(epoch_us)) AS r FROM frames WHERE subtype = 8 AND channel_freq IS NOT NULL GROUP BY ta, channel_freq) WHERE r = 1)"""
+#: One-to-one pairs, the nearest first: ``rows`` have l, r and d, in order.
+def greedy(order: str) -> str:
+    return fold("{'l': l, 'r': r, 'd': d}", order, "CASE WHEN list_contains(a.l, x.l) OR list_contains(a.r, x.r) THEN a ELSE {'l': list_append(a.l, x.l), 'r': list_append(a.r, x.r), 'out': list_append(a.out, x)} END", "{'l': cast([] as bigint[]), 'r': cast([] as bigint[]), 'out': cast([] as struct(l bigint, r bigint, d bigint)[])}")
+
+
+def middle(table: str) -> str:
+    return f"SELECT source, count(*) AS pairs, (list_sort(list(d))[(count(*) - 1) // 2 + 1] + list_sort(list(d))[count(*) // 2 + 1]) / 2 AS offset_us, list_sort(list(d))[3 * count(*) // 4 + 1] - list_sort(list(d))[count(*) // 4 + 1] AS iqr_us FROM {table} GROUP BY source HAVING count(*) >= 10"
+
+
+OFFSET = f"""tp AS (
+  SELECT b.source, a.epoch_us - b.epoch_us AS d
+  FROM (SELECT bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND tsf IS NOT NULL AND source = 'w1' GROUP BY ALL HAVING count(*) = 1) a
+  JOIN (SELECT source, bssid, tsf, min(epoch_us) AS epoch_us FROM heard WHERE subtype = 8 AND tsf IS NOT NULL AND source <> 'w1' GROUP BY ALL HAVING count(*) = 1) b USING (bssid, tsf)
+), off AS ({middle("tp")})"""
+SCORE = lambda t: " + ".join(f"CASE WHEN {t}.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in ("ip_src", "arp_opcode", "icmp_type", "eapol_msgnr", "tcp_flags", "tcp_len"))
+FILLED = ("ip_src", "ip_dst", "icmp_type", "icmp_seq", "icmp_ident", "arp_opcode", "tcp_len", "tcp_flags", "eapol_msgnr", "reason_code", "current_ap")
+
+
+def _cell(c: str) -> str:
+    mine, other = (f"CASE WHEN second THEN {x}.{c} ELSE {y}.{c} END" for x, y in (("q", "p"), ("p", "q")))
+    if c in FILLED:
+        return f"coalesce({mine}, {other}) AS {c}"
+    if c == "protocol":
+        return f"CASE WHEN coalesce({mine}, '802.11') = '802.11' AND coalesce({other}, '802.11') <> '802.11' THEN {other} ELSE {mine} END AS protocol"
+    return f"{mine} AS {c}"
+
+
+#: Copies of two sniffers: groups of a key in order of time, then the better of two copies filled from the other.
+MERGED = (OFFSET, """al AS (SELECT * REPLACE (epoch_us + coalesce((SELECT cast(round_even(offset_us, 0) AS bigint) FROM off WHERE off.source = heard.source), 0) AS epoch_us) FROM heard),
+gr AS (SELECT """ + fold(
+    "{'s': source, 'n': number, 't': epoch_us}",
+    "epoch_us, source, number",
+    """CASE WHEN len(list_filter(a, lambda g: g.two IS NULL AND g.s <> x.s AND x.t - g.made <= 50000)) = 0 THEN list_append(a, {'made': x.t, 's': x.s, 'one': x.n, 'two': cast(NULL as bigint), 'u': cast(NULL as varchar)})
+      ELSE list_transform(a, lambda g: CASE WHEN g.made = list_sort(list_transform(list_filter(a, lambda h: h.two IS NULL AND h.s <> x.s AND x.t - h.made <= 50000), lambda h: {'d': x.t - h.made, 'n': h.one, 'm': h.made}))[1].m AND g.one = list_sort(list_transform(list_filter(a, lambda h: h.two IS NULL AND h.s <> x.s AND x.t - h.made <= 50000), lambda h: {'d': x.t - h.made, 'n': h.one, 'm': h.made}))[1].n AND g.s <> x.s
+        THEN {'made': g.made, 's': g.s, 'one': g.one, 'two': x.n, 'u': x.s} ELSE g END) END""",
+    "cast([] as struct(made bigint, s varchar, one bigint, two bigint, u varchar)[])",
+) + """ AS gs FROM al GROUP BY coalesce(CASE WHEN seq IS NOT NULL THEN ta ELSE coalesce(ta, ra) END, ''), coalesce(seq, -1), coalesce(subtype, -1), coalesce(retry, false)),
+md AS (SELECT """ + ", ".join(map(_cell, adapter.COLUMNS)) + f""", CASE WHEN q.number IS NULL THEN p.source ELSE least(p.source, q.source) || ',' || greatest(p.source, q.source) END AS sources
+  FROM (SELECT p, q, q.number IS NOT NULL AND {SCORE("q")} > {SCORE("p")} AS second FROM (SELECT unnest(gs) AS g FROM gr) z JOIN al p ON p.source = z.g.s AND p.number = z.g.one LEFT JOIN al q ON q.source = z.g.u AND q.number = z.g.two))""")
+CLIFF = ("""bk AS (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY sec) AS i FROM (SELECT ta, epoch_us // 1000000 AS sec, min(rssi) AS lo, max(rssi) AS hi FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) WHERE ta IN (SELECT ta FROM frames WHERE rssi IS NOT NULL GROUP BY ta HAVING count(DISTINCT epoch_us // 1000000) >= 10)),
+ht AS (SELECT b.ta, b.sec, b.lo, b.hi, b.i, min(n.i) AS j, arg_min(n.lo, n.i) AS jlo, arg_min(n.sec, n.i) AS jsec FROM bk b LEFT JOIN bk n ON n.ta = b.ta AND n.sec BETWEEN b.sec + 1 AND b.sec + 5 AND b.hi - n.lo >= 10 GROUP BY ALL),
+cf AS (SELECT ta, unnest(f.out) AS o FROM (SELECT ta, """ + fold(
+    "{'i': i, 'sec': sec, 'hi': hi, 'j': j, 'jlo': jlo, 'jsec': jsec}",
+    "i",
+    "CASE WHEN x.i <= a.skip OR x.j IS NULL THEN a ELSE {'skip': x.j, 'out': list_append(a.out, {'sec': x.sec, 'before': x.hi, 'after': x.jlo, 'took': x.jsec - x.sec})} END",
+    "{'skip': cast(0 as bigint), 'out': cast([] as struct(sec bigint, before integer, after integer, took bigint)[])}",
+) + """ AS f FROM ht GROUP BY ta)),
+cl AS (SELECT ta, o.sec AS sec, o.before AS before, o.after AS after, o.took AS took_sec FROM cf UNION ALL SELECT ta, sec, hi, lo, 0 FROM bk WHERE hi - lo >= 10 AND NOT EXISTS (SELECT 1 FROM cf WHERE cf.ta = bk.ta AND bk.sec BETWEEN cf.o.sec AND cf.o.sec + cf.o.took))""")
+INCIDENTS = ("ic AS (SELECT unnest(list_append(f.out, f.cur)) AS c FROM (SELECT " + fold(
+    "{'t': epoch_us, 'n': req_num}",
+    "epoch_us, req_num",
+    """CASE WHEN a.cur.t IS NULL THEN {'cur': {'s': x.t - 10000000, 'e': x.t + 10000000, 't': x.t, 'n': x.n, 'k': cast(1 as bigint)}, 'out': a.out}
+      WHEN x.t - a.cur.t <= 3000000 OR a.cur.e - (x.t - 10000000) >= 0 AND (a.cur.e - (x.t - 10000000)) / least(a.cur.e - a.cur.s, 20000000) >= 0.5 THEN {'cur': {'s': a.cur.s, 'e': greatest(a.cur.e, x.t + 10000000), 't': a.cur.t, 'n': a.cur.n, 'k': a.cur.k + 1}, 'out': a.out}
+      ELSE {'cur': {'s': x.t - 10000000, 'e': x.t + 10000000, 't': x.t, 'n': x.n, 'k': cast(1 as bigint)}, 'out': list_append(a.out, a.cur)} END""",
+    "{'cur': cast(NULL as struct(s bigint, e bigint, t bigint, n bigint, k bigint)), 'out': cast([] as struct(s bigint, e bigint, t bigint, n bigint, k bigint)[])}",
+) + " AS f FROM st WHERE status = 'loss'))")
+ZONES = ("""hd AS (SELECT epoch_us, req_num, rtt_us FROM (SELECT *, avg(rtt_us) OVER w AS a, coalesce(stddev_samp(rtt_us) OVER w, 0) AS s FROM st WHERE rtt_us IS NOT NULL WINDOW w AS (ORDER BY epoch_us, req_num ROWS 9 PRECEDING)) WHERE rtt_us > 2 * a OR (s > 0 AND rtt_us > a + 2 * s) UNION ALL SELECT epoch_us, req_num, NULL FROM st WHERE status = 'loss')""",
+    f"zi AS ({_islands('(SELECT *, 0 AS g FROM hd)', 'g', 'epoch_us, req_num', 2_000_000)})",
+    "zn AS (SELECT min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, max(rtt_us) AS max_rtt_us, round(avg(rtt_us), 6) AS avg_rtt_us, count(*) - count(rtt_us) AS losses FROM zi GROUP BY isl)")
+#: Flows of which some were seen on one side only.
+SIDED = "sided AS (SELECT * FROM frames WHERE NOT (icmp_type = 0 AND ip_dst = '10.0.0.10') AND NOT (icmp_type = 8 AND ip_src = '10.0.0.11'))"
+ONE_SIDED = PINGS.replace("FROM frames WHERE icmp_type", "FROM sided WHERE icmp_type")
+GAPS = "gp AS (SELECT src, dst, ident, unnest(range(icmp_seq + 1, nxt)) AS missing_seq, anchor_us, anchor_num, direction FROM (SELECT src, dst, ident, icmp_seq, min(epoch_us) AS anchor_us, arg_min(number, epoch_us) AS anchor_num, lead(icmp_seq) OVER (PARTITION BY src, dst, ident ORDER BY icmp_seq) AS nxt, CASE WHEN min(side) = 'req' THEN 'request' ELSE 'reply' END AS direction FROM dd SEMI JOIN (SELECT src, dst, ident FROM dd GROUP BY ALL HAVING count(DISTINCT side) = 1) USING (src, dst, ident) GROUP BY src, dst, ident, icmp_seq) WHERE nxt - icmp_seq > 1 AND nxt - icmp_seq <= 1000)"
+TOTALS = f"""tt AS (SELECT *, {pct('losses', '(pairs + losses + unmeasurable)')} AS loss_pct, {pct('(losses + late)', '(pairs + losses + unmeasurable)')} AS timeout_pct FROM (
+  SELECT {one("status IN ('matched', 'late')")} AS pairs, {one("status = 'late'")} AS late, {one("status = 'loss'")} + (SELECT count(*) FROM gp) AS losses, (SELECT cast(coalesce(sum(n), 0) AS bigint) FROM (SELECT count(*) AS n FROM dd GROUP BY src, dst, ident HAVING count(DISTINCT side) = 1)) AS unmeasurable FROM st))"""
+ATTACHED = ("at AS (SELECT sta, o.l AS line, cmd_us, o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest(f.out) AS o FROM (SELECT sta, " + greedy("abs(d), cmd_us, r") + " AS f FROM (SELECT l.sta, l.line AS l, l.epoch_us AS cmd_us, pr.assoc_num AS r, coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us AS d FROM logged l JOIN pr ON pr.sta = l.sta AND pr.ap = l.bssid AND l.event = 'roam' AND abs(coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us) <= 250000) GROUP BY sta)) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) USING (line))").replace("SELECT sta, o.l AS line, cmd_us", "SELECT z.sta, z.line, w.cmd_us").replace("o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest", "z.assoc_num, z.residual_us FROM (SELECT sta, o.l AS line, o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest").replace("GROUP BY sta)) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) USING (line)", "GROUP BY sta))) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) w ON w.line = z.line")
+NTP = ("np AS (SELECT dst, unnest(f.out) AS o FROM (SELECT dst, " + fold(
+    "{'t': t, 'line': line_no, 'n': frame_no, 'off': arrival_us - org_us, 'res': org_us - t}",
+    "t, line_no, abs(org_us - t), org_us, frame_no",
+    "CASE WHEN coalesce(a.held = x.line, false) AND a.taken OR list_contains(a.used, x.n) THEN {'held': x.line, 'taken': coalesce(a.held = x.line, false) AND a.taken, 'used': a.used, 'out': a.out} ELSE {'held': x.line, 'taken': true, 'used': list_append(a.used, x.n), 'out': list_append(a.out, x)} END",
+    "{'held': cast(NULL as bigint), 'taken': false, 'used': cast([] as bigint[]), 'out': cast([] as struct(t bigint, line bigint, n bigint, \"off\" bigint, res bigint)[])}",
+) + " AS f FROM (SELECT n.dst, s.ts_us AS t, s.line_no, n.frame_no, n.arrival_us, n.org_us FROM syncs s JOIN ntp n ON abs(n.org_us - s.ts_us) <= 1000000) GROUP BY dst)), nm AS (SELECT dst, o.line AS line_no, o.n AS frame_no, o.off AS offset_us, o.res AS residual_us FROM np)")
+DECIDED = ("dk AS (SELECT sta, unnest(f.out) AS line FROM (SELECT sta, " + fold(
+    "{'f': from_bssid, 'b': bssid, 't': epoch_us, 'l': line}",
+    "epoch_us, line",
+    "CASE WHEN coalesce(a.f = x.f AND a.b = x.b AND x.t - a.t <= 500000, false) THEN a ELSE {'f': x.f, 'b': x.b, 't': x.t, 'out': list_append(a.out, x.l)} END",
+    "{'f': cast(NULL as varchar), 'b': cast(NULL as varchar), 't': cast(NULL as bigint), 'out': cast([] as bigint[])}",
+) + """ AS f FROM logged WHERE event = 'decision' GROUP BY sta)),
+de AS (SELECT sta, from_bssid, bssid, epoch_us, line, CASE WHEN ci > coalesce(ri, 0) THEN ct END AS condition_us, CASE WHEN ki > coalesce(ri, 0) THEN kt END AS candidate_us FROM (
+  SELECT *, max(CASE WHEN event = 'skip' OR kept THEN i END) OVER w AS ri, max(CASE WHEN event = 'condition' THEN i END) OVER w AS ci, max(CASE WHEN event = 'condition' THEN epoch_us END) OVER w AS ct, max(CASE WHEN event = 'candidate' THEN i END) OVER w AS ki, max(CASE WHEN event = 'candidate' THEN epoch_us END) OVER w AS kt
+  FROM (SELECT *, row_number() OVER (PARTITION BY sta ORDER BY epoch_us, line) AS i, line IN (SELECT line FROM dk) AS kept FROM logged WHERE event IN ('condition', 'candidate', 'decision', 'skip')) WINDOW w AS (PARTITION BY sta ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE kept)""")
 
 ORACLES: dict[str, str] = {
     "per_second": frames_sql("SELECT r.sec, coalesce(total, 0) AS total, coalesce(retry, 0) AS retry, coalesce(bytes, 0) AS bytes, coalesce(data_bytes, 0) AS data_bytes FROM (SELECT sec FROM secs UNION SELECT unnest(CASE WHEN max(sec) - min(sec) <= 21600 THEN range(min(sec), max(sec) + 1) ELSE [] END) FROM secs) r LEFT JOIN secs USING (sec)", SECONDS),
     "per_minute": frames_sql(f"SELECT epoch_us // 60000000 AS minute, count(*) AS total, {one('retry')} AS retry, {one(CTRL)} AS ctrl, {one(CTRL + ' AND retry')} AS ctrl_retry, count(*) FILTER (WHERE retry) > 1000 AS hotspot FROM frames GROUP BY 1"),
-    "overview": frames_sql(f"SELECT count(*) AS frames, {pct(one('retry'), 'count(*)')} AS retry_pct, (max(epoch_us) - min(epoch_us)) / 1000000 AS duration_sec, count(DISTINCT ta) AS senders, count(DISTINCT channel_freq) AS channels FROM frames"),
     "overview_kinds": frames_sql(f"SELECT {KIND} AS kind, {NAME} AS subtype, count(*) AS n, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1, 2"),
     "protocol_topk": frames_sql("SELECT protocol, count(*) AS n FROM frames GROUP BY protocol ORDER BY n DESC, min(struct_pack(a := epoch_us, b := number)) LIMIT 20"),
     "roles": frames_sql("SELECT mac, role, role || row_number() OVER (PARTITION BY role ORDER BY cnt DESC, mac) || '(' || right(replace(mac, ':', ''), 6) || ')' AS name, cnt AS count FROM (SELECT mac, role, count(*) AS cnt FROM (SELECT mac, 'AP' AS role FROM ap UNION ALL SELECT mac, 'STA' FROM sta) JOIN (SELECT unnest([ta, ra]) AS mac FROM frames) USING (mac) GROUP BY ALL)", ROLES),
@@ -126,7 +260,6 @@ ORACLES: dict[str, str] = {
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),
     "anomalies": frames_sql(f"SELECT kind, n, round(100 * n / total, 6) AS share, CASE WHEN kind = 'deauth' THEN CASE WHEN n > 10 THEN 'high' WHEN n > 3 THEN 'medium' END WHEN kind = 'probe' THEN CASE WHEN 100 * n / total > 20 THEN 'high' WHEN 100 * n / total > 10 THEN 'medium' WHEN 100 * n / total > 5 THEN 'low' END ELSE CASE WHEN 100 * n / total > 10 THEN 'high' WHEN 100 * n / total > 5 THEN 'medium' WHEN 100 * n / total > 2 THEN 'low' END END AS level FROM (SELECT 'deauth' AS kind, {one('subtype IN (10, 12)')} AS n, count(*) AS total FROM frames UNION ALL SELECT 'probe', {one('subtype IN (4, 5)')}, count(*) FROM frames UNION ALL SELECT 'arp', {one('arp_opcode IS NOT NULL')}, count(*) FROM frames) WHERE total > 0"),
     "severity_levels": frames_sql(f"SELECT ta, CASE WHEN r > 15 THEN 'danger' WHEN r > 5 THEN 'warn' ELSE 'good' END AS retry_level, CASE WHEN s IS NULL THEN 'unknown' WHEN s < -75 THEN 'danger' WHEN s < -65 THEN 'warn' ELSE 'good' END AS rssi_level, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 3 THEN 'danger' WHEN m < 6 THEN 'warn' ELSE 'good' END AS mcs_level FROM (SELECT ta, 100 * {one('retry')} / count(*) AS r, avg(rssi) AS s, avg(mcs) AS m FROM frames WHERE ta IS NOT NULL GROUP BY ta)"),
-    "time_axis_bins": frames_sql(f"SELECT cast(least(greatest((epoch_us - a) * 60 // greatest(b - a, 1), 0), 59) AS bigint) AS bin, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi FROM frames, (SELECT min(epoch_us) AS a, max(epoch_us) AS b FROM frames) GROUP BY 1"),
     "downsample_peak": frames_sql("SELECT sec // 60 AS stride, arg_max(sec, struct_pack(a := retry, b := -sec)) AS sec, max(retry) AS retry FROM secs GROUP BY 1", SECONDS),
     "control_list": frames_sql(f"SELECT number, epoch_us, ta, ra, CASE WHEN arp_opcode IS NOT NULL THEN CASE WHEN arp_opcode = 1 THEN 'ARP Req' ELSE 'ARP Reply' END WHEN icmp_type = 8 THEN 'ICMP Req' WHEN icmp_type = 0 THEN 'ICMP Reply' WHEN icmp_type IS NOT NULL THEN 'ICMP t=' || icmp_type ELSE 'TCP ACK' END AS detail, retry FROM frames WHERE {CTRL}"),
     "uniform_sample": frames_sql("SELECT number FROM (SELECT number, row_number() OVER (ORDER BY epoch_us, source, number) AS n FROM frames) WHERE n IN (SELECT CASE WHEN i = 99 THEN t ELSE i * t // 100 + 1 END FROM (SELECT unnest(range(0, 100)) AS i), (SELECT count(*) AS t FROM frames))"),
@@ -137,24 +270,19 @@ ORACLES: dict[str, str] = {
     "seq_gap_loss": frames_sql("SELECT src, dst, ident, unnest(range(icmp_seq + 1, nxt)) AS missing_seq, anchor_us, anchor_num FROM (SELECT src, dst, ident, icmp_seq, min(epoch_us) AS anchor_us, arg_min(number, epoch_us) AS anchor_num, lead(icmp_seq) OVER (PARTITION BY src, dst, ident ORDER BY icmp_seq) AS nxt FROM dd WHERE side = 'req' GROUP BY src, dst, ident, icmp_seq) WHERE nxt - icmp_seq > 1 AND nxt - icmp_seq <= 1000", PINGS),
     "ping_stats": frames_sql(f"SELECT l.src, n, min_us, max_us, avg_us, p50_us, p95_us, p99_us, losses, late, {pct('losses', 'judged')} AS loss_pct, {pct('(losses + late)', 'judged')} AS timeout_pct FROM (SELECT src, {RATED} AS losses, {one(LATE)} AS late, {one('status IS NOT NULL')} AS judged FROM st GROUP BY src) l LEFT JOIN (SELECT src, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, round(avg(rtt_us), 6) AS avg_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.5) AS bigint)) + 1] AS p50_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.95) AS bigint)) + 1] AS p95_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.99) AS bigint)) + 1] AS p99_us FROM st WHERE rtt_us IS NOT NULL GROUP BY src) s USING (src)", PINGS),
     "ping_per_sec": frames_sql(f"SELECT sec, sta, count(*) AS total, {RATED} AS loss, {pct(RATED, 'count(*)')} AS loss_pct, round(avg(rtt_us), 6) AS avg_rtt_us, cast(grouping(sec, sta) AS bigint) AS level FROM (SELECT *, epoch_us // 1000000 AS sec FROM st WHERE status IS NOT NULL) GROUP BY GROUPING SETS ((sec), (sec, sta))", PINGS),
-    "ping_streaks": frames_sql("SELECT sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, arg_min(icmp_seq, epoch_us) AS first_seq, arg_max(icmp_seq, epoch_us) AS last_seq FROM isl GROUP BY sta, isl HAVING count(*) >= 2", PINGS, "lost AS (SELECT * FROM st WHERE status = 'loss')", f"isl AS ({_islands('lost', 'sta', 'epoch_us, req_num', 60_000_000)})"),
     "loss_cause": frames_sql(f"SELECT sta, epoch_us, req_num, retry_pct, avg_rssi, CASE WHEN roam THEN 'roaming' WHEN retry_pct > 60 THEN 'high_retry' WHEN avg_rssi < -75 THEN 'weak_signal' WHEN retry_pct > 30 THEN 'retry' ELSE 'unknown' END AS cause FROM (SELECT l.sta, l.epoch_us, l.req_num, CASE WHEN count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000) > 0 THEN round(100 * count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000 AND f.retry) / count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 2) END AS retry_pct, round(avg(f.rssi) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 6) AS avg_rssi, coalesce(bool_or(f.roam AND abs(f.epoch_us - l.epoch_us) < 2000000), false) AS roam FROM (SELECT * FROM st WHERE status = 'loss') l LEFT JOIN (SELECT unnest([ta, ra]) AS sta, epoch_us, retry, rssi, {ROAM} AS roam FROM frames) f ON f.sta = l.sta AND f.epoch_us BETWEEN l.epoch_us - 2000000 AND l.epoch_us + 2000000 GROUP BY l.sta, l.epoch_us, l.req_num)", PINGS),
     "capture_mode": frames_sql("SELECT CASE WHEN b > 0 AND b = q THEN 'bidirectional' WHEN b > 0 THEN 'mixed' WHEN n > 0 THEN 'unidirectional' ELSE 'none' END AS mode FROM (SELECT count(*) AS n, count(*) FILTER (WHERE q AND p) AS b, count(*) FILTER (WHERE q) AS q FROM (SELECT bool_or(side = 'req') AS q, bool_or(side = 'rep') AS p FROM dd GROUP BY src, dst, ident))", PINGS),
     "wired_pairs": frames_sql("SELECT * FROM ex", WIRED),
     "wired_sender": frames_sql("SELECT * FROM chief", WIRED),
     "wired_trailing": frames_sql("SELECT host, target, number, epoch_us, rtt_us FROM own WHERE epoch_us <= (SELECT max(epoch_us) FROM own WHERE rtt_us IS NOT NULL)", WIRED),
     "wired_ground_truth": frames_sql(f"SELECT host, target, count(*) AS total, count(rtt_us) AS ok, count(*) - count(rtt_us) AS ng, count(late_us) AS late, {pct('(count(*) - count(rtt_us))', 'count(*)')} AS loss_pct, round(avg(rtt_us), 6) AS avg_us, list_sort(list(rtt_us) FILTER (WHERE rtt_us IS NOT NULL))[cast(ceil(0.95 * count(rtt_us)) AS bigint)] AS p95_us FROM fin GROUP BY host, target", WIRED),
-    "wired_loss_context": frames_sql(f"SELECT s.host, s.start_us, s.n, count(f.epoch_us) AS frames, count(*) FILTER (WHERE f.roam) AS roaming, CASE WHEN count(f.epoch_us) > 0 THEN round(100 * count(*) FILTER (WHERE f.retry) / count(f.epoch_us), 2) END AS retry_pct FROM (SELECT host, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n FROM isl GROUP BY host, target, isl HAVING count(*) >= 2) s LEFT JOIN (SELECT epoch_us, retry, {ROAM} AS roam FROM frames) f ON f.epoch_us BETWEEN s.start_us - 2000000 AND s.end_us + 2000000 GROUP BY s.host, s.start_us, s.end_us, s.n", WIRED, "lost AS (SELECT * FROM fin WHERE rtt_us IS NULL)", f"isl AS ({_islands('lost', 'target', 'epoch_us, number', 2_000_000)})"),
     "exping_rows": frames_sql("SELECT CASE WHEN rtt_us IS NOT NULL THEN 'OK' ELSE 'NG' END AS result, epoch_us, target AS ip, CASE WHEN rtt_us IS NOT NULL THEN 'Time:' || lpad(cast((rtt_us + 276) // 1000 AS varchar), 6, ' ') || 'ms' ELSE 'Request timed out' END AS status FROM fin", WIRED),
     "retry_bursts": frames_sql(f"SELECT first_num, burst_len, burst_us, arg_min(c.epoch_us, c.rank) - b.end_us AS delay_us, arg_min(c.number, c.rank) AS ctrl_num, arg_min(c.detail, c.rank) AS detail FROM (SELECT arg_min(number, rank) AS first_num, count(*) AS burst_len, max(epoch_us) - min(epoch_us) AS burst_us, max(epoch_us) AS end_us, max(rank) AS last_rank FROM (SELECT *, sum(CASE WHEN retry THEN 0 ELSE 1 END) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS g FROM rk) WHERE retry GROUP BY g HAVING count(*) >= 3) b JOIN (SELECT * FROM rk WHERE ctrl AND NOT retry) c ON c.rank BETWEEN b.last_rank + 1 AND b.last_rank + 50 GROUP BY first_num, burst_len, burst_us, b.end_us", f"rk AS (SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS rank, number, epoch_us, retry, {CTRL} AS ctrl, CASE WHEN arp_opcode IS NOT NULL THEN CASE WHEN arp_opcode = 1 THEN 'ARP Req' ELSE 'ARP Reply' END WHEN icmp_type = 8 THEN 'ICMP Req' WHEN icmp_type = 0 THEN 'ICMP Reply' ELSE 'TCP ACK' END AS detail FROM frames)"),
     "rate_fallback": frames_sql("SELECT arg_min(number, rank) AS first_num, min(epoch_us) AS start_us, count(*) AS n, arg_min(mcs, rank) AS first_mcs, arg_max(mcs, rank) AS last_mcs FROM (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS rank, number, epoch_us, mcs, retry AND mcs IS NOT NULL AS hit FROM frames)) WHERE hit GROUP BY g HAVING count(*) >= 2 AND arg_min(mcs, rank) > arg_max(mcs, rank)"),
-    "delay_zones": frames_sql("SELECT sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, max(rtt_us) AS max_rtt_us, count(*) - count(rtt_us) AS losses FROM isl GROUP BY sta, isl", PINGS, "pts AS (SELECT sta, epoch_us, req_num, rtt_us FROM (SELECT *, avg(rtt_us) OVER w AS a, coalesce(stddev_samp(rtt_us) OVER w, 0) AS s FROM st WHERE rtt_us IS NOT NULL WINDOW w AS (PARTITION BY sta ORDER BY epoch_us, req_num ROWS 9 PRECEDING)) WHERE rtt_us > 2 * a OR (s > 0 AND rtt_us > a + 2 * s) UNION ALL SELECT sta, epoch_us, req_num, NULL FROM st WHERE status = 'loss')", f"isl AS ({_islands('pts', 'sta', 'epoch_us, req_num', 2_000_000)})"),
     "cliff_pairs": frames_sql("SELECT * FROM (SELECT ta, sec, hi - min(lo) OVER (PARTITION BY ta ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS drop_db FROM (SELECT ta, epoch_us // 1000000 AS sec, min(rssi) AS lo, max(rssi) AS hi FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL)) WHERE drop_db >= 10"),
     "roam_anchor_sql": frames_sql("SELECT sta, ap, epoch_us, number, CASE WHEN epoch_us - a <= 10000000 THEN epoch_us - a END AS gap_us FROM (SELECT *, max(CASE WHEN event = 'auth' THEN epoch_us END) OVER (PARTITION BY sta, ap ORDER BY epoch_us, number ROWS UNBOUNDED PRECEDING) AS a FROM ev) WHERE event <> 'auth'", ROLES, ASSOC),
     "roaming_events": frames_sql("SELECT * FROM ev", ROLES, ASSOC),
     "nearest_roaming": frames_sql("SELECT h.number, h.epoch_us, arg_min(r.number, struct_pack(a := abs(r.epoch_us - h.epoch_us), b := r.epoch_us, c := r.number)) AS roam_num, min(abs(r.epoch_us - h.epoch_us)) AS distance_us FROM (SELECT * FROM frames WHERE subtype IN (10, 12)) h LEFT JOIN (SELECT * FROM frames WHERE subtype IN (0, 1, 2, 3, 11)) r ON abs(r.epoch_us - h.epoch_us) < 5000000 GROUP BY h.number, h.epoch_us"),
-    "tsf_offset": both_sql("SELECT * FROM off", OFFSET),
-    "renumbered": both_sql("SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS number, number AS orig_number, source, epoch_us FROM (SELECT number, source, epoch_us + coalesce((SELECT cast(round(offset_us) AS bigint) FROM off WHERE off.source = heard.source), 0) AS epoch_us FROM heard)", OFFSET),
     "sniffer_compare": both_sql(f"SELECT source, epoch_us // 1000000 AS sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi FROM heard GROUP BY ALL"),
     "wpa_episodes": log_sql("SELECT * FROM ep", EPISODES),
     "scan_pairs": log_sql("SELECT * FROM sc", SCANS),
@@ -171,6 +299,67 @@ ORACLES: dict[str, str] = {
     "ntp_offset_stats": log_sql("SELECT dst, count(*) AS n, round(quantile_cont(arrival_us - org_us, 0.5), 3) AS median_us, round(quantile_cont(arrival_us - org_us, 0.25), 3) AS q1_us, round(quantile_cont(arrival_us - org_us, 0.75), 3) AS q3_us FROM ntp GROUP BY dst HAVING count(*) >= 3"),
     "ntp_drift": log_sql("SELECT dst, count(*) AS n, round(regr_slope((arrival_us - org_us - d0) / 1e6, (arrival_us - t0) / 1e6) * 1e6, 3) AS ppm FROM ntp JOIN (SELECT dst, min(arrival_us) AS t0, min(arrival_us - org_us) AS d0 FROM ntp GROUP BY dst) USING (dst) GROUP BY dst HAVING count(*) >= 3"),
     "evidence_refs": frames_sql("SELECT sta, category, count(*) AS n, min(epoch_us) AS start_us, max(epoch_us) AS end_us, cast(least(count(*), 100) AS bigint) AS refs, arg_min(number, struct_pack(a := epoch_us, b := number)) AS first_ref FROM (SELECT ta AS sta, 'weak_signal' AS category, epoch_us, number FROM frames WHERE rssi < -75 UNION ALL SELECT sta, 'ping_loss', epoch_us, req_num FROM st WHERE status = 'loss' UNION ALL SELECT ta, 'disconnect', epoch_us, number FROM frames WHERE subtype IN (10, 12)) WHERE sta IS NOT NULL GROUP BY sta, category", PINGS),
-    "sta_scores": frames_sql(f"SELECT sta, round(r, 6) AS retry_score, round(s, 6) AS rssi_score, round(CASE WHEN s IS NOT NULL THEN (0.35 * r + 0.35 * s) / 0.7 ELSE r END, 4) AS score FROM (SELECT ta AS sta, greatest(0, least(100, 100 - 5 * (100 * {one('retry')} / count(*)))) AS r, CASE WHEN avg(rssi) IS NOT NULL THEN greatest(0, least(100, (avg(rssi) + 90) * 2.5)) END AS s FROM frames WHERE ta IS NOT NULL GROUP BY ta)"),
     "semi_anti_sta": frames_sql("SELECT ta AS mac, count(*) AS n, CASE WHEN ta IN (SELECT mac FROM sta) THEN 'station' ELSE 'other' END AS kind FROM frames WHERE ta IS NOT NULL GROUP BY ta", ROLES),
+    "overview": frames_sql(f"SELECT count(*) AS frames, {pct(one('retry'), 'count(*)')} AS retry_pct, (arg_max(epoch_us, number) - arg_min(epoch_us, number)) / 1000000 AS duration_sec, count(DISTINCT ta) AS senders, count(DISTINCT channel_freq) AS channels FROM frames"),
+    "time_axis_bins": frames_sql(f"SELECT cast(least(greatest((epoch_us - a) * 60 // greatest(b - a, 1), 0), 59) AS bigint) AS bin, count(*) AS total, {one('retry')} AS retries, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi FROM frames, (SELECT min(epoch_us) AS a, max(epoch_us) AS b FROM frames) GROUP BY 1"),
+    "top_mcs_share": frames_sql(f"SELECT count(*) AS rated, {one('mcs IN (14, 15)')} AS top, {pct(one('mcs IN (14, 15)'), 'count(*)')} AS top_pct FROM frames WHERE mcs IS NOT NULL"),
+    "legacy_share": frames_sql(f"SELECT count(*) AS buckets, coalesce(round(sum(pct * tx) / nullif(sum(tx), 0), 1), 0) AS legacy_pct, coalesce(round(sum(pct * tx) / nullif(sum(tx), 0), 1), 0) >= 30 AS issue FROM (SELECT count(*) AS tx, {pct(one(LEGACY), 'count(*)', 1)} AS pct FROM frames WHERE ta IS NOT NULL GROUP BY epoch_us // 10000000)"),
+    "categories": frames_sql("SELECT CASE WHEN subtype BETWEEN 0 AND 15 THEN 'mgmt' WHEN subtype BETWEEN 16 AND 31 THEN 'ctrl' WHEN subtype BETWEEN 32 AND 47 THEN 'data' ELSE 'other' END AS frame_category, CASE protocol WHEN '802.11' THEN 'header_only' WHEN 'EAPOL' THEN 'auth' WHEN 'ICMP' THEN 'l2l3' WHEN 'ARP' THEN 'l2l3' WHEN 'TCP' THEN 'tcp' ELSE 'other' END AS protocol_category, count(*) AS n FROM frames GROUP BY 1, 2"),
+    "frame_rows": frames_sql(f"SELECT number, strftime(make_timestamp(epoch_us), '%Y-%m-%d %H:%M:%S.%f') AS timestamp, strftime(make_timestamp(epoch_us), '%H:%M:%S.%f') AS time, {KIND} || '/' || {NAME} AS type_subtype, retry, mcs, rssi, reason_code, seq, source FROM frames"),
+    "severity_ping": frames_sql(f"SELECT src, CASE WHEN r IS NULL THEN 'unknown' WHEN r > 80 THEN 'danger' WHEN r > 30 THEN 'warn' ELSE 'good' END AS rtt_level, CASE WHEN l IS NULL THEN 'unknown' WHEN l > 5 THEN 'danger' WHEN l > 1 THEN 'warn' ELSE 'good' END AS loss_level FROM (SELECT src, avg(rtt_us) / 1000 AS r, {pct(RATED, 'count(status)')} AS l FROM st GROUP BY src)", PINGS),
+    "ping_bins": frames_sql(f"SELECT cast(least(greatest((epoch_us - a) * 60 // greatest(b - a, 1), 0), 59) AS bigint) AS bin, {one('NOT lost')} AS success, {one('lost')} AS loss, count(*) AS total, {pct(one('lost'), 'count(*)', 1)} AS loss_pct FROM (SELECT epoch_us, status = 'loss' AS lost FROM st WHERE status IS NOT NULL), (SELECT min(epoch_us) AS a, max(epoch_us) AS b FROM frames) GROUP BY 1", PINGS),
+    "ping_streaks": frames_sql("SELECT sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, arg_min(icmp_seq, epoch_us) AS first_seq, arg_max(icmp_seq, epoch_us) AS last_seq FROM isl GROUP BY sta, isl HAVING count(*) >= 2", PINGS, "lost AS (SELECT * FROM st WHERE status = 'loss')", f"isl AS ({_islands('lost', 'sta', 'epoch_us, req_num', 2_000_000)})"),
+    "gap_losses_one_sided": frames_sql("SELECT * FROM gp", SIDED, ONE_SIDED, GAPS),
+    "ping_observations": frames_sql("SELECT src, dst, ident, icmp_seq, epoch_us, number, sta, retry, rssi, CASE WHEN side = 'req' THEN 'request' ELSE 'reply' END AS direction FROM dd WHERE CASE WHEN side = 'req' THEN NOT EXISTS (SELECT 1 FROM dd d WHERE d.side = 'rep' AND d.src = dd.src AND d.dst = dd.dst AND d.ident = dd.ident) ELSE NOT EXISTS (SELECT 1 FROM dd d WHERE d.side = 'req' AND d.src = dd.src AND d.dst = dd.dst AND d.ident = dd.ident AND d.icmp_seq = dd.icmp_seq) END", SIDED, ONE_SIDED),
+    "ping_totals": frames_sql("SELECT pairs, late, losses, unmeasurable, loss_pct, timeout_pct FROM tt", SIDED, ONE_SIDED, GAPS, TOTALS),
+    "ping_devices": frames_sql("SELECT ip, arg_max(coalesce(name, right(mac, 5)), struct_pack(a := epoch_us, b := req_num, c := k)) AS device FROM (SELECT s.epoch_us, s.req_num, 0 AS k, f.ip_src AS ip, f.ta AS mac FROM st s JOIN frames f ON f.number = s.req_num WHERE status IS NOT NULL UNION ALL SELECT s.epoch_us, s.req_num, 1, f.ip_dst, f.ra FROM st s JOIN frames f ON f.number = s.req_num WHERE status IS NOT NULL) e LEFT JOIN (SELECT mac, role || row_number() OVER (PARTITION BY role ORDER BY cnt DESC, mac) || '(' || right(replace(mac, ':', ''), 6) || ')' AS name FROM (SELECT mac, role, count(*) AS cnt FROM (SELECT mac, 'AP' AS role FROM ap UNION ALL SELECT mac, 'STA' FROM sta) JOIN (SELECT unnest([ta, ra]) AS mac FROM frames) USING (mac) GROUP BY ALL)) USING (mac) WHERE ip IS NOT NULL AND mac IS NOT NULL GROUP BY ip", ROLES, PINGS),
+    "loss_basis": frames_sql("SELECT CASE WHEN w.total > 0 THEN w.pct ELSE t.loss_pct END AS loss_pct, CASE WHEN w.total > 0 THEN 'wired_ground_truth' WHEN t.loss_pct IS NOT NULL THEN 'wireless_observed' END AS loss_basis FROM (SELECT count(*) AS total, CASE WHEN count(*) > 0 THEN round(100 * (count(*) - count(rtt_us)) / count(*), 2) END AS pct FROM fin) w, tt t", PINGS, GAPS, TOTALS, WIRED),
+    "wired_guard": frames_sql("SELECT host, count(*) AS requests, cast(count(*) FILTER (WHERE number // 10 % 3 <> 0) AS bigint) AS wireless, CASE WHEN count(*) FILTER (WHERE number // 10 % 3 <> 0) = count(*) THEN 'error' WHEN count(*) FILTER (WHERE number // 10 % 3 <> 0) > 0 THEN 'warning' ELSE 'ok' END AS verdict FROM pk SEMI JOIN chief USING (host) WHERE side = 'req' GROUP BY host", WIRED),
+    "wired_cohort_sender": frames_sql("SELECT host, count(*) AS n FROM pk WHERE side = 'req' AND epoch_us >= 1704067800000000 AND epoch_us < 1704071400000000 AND (host IN ('10.0.0.11', '10.0.0.12') OR target IN ('10.0.0.11', '10.0.0.12')) GROUP BY host ORDER BY n DESC, min(epoch_us) LIMIT 1", WIRED),
+    "wired_boundary": frames_sql("SELECT host, target, number, epoch_us, rtt_us, late_us FROM own WHERE epoch_us >= 1704067800000000 AND epoch_us < 1704071400000000 AND NOT (epoch_us >= 1704071399000000 AND (coalesce(rtt_us, late_us) IS NULL OR epoch_us + coalesce(rtt_us, late_us) >= 1704071400000000)) AND (host IN ('10.0.1.1', '10.0.0.12') OR target IN ('10.0.1.1', '10.0.0.12'))", WIRED),
+    "wired_loss_context": frames_sql(f"SELECT s.host, s.target, s.sta, s.start_us, s.n, count(f.epoch_us) AS frames, count(*) FILTER (WHERE f.roam) AS roaming, CASE WHEN count(f.epoch_us) > 0 THEN round(100 * count(*) FILTER (WHERE f.retry) / count(f.epoch_us), 2) END AS retry_pct FROM (SELECT host, target, coalesce((SELECT mac FROM bd WHERE ip = target), (SELECT mac FROM bd WHERE ip = host), '*') AS sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n FROM isl GROUP BY host, target, isl HAVING count(*) >= 2) s LEFT JOIN (SELECT unnest(list_distinct(['*', ta, ra])) AS sta, epoch_us, retry, {ROAM} AS roam FROM frames) f ON f.sta = s.sta AND f.epoch_us BETWEEN s.start_us - 2000000 AND s.end_us + 2000000 GROUP BY s.host, s.target, s.sta, s.start_us, s.end_us, s.n", WIRED, ROLES, "bd AS (SELECT ip, arg_max(mac, struct_pack(a := n, b := mac)) AS mac FROM (SELECT ip_src AS ip, ta AS mac, count(*) AS n FROM frames WHERE ip_src IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) GROUP BY ip HAVING arg_max(mac, struct_pack(a := n, b := mac)) IN (SELECT mac FROM sta))", "lost AS (SELECT * FROM fin WHERE rtt_us IS NULL)", f"isl AS ({_islands('lost', 'target', 'epoch_us, number', 2_000_000)})"),
+    "delay_zones": frames_sql("SELECT start_us, end_us, n, max_rtt_us, avg_rtt_us, losses FROM zn", PINGS, *ZONES),
+    "delay_causes": frames_sql("SELECT zn.*, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE coalesce(auth_us, assoc_us) BETWEEN start_us - 2000000 AND end_us + 2000000) THEN 'roaming' WHEN (SELECT sum(retry) / sum(total) FROM secs WHERE sec BETWEEN start_us // 1000000 AND end_us // 1000000 + 1) > 0.3 THEN 'high_retry' ELSE 'unknown' END AS cause FROM zn", PINGS, *ZONES, SECONDS, *ROAMS),
+    "signal_cliffs": frames_sql("SELECT ta, sec, before, after, took_sec FROM cl", *CLIFF),
+    "roam_pairing": frames_sql("SELECT sta, ap, prev_ap, assoc_us, assoc_num, auth_us, auth_num, basis, gap_us FROM pr", *ROAMS),
+    "eapol_handshakes": frames_sql("SELECT sta, ap, start_us, end_us, completion_us, CASE WHEN n1 > 0 AND n4 > 0 THEN duration_us END AS duration_us, n1, n2, n3, n4, retries, complete FROM hs", ROLES, SHAKEN),
+    "four_way_match": frames_sql("SELECT sta, ap, prev_ap, assoc_us, assoc_num, auth_us, auth_num, basis, gap_us, shake_us, completion_us, four_way_us, complete, total_us FROM fw", *SLOW),
+    "slow_roam": frames_sql("SELECT sta, ap, prev_ap, assoc_us, assoc_num, gap_us, total_us, is_slow, slow_basis FROM sl", *SLOW),
+    "roam_summary": frames_sql("SELECT sta, count(*) AS roams, round(avg(gap_us), 6) AS avg_gap_us, max(gap_us) AS max_gap_us, cast(count(*) FILTER (WHERE is_slow) AS bigint) AS slow, cast(count(*) FILTER (WHERE gap_us IS NULL) AS bigint) AS unmeasured, count(DISTINCT ap) AS aps FROM sl GROUP BY sta", *SLOW),
+    "roam_directions": frames_sql("SELECT sta, prev_ap, ap, count(*) AS roams, CASE WHEN avg(gap_us) IS NULL THEN 'unknown' WHEN avg(gap_us) / 1000 > 100 THEN 'danger' WHEN avg(gap_us) / 1000 > 50 THEN 'warn' ELSE 'good' END AS gap_level FROM pr GROUP BY ALL", *ROAMS),
+    "roam_structured": frames_sql("SELECT pr.sta, pr.ap, pr.prev_ap, assoc_us, assoc_num, gap_us, n.channel AS new_channel, n.band AS new_band, o.channel AS old_channel, o.band AS old_band, n.band <> o.band AS band_change FROM pr LEFT JOIN cm n ON n.ap = pr.ap LEFT JOIN cm o ON o.ap = pr.prev_ap", *ROAMS, CHANNELS),
+    "roam_impact": frames_sql(f"SELECT sta, start_us, b.assoc_num, before_frames, before_retry_pct, before_rssi, after_frames, after_retry_pct, after_rssi, coalesce(e.matched, 0) AS matched, coalesce(e.lost, 0) AS lost, coalesce(after_retry_pct > 50, false) OR coalesce(e.lost, 0) > 0 AS problem FROM (SELECT sta, t AS start_us, assoc_num, {one('epoch_us < t')} AS before_frames, {pct(one('epoch_us < t AND retry'), one('epoch_us < t'))} AS before_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us < t), 6) AS before_rssi, {one('epoch_us >= t')} AS after_frames, {pct(one('epoch_us >= t AND retry'), one('epoch_us >= t'))} AS after_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us >= t), 6) AS after_rssi FROM nr GROUP BY ALL) b LEFT JOIN (SELECT assoc_num, cast(count(*) FILTER (WHERE e = 'rep' AND prior = 'req') AS bigint) AS matched, cast(count(*) FILTER (WHERE e = 'req' AND nxt IS NULL) AS bigint) AS lost FROM (SELECT assoc_num, e, lag(e) OVER w AS prior, lead(e) OVER w AS nxt FROM (SELECT *, CASE WHEN icmp_type = 8 AND NOT retry THEN 'req' WHEN icmp_type = 0 THEN 'rep' END AS e, CASE WHEN icmp_type = 8 THEN ip_src ELSE ip_dst END AS x, CASE WHEN icmp_type = 8 THEN ip_dst ELSE ip_src END AS y FROM nr) WHERE e IS NOT NULL WINDOW w AS (PARTITION BY assoc_num, x, y ORDER BY epoch_us, number)) GROUP BY assoc_num) e ON e.assoc_num = b.assoc_num", *ROAMS, "nr AS (SELECT pr.sta, coalesce(auth_us, assoc_us) AS t, assoc_num, f.epoch_us, f.number, f.retry, f.rssi, f.icmp_type, f.ip_src, f.ip_dst FROM pr JOIN frames f ON (f.ta = pr.sta OR f.ra = pr.sta) AND f.epoch_us BETWEEN coalesce(auth_us, assoc_us) - 3000000 AND coalesce(auth_us, assoc_us) + 3000000)"),
+    "station_attach": log_sql("SELECT sta, line, cmd_us, assoc_num, residual_us FROM at", *ROAMS, ATTACHED),
+    "roam_coverage": log_sql("SELECT n, sta_p50, capture_p50, CASE WHEN p > 0 THEN round(100 * c / p, 1) END AS visible_pct, n >= 3 AS reportable FROM (SELECT count(*) AS n, median(s) AS p, median(t) AS c, round(median(s), 6) AS sta_p50, round(median(t), 6) AS capture_p50 FROM (SELECT ep.total_us / 1000 AS s, sl.total_us / 1000 AS t FROM at JOIN ep ON ep.sta = at.sta AND ep.cmd_us = at.cmd_us AND ep.ok JOIN sl ON sl.assoc_num = at.assoc_num WHERE sl.total_us IS NOT NULL))", *SLOW, EPISODES, ATTACHED),
+    "roam_reclassified": log_sql("SELECT sta, ap, sl.assoc_num, gap_us, total_us, sta_total_ms, CASE WHEN sta_total_ms >= 0 THEN sta_total_ms > 150 ELSE is_slow END AS is_slow, CASE WHEN sta_total_ms >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis FROM sl LEFT JOIN (SELECT at.assoc_num, ep.total_us / 1000 AS sta_total_ms FROM at JOIN ep ON ep.sta = at.sta AND ep.cmd_us = at.cmd_us AND ep.ok) l ON l.assoc_num = sl.assoc_num", *SLOW, EPISODES, ATTACHED),
+    "roam_decisions": log_sql("SELECT * FROM de", *DECIDED),
+    "last_decision_asof": log_sql("SELECT l.sta, l.epoch_us AS cmd_us, l.line, max(d.epoch_us) AS decision_us FROM (SELECT * FROM logged WHERE event = 'roam') l LEFT JOIN de d ON d.sta = l.sta AND d.epoch_us < l.epoch_us + 1000 GROUP BY ALL", *DECIDED),
+    "ntp_match": log_sql("SELECT * FROM nm", NTP),
+    "ntp_device": log_sql("SELECT dst, count(*) AS n FROM nm GROUP BY dst ORDER BY n DESC, median(abs(residual_us)), dst LIMIT 1", NTP),
+    "tsf_offset": both_sql("SELECT * FROM off", OFFSET),
+    "seq_offset": both_sql(middle("so"), "so AS (SELECT source, unnest(f.out).d AS d FROM (SELECT b.source, " + greedy("abs(a.epoch_us - b.epoch_us), a.number, b.number").replace("{'l': l, 'r': r, 'd': d} ORDER", "{'l': a.number, 'r': b.number, 'd': a.epoch_us - b.epoch_us} ORDER") + " AS f FROM heard a JOIN heard b ON a.source = 'w1' AND b.source <> 'w1' AND a.ta = b.ta AND a.seq = b.seq AND a.subtype = b.subtype AND abs(a.epoch_us - b.epoch_us) <= 5000000 GROUP BY b.source, a.ta, a.seq, a.subtype))"),
+    "renumbered": both_sql("SELECT row_number() OVER (ORDER BY epoch_us, source, number) AS number, number AS orig_number, source, epoch_us FROM (SELECT number, source, epoch_us + coalesce((SELECT cast(round_even(offset_us, 0) AS bigint) FROM off WHERE off.source = heard.source), 0) AS epoch_us FROM heard)", OFFSET),
+    "merge_dedup": both_sql("SELECT * FROM md", *MERGED),
+    "coverage": both_sql("SELECT sources, count(*) AS n FROM md GROUP BY sources", *MERGED),
+    "merge_summary": both_sql(f"SELECT min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS kept, cast(count(*) FILTER (WHERE contains(sources, ',')) AS bigint) AS duplicates, {one(chr(99) + 'ontains(sources, ' + chr(39) + ',' + chr(39) + ')')} AS shared, {one('NOT contains(sources, ' + chr(39) + ',' + chr(39) + ')')} AS alone FROM md", *MERGED),
+    "incidents": frames_sql("SELECT c.s AS start_us, c.e AS end_us, c.t AS trigger_us, c.n AS trigger_num, c.k AS losses FROM ic WHERE c.t IS NOT NULL", PINGS, INCIDENTS),
+    "casefile": frames_sql(f"SELECT c.s AS start_us, c.e AS end_us, c.t AS trigger_us, c.n AS trigger_num, c.k AS losses, count(*) AS frames, {pct(one('retry'), 'count(*)')} AS retry_pct, {one(ROAM)} AS roaming, 'analysis:' || c.n || ':' || c.t // 1000000 || '.' || lpad(cast(c.t % 1000000 // 1000 AS varchar), 3, '0') AS case_id FROM frames, (SELECT c FROM ic WHERE c.t IS NOT NULL ORDER BY c.s LIMIT 1) i WHERE epoch_us BETWEEN c.s AND c.e GROUP BY c", PINGS, INCIDENTS),
+    "health_score": frames_sql("SELECT round(r, 6) AS retry_score, round(l, 6) AS loss_score, round(m, 6) AS roam_score, s AS score, CASE WHEN s >= 80 THEN 'green' WHEN s >= 60 THEN 'yellow' WHEN s IS NOT NULL THEN 'red' END AS grade FROM (SELECT *, cast(round_even((coalesce(r, 0) * 0.3 + coalesce(l, 0) * 0.4 + coalesce(m, 0) * 0.3) / (CASE WHEN r IS NULL THEN 0 ELSE 0.3 END + CASE WHEN l IS NULL THEN 0 ELSE 0.4 END + CASE WHEN m IS NULL THEN 0 ELSE 0.3 END), 0) AS integer) AS s FROM (SELECT greatest(0, 100 - 5 * (SELECT round(100 * count(*) FILTER (WHERE retry) / count(*), 2) FROM frames)) AS r, (SELECT greatest(0, 100 - 10 * loss_pct) FROM tt) AS l, (SELECT CASE WHEN count(*) = 0 THEN 100 WHEN count(slow_basis) > 0 THEN greatest(0, 100 - 2 * (100 * count(*) FILTER (WHERE is_slow) / count(slow_basis))) END FROM sl) AS m))", PINGS, GAPS, TOTALS, *SLOW),
+    "sta_scores": frames_sql("SELECT sta, round(r, 6) AS retry_score, round(s, 6) AS rssi_score, round(m, 6) AS roam_score, cast(round_even(round((0.35 * r + 0.35 * s + coalesce(0.3 * m, 0)) / (0.7 + CASE WHEN m IS NULL THEN 0 ELSE 0.3 END), 9), 0) AS integer) AS score FROM (SELECT e.sta, greatest(0, least(100, 100 - 5 * e.r)) AS r, coalesce(greatest(0, least(100, (h.s + 90) * 2.5)), 100) AS s, CASE WHEN x.sta IS NULL THEN 100 WHEN decided > 0 THEN greatest(0, 100 - 200 * slow / decided) END AS m FROM (SELECT sta, round(100 * count(*) FILTER (WHERE retry) / count(*), 1) AS r FROM (SELECT unnest([ta, ra]) AS sta, retry FROM frames) WHERE sta IN (SELECT mac FROM sta) GROUP BY sta) e LEFT JOIN (SELECT ta AS sta, avg(rssi) AS s FROM frames GROUP BY ta) h ON h.sta = e.sta LEFT JOIN (SELECT sta, count(slow_basis) AS decided, count(*) FILTER (WHERE is_slow) AS slow FROM sl GROUP BY sta) x ON x.sta = e.sta)", *SLOW),
+    "conclusions": frames_sql("""SELECT s.sta, s.code, level, round(value, 6) AS value, cast(least(count(*), 100) AS bigint) AS refs, arg_min(number, struct_pack(a := epoch_us, b := number)) AS first_ref, min(epoch_us) AS start_us, max(epoch_us) AS end_us
+FROM (SELECT sta, peak_minute, unnest([
+    {'code': 'ping_loss', 'level': 'WARNING', 'value': CASE WHEN lost > 0 THEN 100 * lost / (lost + met) END},
+    {'code': 'retry_high', 'level': 'WARNING', 'value': CASE WHEN share > 15 THEN share END},
+    {'code': 'retry_some', 'level': 'INFO', 'value': CASE WHEN share > 5 AND share <= 15 THEN share END},
+    {'code': 'weak_signal', 'level': 'WARNING', 'value': CASE WHEN low < -75 THEN low END},
+    {'code': 'retry_peak', 'level': 'WARNING', 'value': CASE WHEN peak > 3000 THEN peak END},
+    {'code': 'many_roams', 'level': 'INFO', 'value': CASE WHEN auths > 3 THEN auths END},
+    {'code': 'normal', 'level': 'INFO', 'value': CASE WHEN NOT (lost > 0 OR share > 5 OR coalesce(low < -75, false) OR peak > 3000 OR auths > 3) THEN n END},
+    {'code': 'advise_retry', 'level': 'WARNING', 'value': CASE WHEN lost > 0 AND share > 30 THEN share END},
+    {'code': 'advise_roaming', 'level': 'WARNING', 'value': CASE WHEN lost > 0 AND auths > 2 THEN auths END},
+    {'code': 'advise_ping', 'level': 'WARNING', 'value': CASE WHEN lost > 0 AND NOT share > 30 AND NOT auths > 2 THEN lost END}], recursive := true)
+  FROM (SELECT a.*, 100 * retries / n AS share, coalesce(peak, 0) AS peak, peak_minute FROM (SELECT sta, count(*) AS n, count(*) FILTER (WHERE retry) AS retries, min(rssi) AS low, count(*) FILTER (WHERE auth) AS auths, count(*) FILTER (WHERE lost) AS lost, count(*) FILTER (WHERE met) AS met FROM ow GROUP BY sta) a
+    LEFT JOIN (SELECT sta, max(k) AS peak, arg_max(minute, struct_pack(a := k, b := -minute)) AS peak_minute FROM (SELECT sta, minute, count(*) AS k FROM ow WHERE retry GROUP BY ALL) GROUP BY sta) USING (sta))) s
+JOIN ow o ON o.sta = s.sta AND CASE s.code WHEN 'ping_loss' THEN o.lost WHEN 'retry_high' THEN o.retry WHEN 'retry_some' THEN o.retry WHEN 'weak_signal' THEN o.rssi < -75 WHEN 'retry_peak' THEN o.retry AND o.minute = s.peak_minute WHEN 'many_roams' THEN o.auth WHEN 'normal' THEN true WHEN 'advise_retry' THEN o.lost OR o.retry WHEN 'advise_roaming' THEN o.lost OR o.auth ELSE o.lost END
+WHERE value IS NOT NULL GROUP BY s.sta, s.code, level, value""", PINGS, ROLES, "ow AS (SELECT f.sta, number, epoch_us, retry, rssi, epoch_us // 60000000 AS minute, subtype = 11 AND ta = f.sta AS auth, coalesce(icmp_type = 8 AND NOT retry AND NOT answered, false) AS lost, coalesce(icmp_type = 8 AND NOT retry AND answered, false) AS met FROM (SELECT *, unnest(list_distinct([ta, ra])) AS sta FROM frames) f LEFT JOIN (SELECT src, dst, icmp_seq, bool_or(status <> 'loss') AS answered FROM st WHERE status IS NOT NULL GROUP BY ALL) k ON k.src = ip_src AND k.dst = ip_dst AND k.icmp_seq = f.icmp_seq WHERE f.sta IN (SELECT mac FROM sta))"),
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions import thresholds
 from framewright.operators import diagnosis, merge, ping, roaming, signals, stations, stats, timesync, wired
 from framewright.sources import adapter
 
@@ -69,15 +70,52 @@ def _ntp_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timesync.matches(adapter.ntp_from_events(spark, sf_dir), adapter.sync_from_events(spark, sf_dir))
 
 
-def _roam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = adapter.frames_from_events(spark, sf_dir)
+def _sta_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured roams and the time their station's log gives them."""
     log = adapter.station_log_from_events(spark, sf_dir)
     episodes = stations.wpa_episodes(log).where("ok")
-    paired = stations.attach(log.where("event = 'roam'").withColumnRenamed("epoch_us", "cmd_us"), roaming.pairing(frames))
-    took = paired.join(episodes.select("sta", "cmd_us", "total_us"), ["sta", "cmd_us"])
-    seen = roaming.slow_roams(frames).select("assoc_num", F.col("total_us").alias("air_us"))
-    both = took.join(seen, "assoc_num").select((F.col("total_us") / 1000).alias("sta_total_ms"), (F.col("air_us") / 1000).alias("capture_total_ms"))
-    return roaming.coverage(both)
+    paired = stations.attach(log.where("event = 'roam'").withColumnRenamed("epoch_us", "cmd_us"), roaming.pairing(adapter.frames_from_events(spark, sf_dir)))
+    return paired.join(episodes.select("sta", "cmd_us", "total_us"), ["sta", "cmd_us"]).select("assoc_num", (F.col("total_us") / 1000).alias("sta_total_ms"))
+
+
+def _roam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = roaming.slow_roams(adapter.frames_from_events(spark, sf_dir)).select("assoc_num", (F.col("total_us") / 1000).alias("capture_total_ms"))
+    return roaming.coverage(_sta_totals(spark, sf_dir).join(seen, "assoc_num"))
+
+
+def _reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = roaming.reclassified(roaming.slow_roams(adapter.frames_from_events(spark, sf_dir)), _sta_totals(spark, sf_dir))
+    return found.select("sta", "ap", "assoc_num", "gap_us", "total_us", "sta_total_ms", "is_slow", "slow_basis")
+
+
+def _last_decision(log: DataFrame) -> DataFrame:
+    return stations.last_decision(log.where("event = 'roam'").withColumnRenamed("epoch_us", "cmd_us"), stations.roam_decisions(log))
+
+
+def _sided(frames: DataFrame) -> DataFrame:
+    """Frames of which some flows lack replies and some requests."""
+    return frames.where("not (icmp_type <=> 0 and ip_dst <=> '10.0.0.10') and not (icmp_type <=> 8 and ip_src <=> '10.0.0.11')")
+
+
+def _severity_ping(frames: DataFrame) -> DataFrame:
+    found = ping.statuses(frames).groupBy("src").agg((F.avg("rtt_us") / 1000).alias("r"), stats.percent(stats.one_if(F.col("status") == "loss"), F.count("status")).alias("l"))
+    return found.select("src", thresholds.above(F.col("r"), thresholds.RTT_MS).alias("rtt_level"), thresholds.above(F.col("l"), thresholds.LOSS_PERCENT).alias("loss_level"))
+
+
+def _loss_basis(frames: DataFrame) -> DataFrame:
+    rows = wired.of_sender(wired.packets(frames))
+    lost = F.col("rtt_us").isNull()
+    truth = wired.without_tail(wired.exchanges(rows), rows).agg(F.count("*").alias("total"), stats.percent(stats.one_if(lost), F.count("*")).alias("loss_pct")).withColumn("partial", F.lit(False))
+    return ping.loss_basis(truth, ping.totals(frames))
+
+
+#: An hour of the derived capture, half open.
+HOUR = (1_704_067_800_000_000, 1_704_071_400_000_000)
+
+
+def _wired_boundary(frames: DataFrame) -> DataFrame:
+    found = wired.exchanges(wired.of_sender(wired.packets(frames)))
+    return wired.within(found, *HOUR, [["10.0.1.1", "10.0.0.12"]]).select("host", "target", "number", "epoch_us", "rtt_us", "late_us")
 
 
 def _semi_anti(frames: DataFrame) -> DataFrame:
@@ -113,20 +151,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "time_axis_bins": _frames(stats.time_axis_bins),
     "downsample_peak": _frames(stats.downsample_peak),
     "control_list": _frames(stats.control_list),
+    "frame_rows": _frames(stats.frame_rows),
+    "categories": _frames(stats.categories),
+    "top_mcs_share": _frames(stats.top_mcs_share),
+    "legacy_share": _frames(stats.legacy_share),
     "uniform_sample": _frames(stats.uniform_sample),
     "ping_dedup": _frames(ping.dedup),
     "ping_match": _frames(ping.matches),
     "ping_status": _frames(ping.statuses),
     "ping_cross_validation": _frames(ping.cross_validation),
     "seq_gap_loss": _frames(lambda f: ping.seq_gap_loss(ping.dedup(f).where("side = 'req'"))),
-    "gap_losses_one_sided": _frames(ping.gap_losses),
+    "gap_losses_one_sided": _frames(lambda f: ping.gap_losses(_sided(f))),
     "ping_stats": _frames(ping.ping_stats),
     "ping_per_sec": _frames(ping.ping_per_sec),
-    "ping_streaks": _frames(lambda f: ping.streaks(f, 60 * 1_000_000)),
+    "ping_streaks": _frames(ping.streaks),
+    "ping_observations": _frames(lambda f: ping.observations(_sided(f))),
+    "ping_totals": _frames(lambda f: ping.totals(_sided(f))),
+    "ping_devices": _frames(lambda f: ping.devices(f, stats.roles(f))),
+    "ping_bins": _frames(lambda f: stats.ping_bins(ping.statuses(f), stats.time_axis(f))),
+    "severity_ping": _frames(_severity_ping),
+    "loss_basis": _frames(_loss_basis),
     "loss_cause": _frames(ping.loss_cause),
     "capture_mode": _frames(ping.capture_mode),
     "wired_pairs": _frames(_wired_pairs),
     "wired_sender": _frames(lambda f: wired.sender(wired.packets(f))),
+    "wired_guard": _frames(lambda f: wired.wireless_guard(wired.packets(f.withColumn("subtype", F.when(F.expr("number div 10") % 3 != 0, F.col("subtype")))))),
+    "wired_cohort_sender": _frames(lambda f: wired.sender(wired.cohort(wired.packets(f), *HOUR, [["10.0.0.11", "10.0.0.12"]]))),
+    "wired_boundary": _frames(_wired_boundary),
     "wired_trailing": _frames(_wired_trailing),
     "wired_ground_truth": _frames(wired.ground_truth),
     "wired_loss_context": _frames(wired.loss_context),
@@ -145,19 +196,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "four_way_match": _frames(roaming.four_way),
     "slow_roam": _frames(roaming.slow_roams),
     "roam_summary": _frames(roaming.roam_summary),
+    "roam_directions": _frames(roaming.directions),
     "roam_impact": _frames(roaming.roam_impact),
+    "roam_reclassified": _reclassified,
     "roam_coverage": _roam_coverage,
     "nearest_roaming": _frames(roaming.nearest_roaming),
     "tsf_offset": _both(merge.tsf_offset),
     "seq_offset": _both(merge.seq_offset),
     "merge_dedup": _both(_merged),
     "coverage": _both(lambda f: merge.coverage(_merged(f))),
+    "merge_summary": _both(lambda f: merge.summary(_merged(f))),
     "renumbered": _both(lambda f: merge.renumbered(merge.aligned(f)).select("number", "orig_number", "source", "epoch_us")),
     "sniffer_compare": _both(merge.sniffer_compare),
     "wpa_episodes": _log(stations.wpa_episodes),
     "scan_pairs": _log(stations.scan_pairs),
     "roam_decisions": _log(stations.roam_decisions),
     "last_scan_asof": _log(stations.last_scan),
+    "last_decision_asof": _log(_last_decision),
     "station_summary": _log(lambda x: stations.summary(stations.wpa_episodes(x))),
     "sta_offset_histogram": _histogram,
     "station_attach": _attach,
@@ -169,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_refs": _frames(diagnosis.evidence_refs),
     "health_score": _frames(diagnosis.health_score),
     "sta_scores": _frames(diagnosis.sta_scores),
+    "conclusions": _frames(diagnosis.conclusions),
     "issues": _frames(diagnosis.issues),
     "incidents": _frames(diagnosis.incidents),
     "casefile": _frames(diagnosis.casefile),

@@ -121,10 +121,11 @@ def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_log_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station log events: sta, epoch_us, event, bssid, line (a total order)."""
+    """Station log events: sta, epoch_us, event, bssid, from_bssid (of
+    decisions), line (a total order)."""
     shaped, parts = _shaped(spark, sf_dir), None
     for n, (e, where, at, event, ap) in enumerate(LOGGED):
-        part = shaped.where(f"event_type = '{e}' and {where}").select("sta", F.expr(at).alias("epoch_us"), F.lit(event).alias("event"), (F.col("ap") if ap else F.lit(None).cast("string")).alias("bssid"), (F.col("event_id") * 10 + n).alias("line"))
+        part = shaped.where(f"event_type = '{e}' and {where}").select("sta", F.expr(at).alias("epoch_us"), F.lit(event).alias("event"), (F.col("ap") if ap else F.lit(None).cast("string")).alias("bssid"), (F.col("old_ap") if event == "decision" else F.lit(None).cast("string")).alias("from_bssid"), (F.col("event_id") * 10 + n).alias("line"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -143,7 +144,7 @@ def sync_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_logs() -> str:
     """As :func:`sql`, and ``logged``, ``ntp`` and ``syncs``."""
-    each = [f"SELECT sta, {at} AS epoch_us, '{event}' AS event, {'ap' if ap else 'NULL'} AS bssid, event_id * 10 + {n} AS line FROM shaped WHERE event_type = '{e}' AND {where}" for n, (e, where, at, event, ap) in enumerate(LOGGED)]
+    each = [f"SELECT sta, {at} AS epoch_us, '{event}' AS event, {'ap' if ap else 'NULL'} AS bssid, {'old_ap' if event == 'decision' else 'NULL'} AS from_bssid, event_id * 10 + {n} AS line FROM shaped WHERE event_type = '{e}' AND {where}" for n, (e, where, at, event, ap) in enumerate(LOGGED)]
     union = "\nUNION ALL\n".join(each)
     return sql() + f""", logged AS (
 {union}
