@@ -118,11 +118,11 @@ PAIRED = ("""rv AS (
     WHEN len(list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)) = 0 AND coalesce(x.t - a.lt BETWEEN 0 AND 200000 AND a.ls = x.s AND a.la = x.ap, false)
       THEN {'held': list_filter(a.held, lambda y: y.ap <> x.ap), 'lt': a.lt, 'ls': a.ls, 'la': a.la, 'out': a.out}
     ELSE {'held': list_filter(a.held, lambda y: false), 'lt': x.t, 'ls': x.s, 'la': x.ap,
-      'out': list_append(a.out, {'ap': x.ap, 'cur': x.cur, 't': x.t, 'n': x.n, 'at': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].t, 'an': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].n, 'b': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].b})} END""",
-    "{'held': cast([] as struct(ap varchar, t bigint, n bigint, b varchar)[]), 'lt': cast(NULL as bigint), 'ls': cast(NULL as integer), 'la': cast(NULL as varchar), 'out': cast([] as struct(ap varchar, cur varchar, t bigint, n bigint, at bigint, an bigint, b varchar)[])}",
+      'out': list_append(a.out, {'ap': x.ap, 'cur': x.cur, 't': x.t, 'n': x.n, 'aut': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].t, 'aun': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].n, 'b': list_filter(a.held, lambda y: y.ap = x.ap AND x.t - y.t BETWEEN 0 AND 10000000)[1].b})} END""",
+    "{'held': cast([] as struct(ap varchar, t bigint, n bigint, b varchar)[]), 'lt': cast(NULL as bigint), 'ls': cast(NULL as integer), 'la': cast(NULL as varchar), 'out': cast([] as struct(ap varchar, cur varchar, t bigint, n bigint, aut bigint, aun bigint, b varchar)[])}",
 )
 + """ AS f FROM rv GROUP BY sta
-), pr AS (SELECT sta, o.ap AS ap, o.cur AS prev_ap, o.t AS assoc_us, o.n AS assoc_num, o.at AS auth_us, o.an AS auth_num, o.b AS basis, o.t - o.at AS gap_us FROM (SELECT sta, unnest(f.out) AS o FROM rf))""")
+), pr AS (SELECT sta, o.ap AS ap, o.cur AS prev_ap, o.t AS assoc_us, o.n AS assoc_num, o.aut AS auth_us, o.aun AS auth_num, o.b AS basis, o.t - o.aut AS gap_us FROM (SELECT sta, unnest(f.out) AS o FROM rf))""")
 CLOSED = "(a.cur.s IS NOT NULL AND (x.t - a.cur.e > 5000000 OR x.ap <> a.cur.ap OR x.m = 1 AND a.cur.c[2] + a.cur.c[3] + a.cur.c[4] > 0))"
 NEW = f"({CLOSED} OR a.cur.s IS NULL)"
 SHAKEN = ("""em AS (
@@ -223,7 +223,10 @@ ONE_SIDED = PINGS.replace("FROM frames WHERE icmp_type", "FROM sided WHERE icmp_
 GAPS = "gp AS (SELECT src, dst, ident, unnest(range(icmp_seq + 1, nxt)) AS missing_seq, anchor_us, anchor_num, direction FROM (SELECT src, dst, ident, icmp_seq, min(epoch_us) AS anchor_us, arg_min(number, epoch_us) AS anchor_num, lead(icmp_seq) OVER (PARTITION BY src, dst, ident ORDER BY icmp_seq) AS nxt, CASE WHEN min(side) = 'req' THEN 'request' ELSE 'reply' END AS direction FROM dd SEMI JOIN (SELECT src, dst, ident FROM dd GROUP BY ALL HAVING count(DISTINCT side) = 1) USING (src, dst, ident) GROUP BY src, dst, ident, icmp_seq) WHERE nxt - icmp_seq > 1 AND nxt - icmp_seq <= 1000)"
 TOTALS = f"""tt AS (SELECT *, {pct('losses', '(pairs + losses + unmeasurable)')} AS loss_pct, {pct('(losses + late)', '(pairs + losses + unmeasurable)')} AS timeout_pct FROM (
   SELECT {one("status IN ('matched', 'late')")} AS pairs, {one("status = 'late'")} AS late, {one("status = 'loss'")} + (SELECT count(*) FROM gp) AS losses, (SELECT cast(coalesce(sum(n), 0) AS bigint) FROM (SELECT count(*) AS n FROM dd GROUP BY src, dst, ident HAVING count(DISTINCT side) = 1)) AS unmeasurable FROM st))"""
-ATTACHED = ("at AS (SELECT sta, o.l AS line, cmd_us, o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest(f.out) AS o FROM (SELECT sta, " + greedy("abs(d), cmd_us, r") + " AS f FROM (SELECT l.sta, l.line AS l, l.epoch_us AS cmd_us, pr.assoc_num AS r, coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us AS d FROM logged l JOIN pr ON pr.sta = l.sta AND pr.ap = l.bssid AND l.event = 'roam' AND abs(coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us) <= 250000) GROUP BY sta)) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) USING (line))").replace("SELECT sta, o.l AS line, cmd_us", "SELECT z.sta, z.line, w.cmd_us").replace("o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest", "z.assoc_num, z.residual_us FROM (SELECT sta, o.l AS line, o.r AS assoc_num, o.d AS residual_us FROM (SELECT sta, unnest").replace("GROUP BY sta)) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) USING (line)", "GROUP BY sta))) z JOIN (SELECT line, epoch_us AS cmd_us FROM logged) w ON w.line = z.line")
+ATTACHED = ("""att AS (
+  SELECT z.sta, z.o.l AS line, w.epoch_us AS cmd_us, z.o.r AS assoc_num, z.o.d AS residual_us FROM (SELECT sta, unnest(f.out) AS o FROM (SELECT sta, """ + greedy("abs(d), cmd_us, r") + """ AS f
+    FROM (SELECT l.sta, l.line AS l, l.epoch_us AS cmd_us, pr.assoc_num AS r, coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us AS d FROM logged l JOIN pr ON pr.sta = l.sta AND pr.ap = l.bssid AND l.event = 'roam' AND abs(coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us) <= 250000) GROUP BY sta)) z
+  JOIN logged w ON w.line = z.o.l)""")
 NTP = ("np AS (SELECT dst, unnest(f.out) AS o FROM (SELECT dst, " + fold(
     "{'t': t, 'line': line_no, 'n': frame_no, 'off': arrival_us - org_us, 'res': org_us - t}",
     "t, line_no, abs(org_us - t), org_us, frame_no",
@@ -320,7 +323,7 @@ ORACLES: dict[str, str] = {
     "wired_loss_context": frames_sql(f"SELECT s.host, s.target, s.sta, s.start_us, s.n, count(f.epoch_us) AS frames, count(*) FILTER (WHERE f.roam) AS roaming, CASE WHEN count(f.epoch_us) > 0 THEN round(100 * count(*) FILTER (WHERE f.retry) / count(f.epoch_us), 2) END AS retry_pct FROM (SELECT host, target, coalesce((SELECT mac FROM bd WHERE ip = target), (SELECT mac FROM bd WHERE ip = host), '*') AS sta, min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n FROM isl GROUP BY host, target, isl HAVING count(*) >= 2) s LEFT JOIN (SELECT unnest(list_distinct(['*', ta, ra])) AS sta, epoch_us, retry, {ROAM} AS roam FROM frames) f ON f.sta = s.sta AND f.epoch_us BETWEEN s.start_us - 2000000 AND s.end_us + 2000000 GROUP BY s.host, s.target, s.sta, s.start_us, s.end_us, s.n", WIRED, ROLES, "bd AS (SELECT ip, arg_max(mac, struct_pack(a := n, b := mac)) AS mac FROM (SELECT ip_src AS ip, ta AS mac, count(*) AS n FROM frames WHERE ip_src IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) GROUP BY ip HAVING arg_max(mac, struct_pack(a := n, b := mac)) IN (SELECT mac FROM sta))", "lost AS (SELECT * FROM fin WHERE rtt_us IS NULL)", f"isl AS ({_islands('lost', 'target', 'epoch_us, number', 2_000_000)})"),
     "delay_zones": frames_sql("SELECT start_us, end_us, n, max_rtt_us, avg_rtt_us, losses FROM zn", PINGS, *ZONES),
     "delay_causes": frames_sql("SELECT zn.*, CASE WHEN EXISTS (SELECT 1 FROM pr WHERE coalesce(auth_us, assoc_us) BETWEEN start_us - 2000000 AND end_us + 2000000) THEN 'roaming' WHEN (SELECT sum(retry) / sum(total) FROM secs WHERE sec BETWEEN start_us // 1000000 AND end_us // 1000000 + 1) > 0.3 THEN 'high_retry' ELSE 'unknown' END AS cause FROM zn", PINGS, *ZONES, SECONDS, *ROAMS),
-    "signal_cliffs": frames_sql("SELECT ta, sec, before, after, took_sec FROM cl", *CLIFF),
+    "signal_cliffs": frames_sql("SELECT ta, sec, before, after, took_sec FROM cl", CLIFF),
     "roam_pairing": frames_sql("SELECT sta, ap, prev_ap, assoc_us, assoc_num, auth_us, auth_num, basis, gap_us FROM pr", *ROAMS),
     "eapol_handshakes": frames_sql("SELECT sta, ap, start_us, end_us, completion_us, CASE WHEN n1 > 0 AND n4 > 0 THEN duration_us END AS duration_us, n1, n2, n3, n4, retries, complete FROM hs", ROLES, SHAKEN),
     "four_way_match": frames_sql("SELECT sta, ap, prev_ap, assoc_us, assoc_num, auth_us, auth_num, basis, gap_us, shake_us, completion_us, four_way_us, complete, total_us FROM fw", *SLOW),
@@ -329,11 +332,11 @@ ORACLES: dict[str, str] = {
     "roam_directions": frames_sql("SELECT sta, prev_ap, ap, count(*) AS roams, CASE WHEN avg(gap_us) IS NULL THEN 'unknown' WHEN avg(gap_us) / 1000 > 100 THEN 'danger' WHEN avg(gap_us) / 1000 > 50 THEN 'warn' ELSE 'good' END AS gap_level FROM pr GROUP BY ALL", *ROAMS),
     "roam_structured": frames_sql("SELECT pr.sta, pr.ap, pr.prev_ap, assoc_us, assoc_num, gap_us, n.channel AS new_channel, n.band AS new_band, o.channel AS old_channel, o.band AS old_band, n.band <> o.band AS band_change FROM pr LEFT JOIN cm n ON n.ap = pr.ap LEFT JOIN cm o ON o.ap = pr.prev_ap", *ROAMS, CHANNELS),
     "roam_impact": frames_sql(f"SELECT sta, start_us, b.assoc_num, before_frames, before_retry_pct, before_rssi, after_frames, after_retry_pct, after_rssi, coalesce(e.matched, 0) AS matched, coalesce(e.lost, 0) AS lost, coalesce(after_retry_pct > 50, false) OR coalesce(e.lost, 0) > 0 AS problem FROM (SELECT sta, t AS start_us, assoc_num, {one('epoch_us < t')} AS before_frames, {pct(one('epoch_us < t AND retry'), one('epoch_us < t'))} AS before_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us < t), 6) AS before_rssi, {one('epoch_us >= t')} AS after_frames, {pct(one('epoch_us >= t AND retry'), one('epoch_us >= t'))} AS after_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us >= t), 6) AS after_rssi FROM nr GROUP BY ALL) b LEFT JOIN (SELECT assoc_num, cast(count(*) FILTER (WHERE e = 'rep' AND prior = 'req') AS bigint) AS matched, cast(count(*) FILTER (WHERE e = 'req' AND nxt IS NULL) AS bigint) AS lost FROM (SELECT assoc_num, e, lag(e) OVER w AS prior, lead(e) OVER w AS nxt FROM (SELECT *, CASE WHEN icmp_type = 8 AND NOT retry THEN 'req' WHEN icmp_type = 0 THEN 'rep' END AS e, CASE WHEN icmp_type = 8 THEN ip_src ELSE ip_dst END AS x, CASE WHEN icmp_type = 8 THEN ip_dst ELSE ip_src END AS y FROM nr) WHERE e IS NOT NULL WINDOW w AS (PARTITION BY assoc_num, x, y ORDER BY epoch_us, number)) GROUP BY assoc_num) e ON e.assoc_num = b.assoc_num", *ROAMS, "nr AS (SELECT pr.sta, coalesce(auth_us, assoc_us) AS t, assoc_num, f.epoch_us, f.number, f.retry, f.rssi, f.icmp_type, f.ip_src, f.ip_dst FROM pr JOIN frames f ON (f.ta = pr.sta OR f.ra = pr.sta) AND f.epoch_us BETWEEN coalesce(auth_us, assoc_us) - 3000000 AND coalesce(auth_us, assoc_us) + 3000000)"),
-    "station_attach": log_sql("SELECT sta, line, cmd_us, assoc_num, residual_us FROM at", *ROAMS, ATTACHED),
-    "roam_coverage": log_sql("SELECT n, sta_p50, capture_p50, CASE WHEN p > 0 THEN round(100 * c / p, 1) END AS visible_pct, n >= 3 AS reportable FROM (SELECT count(*) AS n, median(s) AS p, median(t) AS c, round(median(s), 6) AS sta_p50, round(median(t), 6) AS capture_p50 FROM (SELECT ep.total_us / 1000 AS s, sl.total_us / 1000 AS t FROM at JOIN ep ON ep.sta = at.sta AND ep.cmd_us = at.cmd_us AND ep.ok JOIN sl ON sl.assoc_num = at.assoc_num WHERE sl.total_us IS NOT NULL))", *SLOW, EPISODES, ATTACHED),
-    "roam_reclassified": log_sql("SELECT sta, ap, sl.assoc_num, gap_us, total_us, sta_total_ms, CASE WHEN sta_total_ms >= 0 THEN sta_total_ms > 150 ELSE is_slow END AS is_slow, CASE WHEN sta_total_ms >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis FROM sl LEFT JOIN (SELECT at.assoc_num, ep.total_us / 1000 AS sta_total_ms FROM at JOIN ep ON ep.sta = at.sta AND ep.cmd_us = at.cmd_us AND ep.ok) l ON l.assoc_num = sl.assoc_num", *SLOW, EPISODES, ATTACHED),
-    "roam_decisions": log_sql("SELECT * FROM de", *DECIDED),
-    "last_decision_asof": log_sql("SELECT l.sta, l.epoch_us AS cmd_us, l.line, max(d.epoch_us) AS decision_us FROM (SELECT * FROM logged WHERE event = 'roam') l LEFT JOIN de d ON d.sta = l.sta AND d.epoch_us < l.epoch_us + 1000 GROUP BY ALL", *DECIDED),
+    "station_attach": log_sql("SELECT sta, line, cmd_us, assoc_num, residual_us FROM att", *ROAMS, ATTACHED),
+    "roam_coverage": log_sql("SELECT n, sta_p50, capture_p50, CASE WHEN p > 0 THEN round(100 * c / p, 1) END AS visible_pct, n >= 3 AS reportable FROM (SELECT count(*) AS n, median(s) AS p, median(t) AS c, round(median(s), 6) AS sta_p50, round(median(t), 6) AS capture_p50 FROM (SELECT ep.total_us / 1000 AS s, sl.total_us / 1000 AS t FROM att JOIN ep ON ep.sta = att.sta AND ep.cmd_us = att.cmd_us AND ep.ok JOIN sl ON sl.assoc_num = att.assoc_num WHERE sl.total_us IS NOT NULL))", *SLOW, EPISODES, ATTACHED),
+    "roam_reclassified": log_sql("SELECT sta, ap, sl.assoc_num, gap_us, total_us, sta_total_ms, CASE WHEN sta_total_ms >= 0 THEN sta_total_ms > 150 ELSE is_slow END AS is_slow, CASE WHEN sta_total_ms >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis FROM sl LEFT JOIN (SELECT att.assoc_num, ep.total_us / 1000 AS sta_total_ms FROM att JOIN ep ON ep.sta = att.sta AND ep.cmd_us = att.cmd_us AND ep.ok) l ON l.assoc_num = sl.assoc_num", *SLOW, EPISODES, ATTACHED),
+    "roam_decisions": log_sql("SELECT * FROM de", DECIDED),
+    "last_decision_asof": log_sql("SELECT l.sta, l.epoch_us AS cmd_us, l.line, max(d.epoch_us) AS decision_us FROM (SELECT * FROM logged WHERE event = 'roam') l LEFT JOIN de d ON d.sta = l.sta AND d.epoch_us < l.epoch_us + 1000 GROUP BY ALL", DECIDED),
     "ntp_match": log_sql("SELECT * FROM nm", NTP),
     "ntp_device": log_sql("SELECT dst, count(*) AS n FROM nm GROUP BY dst ORDER BY n DESC, median(abs(residual_us)), dst LIMIT 1", NTP),
     "tsf_offset": both_sql("SELECT * FROM off", OFFSET),
