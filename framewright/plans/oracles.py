@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from framewright.sources import adapter
 
 CTRL = "(arp_opcode IS NOT NULL OR icmp_type IS NOT NULL OR coalesce(tcp_len = 0 AND tcp_flags IS NOT NULL, false))"
@@ -217,6 +219,33 @@ INCIDENTS = ("ic AS (SELECT unnest(list_append(f.out, f.cur)) AS c FROM (SELECT
 ZONES = ("""hd AS (SELECT epoch_us, req_num, rtt_us FROM (SELECT *, avg(rtt_us) OVER w AS a, coalesce(stddev_samp(rtt_us) OVER w, 0) AS s FROM st WHERE rtt_us IS NOT NULL WINDOW w AS (ORDER BY epoch_us, req_num ROWS 9 PRECEDING)) WHERE rtt_us > 2 * a OR (s > 0 AND rtt_us > a + 2 * s) UNION ALL SELECT epoch_us, req_num, NULL FROM st WHERE status = 'loss')""",
     f"zi AS ({_islands('(SELECT *, 0 AS g FROM hd)', 'g', 'epoch_us, req_num', 2_000_000)})",
     "zn AS (SELECT min(epoch_us) AS start_us, max(epoch_us) AS end_us, count(*) AS n, max(rtt_us) AS max_rtt_us, round(avg(rtt_us), 6) AS avg_rtt_us, count(*) - count(rtt_us) AS losses FROM zi GROUP BY isl)")
+#: The capture once more as dense, and what CTEs over frames are over it.
+SQUEEZED = f"sq AS (SELECT * REPLACE ({adapter.BASE_US} + (epoch_us - {adapter.BASE_US}) // 20 AS epoch_us) FROM frames)"
+
+
+def squeezed(*ctes: str) -> list[str]:
+    return [SQUEEZED, *(re.sub(r"\bFROM frames\b", "FROM sq", c) for c in ctes)]
+
+
+PEAKS = f"pk3 AS (SELECT * FROM (SELECT epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1) WHERE total > 50 AND retry_pct >= 10 ORDER BY retry_pct DESC, bucket LIMIT 3)"
+ISSUES = f"""ev0 AS (SELECT ta AS sta, 'weak_signal' AS category, epoch_us, number FROM frames WHERE rssi < -75 UNION ALL SELECT sta, 'ping_loss', epoch_us, req_num FROM st WHERE status = 'loss' UNION ALL SELECT ta, 'disconnect', epoch_us, number FROM frames WHERE subtype IN (10, 12)),
+iss AS (
+  SELECT sta, category, CASE WHEN category = 'weak_signal' THEN 'medium' WHEN category = 'ping_loss' THEN CASE WHEN n > 5 THEN 'high' ELSE 'medium' END WHEN n > 10 THEN 'high' ELSE 'low' END AS severity, category || ': ' || n || ' frames' AS message, cast(least(n, 100) AS bigint) AS refs, first_ref, start_us, end_us
+  FROM (SELECT sta, category, count(*) AS n, min(epoch_us) AS start_us, max(epoch_us) AS end_us, arg_min(number, struct_pack(a := epoch_us, b := number)) AS first_ref FROM ev0 WHERE sta IN (SELECT mac FROM sta) GROUP BY ALL)
+  UNION ALL SELECT c.ta, 'signal_cliff', 'medium', 'signal fell ' || n || ' times', 1, (SELECT min(number) FROM frames WHERE ta = c.ta AND rssi IS NOT NULL AND epoch_us // 1000000 = a), a * 1000000, b * 1000000 FROM (SELECT ta, count(*) AS n, max(before - after) AS d, min(sec) AS a, max(sec) AS b FROM cl GROUP BY ta HAVING count(*) >= 2 OR max(before - after) >= 15) c
+  UNION ALL SELECT NULL, 'network_retry', 'high', 'retries ' || p || ' %', 1, ref, start_us, end_us FROM (SELECT max(w.retry_pct) AS p, min(f.number) AS ref, min(f.epoch_us) AS start_us, max(f.epoch_us) AS end_us FROM (SELECT *, epoch_us // 10000000 AS bucket FROM frames WHERE retry) f JOIN (SELECT * FROM pk3 ORDER BY retry_pct DESC, bucket LIMIT 1) w ON w.bucket = f.bucket WHERE w.retry_pct > 15 HAVING count(*) > 0)
+)"""
+RATIO = lambda p, q: f"CASE WHEN {p}.e < {p}.s OR {q}.e < {q}.s OR least({p}.e, {q}.e) - greatest({p}.s, {q}.s) < 0 THEN 0.0::double WHEN least({p}.e - {p}.s, {q}.e - {q}.s) <= 0 THEN 1.0::double ELSE (least({p}.e, {q}.e) - greatest({p}.s, {q}.s)) / least({p}.e - {p}.s, {q}.e - {q}.s) END"
+SIGNAL = "struct(k varchar, s bigint, e bigint)"
+FITS = f"list_filter(range(1, len(a) + 1), lambda i: len(list_filter(a[i], lambda m: {RATIO('m', 'x')} < 0.5)) = 0)"
+CLUSTERS = ("lc AS (SELECT sta, " + fold(
+    "{'k': category, 's': start_us, 'e': end_us}",
+    "start_us, end_us, category",
+    f"CASE WHEN len({FITS}) = 0 THEN list_append(a, [x]) ELSE list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = {FITS}[1] THEN list_append(a[i], x) ELSE a[i] END) END",
+    f"cast([] as {SIGNAL}[][])",
+) + f""" AS cs FROM iss WHERE sta IS NOT NULL GROUP BY sta),
+nc AS (SELECT sta, list_reduce(nets, lambda a, x: CASE WHEN len(list_filter(a, lambda m: {RATIO('x', 'm')} >= 0.5)) > 0 THEN list_append(a, x) ELSE a END, c) AS c FROM (SELECT sta, unnest(cs) AS c FROM lc), (SELECT coalesce(list({{'k': category, 's': start_us, 'e': end_us}} ORDER BY start_us, end_us, category), cast([] as {SIGNAL}[])) AS nets FROM iss WHERE sta IS NULL)),
+ca AS (SELECT sta, list_sort(list_distinct(list_transform(c, lambda m: m.k))) AS kinds, coalesce(list_avg(flatten(list_transform(range(1, len(c)), lambda i: list_transform(c[i + 1:], lambda m: {RATIO('c[i]', 'm')})))), 1.0) AS over, list_min(list_transform(c, lambda m: m.s)) AS start_us, list_max(list_transform(c, lambda m: m.e)) AS end_us, len(c) AS signals FROM nc)""")
 #: Flows of which some were seen on one side only.
 SIDED = "sided AS (SELECT * FROM frames WHERE NOT (icmp_type = 0 AND ip_dst = '10.0.0.10') AND NOT (icmp_type = 8 AND ip_src = '10.0.0.11'))"
 ONE_SIDED = PINGS.replace("FROM frames WHERE icmp_type", "FROM sided WHERE icmp_type")
@@ -257,7 +286,6 @@ ORACLES: dict[str, str] = {
     "retry_per_sec": frames_sql(f"SELECT ta, epoch_us // 1000000 AS sec, count(*) AS total, {pct(one('retry'), 'count(*)', 1)} AS retry_pct FROM frames WHERE ta IS NOT NULL GROUP BY ALL"),
     "rssi_buckets": frames_sql("SELECT l.*, mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi, count(*) AS n FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT ta, sec, arg_max(mcs, k) AS mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, mcs, count(*) * 1000 - mcs AS k FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL AND mcs IS NOT NULL GROUP BY 1, 2, 3) GROUP BY ALL) m USING (ta, sec)"),
     "device_stats": frames_sql(f"SELECT device, epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, {pct(one(LEGACY), 'count(mcs_phy)')} AS legacy_pct, round(avg(rssi), 6) AS avg_rssi FROM (SELECT *, unnest([ta, ra]) AS device FROM frames) WHERE device IS NOT NULL GROUP BY ALL"),
-    "system_peaks": frames_sql(f"SELECT * FROM (SELECT epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1) WHERE total > 50 AND retry_pct >= 10 ORDER BY retry_pct DESC, bucket LIMIT 3"),
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),
     "ap_compare_pivot": frames_sql(f"SELECT bssid, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi) FILTER (WHERE subtype = 8), 6) AS beacon_rssi, {one('subtype IN (0, 2)')} AS roam_in, {', '.join(one(KIND + f' = {chr(39)}{k}{chr(39)}') + f' AS {k.lower()}' for k in ('Management', 'Control', 'Data', 'Other'))} FROM frames WHERE bssid <> 'ff:ff:ff:ff:ff:ff' GROUP BY bssid"),
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),
@@ -365,4 +393,7 @@ FROM (SELECT sta, peak_minute, unnest([
     LEFT JOIN (SELECT sta, max(k) AS peak, arg_max(minute, struct_pack(a := k, b := -minute)) AS peak_minute FROM (SELECT sta, minute, count(*) AS k FROM ow WHERE retry GROUP BY ALL) GROUP BY sta) USING (sta))) s
 JOIN ow o ON o.sta = s.sta AND CASE s.code WHEN 'ping_loss' THEN o.lost WHEN 'retry_high' THEN o.retry WHEN 'retry_some' THEN o.retry WHEN 'weak_signal' THEN o.rssi < -75 WHEN 'retry_peak' THEN o.retry AND o.minute = s.peak_minute WHEN 'many_roams' THEN o.auth WHEN 'normal' THEN true WHEN 'advise_retry' THEN o.lost OR o.retry WHEN 'advise_roaming' THEN o.lost OR o.auth ELSE o.lost END
 WHERE value IS NOT NULL GROUP BY s.sta, s.code, level, value""", PINGS, ROLES, "ow AS (SELECT f.sta, number, epoch_us, retry, rssi, epoch_us // 60000000 AS minute, subtype = 11 AND ta = f.sta AS auth, coalesce(icmp_type = 8 AND NOT retry AND NOT answered, false) AS lost, coalesce(icmp_type = 8 AND NOT retry AND answered, false) AS met FROM (SELECT *, unnest(list_distinct([ta, ra])) AS sta FROM frames) f LEFT JOIN (SELECT src, dst, icmp_seq, bool_or(status <> 'loss') AS answered FROM st WHERE status IS NOT NULL GROUP BY ALL) k ON k.src = ip_src AND k.dst = ip_dst AND k.icmp_seq = f.icmp_seq WHERE f.sta IN (SELECT mac FROM sta))"),
+    "system_peaks": frames_sql("SELECT * FROM pk3", *squeezed(PEAKS)),
+    "issues": frames_sql("SELECT * FROM iss", *squeezed(PINGS, ROLES, CLIFF, PEAKS, ISSUES)),
+    "causality": frames_sql("SELECT sta, list_aggregate(kinds, 'string_agg', '+') AS kinds, round(least(0.95, 0.5 + 0.15 * (len(kinds) - 1) + 0.1 * over), 3) AS confidence, start_us, end_us, signals FROM ca WHERE len(kinds) >= 2", *squeezed(PINGS, ROLES, CLIFF, PEAKS, ISSUES), CLUSTERS),
 }

@@ -97,6 +97,16 @@ def _sided(frames: DataFrame) -> DataFrame:
     return frames.where("not (icmp_type <=> 0 and ip_dst <=> '10.0.0.10') and not (icmp_type <=> 8 and ip_src <=> '10.0.0.11')")
 
 
+def _squeezed(frames: DataFrame) -> DataFrame:
+    """The derived capture once more as dense, with hundreds of frames in 10 s."""
+    return frames.withColumn("epoch_us", F.expr(f"{adapter.BASE_US} + (epoch_us - {adapter.BASE_US}) div 20"))
+
+
+def _told(issues: DataFrame) -> DataFrame:
+    """Issues with their references as a number and the first."""
+    return issues.select("sta", "category", "severity", "message", F.size("frame_refs").cast("long").alias("refs"), F.element_at("frame_refs", 1).alias("first_ref"), "start_us", "end_us")
+
+
 def _severity_ping(frames: DataFrame) -> DataFrame:
     found = ping.statuses(frames).groupBy("src").agg((F.avg("rtt_us") / 1000).alias("r"), stats.percent(stats.one_if(F.col("status") == "loss"), F.count("status")).alias("l"))
     return found.select("src", thresholds.above(F.col("r"), thresholds.RTT_MS).alias("rtt_level"), thresholds.above(F.col("l"), thresholds.LOSS_PERCENT).alias("loss_level"))
@@ -142,7 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retry_per_sec": _frames(stats.retry_per_sec),
     "rssi_buckets": _frames(stats.rssi_buckets),
     "device_stats": _frames(stats.device_stats),
-    "system_peaks": _frames(stats.system_peaks),
+    "system_peaks": _frames(lambda f: stats.system_peaks(_squeezed(f))),
     "phy_mcs_grouping_sets": _frames(stats.phy_mcs_grouping_sets),
     "ap_compare_pivot": _frames(stats.ap_compare),
     "signal_quality": _frames(stats.signal_quality),
@@ -225,9 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "health_score": _frames(diagnosis.health_score),
     "sta_scores": _frames(diagnosis.sta_scores),
     "conclusions": _frames(diagnosis.conclusions),
-    "issues": _frames(diagnosis.issues),
+    "issues": _frames(lambda f: _told(diagnosis.issues(_squeezed(f)))),
     "incidents": _frames(diagnosis.incidents),
     "casefile": _frames(diagnosis.casefile),
-    "causality": _frames(lambda f: diagnosis.causality(diagnosis.issues(f))),
+    "causality": _frames(lambda f: diagnosis.causality(diagnosis.issues(_squeezed(f)))),
     "semi_anti_sta": _frames(_semi_anti),
 }
