@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,30 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     return write(df, tag)[0]
 
 
+#: Tables that several queries of an application read, by what they hold.
+_kept: dict[tuple[str, ...], tuple[DataFrame, str]] = {}
+
+
+def kept(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of ``key``, built and written by the first who asks.
+
+    For what is read in and shaped once and then queried many times; it lasts
+    as long as the application, or until :func:`sweep`.
+    """
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _kept:
+        _kept[at] = write(build(), key[0])
+    return _kept[at][0]
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables of :func:`write` that nothing reads any more."""
     for p in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _written.discard(p)
+    for at in [k for k, (_, p) in _kept.items() if p in paths]:
+        del _kept[at]
 
 
 def sweep(spark: SparkSession) -> None:

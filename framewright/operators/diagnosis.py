@@ -22,13 +22,6 @@ PUNT = ("further analysis", "cannot be determined", "manual check")
 ISSUE = "sta string, category string, severity string, message string, frame_refs array<bigint>, start_us bigint, end_us bigint"
 
 
-def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Shared length over the shorter; a point inside counts fully."""
-    inter = F.least(a1, b1) - F.greatest(a0, b0)
-    shorter = F.least(a1 - a0, b1 - b0)
-    return F.when((a1 < a0) | (b1 < b0) | (inter < 0), 0.0).when(shorter <= 0, 1.0).otherwise(inter / shorter)
-
-
 def _refs(number: Column, order: Column) -> Column:
     """The first references in time; the sort is bounded by a heap per group."""
     return F.slice(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("t"), number.alias("n")))), lambda x: x["n"]), 1, REFS)

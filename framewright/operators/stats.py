@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions import channels as C
 from framewright.functions import frames as P
 from framewright.functions import thresholds as L
+from framewright.functions.tables import settled
 from framewright.operators.joins import SECOND, numbered
 
 #: Longest span, in seconds, that is filled with empty seconds.
@@ -88,15 +89,18 @@ def roles(frames: DataFrame) -> DataFrame:
     peers of data frames of known APs that send or receive at least five
     frames of any kind.
     """
-    ap = frames.where(F.col("subtype").isin(1, 3, 5, 8) & P.is_unicast(F.col("ta"))).select(F.col("ta").alias("mac")).distinct()
-    ends = frames.select(F.explode(F.array("ta", "ra")).alias("mac")).where(F.col("mac").isNotNull())
-    counts = ends.groupBy("mac").agg(F.count("*").alias("count"))
-    data = frames.where(F.col("subtype").isin(*P.DATA))
-    known = data.join(ap.select(F.col("mac").alias("bssid")), "bssid", "left_semi")
+    end = lambda c, sent: F.struct(F.col(c).alias("mac"), F.lit(sent).alias("sent"))
+    data = F.col("subtype").isin(*P.DATA)
+    ends = frames.select(F.explode(F.array(end("ta", True), end("ra", False))).alias("e"), F.coalesce(data, F.lit(False)).alias("data"), F.when(data, F.col("bssid")).alias("bssid"), F.col("subtype").isin(1, 3, 5, 8).alias("ap"))
+    # One pass over the frames; what is left has a row a device and AP.
+    sums = settled(ends.where("e.mac is not null").groupBy(F.col("e.mac").alias("mac"), "data", "bssid").agg(F.count("*").alias("n"), F.max(F.col("ap") & F.col("e.sent")).alias("ap")), "ends")
+    ap = sums.where(F.col("ap") & P.is_unicast(F.col("mac"))).select("mac").distinct()
+    counts = sums.groupBy("mac").agg(F.sum("n").alias("count"))
+    peers = sums.where("data").select("mac", "bssid")
+    known = peers.join(ap.select(F.col("mac").alias("bssid")), "bssid", "left_semi").select("mac")
     some_ap = ap.limit(1).select(F.lit(True).alias("some"))
-    loose = data.join(some_ap, F.lit(True), "left_anti").select("ta", "ra")  # without any AP the filter is skipped
-    peers = known.select("ta", "ra").unionByName(loose).select(F.explode(F.array("ta", "ra")).alias("mac"))
-    sta = peers.where(P.is_unicast(F.col("mac"))).join(ap, "mac", "left_anti").distinct()
+    loose = peers.join(some_ap, F.lit(True), "left_anti").select("mac")  # without any AP the filter is skipped
+    sta = known.unionByName(loose).where(P.is_unicast(F.col("mac"))).join(ap, "mac", "left_anti").distinct()
     every = ap.select("mac", F.lit("AP").alias("role")).unionByName(sta.select("mac", F.lit("STA").alias("role"))).join(counts, "mac").where((F.col("role") == "AP") | (F.col("count") >= LEAST_FRAMES))
     rank = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("count"), "mac"))
     tail = F.right(F.regexp_replace("mac", ":", ""), F.lit(6))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.tables import kept
 from framewright.sources.frames import COLUMNS, SCHEMA
 
 BASE_US = 1_704_067_200_000_000
@@ -43,7 +44,16 @@ def _cells(slot: int, fields: dict[str, str], kinds: dict[str, str]) -> dict[str
 
 
 def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived frames of one sniffer."""
+    """The derived frames of one sniffer, as a table written once.
+
+    Queries then read the columns and rows they need from Parquet, as they
+    would of a decoded capture.
+    """
+    return kept(spark, ("frames", sf_dir), lambda: derived(spark, sf_dir))
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of events to frames."""
     shaped = _shaped(spark, sf_dir)
     kinds = _kinds({"long": "bigint"})
     parts = None
