@@ -152,3 +152,18 @@ def test_wired_result_files(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a,b,c,d,e,f\n1,2,3,4,5,6\n")
     with pytest.raises(ValueError):
         logs.read_exping(spark, str(tmp_path / "bad.csv"))
+
+
+def test_results_and_files(spark, tmp_path):
+    from framewright.sources import results
+
+    frames = spark.createDataFrame([(5,), (9,)], "epoch_us long")
+    rows = spark.createDataFrame([("a", [1, 2], None)], "sta string, refs array<long>, gap long")
+    for name in ("one", "two"):
+        results.write_result(frames, {"issues": rows, "none": rows.where("false")}, str(tmp_path / name), name)
+    assert [tuple(r) for r in results.list_results(spark, str(tmp_path)).collect()] == [(n, ["issues", "none"], 2, 5, 9) for n in ("one", "two")]
+    assert [tuple(r) for r in results.read_section(spark, str(tmp_path / "one"), "issues", "sta string, refs array<long>, gap long").collect()] == [("a", [1, 2], None)]
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "x.log").write_text("line")
+    (tmp_path / "deep" / "y.txt").write_text("other")
+    assert [(r.path.rsplit("/", 2)[1:], r.bytes) for r in results.discovered(spark, str(tmp_path / "deep"), "*.log").collect()] == [(["er", "x.log"], 4)]
