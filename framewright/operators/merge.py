@@ -121,8 +121,9 @@ def dedup(frames: DataFrame) -> DataFrame:
     Copies agree on sender, sequence number, subtype and retry flag (without a
     number: on subtype, a peer and the flag). A group holds each source once
     and its window starts at its first frame. Runs of a key end at pauses
-    beyond the window, after which no group can take a frame; a run of one
-    source has nothing to merge and passes as it is, others are folded.
+    beyond the window, after which no group can take a frame. A run of one
+    source has nothing to merge and passes as it is, a run of two rows is one
+    group, and only longer ones are folded in order.
     """
     seq = F.col("seq").isNotNull()
     peer = F.when(seq, F.col("ta")).otherwise(F.coalesce("ta", "ra"))
@@ -130,14 +131,32 @@ def dedup(frames: DataFrame) -> DataFrame:
     keys, columns = ["k1", "k2", "k3", "k4"], frames.columns
     runs = islands(keyed, keys, ["epoch_us", "source", "number"], WINDOW_US)
     by = Window.partitionBy(*keys, "island")
-    told = settled(runs.withColumn("mixed", F.min("source").over(by) != F.max("source").over(by)), "runs")
+    told = settled(runs.withColumns({"mixed": F.min("source").over(by) != F.max("source").over(by), "rows": F.count("*").over(by)}), "runs")
     alone = told.where(~F.col("mixed")).select(*columns, F.col("source").alias("sources"))
+    pairs = _pairs(told.where("mixed and rows = 2"), [*keys, "island"], columns)
     fields = T.StructType([*frames.schema.fields, T.StructField("sources", T.StringType())])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _merged(rows[[*columns, *keys]])[[*columns, "sources"]]
 
-    return alone.unionByName(slices(told.where("mixed").drop("mixed"), keys, 16).applyInPandas(merge, fields))
+    rest = slices(told.where("mixed and rows > 2").drop("mixed", "rows"), keys, 16).applyInPandas(merge, fields)
+    return alone.unionByName(pairs).unionByName(rest)
+
+
+def _pairs(rows: DataFrame, run: list[str], columns: list[str]) -> DataFrame:
+    """Runs of two rows of two sources, which are copies: the more telling one,
+    the earlier if they tell as much, filled from the other."""
+    whole, order = F.struct(*columns), F.struct("epoch_us", "source", "number")
+    both = rows.groupBy(*run).agg(F.min_by(whole, order).alias("p"), F.max_by(whole, order).alias("q"))
+    score = lambda x: sum((F.when(F.col(f"{x}.{c}").isNotNull(), 1).otherwise(0) for c in SCORED), F.lit(0))
+    second = score("q") > score("p")
+    generic = lambda x: F.coalesce(x, F.lit(GENERIC[0])) == GENERIC[0]
+    cells = []
+    for c in columns:
+        mine, other = (F.when(second, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")) for x, y in (("q", "p"), ("p", "q")))
+        cell = F.coalesce(mine, other) if c in FILLED else F.when(generic(mine) & ~generic(other), other).otherwise(mine) if c == "protocol" else mine
+        cells.append(cell.alias(c))
+    return both.select(*cells, F.array_join(F.sort_array(F.array("p.source", "q.source")), ",").alias("sources"))
 
 
 def summary(merged: DataFrame) -> DataFrame:
