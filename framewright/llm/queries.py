@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, hmm, packing, quality, rules, secrets, sharding, simhash, transport
+from framewright.llm import bpe, chat, hmm, packing, quality, resampling, rules, secrets, sharding, simhash, transport
 from framewright.llm.shared import bucket, materialize, raw, shared_dir, table
 
 
@@ -97,9 +97,48 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(sizes, "shard").select("doc_id", F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_rows", "shard_bytes", "shard_level")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding, op11_resampling)}
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of a text's CRC-32 (it has no function of its own); ``crc``
+    must be a table in scope of the 256 remainders, as the list ``t``."""
+    byte = f"('0x' || substr(hex(encode({text})), (2 * k + 1)::BIGINT, 2))::BIGINT"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({text})), lambda k: {byte})), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
 
 ORACLES: dict[str, str] = {
+    "op11_resampling": rf"""
+WITH {_CRC_TABLE}, said AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT side, row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM said
+), hashed AS (
+  SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), crc
+), held AS (
+  SELECT side, row, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t FROM held GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM sums
+), weighed AS (
+  SELECT row, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM held JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+  SELECT id AS doc_id, coalesce(n, 0) AS n_features,
+    CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS deviate
+  FROM said LEFT JOIN weighed USING (row) WHERE side = 'd'
+), ranked AS (
+  SELECT *, weight + deviate AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + deviate DESC, doc_id NULLS LAST) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ranked
+""",
     "op7_chat": r"""
 WITH said AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions.tables import release, shared_dir
 from framewright.functions.tables import write as materialize
 
-__all__ = ["WORD", "bucket", "fresh", "join_labels", "lengths_of", "materialize", "raw", "release", "shared_dir", "table"]
+__all__ = ["WORD", "bucket", "fresh", "join_labels", "lengths_of", "materialize", "numbered", "raw", "release", "shared_dir", "table"]
 
 #: What separates words everywhere in this subpackage: ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,3 +65,26 @@ def join_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None
                 break
             root = up
     return root
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 0 on in ``order``, a total one.
+
+    Rows are dealt by ranges and sorted in each task; a task's first place is
+    the count of all before it, a row a task. ``rows`` should be a materialised
+    table, as ranges are found by reading it once more.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = fresh(rows.columns, f"{name}_at")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed, _ = materialize(dealt.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col(at), 33)
+    counts = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a task
+    firsts, seen = [], 0
+    for k, n in counts:
+        firsts.append((k, seen))
+        seen += n
+    before, key = fresh(placed.columns, f"{name}_first"), fresh(placed.columns, f"{name}_part")
+    found = placed.withColumn(key, part).join(F.broadcast(spark.createDataFrame(firsts, f"`{key}` long, `{before}` long")), key)
+    return found.withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, before, key)
