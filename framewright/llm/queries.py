@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, hmm, packing, quality, resampling, rules, secrets, sharding, simhash, transport
+from framewright.llm import bpe, chat, hmm, packing, prefix_trie, quality, resampling, rules, secrets, sharding, simhash, transport
 from framewright.llm.shared import bucket, materialize, raw, shared_dir, table
 
 
@@ -101,7 +101,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding, op11_resampling)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding, op11_resampling, op12_prefix_trie)}
 
 def _crc32(text: str) -> str:
     """DuckDB SQL of a text's CRC-32 (it has no function of its own); ``crc``
@@ -138,6 +142,33 @@ WITH {_CRC_TABLE}, said AS (
     count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ranked
+""",
+    "op12_prefix_trie": rf"""
+WITH {_CRC_TABLE}, said AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT c, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, id) AS turns FROM said GROUP BY c
+), headed AS (
+  SELECT c, turns, {_crc32("c::VARCHAR")} % 4 AS h FROM whole, crc
+), rebuilt AS (
+  SELECT a.c, CASE WHEN b.c IS NULL THEN a.turns[a.h + 1:] ELSE list_concat(b.turns[1:a.h], a.turns[a.h + 1:]) END AS turns
+  FROM headed a LEFT JOIN whole b ON b.c = a.c - a.c % 20
+), reached AS (
+  SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt
+), nodes AS (
+  SELECT turns[1:d] AS path, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(turns[d].words), 0) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(turns) = d), '')) AS ends FROM reached GROUP BY turns[1:d]
+), children AS (
+  SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), ups AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k USING (path)
+), totals AS (
+  SELECT path[1:a] AS path, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM ups) GROUP BY 1
+)
+SELECT u.conv_id, u.d AS depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, t.leaves AS n_leaves, t.saved::BIGINT AS saved_tokens, u.ends AS ends_sha256
+FROM ups u JOIN totals t USING (path) LEFT JOIN nodes p ON u.d > 0 AND p.path = u.path[1:u.d - 1]
 """,
     "op7_chat": r"""
 WITH said AS (
