@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and their SQL."""
+"""The thirteen operators as queries over the given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, chat, hmm, packing, prefix_trie, quality, resampling, rules, secrets, sharding, simhash, transport
+from framewright.llm import bpe, chat, hmm, packing, prefix_trie, quality, resampling, rules, secrets, sharding, simhash, tiled, transport
 from framewright.llm.shared import bucket, materialize, raw, shared_dir, table
 
 
@@ -105,7 +105,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding, op11_resampling, op12_prefix_trie)}
+def op13_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiled.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_hmm, op3_packing, op4_transport, op5_bpe, op6_quality, op7_chat, op8_rules, op9_secrets, op10_sharding, op11_resampling, op12_prefix_trie, op13_tiled)}
 
 def _crc32(text: str) -> str:
     """DuckDB SQL of a text's CRC-32 (it has no function of its own); ``crc``
@@ -142,6 +146,22 @@ WITH {_CRC_TABLE}, said AS (
     count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM ranked
+""",
+    "op13_tiled": r"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), able AS MATERIALIZED (
+  SELECT * FROM given WHERE len(v) > 0 AND len(list_filter(v, lambda c: c IS NOT NULL AND isfinite(c))) = len(v) AND list_sum(list_transform(v, lambda c: abs(c))) > 0
+), links AS (
+  SELECT a.row AS a, b.row AS b FROM able a JOIN able b ON a.row <> b.row AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) ELSE -1 END >= 0.95
+), reach AS (
+  SELECT row AS a, row AS b FROM given UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT r.a AS row, min(g.vec_id) AS component_id FROM reach r JOIN given g ON g.row = r.b GROUP BY 1
+)
+SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.a = g.row) AS n_links, component_id, g.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM given g JOIN least USING (row)
 """,
     "op12_prefix_trie": rf"""
 WITH {_CRC_TABLE}, said AS (
