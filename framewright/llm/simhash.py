@@ -31,7 +31,8 @@ empty table gives no rows; other columns are ignored by :func:`components`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -99,12 +100,13 @@ def _split(a: np.ndarray, lo: np.ndarray, bit: int) -> np.ndarray:
     return np.searchsorted(a, (a[lo] & high) | np.uint64(1 << bit))
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, exact: int = 0, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET, exact: int = 0, bits: int = 64, brute: int = BRUTE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of sorted ``a`` and ``b`` within the budget.
 
     Without ``b`` the trie joins itself and each pair comes once, i < j. The
     first ``exact`` bits must agree: nodes part only below them. Bits beyond
-    the first ``bits`` don't count.
+    the first ``bits`` don't count. Nodes with up to ``brute`` pairs of elements
+    are compared at once: more for a wide budget, which prunes late.
     """
     itself = b is None
     b = a if itself else b
@@ -118,7 +120,7 @@ def trie_join(a: np.ndarray, b: np.ndarray | None = None, budget: int = BUDGET,
             stack += [(d, f[:, :half]), (d, f[:, half:])]
             continue
         alo, ahi, blo, bhi, e = f
-        small = (ahi - alo) * (bhi - blo) <= BRUTE
+        small = (ahi - alo) * (bhi - blo) <= brute
         if d >= bits:  # what is left of a node agrees: halves, until few pairs are formed at once
             small = (ahi - alo) * (bhi - blo) <= FRONTIER
             for x in f[:, ~small].T.tolist():
@@ -272,23 +274,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return components(prints).select("doc_id", "fp", "component_id")
 
 
-#: Near copies: words in a shingle, least Jaccard similarity, 64-bit words of
-#: the wide fingerprint, and the differing bits (of 384; at a similarity of 0.8
-#: 58 +- 7) up to which a pair is compared by its texts.
-NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS = 5, 0.8, 6, 72
-#: A wide fingerprint is walked from every ``STEP`` bits on, over a slice: its
-#: first bits agree, and of all its bits so many may differ.
-STEP, SLICE, LEAST_EXACT, SLICE_BUDGET = 16, 32, 12, 3
-#: Fingerprints of one value of a slice's first bits that stay together.
-NEAR_LEAF = 1 << 13
+#: Near copies: words in a shingle, least Jaccard similarity, and how often a
+#: bit of two texts' fingerprints differs at that similarity (the angle of the
+#: sets' vectors, 27.3 of 180 degrees).
+NEAR_SHINGLE, SIMILARITY, BIT_APART = 5, 0.8, 0.1515
+#: 64-bit words that a pair is judged by, and the differing bits (of 384; at
+#: the least similarity 58 +- 7) up to which it is compared by its texts.
+WIDE, NEAR_BITS = 6, 80
+#: Least first bits of a slice that must agree, and differing bits of its 64.
+LEAST_EXACT, SLICE_BUDGET = 12, 16
+WIDE_BRUTE = 1 << 12
+#: Share of pairs of the least similarity that meet in some slice, and rows of
+#: one value of a slice's first bits that stay together.
+MET, NEAR_LEAF = 0.97, 1 << 13
+#: Candidates of a row that one more round names at most, times so many a round.
+MORE = 8
 WORDS = [f"w{k}" for k in range(WIDE)]
 
 
-def wide_of(text: str | None) -> list[int]:
+def plan_of(n: int) -> tuple[int, int, int]:
+    """First bits that must agree, slices and 64-bit words for ``n`` rows.
+
+    Groups must not grow with the rows, so the bits grow with their logarithm;
+    as fewer pairs agree on more bits, slices are added so that the share that
+    meets stays ``MET``, and words so that no two slices share first bits.
+    """
+    exact = max(LEAST_EXACT, int(2 * n // NEAR_LEAF).bit_length())
+    slices = math.ceil(math.log(1 - MET) / math.log(1 - (1 - BIT_APART) ** exact))
+    return exact, slices, max(WIDE, -(-slices * exact // 64))
+
+
+def wide_of(text: str | None, words: int = WIDE) -> list[int]:
     """The wide fingerprint: as many of 64 bits, over the set of shingles."""
     h = np.unique(np.array(hashes(text, NEAR_SHINGLE), np.uint64))
     out = []
-    for k in range(WIDE):
+    for k in range(words):
         x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -296,15 +316,16 @@ def wide_of(text: str | None) -> list[int]:
     return out
 
 
-def _slices(rows: DataFrame, exact: int) -> DataFrame:
-    """Rows (id, w*) once for each start of a slice: with ``p``, the 64 bits
-    from there on, around the end, and its first bits as ``key``."""
+def _slices(rows: DataFrame, exact: int, slices: int) -> DataFrame:
+    """Rows (id, w*) once a slice: ``p``, 64 bits from its start on, around the
+    end of array ``wide``, and its first bits as ``key``."""
     each = []
-    for at in range(0, 64 * WIDE, STEP):
-        k, off = divmod(at, 64)
-        p = f"w{k}" if not off else f"shiftleft(w{k}, {off}) | shiftrightunsigned(w{(k + 1) % WIDE}, {64 - off})"
-        each.append(f"struct({at // STEP} as path, {p} as p)")
-    return rows.select("id", *WORDS, F.explode(F.expr(f"array({', '.join(each)})")).alias("r")).select("id", *WORDS, "r.*").withColumn("key", F.shiftrightunsigned("p", 64 - exact))
+    for path in range(slices):
+        k, off = divmod(path * exact, 64)
+        p = f"wide[{k}]" if not off else f"shiftleft(wide[{k}], {off}) | shiftrightunsigned(wide[({k} + 1) % size(wide)], {64 - off})"
+        each.append(f"struct({path} as path, {p} as p)")
+    own = [F.col("wide")[k].alias(w) for k, w in enumerate(WORDS)]
+    return rows.select("id", *own, F.explode(F.expr(f"array({', '.join(each)})")).alias("r")).select("id", *WORDS, "r.*").withColumn("key", F.shiftrightunsigned("p", 64 - exact))
 
 
 def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,51 +348,70 @@ def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, root: np.ndarray) -> t
         root = join_labels(len(root), a[picked], b[picked], root)
 
 
-def _near_forest(part: pd.DataFrame, exact: int) -> pd.DataFrame:
-    """Pairs of a group that the wide fingerprint calls close: of those met
-    together a least spanning forest, so that of a large cluster not all pairs
-    are named and those named are its most similar."""
+def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pairs that are among the ``most`` nearest of either end."""
+    keep = np.zeros(len(d), bool)
+    for end in (x, y):
+        order = np.lexsort((d, end))
+        start = np.flatnonzero(np.concatenate(([True], end[order][1:] != end[order][:-1])))
+        place = np.arange(len(d)) - np.repeat(start, np.diff(np.append(start, len(d))))
+        keep[order[place < most]] = True
+    return np.flatnonzero(keep)
+
+
+def _candidates(part: pd.DataFrame, failed: pd.DataFrame | None, exact: int, most: int) -> pd.DataFrame:
+    """Pairs of a group to compare by their texts next.
+
+    Of those that the wide fingerprints call close and no link joins so far:
+    in the first round a least spanning forest; later, without the pairs that
+    ``failed`` there, up to ``most`` a row, its nearest. Rows of the right side
+    meet those of the left only, where there are both.
+    """
+    path, group = part["path"].iloc[0], part["group"].iloc[0]
     order = np.lexsort((part["id"].to_numpy(), part["p"].to_numpy(np.int64).view(np.uint64)))
     p = part["p"].to_numpy(np.int64).view(np.uint64)[order]
     wide = part[WORDS].to_numpy(np.int64).view(np.uint64)[order]
     ids = part["id"].to_numpy()[order]
-    root, found = np.arange(len(p)), []
-    for x, y in trie_join(p, None, SLICE_BUDGET, exact, SLICE):
-        apart = root[x] != root[y]
+    left = part["left"].to_numpy(bool)[order]
+    known, root = np.unique(part["root"].to_numpy()[order], return_inverse=True)
+    n, lost = len(p), np.zeros(0, np.int64)
+    if failed is not None and len(failed):  # by place among all the ids, each once
+        names = np.unique(ids)
+        lost = np.unique(np.searchsorted(names, failed["a"].to_numpy()) * n + np.searchsorted(names, failed["b"].to_numpy()))
+        name = np.searchsorted(names, ids)
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    labels, found, pending = np.arange(len(known)), [], []
+    for x, y in trie_join(p, None, SLICE_BUDGET, exact, brute=WIDE_BRUTE) if not len(two) else trie_join(p[one], p[two], SLICE_BUDGET, exact, brute=WIDE_BRUTE):
+        if len(two):
+            x, y = one[x], two[y]
+        apart = labels[root[x]] != labels[root[y]]
         x, y = x[apart], y[apart]
         d = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
         near = d <= NEAR_BITS
+        if len(lost):
+            a, b = np.maximum(name[x], name[y]), np.minimum(name[x], name[y])
+            near &= ~np.isin(a * n + b, lost)
         x, y, d = x[near], y[near], d[near]
-        picked, root = spanning(x, y, d, root)
-        found.append(np.stack([ids[x[picked]], ids[y[picked]]], axis=1))
+        if not most:
+            picked, labels = spanning(root[x], root[y], d, labels)
+            found.append(np.stack([ids[x[picked]], ids[y[picked]]], axis=1))
+        elif len(x):
+            pending.append((x, y, d))
+            if sum(len(q[0]) for q in pending) > FRONTIER * 16:
+                x, y, d = (np.concatenate(c) for c in zip(*pending, strict=True))
+                at = _nearest(x, y, d, most)
+                pending = [(x[at], y[at], d[at])]
+    if pending:
+        x, y, d = (np.concatenate(c) for c in zip(*pending, strict=True))
+        at = _nearest(x, y, d, most)
+        found.append(np.stack([ids[x[at]], ids[y[at]]], axis=1))
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
-
+    return pd.DataFrame({"path": path, "group": group, "a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
-def near_pairs(unique: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct wide fingerprints (id, w*) to compare by text.
 
-    A pair is met in a slice whose first bits agree and whose bits differ in
-    at most ``SLICE_BUDGET``; slices have independent bits, so that of pairs
-    at a similarity of 0.8 about seven in eight are met in some slice, at 0.9
-    nearly all. The number of first bits grows with the logarithm of the rows,
-    as any key's must. A value of them that many more share (of near copies in
-    large numbers) goes by the whole slice, and a whole slice's value that many
-    share by chance, differently in every slice, so that a group is bounded and
-    what one slice parts another joins.
-    """
-    n = unique.count()
-    exact = min(SLICE, max(LEAST_EXACT, int(2 * n // NEAR_LEAF).bit_length()))
-    groups = max(LEAST_GROUPS, -(-n // NEAR_LEAF))
-    cut = _slices(unique, exact).withColumn("slice", F.shiftrightunsigned("p", 64 - SLICE))
-    many = lambda keys, name: cut.groupBy("path", *keys).count().where(F.col("count") > NEAR_LEAF).select("path", *keys, F.ceil(F.col("count") / NEAR_LEAF).alias(name))
-    heavy, _ = materialize(many(["key"], "by_slice"), "heavy")
-    same, _ = materialize(many(["slice"], "chunks"), "heavy")
-    dealt = cut.join(heavy, ["path", "key"], "left").join(same, ["path", "slice"], "left")
-    rest = F.when(F.col("by_slice").isNotNull(), F.col("slice")).otherwise(-1)
-    chunk = F.pmod(F.xxhash64("id", "path"), F.coalesce("chunks", F.lit(1)))
-    group = F.pmod(F.xxhash64("path", "key", rest, chunk), F.lit(groups)).alias("group")
-    return dealt.groupBy("path", group).applyInPandas(lambda part: _near_forest(part, exact), "a long, b long").distinct()
+def _later(exact: int, most: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """:func:`_candidates` of a round after the first."""
+    return lambda part, lost: _candidates(part, lost, exact, most)
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -380,29 +420,95 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def near_copies(rows: DataFrame) -> DataFrame:
-    """``row`` and ``root``, the smallest row of its group, of every row.
-
-    ``rows`` (row, text, w*) should be a materialised table. Pairs that
-    :func:`near_pairs` names link where their texts' similarity is 0.8 or
-    more; equal fingerprints are one.
-    """
-    spark = rows.sparkSession
-    prints = rows.select("row", *WORDS)
-    unique, path = materialize(prints.groupBy(*WORDS).agg(F.min("row").alias("id"), F.count("*").alias("n")), "wide")
-    pairs, pair_path = materialize(near_pairs(unique), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts, text_path = materialize(rows.select("row", "text").join(ends, "row", "left_semi"), "ends")
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) and whether their texts' similarity links them, ``ok``."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) >= SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
 
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    linked, star_path = materialize(stars(both.where(alike("ta", "tb")).select("a", "b")), "stars")
-    owner, _ = materialize(unique.join(linked.withColumnRenamed("node", "id"), "id", "left").select(*WORDS, "n", F.coalesce("root", "id").alias("root")), "owners")
-    release(spark, path, pair_path, text_path, star_path)
-    return _spread_join(prints, owner, WORDS, ["root"]).select("row", "root")
+    return both.select("a", "b", alike("ta", "tb").alias("ok"))
+
+
+def _rounds(dealt: DataFrame, texts: DataFrame, exact: int, linked: DataFrame) -> DataFrame:
+    """Links (node, root) once no group of ``dealt`` (path, group, left, id,
+    w*, p) holds a close pair that is neither joined nor compared.
+
+    A round names pairs, compares their texts and joins those alike. Only
+    groups where a named pair has failed go on: without one, the forest of the
+    first round has joined all that the group's close pairs join.
+    """
+    spark = dealt.sparkSession
+    schema, most, tested, failed, again = "path int, group long, a long, b long", 0, None, None, dealt
+    while True:
+        rows = again.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        by = rows.groupBy("path", "group")
+        if failed is None:
+            named = by.applyInPandas(lambda part: _candidates(part, None, exact, 0), schema)
+        else:
+            named = by.cogroup(failed.groupBy("path", "group")).applyInPandas(_later(exact, most), schema)
+        named, _ = materialize(named, "named")
+        fresh = named.select("a", "b").distinct()
+        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
+        now, _ = materialize(_compared(fresh, texts), "tested")
+        tested = now if tested is None else tested.unionByName(now)
+        linked, _ = materialize(stars(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.where("ok").select("a", "b"))), "stars")
+        lost, _ = materialize(named.join(tested.where("not ok").select("a", "b"), ["a", "b"]), "lost")
+        if not lost.limit(1).count():
+            return linked
+        failed = lost if failed is None else failed.unionByName(lost)
+        active = lost.select("path", "group").distinct()
+        failed = failed.join(active, ["path", "group"], "left_semi")
+        again = dealt.join(active, ["path", "group"], "left_semi")
+        most = max(1, most) * MORE
+
+
+def near_links(unique: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(node, root) of distinct wide fingerprints (id, array ``wide``) that
+    links of alike texts join, but for the roots.
+
+    Close pairs meet in groups of equal first bits. A value that more than
+    ``NEAR_LEAF`` share is dealt in chunks first. What their links leave apart
+    from the value's largest component then meets the whole value, chunk by
+    chunk: within that component nothing is left to join.
+    """
+    exact, slices, _ = plan_of(n)
+    groups = max(LEAST_GROUPS, -(-n // NEAR_LEAF))
+    cut = _slices(unique, exact, slices)
+    heavy, _ = materialize(cut.groupBy("path", "key").count().where(F.col("count") > NEAR_LEAF).select("path", "key", F.ceil(F.col("count") / NEAR_LEAF).cast("int").alias("chunks")), "heavy")
+    chunked = cut.join(heavy, ["path", "key"], "left").withColumn("chunk", F.pmod(F.xxhash64("id", "path"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    dealt = chunked.select("path", F.pmod(F.xxhash64("path", "key", "chunk"), F.lit(groups)).alias("group"), F.lit(True).alias("left"), "id", *WORDS, "p")
+    linked = _rounds(dealt, texts, exact, unique.sparkSession.createDataFrame([], "node long, root long"))
+    if not heavy.limit(1).count():
+        return linked
+    hot, _ = materialize(cut.join(heavy, ["path", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id", "path"), F.col("chunks")).cast("int")).join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "hot")
+    largest = hot.groupBy("path", "key", "root").count().groupBy("path", "key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    rest, _ = materialize(hot.join(largest, ["path", "key"]).where("root <> most").drop("most"), "rest")
+    if not rest.limit(1).count():
+        return linked
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    ours = rest.withColumn("with", every).withColumns({"i": F.col("chunk"), "j": F.col("with"), "left": F.lit(True)})
+    theirs = hot.withColumn("with", every).withColumns({"i": F.col("with"), "j": F.col("chunk"), "left": F.lit(False)}).join(rest.select("path", "key", F.col("chunk").alias("i")).distinct(), ["path", "key", "i"], "left_semi")
+    tiles = ours.unionByName(theirs).select("path", F.xxhash64("path", "key", "i", "j").alias("group"), "left", "id", *WORDS, "p")
+    return _rounds(tiles, texts, exact, linked)
+
+
+def near_copies(rows: DataFrame, n: int) -> DataFrame:
+    """``row`` and ``root``, the smallest row of its group, of every row.
+
+    ``rows`` (row, text, wide) should be a materialised table of ``n`` rows,
+    with the words that :func:`plan_of` asks for. Texts link where their
+    similarity is 0.8 or more; equal fingerprints are one.
+    """
+    spark = rows.sparkSession
+    prints = rows.select("row", "wide")
+    unique, path = materialize(prints.groupBy("wide").agg(F.min("row").alias("id"), F.count("*").alias("n")), "wide")
+    texts, text_path = materialize(rows.select("row", "text").join(unique.select(F.col("id").alias("row")), "row", "left_semi"), "ends")
+    linked = near_links(unique.select("id", "wide"), texts, n)
+    owner, _ = materialize(unique.join(linked.withColumnRenamed("node", "id"), "id", "left").select("wide", "n", F.coalesce("root", "id").alias("root")), "owners")
+    release(spark, path, text_path)
+    return _spread_join(prints, owner, ["wide"], ["root"]).select("row", "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,17 +519,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     written first stays; a row without an id stays only where none of its
     group has one. All columns are kept, whatever their names.
     """
+    n = docs.count()
+    words = plan_of(n)[2]
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in WORDS))
-    def wide(texts: pd.Series) -> pd.DataFrame:
-        found = np.array([wide_of(t) for t in texts], np.uint64).reshape(-1, WIDE)
-        return pd.DataFrame(found.view(np.int64), columns=WORDS)
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(wide_of(t, words), np.uint64).view(np.int64) for t in texts])
 
     columns = docs.columns
     own_id, own_text = (f"c{columns.index(c)}__" for c in (doc_id, text))
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}__") for k, c in enumerate(columns)], wide(F.col(text)).alias("wide__"))
     rows, _ = materialize(named.withColumn("row__", F.monotonically_increasing_id()), "dedup")
-    found = near_copies(rows.select(F.col("row__").alias("row"), F.col(own_text).alias("text"), *[F.col(f"wide__.{c}").alias(c) for c in WORDS]))
+    found = near_copies(rows.select(F.col("row__").alias("row"), F.col(own_text).alias("text"), F.col("wide__").alias("wide")), n)
     with_id = found.withColumnRenamed("row", "row__").join(rows.select("row__", F.col(own_id).alias("id__")), "row__")
     best = with_id.groupBy("root").agg(F.expr("min_by(row__, struct(id__ is null, id__, row__))").alias("row__"))
     return rows.join(best.select("row__"), "row__", "left_semi").select(*[F.col(f"c{k}__").alias(c) for k, c in enumerate(columns)])

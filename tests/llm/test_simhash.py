@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,6 +137,63 @@ def test_near_copies_by_brute_force(spark):
     assert all(ids[i] not in kept or ids[j] not in kept for i, j in close)
 
 
+def apart(words, rng, share):
+    out = list(words)
+    for i in rng.sample(range(len(out)), max(1, round(len(out) * share))):
+        out[i] = f"other{rng.randrange(10**9)}"
+    return out
+
+
+def meet(x, y, exact, slices):
+    """Whether two wide fingerprints meet in some slice, and are close."""
+    bits = lambda w: "".join(f"{v:064b}" for v in w)
+    a, b = bits(x), bits(y)
+    if sum(p != q for p, q in zip(a[:384], b[:384], strict=True)) > simhash.NEAR_BITS:
+        return False
+    for k in range(slices):
+        s, t = ((v + v)[k * exact : k * exact + 64] for v in (a, b))
+        if s[:exact] == t[:exact] and sum(p != q for p, q in zip(s, t, strict=True)) <= simhash.SLICE_BUDGET:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [10**6, 10**8, 2 * 10**9, 3 * 10**10])
+def test_pairs_meet_at_any_number_of_rows(n):
+    """At 12, 16, 20 and 24 bits that agree: 0.9 of pairs at 0.8, more above."""
+    exact, slices, words = simhash.plan_of(n)
+    assert exact == {10**6: 12, 10**8: 15, 2 * 10**9: 19, 3 * 10**10: 23}[n] and slices * exact <= 64 * words
+    assert n / 2**exact <= simhash.NEAR_LEAF
+    rng, met = random.Random(n), {}
+    for k in range(160):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((120, 400)))]
+        low = k % 2 == 0
+        pair = [" ".join(base), ""]
+        while not (0.8 <= simhash.similarity(*pair) < 0.83 if low else 0.85 <= simhash.similarity(*pair) < 0.9):
+            pair[1] = " ".join(apart(base, rng, 0.022 if low else 0.013))
+        met.setdefault(low, []).append(meet(simhash.wide_of(pair[0], words), simhash.wide_of(pair[1], words), exact, slices))
+    assert sum(met[True]) >= 0.9 * len(met[True]) and sum(met[False]) >= 0.97 * len(met[False])
+
+
+@pytest.mark.parametrize("leaf", [1 << 13, 24])
+def test_no_link_is_lost_among_pairs_that_meet(spark, monkeypatch, leaf):
+    """Clusters near the threshold: failed pairs, and values dealt in chunks,
+    hide no link of two others. No tolerance."""
+    monkeypatch.setattr(simhash, "LEAST_EXACT", 4)
+    monkeypatch.setattr(simhash, "NEAR_LEAF", leaf)
+    rng, texts = random.Random(leaf), []
+    for _ in range(24):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((150, 300)))]
+        texts += [" ".join(apart(base, rng, rng.choice((0.004, 0.01, 0.013, 0.017)))) for _ in range(10)]
+    exact, slices, words = simhash.plan_of(len(texts))
+    wide = [simhash.wide_of(t, words) for t in texts]
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(sets[i], sets[j]) >= 0.8 and meet(wide[i], wide[j], exact, slices)]
+    for i, j in links:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == set(root) and len(links) > 200 and len(set(root)) > 30
+
+
 def test_large_cluster_of_near_copies(spark, monkeypatch):
     """More near copies than a group takes: dealt on, and still one stays."""
     monkeypatch.setattr(simhash, "NEAR_LEAF", 50)
