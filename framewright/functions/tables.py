@@ -66,13 +66,26 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
 _kept: dict[tuple[str, ...], tuple[DataFrame, str]] = {}
 
 
-def kept(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+def stamp(spark: SparkSession, path: str) -> str:
+    """When files under a path were last written, and their lengths: another
+    text once the table there is rewritten."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return "absent"
+    top = fs.getFileStatus(where)
+    inner = [f for f in fs.listStatus(where) if not f.getPath().getName().startswith(("_", "."))] if top.isDirectory() else [top]
+    return f"{len(inner)}:{sum(f.getLen() for f in inner)}:{max((f.getModificationTime() for f in inner), default=0)}"
+
+
+def kept(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame], source: str | None = None) -> DataFrame:
     """The table of ``key``, built and written by the first who asks.
 
     For what is read in and shaped once and then queried many times; it lasts
-    as long as the application, or until :func:`sweep`.
+    as long as the application, or until :func:`sweep`. A table derived from
+    the files at ``source`` is built anew once those have changed.
     """
-    at = (spark.sparkContext.applicationId, *key)
+    at = (spark.sparkContext.applicationId, *key, stamp(spark, source) if source else "")
     if at not in _kept:
         _kept[at] = write(build(), key[0])
     return _kept[at][0]

@@ -16,17 +16,18 @@ TERMINAL = ("connected", "failed", "roam")
 ORDER = ["epoch_us", "line"]
 
 
-def wpa_episodes(log: DataFrame) -> DataFrame:
+def wpa_episodes(log: DataFrame, keys: tuple[str, ...] = ("sta",), more: tuple[str, ...] = ()) -> DataFrame:
     """Each roam command with what ended it: connected, failed, or another.
 
     Time runs backwards over the log for "the next terminal event", as an
-    as-of look-back over negated time.
+    as-of look-back over negated time. ``keys`` tell logs apart; columns
+    ``more`` of a command go along.
     """
-    rows = log.where(F.col("event").isin(*TERMINAL)).select("sta", (-F.col("epoch_us")).alias("back"), (-F.col("line")).alias("line"), "epoch_us", "event", "bssid")
-    ahead = carried(rows, ["sta"], ["back", "line"], F.struct("event", "epoch_us"), "next", inclusive=False)
+    rows = log.where(F.col("event").isin(*TERMINAL)).select(*keys, *more, (-F.col("epoch_us")).alias("back"), (-F.col("line")).alias("backline"), "epoch_us", "event", "bssid")
+    ahead = carried(rows, list(keys), ["back", "backline"], F.struct("event", "epoch_us"), "next", inclusive=False)
     found = ahead.where("event = 'roam'")
     done = F.col("next.event") == "connected"
-    return found.select("sta", F.col("epoch_us").alias("cmd_us"), F.col("bssid").alias("target"), F.coalesce(done, F.lit(False)).alias("ok"), F.when(done, F.col("next.epoch_us") - F.col("epoch_us")).alias("total_us"))
+    return found.select(*keys, *more, F.col("epoch_us").alias("cmd_us"), F.col("bssid").alias("target"), F.coalesce(done, F.lit(False)).alias("ok"), F.when(done, F.col("next.epoch_us") - F.col("epoch_us")).alias("total_us"))
 
 
 def scan_pairs(log: DataFrame) -> DataFrame:

@@ -95,6 +95,10 @@ def log_sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([adapter.sql_logs(), *ctes]) + "\n" + body
 
 
+def unit_sql(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([adapter.sql_units(), *ctes]) + "\n" + body
+
+
 def _islands(table: str, part: str, order: str, gap: int) -> str:
     return f"SELECT *, sum(brk) OVER (PARTITION BY {part} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN epoch_us - lag(epoch_us) OVER (PARTITION BY {part} ORDER BY {order}) <= {gap} THEN 0 ELSE 1 END AS brk FROM {table})"
 
@@ -252,10 +256,128 @@ ONE_SIDED = PINGS.replace("FROM frames WHERE icmp_type", "FROM sided WHERE icmp_
 GAPS = "gp AS (SELECT src, dst, ident, unnest(range(icmp_seq + 1, nxt)) AS missing_seq, anchor_us, anchor_num, direction FROM (SELECT src, dst, ident, icmp_seq, min(epoch_us) AS anchor_us, arg_min(number, epoch_us) AS anchor_num, lead(icmp_seq) OVER (PARTITION BY src, dst, ident ORDER BY icmp_seq) AS nxt, CASE WHEN min(side) = 'req' THEN 'request' ELSE 'reply' END AS direction FROM dd SEMI JOIN (SELECT src, dst, ident FROM dd GROUP BY ALL HAVING count(DISTINCT side) = 1) USING (src, dst, ident) GROUP BY src, dst, ident, icmp_seq) WHERE nxt - icmp_seq > 1 AND nxt - icmp_seq <= 1000)"
 TOTALS = f"""tt AS (SELECT *, {pct('losses', '(pairs + losses + unmeasurable)')} AS loss_pct, {pct('(losses + late)', '(pairs + losses + unmeasurable)')} AS timeout_pct FROM (
   SELECT {one("status IN ('matched', 'late')")} AS pairs, {one("status = 'late'")} AS late, {one("status = 'loss'")} + (SELECT count(*) FROM gp) AS losses, (SELECT cast(coalesce(sum(n), 0) AS bigint) FROM (SELECT count(*) AS n FROM dd GROUP BY src, dst, ident HAVING count(DISTINCT side) = 1)) AS unmeasurable FROM st))"""
+#: Units' commands and what they may belong to.
+UNIT_ROAMS = f"""cmds AS MATERIALIZED (
+  SELECT capture, name, line, bssid AS ap, epoch_us AS cmd_us, nus - epoch_us AS total_us
+  FROM (SELECT *, lead(event) OVER w AS nev, lead(epoch_us) OVER w AS nus FROM unit_rows WHERE event IN ('roam', 'connected', 'failed') WINDOW w AS (PARTITION BY capture, name ORDER BY epoch_us, line)) WHERE event = 'roam' AND nev = 'connected'
+), airs AS MATERIALIZED (
+  SELECT 'h' || ((coalesce(auth_us, assoc_us) - {adapter.BASE_US}) // {adapter.RECORDING_US}) AS capture, sta, ap, assoc_num, auth_us, assoc_us, coalesce(auth_us, assoc_us) AS air_us FROM pr
+)"""
+CLOCKED = """hyps AS MATERIALIZED (
+  SELECT capture, name, sta, unnest(list_filter([{'rank': 0, 'coarse': 0::DOUBLE}, CASE WHEN snapped <> 0 THEN {'rank': 1, 'coarse': snapped} END, CASE WHEN gap <> 0 AND gap <> snapped THEN {'rank': 2, 'coarse': gap} END], lambda h: h IS NOT NULL), recursive := true)
+  FROM (SELECT l.capture, name, sta, am - lm AS gap, round_even((am - lm) / 900000000, 0) * 900000000 AS snapped FROM (SELECT capture, name, median(cmd_us) AS lm FROM cmds GROUP BY ALL) l JOIN (SELECT capture, sta, median(air_us) AS am FROM airs GROUP BY ALL) a USING (capture))
+), sh AS MATERIALIZED (
+  SELECT h.*, line, cmd_us + coarse AS t FROM hyps h JOIN cmds USING (capture, name)
+), dfs AS MATERIALIZED (
+  SELECT capture, name, sta, rank, line, t, air_us, air_us - t AS d, cast(trunc((air_us - t) / 100000) AS bigint) AS bucket FROM sh JOIN airs USING (capture, sta) WHERE air_us - t BETWEEN -30000000 AND 30000000
+), mo AS (
+  SELECT capture, name, sta, rank, arg_max(bucket, struct_pack(a := n, b := -f.a, c := -f.b)) AS mode FROM (SELECT capture, name, sta, rank, bucket, count(*) AS n, min(struct_pack(a := t, b := air_us)) AS f FROM dfs GROUP BY ALL) GROUP BY ALL
+), co AS MATERIALIZED (
+  SELECT capture, name, sta, rank, median(d) AS found FROM dfs JOIN mo USING (capture, name, sta, rank) WHERE abs(bucket - mode) <= 1 GROUP BY ALL
+), ne AS MATERIALIZED (
+  SELECT capture, name, sta, rank, line, arg_min(air_us - t, struct_pack(a := abs(air_us - t), b := air_us)) AS residual
+  FROM (SELECT capture, name, sta, rank, line, t + found AS t FROM sh JOIN co USING (capture, name, sta, rank)) JOIN airs USING (capture, sta) WHERE air_us - t BETWEEN -3000000 AND 3000000 GROUP BY ALL
+), fi AS (
+  SELECT capture, name, sta, rank, count(*) AS matches, median(residual) AS middle FROM ne GROUP BY ALL
+), sc AS MATERIALIZED (
+  SELECT capture, name, sta, b.rank AS hypothesis, b.offset_us AS offset_us, b.matches AS matches, b.mad_us AS mad_us FROM (
+    SELECT capture, name, sta, arg_max(struct_pack(rank := rank, offset_us := round(coarse + found + middle, 3), matches := matches, mad_us := round(mad, 3)), struct_pack(a := matches, b := -rank)) AS b
+    FROM fi JOIN (SELECT capture, name, sta, rank, median(abs(residual - middle)) AS mad FROM ne JOIN fi USING (capture, name, sta, rank) GROUP BY ALL) USING (capture, name, sta, rank) JOIN co USING (capture, name, sta, rank) JOIN hyps USING (capture, name, sta, rank) GROUP BY ALL)
+)"""
+BINDING = (
+    f"""ad AS (
+  SELECT capture, ip, arg_max(mac, struct_pack(a := n, b := -f.a, c := -f.b)) AS mac FROM (SELECT 'h' || ((epoch_us - {adapter.BASE_US}) // {adapter.RECORDING_US}) AS capture, ip_src AS ip, ta AS mac, count(*) AS n, min(struct_pack(a := epoch_us, b := number)) AS f FROM frames WHERE ip_src IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) GROUP BY ALL
+), un AS (
+  SELECT capture, name, ord, ip, mac, coalesce(cands, []) AS cands FROM units LEFT JOIN ad USING (capture, ip) LEFT JOIN (SELECT capture, name, list(sta ORDER BY mad_us, sta) AS cands FROM sc WHERE matches >= 5 GROUP BY ALL) USING (capture, name)
+), bf AS (SELECT capture, """
+    + fold(
+        "{'name': name, 'ip': ip, 'mac': mac, 'cands': cands}",
+        "ord, name",
+        """{'used': list_append(a.used, CASE WHEN x.mac IS NOT NULL AND NOT list_contains(a.used, x.mac) THEN x.mac ELSE list_filter(x.cands, lambda s: NOT list_contains(a.used, s))[1] END),
+        'out': list_append(a.out, {'name': x.name, 'ip': x.ip, 'mac': x.mac, 'taken': x.mac IS NOT NULL AND list_contains(a.used, x.mac), 'sta': CASE WHEN x.mac IS NOT NULL AND NOT list_contains(a.used, x.mac) THEN x.mac ELSE list_filter(x.cands, lambda s: NOT list_contains(a.used, s))[1] END})}""",
+        "{'used': cast([] as varchar[]), 'out': cast([] as struct(name varchar, ip varchar, mac varchar, taken boolean, sta varchar)[])}",
+    )
+    + """ AS f FROM un GROUP BY capture
+), bd AS MATERIALIZED (
+  SELECT b.capture, o.name AS name, o.sta AS sta, CASE WHEN o.sta IS NULL THEN NULL WHEN o.sta = o.mac AND NOT o.taken THEN 'ip' ELSE 'time' END AS method, s.offset_us, coalesce(s.matches, 0) AS matches, s.mad_us,
+    concat_ws('+', CASE WHEN o.taken THEN 'address_taken' END, CASE WHEN o.sta IS NOT NULL AND o.ip IS NULL THEN 'no_address' END, CASE WHEN o.sta IS NULL THEN 'unmatched' WHEN s.matches IS NULL THEN 'no_clock' WHEN s.matches < 5 THEN 'few_matches' END) AS notes
+  FROM (SELECT capture, unnest(f.out) AS o FROM bf) b LEFT JOIN sc s ON s.capture = b.capture AND s.name = o.name AND s.sta = o.sta
+)"""
+)
+
+
+def _timed(bindings: str) -> str:
+    return f"""timed AS MATERIALIZED (
+  SELECT c.capture, b.sta, c.ap, c.line, cast(round(c.cmd_us + b.offset_us) AS bigint) AS cmd_us, c.total_us FROM cmds c JOIN {bindings} b ON b.capture = c.capture AND b.name = c.name WHERE b.sta IS NOT NULL AND b.offset_us IS NOT NULL
+)"""
+
+
 ATTACHED = ("""att AS (
-  SELECT z.sta, z.o.l AS line, w.epoch_us AS cmd_us, z.o.r AS assoc_num, z.o.d AS residual_us FROM (SELECT sta, unnest(f.out) AS o FROM (SELECT sta, """ + greedy("abs(d), cmd_us, r") + """ AS f
-    FROM (SELECT l.sta, l.line AS l, l.epoch_us AS cmd_us, pr.assoc_num AS r, coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us AS d FROM logged l JOIN pr ON pr.sta = l.sta AND pr.ap = l.bssid AND l.event = 'roam' AND abs(coalesce(pr.auth_us, pr.assoc_us) - l.epoch_us) <= 250000) GROUP BY sta)) z
-  JOIN logged w ON w.line = z.o.l)""")
+  SELECT z.sta, z.o.l AS line, w.cmd_us, z.o.r AS assoc_num, z.o.d AS residual_us FROM (SELECT sta, unnest(f.out) AS o FROM (SELECT sta, """ + greedy("abs(d), cmd_us, r") + """ AS f
+    FROM (SELECT l.sta, l.line AS l, l.cmd_us, a.assoc_num AS r, a.air_us - l.cmd_us AS d FROM (SELECT *, unnest([cmd_us // 500000 - 1, cmd_us // 500000, cmd_us // 500000 + 1]) AS b FROM timed) l
+      JOIN (SELECT *, air_us // 500000 AS b FROM airs) a ON a.sta = l.sta AND a.ap = l.ap AND a.b = l.b WHERE abs(a.air_us - l.cmd_us) <= 250000) GROUP BY sta)) z
+  JOIN timed w ON w.line = z.o.l)""")
+#: Everything from the pairing to what was attached on the estimated clock.
+ON_CLOCK = (*ROAMS, UNIT_ROAMS, CLOCKED, BINDING, _timed("bd"), ATTACHED)
+
+
+def _ranks(anchor: str, t: str, air: str, where: str) -> str:
+    """Scores by ranks with one anchor; tables end in the anchor's name."""
+    k = "capture, name, sta"
+    return f"""lg_{anchor} AS MATERIALIZED (
+  SELECT capture, name, ap, line, {t} AS t, row_number() OVER (PARTITION BY capture, name, ap ORDER BY cmd_us, line) - 1 AS place, count(*) OVER (PARTITION BY capture, name, ap) AS n FROM cmds
+), ai_{anchor} AS MATERIALIZED (
+  SELECT capture, sta, ap, {air} AS air_us, row_number() OVER (PARTITION BY capture, sta, ap ORDER BY {air}, assoc_num) - 1 AS place, count(*) OVER (PARTITION BY capture, sta, ap) AS there FROM airs WHERE {where}
+), rw_{anchor} AS (
+  SELECT {k}, a.air_us - l.t AS d FROM (SELECT {k}, ap, t, unnest(range(around - 3, around + 4)) AS place FROM (SELECT {k}, ap, t, cast(round_even(place * (there - 1) / greatest(1, n - 1), 0) AS bigint) AS around FROM lg_{anchor} JOIN (SELECT DISTINCT capture, sta, ap, there FROM ai_{anchor}) USING (capture, ap) WHERE place % greatest(1, n // 80) = 0)) l
+  JOIN ai_{anchor} a USING (capture, sta, ap, place)
+), tr_{anchor} AS MATERIALIZED (
+  SELECT * FROM (SELECT {k}, o, row_number() OVER (PARTITION BY {k} ORDER BY votes DESC, abs(o), bucket) AS rank FROM (SELECT {k}, round_even(d / 100000, 0) AS bucket, count(*) AS votes, median(d) AS o FROM rw_{anchor} GROUP BY ALL)) WHERE rank <= 80
+), ht_{anchor} AS (
+  SELECT {k}, rank, count(*) AS hits, median(r) AS middle FROM (SELECT {k}, rank, line, arg_min(air_us - t, struct_pack(a := abs(air_us - t), b := air_us)) AS r FROM (SELECT capture, l.name, sta, rank, ap, line, t + o AS t FROM tr_{anchor} JOIN lg_{anchor} l USING (capture, name)) JOIN ai_{anchor} USING (capture, sta, ap) WHERE air_us - t BETWEEN -250000 AND 250000 GROUP BY ALL) GROUP BY ALL
+), ch_{anchor} AS MATERIALIZED (
+  SELECT {k}, arg_max(o + coalesce(middle, 0), struct_pack(a := coalesce(hits, 0), b := -rank)) AS o FROM tr_{anchor} LEFT JOIN ht_{anchor} USING ({k}, rank) GROUP BY {k}
+), nr_{anchor} AS (
+  SELECT {k}, line, arg_min(air_us - t, struct_pack(a := abs(air_us - t), b := air_us)) AS r FROM (SELECT capture, l.name, sta, ap, line, t + o AS t FROM ch_{anchor} JOIN lg_{anchor} l USING (capture, name)) JOIN ai_{anchor} USING (capture, sta, ap) WHERE air_us - t BETWEEN -250000 AND 250000 GROUP BY ALL
+), rs_{anchor} AS MATERIALIZED (
+  SELECT {k}, '{anchor}' AS anchor, round(o, 3) AS offset_us, coalesce(matches, 0) AS matches, round(mad, 3) AS mad_us
+  FROM ch_{anchor} LEFT JOIN (SELECT {k}, count(*) AS matches, median(abs(r - m)) AS mad FROM nr_{anchor} JOIN (SELECT {k}, median(r) AS m FROM nr_{anchor} GROUP BY ALL) USING ({k}) GROUP BY ALL) USING ({k})
+)"""
+
+
+RANKED = (_ranks("auth", "cmd_us", "auth_us", "auth_us IS NOT NULL"), _ranks("assoc", "cmd_us + total_us", "assoc_us", "auth_us IS NULL"), "rs AS MATERIALIZED (SELECT * FROM rs_auth UNION ALL SELECT * FROM rs_assoc)")
+#: All ways to give each log a station of its own, the best of each recording.
+CHOSEN = """tops AS (
+  SELECT capture, name, CASE WHEN max(CASE WHEN anchor = 'auth' THEN matches END) > 0 THEN 'auth' ELSE 'assoc' END AS anchor FROM rs GROUP BY ALL
+), mx AS (
+  SELECT rs.*, CASE WHEN anchor = 'auth' THEN 1 ELSE count(*) FILTER (WHERE matches = best AND mad_us = least) OVER (PARTITION BY capture, name) END AS same, best FROM (
+    SELECT rs.*, max(matches) OVER (PARTITION BY capture, name) AS best, min(mad_us) FILTER (WHERE matches = top) OVER (PARTITION BY capture, name) AS least FROM (SELECT rs.*, max(matches) OVER (PARTITION BY capture, name, anchor) AS top FROM rs JOIN tops USING (capture, name, anchor)) rs) rs
+), able AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (PARTITION BY capture ORDER BY name) AS k FROM mx WHERE best > 0 AND same = 1
+), counted AS (
+  SELECT capture, count(DISTINCT name) AS names, (SELECT count(DISTINCT sta) FROM rs r WHERE r.capture = able.capture) AS stas FROM able GROUP BY capture
+), grid AS MATERIALIZED (
+  SELECT n.capture, n.name, n.k, s.sta, CASE WHEN a.sta IS NULL THEN -1000000 ELSE a.matches * names * 1000001 - coalesce(a.mad_us / 1000, 1000000) END AS w
+  FROM (SELECT DISTINCT capture, name, k FROM able) n JOIN counted c ON c.capture = n.capture AND c.names <= c.stas JOIN (SELECT DISTINCT capture, sta FROM rs) s ON s.capture = n.capture LEFT JOIN able a ON a.capture = n.capture AND a.name = n.name AND a.sta = s.sta
+), ways AS (
+  SELECT capture, 0 AS k, 0::DOUBLE AS w, cast([] AS varchar[]) AS picks FROM counted
+  UNION ALL SELECT g.capture, g.k, y.w + g.w, list_append(y.picks, g.sta) FROM ways y JOIN grid g ON g.capture = y.capture AND g.k = y.k + 1 AND NOT list_contains(y.picks, g.sta)
+), given AS (
+  SELECT capture, unnest(picks) AS sta, generate_subscripts(picks, 1) AS k FROM (SELECT w.capture, arg_max(picks, w) AS picks FROM ways w JOIN counted c ON c.capture = w.capture AND w.k = c.names GROUP BY w.capture)
+), assigned AS MATERIALIZED (
+  SELECT n.capture, n.name, CASE WHEN a.matches > 0 THEN g.sta END AS sta, CASE WHEN a.matches > 0 THEN a.anchor END AS anchor, CASE WHEN a.matches > 0 THEN a.offset_us END AS offset_us, CASE WHEN a.matches > 0 THEN a.matches ELSE 0 END AS matches, CASE WHEN a.matches > 0 THEN a.mad_us END AS mad_us,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM mx WHERE mx.capture = n.capture AND mx.name = n.name AND best > 0) THEN 'no_candidate' WHEN NOT EXISTS (SELECT 1 FROM able b WHERE b.capture = n.capture AND b.name = n.name) THEN 'ambiguous' WHEN g.sta IS NULL THEN 'more_logs_than_stations' WHEN a.matches > 0 THEN 'bound' ELSE 'nothing_of_its_own' END AS state
+  FROM (SELECT DISTINCT capture, name FROM rs) n LEFT JOIN (SELECT DISTINCT capture, name, k FROM able) k ON k.capture = n.capture AND k.name = n.name LEFT JOIN given g ON g.capture = n.capture AND g.k = k.k LEFT JOIN able a ON a.capture = n.capture AND a.name = n.name AND a.sta = g.sta
+)"""
+#: Roams by the ledger's rule: who sent association requests is a station.
+LEDGER = ("sta AS (SELECT DISTINCT ta AS mac FROM frames WHERE subtype IN (0, 2) AND ta <> '00:00:00:00:00:00' AND cast('0x' || substr(ta, 1, 2) AS integer) & 1 = 0)", PAIRED, """lt AS MATERIALIZED (
+  SELECT pr.*, (SELECT min(f.epoch_us) FROM frames f WHERE f.eapol_msgnr = 4 AND f.ta = pr.sta AND f.ra = pr.ap AND f.epoch_us BETWEEN pr.assoc_us AND pr.assoc_us + 5000000) - auth_us AS total_us FROM pr
+)""")
+#: Commands in order, each with its nearest roam that is free.
+CORRELATED = ("""cn AS (
+  SELECT capture, sta, line, cmd_us, num, d FROM (SELECT t.capture, t.sta, t.ap, line, cmd_us, a.assoc_num AS num, CASE WHEN a.auth_us IS NULL THEN a.assoc_us - cmd_us - t.total_us ELSE a.auth_us - cmd_us END AS d FROM timed t JOIN airs a ON a.capture = t.capture AND a.sta = t.sta AND a.ap = t.ap) WHERE abs(d) <= 250000
+), cf AS (SELECT capture, sta, """ + fold("{'l': line, 'r': num, 'd': d}", "cmd_us, line, abs(d), num", "CASE WHEN list_contains(a.l, x.l) OR list_contains(a.r, x.r) THEN a ELSE {'l': list_append(a.l, x.l), 'r': list_append(a.r, x.r), 'out': list_append(a.out, x)} END", "{'l': cast([] as bigint[]), 'r': cast([] as bigint[]), 'out': cast([] as struct(l bigint, r bigint, d bigint)[])}") + """ AS f FROM cn GROUP BY capture, sta
+), cp AS (SELECT o.l AS line, o.r AS num, o.d AS d FROM (SELECT unnest(f.out) AS o FROM cf))""")
 NTP = ("np AS (SELECT dst, unnest(f.out) AS o FROM (SELECT dst, " + fold(
     "{'t': t, 'line': line_no, 'n': frame_no, 'off': arrival_us - org_us, 'res': org_us - t}",
     "t, line_no, abs(org_us - t), org_us, frame_no",
@@ -360,9 +482,20 @@ ORACLES: dict[str, str] = {
     "roam_directions": frames_sql("SELECT sta, prev_ap, ap, count(*) AS roams, CASE WHEN avg(gap_us) IS NULL THEN 'unknown' WHEN avg(gap_us) / 1000 > 100 THEN 'danger' WHEN avg(gap_us) / 1000 > 50 THEN 'warn' ELSE 'good' END AS gap_level FROM pr GROUP BY ALL", *ROAMS),
     "roam_structured": frames_sql("SELECT pr.sta, pr.ap, pr.prev_ap, assoc_us, assoc_num, gap_us, n.channel AS new_channel, n.band AS new_band, o.channel AS old_channel, o.band AS old_band, n.band <> o.band AS band_change FROM pr LEFT JOIN cm n ON n.ap = pr.ap LEFT JOIN cm o ON o.ap = pr.prev_ap", *ROAMS, CHANNELS),
     "roam_impact": frames_sql(f"SELECT sta, start_us, b.assoc_num, before_frames, before_retry_pct, before_rssi, after_frames, after_retry_pct, after_rssi, coalesce(e.matched, 0) AS matched, coalesce(e.lost, 0) AS lost, coalesce(after_retry_pct > 50, false) OR coalesce(e.lost, 0) > 0 AS problem FROM (SELECT sta, t AS start_us, assoc_num, {one('epoch_us < t')} AS before_frames, {pct(one('epoch_us < t AND retry'), one('epoch_us < t'))} AS before_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us < t), 6) AS before_rssi, {one('epoch_us >= t')} AS after_frames, {pct(one('epoch_us >= t AND retry'), one('epoch_us >= t'))} AS after_retry_pct, round(avg(rssi) FILTER (WHERE epoch_us >= t), 6) AS after_rssi FROM nr GROUP BY ALL) b LEFT JOIN (SELECT assoc_num, cast(count(*) FILTER (WHERE e = 'rep' AND prior = 'req') AS bigint) AS matched, cast(count(*) FILTER (WHERE e = 'req' AND nxt IS NULL) AS bigint) AS lost FROM (SELECT assoc_num, e, lag(e) OVER w AS prior, lead(e) OVER w AS nxt FROM (SELECT *, CASE WHEN icmp_type = 8 AND NOT retry THEN 'req' WHEN icmp_type = 0 THEN 'rep' END AS e, CASE WHEN icmp_type = 8 THEN ip_src ELSE ip_dst END AS x, CASE WHEN icmp_type = 8 THEN ip_dst ELSE ip_src END AS y FROM nr) WHERE e IS NOT NULL WINDOW w AS (PARTITION BY assoc_num, x, y ORDER BY epoch_us, number)) GROUP BY assoc_num) e ON e.assoc_num = b.assoc_num", *ROAMS, "nr AS (SELECT pr.sta, coalesce(auth_us, assoc_us) AS t, assoc_num, f.epoch_us, f.number, f.retry, f.rssi, f.icmp_type, f.ip_src, f.ip_dst FROM pr JOIN frames f ON (f.ta = pr.sta OR f.ra = pr.sta) AND f.epoch_us BETWEEN coalesce(auth_us, assoc_us) - 3000000 AND coalesce(auth_us, assoc_us) + 3000000)"),
-    "station_attach": log_sql("SELECT sta, line, cmd_us, assoc_num, residual_us FROM att", *ROAMS, ATTACHED),
-    "roam_coverage": log_sql("SELECT n, sta_p50, capture_p50, CASE WHEN p > 0 THEN round(100 * c / p, 1) END AS visible_pct, n >= 3 AS reportable FROM (SELECT count(*) AS n, median(s) AS p, median(t) AS c, round(median(s), 6) AS sta_p50, round(median(t), 6) AS capture_p50 FROM (SELECT ep.total_us / 1000 AS s, sl.total_us / 1000 AS t FROM att JOIN ep ON ep.sta = att.sta AND ep.cmd_us = att.cmd_us AND ep.ok JOIN sl ON sl.assoc_num = att.assoc_num WHERE sl.total_us IS NOT NULL))", *SLOW, EPISODES, ATTACHED),
-    "roam_reclassified": log_sql("SELECT sta, ap, sl.assoc_num, gap_us, total_us, sta_total_ms, CASE WHEN sta_total_ms >= 0 THEN sta_total_ms > 150 ELSE is_slow END AS is_slow, CASE WHEN sta_total_ms >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis FROM sl LEFT JOIN (SELECT att.assoc_num, ep.total_us / 1000 AS sta_total_ms FROM att JOIN ep ON ep.sta = att.sta AND ep.cmd_us = att.cmd_us AND ep.ok) l ON l.assoc_num = sl.assoc_num", *SLOW, EPISODES, ATTACHED),
+    "station_attach": unit_sql("SELECT sta, line, cmd_us, assoc_num, residual_us FROM att", *ON_CLOCK),
+    "clock_scores": unit_sql("SELECT * FROM sc", *ROAMS, UNIT_ROAMS, CLOCKED),
+    "station_bind_time": unit_sql("SELECT * FROM bd", *ROAMS, UNIT_ROAMS, CLOCKED, BINDING),
+    "rank_scores": unit_sql("SELECT * FROM rs", *ROAMS, UNIT_ROAMS, *RANKED),
+    "station_assignment": unit_sql("SELECT * FROM assigned", *ROAMS, UNIT_ROAMS, *RANKED, CHOSEN),
+    "verifier_ledger": frames_sql("SELECT sta, ap, assoc_us, assoc_num, auth_us, auth_num, basis, gap_us, total_us FROM lt", *LEDGER),
+    "verifier_correlation": unit_sql("SELECT t.capture, t.sta, t.ap, t.line, t.cmd_us, t.total_us / 1000 AS sta_total_ms, num AS assoc_num, d AS residual_us, CASE WHEN num IS NULL THEN 'log_only' ELSE 'both' END AS side FROM timed t LEFT JOIN cp USING (line) UNION ALL SELECT capture, sta, ap, NULL, NULL, NULL, assoc_num, NULL, 'air_only' FROM airs WHERE assoc_num NOT IN (SELECT num FROM cp)", *LEDGER, UNIT_ROAMS, *RANKED, CHOSEN, _timed("assigned"), CORRELATED),
+    "verifier_compare": unit_sql("""SELECT result, count(*) AS roams, count(*) FILTER (WHERE is_slow) AS slow, count(slow_basis) AS decided, count(*) - count(slow_basis) AS unmeasured, count(s) AS attached, 0::BIGINT AS differences
+FROM (SELECT result, s, CASE WHEN s >= 0 THEN s > 150 ELSE is_slow END AS is_slow, CASE WHEN s >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis
+  FROM (SELECT 'library' AS result, assoc_num, is_slow, slow_basis FROM sl UNION ALL SELECT 'ledger', assoc_num, CASE WHEN total_us >= 0 THEN total_us > 100000 ELSE coalesce(gap_us > 100000, false) END, CASE WHEN total_us >= 0 THEN 'total' WHEN gap_us > 100000 THEN 'gap_lower_bound' END FROM lt) r
+  LEFT JOIN (SELECT att.assoc_num, timed.total_us / 1000 AS s FROM att JOIN timed USING (line)) l USING (assoc_num)) GROUP BY result""", *SLOW, LEDGER[2], UNIT_ROAMS, CLOCKED, BINDING, _timed("bd"), ATTACHED),
+    "capture_frames": frames_sql("SELECT epoch_us, source, subtype, protocol, retry, mcs, data_rate, rssi, ta, ra, bssid, current_ap, ip_src, ip_dst, icmp_type, icmp_seq, icmp_ident, arp_opcode, tcp_len, seq, reason_code, channel_freq, eapol_msgnr, tsf FROM frames"),
+    "roam_coverage": unit_sql("SELECT n, sta_p50, capture_p50, CASE WHEN p > 0 THEN round(100 * c / p, 1) END AS visible_pct, n >= 3 AS reportable FROM (SELECT count(*) AS n, median(s) AS p, median(t) AS c, round(median(s), 6) AS sta_p50, round(median(t), 6) AS capture_p50 FROM (SELECT timed.total_us / 1000 AS s, sl.total_us / 1000 AS t FROM att JOIN timed ON timed.line = att.line JOIN sl ON sl.assoc_num = att.assoc_num WHERE sl.total_us IS NOT NULL))", *SLOW, UNIT_ROAMS, CLOCKED, BINDING, _timed("bd"), ATTACHED),
+    "roam_reclassified": unit_sql("SELECT sta, ap, sl.assoc_num, gap_us, total_us, sta_total_ms, CASE WHEN sta_total_ms >= 0 THEN sta_total_ms > 150 ELSE is_slow END AS is_slow, CASE WHEN sta_total_ms >= 0 THEN 'sta_log_total' ELSE slow_basis END AS slow_basis FROM sl LEFT JOIN (SELECT att.assoc_num, timed.total_us / 1000 AS sta_total_ms FROM att JOIN timed ON timed.line = att.line) l ON l.assoc_num = sl.assoc_num", *SLOW, UNIT_ROAMS, CLOCKED, BINDING, _timed("bd"), ATTACHED),
     "roam_decisions": log_sql("SELECT * FROM de", DECIDED),
     "last_decision_asof": log_sql("SELECT l.sta, l.epoch_us AS cmd_us, l.line, max(d.epoch_us) AS decision_us FROM (SELECT * FROM logged WHERE event = 'roam') l LEFT JOIN de d ON d.sta = l.sta AND d.epoch_us < l.epoch_us + 1000 GROUP BY ALL", DECIDED),
     "ntp_match": log_sql("SELECT * FROM nm", NTP),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import thresholds
-from framewright.operators import diagnosis, merge, ping, roaming, signals, stations, stats, timesync, wired
-from framewright.sources import adapter
+from framewright.functions.tables import kept, settled, shared_dir
+from framewright.operators import binding, diagnosis, merge, ping, roaming, signals, stations, stats, timesync, verifier, wired
+from framewright.sources import adapter, capture
 
 
 def _frames(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -55,9 +57,67 @@ def _merged(frames: DataFrame) -> DataFrame:
     return merge.dedup(merge.aligned(frames))
 
 
+def _once(tag: str, build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A step that several queries begin with, worked out once a table."""
+    return lambda spark, sf_dir: kept(spark, (tag, sf_dir), lambda: build(spark, sf_dir), f"{sf_dir}/events.parquet")
+
+
+#: Roam commands of units' logs, on their own clocks, and what ended them.
+_unit_roams = _once("unit-roams", lambda spark, sf_dir: stations.wpa_episodes(adapter.unit_logs_from_events(spark, sf_dir), ("capture", "name"), ("line",)))
+
+
+#: Captured roams with their recording.
+_recorded = _once("recorded", lambda spark, sf_dir: roaming.pairing(adapter.frames_from_events(spark, sf_dir)).withColumn("air_us", F.coalesce("auth_us", "assoc_us")).withColumn("capture", adapter.recording(F.col("air_us"))))
+
+
+def _clock_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.clock_scores(_unit_roams(spark, sf_dir).where("ok").select("capture", "name", "line", "cmd_us"), _recorded(spark, sf_dir).select("capture", "sta", "air_us"))
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = adapter.unit_logs_from_events(spark, sf_dir).select("capture", "name", "ord", "ip").distinct()
+    frames = adapter.frames_from_events(spark, sf_dir)
+    return binding.bound(units, binding.addresses(frames.withColumn("capture", adapter.recording(F.col("epoch_us")))), _clock_scores(spark, sf_dir))
+
+
+def _rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = _unit_roams(spark, sf_dir).where("ok").select("capture", "name", F.col("target").alias("ap"), "line", "cmd_us", (F.col("cmd_us") + F.col("total_us")).alias("connected_us"))
+    return binding.rank_scores(commands, _recorded(spark, sf_dir).select("capture", "sta", "ap", "assoc_num", "auth_us", "assoc_us"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.assigned(_rank_scores(spark, sf_dir))
+
+
+#: Successful roams of bound units, on the capture's clock.
+_on_clock = _once("on-clock", lambda spark, sf_dir: binding.on_capture_clock(_unit_roams(spark, sf_dir), _bound(spark, sf_dir)))
+
+
+def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = settled(binding.on_capture_clock(_unit_roams(spark, sf_dir), _assigned(spark, sf_dir)), "commands")
+    found = verifier.ledger(adapter.frames_from_events(spark, sf_dir))
+    return verifier.correlated(commands, found.withColumn("capture", adapter.recording(F.coalesce("auth_us", "assoc_us"))))
+
+
+def _both_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The roams with the logs' totals as the library and as the ledger has them."""
+    frames = adapter.frames_from_events(spark, sf_dir)
+    attached = _sta_totals(spark, sf_dir)
+    start = (F.col("assoc_us") - F.coalesce("gap_us", F.lit(0))).alias("at_us")
+    found = roaming.reclassified(roaming.slow_roams(frames), attached)
+    own = verifier.judged(verifier.ledger(frames).join(attached, "assoc_num", "left"))
+    return tuple(settled(x.select("sta", "ap", "assoc_num", start, "is_slow", "slow_basis", "sta_total_ms"), "results") for x in (found, own))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of two results, and the number of their differences."""
+    found, own = _both_results(spark, sf_dir)
+    differ = verifier.compared(found, own).agg(F.count("*").alias("differences"))
+    return verifier.totals(found, "library").unionByName(verifier.totals(own, "ledger")).crossJoin(differ)
+
+
 def _attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = adapter.station_log_from_events(spark, sf_dir).where("event = 'roam'").withColumnRenamed("epoch_us", "cmd_us")
-    return stations.attach(log, roaming.pairing(adapter.frames_from_events(spark, sf_dir)))
+    return stations.attach(_on_clock(spark, sf_dir), _recorded(spark, sf_dir))
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +132,9 @@ def _ntp_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sta_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured roams and the time their station's log gives them."""
-    log = adapter.station_log_from_events(spark, sf_dir)
-    episodes = stations.wpa_episodes(log).where("ok")
-    paired = stations.attach(log.where("event = 'roam'").withColumnRenamed("epoch_us", "cmd_us"), roaming.pairing(adapter.frames_from_events(spark, sf_dir)))
-    return paired.join(episodes.select("sta", "cmd_us", "total_us"), ["sta", "cmd_us"]).select("assoc_num", (F.col("total_us") / 1000).alias("sta_total_ms"))
+    commands = _on_clock(spark, sf_dir)
+    paired = stations.attach(commands, _recorded(spark, sf_dir))
+    return paired.join(commands.select("line", "total_us"), "line").select("assoc_num", (F.col("total_us") / 1000).alias("sta_total_ms"))
 
 
 def _roam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +178,17 @@ def _loss_basis(frames: DataFrame) -> DataFrame:
     return ping.loss_basis(truth, ping.totals(frames))
 
 
+#: Columns that a capture's headers carry as they are.
+CARRIED = ("epoch_us", "source", "subtype", "protocol", "retry", "mcs", "data_rate", "rssi", "ta", "ra", "bssid", "current_ap", "ip_src", "ip_dst", "icmp_type", "icmp_seq", "icmp_ident", "arp_opcode", "tcp_len", "seq", "reason_code", "channel_freq", "eapol_msgnr", "tsf")
+
+
+def _through_captures(frames: DataFrame) -> DataFrame:
+    """Frames written as capture files and read back in splits."""
+    path = f"{shared_dir(frames.sparkSession)}/captures-{uuid.uuid4().hex}"
+    capture.write_capture(frames, path)
+    return capture.read_capture(frames.sparkSession, path, split_bytes=1 << 20).select(*CARRIED)
+
+
 #: An hour of the derived capture, half open.
 HOUR = (1_704_067_800_000_000, 1_704_071_400_000_000)
 
@@ -226,6 +296,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "station_summary": _log(lambda x: stations.summary(stations.wpa_episodes(x))),
     "sta_offset_histogram": _histogram,
     "station_attach": _attach,
+    "clock_scores": _clock_scores,
+    "station_bind_time": _bound,
+    "rank_scores": _rank_scores,
+    "station_assignment": _assigned,
+    "verifier_ledger": _frames(verifier.ledger),
+    "verifier_correlation": _correlated,
+    "verifier_compare": _compared,
+    "capture_frames": _frames(_through_captures),
     "station_bind": _frames(stations.bind_addresses),
     "ntp_match": _ntp_match,
     "ntp_device": lambda spark, sf_dir: timesync.device(_ntp_match(spark, sf_dir)),

@@ -7,7 +7,7 @@ several frames. The same mapping is given as DuckDB SQL for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.tables import kept
@@ -49,7 +49,7 @@ def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Queries then read the columns and rows they need from Parquet, as they
     would of a decoded capture.
     """
-    return kept(spark, ("frames", sf_dir), lambda: derived(spark, sf_dir))
+    return kept(spark, ("frames", sf_dir), lambda: derived(spark, sf_dir), f"{sf_dir}/events.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,3 +163,35 @@ SELECT event_id AS frame_no, t AS arrival_us, t + 120000 + ping // 10 + v % 4000
 ), syncs AS (
 SELECT event_id AS line_no, t + 130000 + v % 900 AS ts_us FROM shaped WHERE event_type = 'purchase' AND k % 3 = 0 AND u < 4
 )"""
+
+
+#: Logs of units whose station and clock aren't known: a unit's clock is so far
+#: behind the capture's, by station; some know an address, one of them another's.
+UNIT_BEHIND_US = (0, -2_744_000, -187_110_000, 32_401_300_000, 0, 5_250_000, -612_000_000, 411_000)
+UNIT_IP = "case u when 0 then '10.0.0.10' when 3 then '10.0.0.10' when 5 then '10.0.0.15' when 7 then '10.0.0.99' end"
+#: Hours of the derived time are recordings of their own.
+RECORDING_US = 3_600_000_000
+
+
+def recording(at: Column) -> Column:
+    """The recording a time belongs to."""
+    return F.concat(F.lit("h"), F.floor((at - BASE_US) / RECORDING_US).cast("string"))
+
+
+def unit_logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station log events by recording and unit, on each unit's own clock:
+    capture, name, ord, ip, epoch_us, event, bssid, line."""
+    u = F.right("sta", F.lit(1)).cast("int")
+    own = station_log_from_events(spark, sf_dir).withColumn("u", u).withColumn("capture", recording(F.col("epoch_us")))
+    behind = F.element_at(F.array(*[F.lit(x).cast("long") for x in UNIT_BEHIND_US]), F.col("u") + 1)
+    return own.select("capture", F.concat(F.lit("unit-"), (7 - F.col("u")).cast("string")).alias("name"), (7 - F.col("u")).alias("ord"), F.expr(UNIT_IP).alias("ip"), (F.col("epoch_us") - behind).alias("epoch_us"), "event", "bssid", "line")
+
+
+def sql_units() -> str:
+    """As :func:`sql_logs`, and ``unit_rows`` and ``units``."""
+    return sql_logs() + f""", unit_rows AS (
+SELECT 'h' || ((epoch_us - {BASE_US}) // {RECORDING_US}) AS capture, 'unit-' || (7 - u) AS name, 7 - u AS ord, {UNIT_IP} AS ip, epoch_us - {list(UNIT_BEHIND_US)}[u + 1] AS epoch_us, event, bssid, line
+FROM (SELECT *, cast(right(sta, 1) AS integer) AS u FROM logged)
+), units AS (
+SELECT DISTINCT capture, name, ord, ip FROM unit_rows
+)"""
