@@ -278,9 +278,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 #: bit of two texts' fingerprints differs at that similarity (the angle of the
 #: sets' vectors, 27.3 of 180 degrees).
 NEAR_SHINGLE, SIMILARITY, BIT_APART = 5, 0.8, 0.1515
-#: 64-bit words that a pair is judged by, and the differing bits (of 384; at
-#: the least similarity 58 +- 7) up to which it is compared by its texts.
-WIDE, NEAR_BITS = 6, 80
+#: 64-bit words that a pair is judged by, and the differing bits (of 768; at
+#: the least similarity 116 +- 10) up to which it is compared by its texts.
+WIDE, NEAR_BITS = 12, 142
 #: Least first bits of a slice that must agree, and differing bits of its 64.
 LEAST_EXACT, SLICE_BUDGET = 12, 16
 WIDE_BRUTE = 1 << 12

@@ -148,7 +148,7 @@ def meet(x, y, exact, slices):
     """Whether two wide fingerprints meet in some slice, and are close."""
     bits = lambda w: "".join(f"{v:064b}" for v in w)
     a, b = bits(x), bits(y)
-    if sum(p != q for p, q in zip(a[:384], b[:384], strict=True)) > simhash.NEAR_BITS:
+    if sum(p != q for p, q in zip(a[: 64 * simhash.WIDE], b[: 64 * simhash.WIDE], strict=True)) > simhash.NEAR_BITS:
         return False
     for k in range(slices):
         s, t = ((v + v)[k * exact : k * exact + 64] for v in (a, b))
