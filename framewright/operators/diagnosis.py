@@ -18,7 +18,12 @@ from framewright.operators.stats import one_if, percent
 BEFORE_US, AFTER_US, JOIN_US, OVERLAP = 10 * SECOND, 10 * SECOND, 3 * SECOND, 0.5
 LEAST_SIGNALS, BASE, EACH, BONUS, CAP = 2, 0.5, 0.15, 0.1, 0.95
 REFS = 100
-PUNT = ("further analysis", "cannot be determined", "manual check")
+# Phrases that put a conclusion off.
+PUNT = (
+    "추가 조사 필요", "추가 조사", "추가 확인 필요", "확인 필요", "조사 필요", "원인 불명", "원인 미상",
+    "further investigation needed", "needs further investigation", "further investigation", "needs investigation", "investigate further",
+    "to be determined", "unknown cause", "tbd", "todo",
+)
 ISSUE = "sta string, category string, severity string, message string, frame_refs array<bigint>, start_us bigint, end_us bigint"
 
 

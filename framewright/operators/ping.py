@@ -245,14 +245,14 @@ def streaks(frames: DataFrame, gap_us: int = STREAK_US, least: int = STREAK_LEAS
 
 
 def loss_cause(frames: DataFrame) -> DataFrame:
-    """What was seen about each loss: roaming, retries or weak signal.
+    """What was on the air about each loss: roaming, retries or weak signal.
 
-    Frames of the station within a second, roaming within two; roaming first,
-    then retry over 60 %, signal under -75 dBm, retry over 30 %.
+    All frames within a second, whose ever; a roaming frame less than two off
+    comes first, then retries over 60 %, signal under -75 dBm, retries over 30 %.
     """
-    lost = statuses(frames).where("status = 'loss'").select("sta", F.col("epoch_us").alias("t"), "req_num")
-    own = frames.select(F.explode(F.array("ta", "ra")).alias("sta"), "epoch_us", "retry", "rssi", P.is_roaming().alias("roam")).where(F.col("sta").isNotNull())
-    near = range_join(lost, own, ["sta"], "epoch_us", -2 * SECOND, 2 * SECOND)
+    lost = statuses(frames).where("status = 'loss'").select("sta", F.col("epoch_us").alias("t"), "req_num", F.lit(0).alias("g"))
+    own = frames.select(F.lit(0).alias("g"), "epoch_us", "retry", "rssi", P.is_roaming().alias("roam"))
+    near = range_join(lost, own, ["g"], "epoch_us", -2 * SECOND, 2 * SECOND)
     close = F.abs(F.col("epoch_us") - F.col("t")) <= SECOND
     seen = near.groupBy("sta", "t", "req_num").agg(
         percent(one_if(close & F.col("retry")), one_if(close)).alias("retry_pct"),

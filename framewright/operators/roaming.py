@@ -251,12 +251,16 @@ def coverage(roams: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.median("sta_total_ms").alias("sta_p50"), F.median("capture_total_ms").alias("capture_p50")).select("n", F.round("sta_p50", 6).alias("sta_p50"), F.round("capture_p50", 6).alias("capture_p50"), F.when(F.col("sta_p50") > 0, F.round(100 * F.col("capture_p50") / F.col("sta_p50"), 1)).alias("visible_pct"), (F.col("n") >= 3).alias("reportable"))
 
 
-def nearest_roaming(frames: DataFrame, gap_us: int = 5 * SECOND) -> DataFrame:
-    """For each deauthentication, the nearest roaming frame under 5 s off."""
-    hit = frames.where(F.col("subtype").isin(10, 12)).select(F.lit(0).alias("g"), F.col("epoch_us").alias("t"), "number")
-    roam = frames.where(F.col("subtype").isin(0, 1, 2, 3, 11)).select(F.lit(0).alias("g"), F.col("epoch_us").alias("roam_us"), F.col("number").alias("roam_num"))
-    near = range_join(hit, roam, ["g"], "roam_us", -gap_us + 1, gap_us - 1)
-    best = near.groupBy("number", "t").agg(F.min(F.struct(F.abs(F.col("roam_us") - F.col("t")).alias("d"), "roam_us", "roam_num")).alias("b"))
-    return hit.join(best, ["number", "t"], "left").select("number", F.col("t").alias("epoch_us"), F.col("b.roam_num").alias("roam_num"), (F.col("b.d")).alias("distance_us"))
-
+def nearest_roaming(points: DataFrame, frames: DataFrame, gap_us: int = 5 * SECOND) -> DataFrame:
+    """For each point (number, epoch_us) the nearest roaming frame under 5 s off.
 
+    Roaming are associations and their answers, authentications,
+    deauthentications and key messages. Of two as near the earlier, of those
+    before it at one time the last.
+    """
+    hit = points.select(F.lit(0).alias("g"), F.col("epoch_us").alias("t"), "number")
+    roam = frames.where(P.is_roaming()).select(F.lit(0).alias("g"), F.col("epoch_us").alias("roam_us"), F.col("number").alias("roam_num"))
+    near = range_join(hit, roam, ["g"], "roam_us", -gap_us + 1, gap_us - 1)
+    order = F.when(F.col("roam_us") < F.col("t"), -F.col("roam_num")).otherwise(F.col("roam_num"))
+    best = near.groupBy("number", "t").agg(F.min_by("roam_num", F.struct(F.abs(F.col("roam_us") - F.col("t")), "roam_us", order)).alias("roam_num"), F.min(F.abs(F.col("roam_us") - F.col("t"))).alias("distance_us"))
+    return hit.join(best, ["number", "t"], "left").select("number", F.col("t").alias("epoch_us"), "roam_num", "distance_us")

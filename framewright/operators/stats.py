@@ -14,6 +14,8 @@ from framewright.operators.joins import SECOND, numbered
 #: Longest span, in seconds, that is filled with empty seconds.
 FILL_CAP = 21_600
 LEAST_FRAMES, TOP = 5, 20
+#: Share of retries at the highest rates from which they lean there.
+TOP_MCS_PERCENT = 60
 BINS = 60
 
 
@@ -131,8 +133,8 @@ def channel_distribution(frames: DataFrame) -> DataFrame:
 
 
 def throughput(frames: DataFrame) -> DataFrame:
-    """Average and peak megabits a second of data frames."""
-    s = per_second(frames, 0).agg(F.sum("data_bytes").alias("bytes"), F.max("data_bytes").alias("peak"), F.min("sec").alias("a"), F.max("sec").alias("b"))
+    """Average and peak megabits a second of all frames."""
+    s = per_second(frames, 0).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("peak"), F.min("sec").alias("a"), F.max("sec").alias("b"))
     mbps = lambda x: F.round(x * 8 / 1e6, 6)
     return s.select(mbps(F.col("bytes") / (F.col("b") - F.col("a") + 1)).alias("avg_mbps"), mbps(F.col("peak")).alias("peak_mbps"))
 
@@ -143,8 +145,12 @@ def retry_by_mcs(frames: DataFrame) -> DataFrame:
 
 
 def top_mcs_share(frames: DataFrame) -> DataFrame:
-    """Rate indices 14 and 15 among all rated frames."""
-    return frames.where(F.col("mcs").isNotNull()).agg(F.count("*").alias("rated"), one_if(F.col("mcs").isin(14, 15)).alias("top"), percent(one_if(F.col("mcs").isin(14, 15)), F.count("*")).alias("top_pct"))
+    """Retries at rate indices 14 and 15 among all rated retries, and whether
+    they lean to these (over 60 %); null without such frames or retries."""
+    top, retry = F.col("mcs").isin(14, 15), F.col("retry")
+    sums = frames.where(F.col("mcs").isNotNull()).agg(one_if(retry).alias("retries"), one_if(top & retry).alias("top_retries"), one_if(top).alias("top_frames"))
+    share = F.when(F.col("top_frames") > 0, 100 * F.col("top_retries") / F.nullif("retries", F.lit(0)))
+    return sums.select("retries", "top_retries", "top_frames", F.round(share, 2).alias("top_pct"), (share > TOP_MCS_PERCENT).alias("leaning"))
 
 
 def legacy_share(frames: DataFrame) -> DataFrame:
@@ -231,14 +237,24 @@ def signal_quality(frames: DataFrame) -> DataFrame:
 
 
 def anomalies(frames: DataFrame) -> DataFrame:
-    """Deauthentication, probe and ARP levels: kind, n, share, level."""
-    n, total = F.col("n"), F.col("total")
-    sums = frames.agg(F.count("*").alias("total"), one_if(F.col("subtype").isin(10, 12)).alias("deauth"), one_if(F.col("subtype").isin(4, 5)).alias("probe"), one_if(F.col("arp_opcode").isNotNull()).alias("arp"))
-    long = sums.select("total", F.explode(F.create_map(F.lit("deauth"), "deauth", F.lit("probe"), "probe", F.lit("arp"), "arp")).alias("kind", "n"))
-    share = 100 * n / total
-    steps = lambda a, b, c: F.when(share > c, "high").when(share > b, "medium").when(share > a, "low")
-    level = F.when(F.col("kind") == "deauth", F.when(n > 10, "high").when(n > 3, "medium")).when(F.col("kind") == "probe", steps(5, 10, 20)).otherwise(steps(2, 5, 10))
-    return long.where("total > 0").select("kind", "n", F.round(share, 6).alias("share"), level.alias("level"))
+    """Deauthentication, probe and ARP levels: kind, n, share, level (null: no
+    anomaly).
+
+    Disconnections are an anomaly from the first; probe requests and frames of
+    the protocol ARP by their share. Subtypes and protocols count where they
+    are among the ``TOP`` commonest.
+    """
+    seen = lambda c, kinds: frames.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("epoch_us", "number")).alias("first")).orderBy(F.desc("n"), "first").limit(TOP).join(kinds, "value")
+    spark = frames.sparkSession
+    subtypes = seen("subtype", spark.createDataFrame([("10", "deauth"), ("12", "deauth"), ("4", "probe")], "value string, kind string"))
+    protocols = seen("protocol", spark.createDataFrame([("ARP", "arp")], "value string, kind string"))
+    every = spark.createDataFrame([("deauth",), ("probe",), ("arp",)], "kind string")
+    counts = every.join(subtypes.unionByName(protocols).groupBy("kind").agg(F.sum("n").alias("n")), "kind", "left").na.fill(0, ["n"])
+    total = frames.agg(F.count("*").alias("total"))
+    share = 100 * F.col("n") / F.col("total")
+    steps = lambda x, a, b, c: F.when(x > c, "high").when(x > b, "medium").when(x > a, "low")
+    level = F.when(F.col("kind") == "deauth", steps(F.col("n"), 0, 3, 10)).when(F.col("kind") == "probe", steps(share, 5, 10, 20)).otherwise(steps(share, 2, 5, 10))
+    return counts.crossJoin(F.broadcast(total)).where("total > 0").select("kind", "n", F.round(share, 6).alias("share"), level.alias("level"))  # one row
 
 
 def severity_levels(frames: DataFrame) -> DataFrame:

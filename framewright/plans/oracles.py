@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from framewright.operators import issues
 from framewright.sources import adapter
 
 CTRL = "(arp_opcode IS NOT NULL OR icmp_type IS NOT NULL OR coalesce(tcp_len = 0 AND tcp_flags IS NOT NULL, false))"
@@ -232,24 +233,86 @@ def squeezed(*ctes: str) -> list[str]:
 
 
 PEAKS = f"pk3 AS (SELECT * FROM (SELECT epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames GROUP BY 1) WHERE total > 50 AND retry_pct >= 10 ORDER BY retry_pct DESC, bucket LIMIT 3)"
-ISSUES = f"""ev0 AS (SELECT ta AS sta, 'weak_signal' AS category, epoch_us, number FROM frames WHERE rssi < -75 UNION ALL SELECT sta, 'ping_loss', epoch_us, req_num FROM st WHERE status = 'loss' UNION ALL SELECT ta, 'disconnect', epoch_us, number FROM frames WHERE subtype IN (10, 12)),
-iss AS (
-  SELECT sta, category, CASE WHEN category = 'weak_signal' THEN 'medium' WHEN category = 'ping_loss' THEN CASE WHEN n > 5 THEN 'high' ELSE 'medium' END WHEN n > 10 THEN 'high' ELSE 'low' END AS severity, category || ': ' || n || ' frames' AS message, cast(least(n, 100) AS bigint) AS refs, first_ref, start_us, end_us
-  FROM (SELECT sta, category, count(*) AS n, min(epoch_us) AS start_us, max(epoch_us) AS end_us, arg_min(number, struct_pack(a := epoch_us, b := number)) AS first_ref FROM ev0 WHERE sta IN (SELECT mac FROM sta) GROUP BY ALL)
-  UNION ALL SELECT c.ta, 'signal_cliff', 'medium', 'signal fell ' || n || ' times', 1, (SELECT min(number) FROM frames WHERE ta = c.ta AND rssi IS NOT NULL AND epoch_us // 1000000 = a), a * 1000000, b * 1000000 FROM (SELECT ta, count(*) AS n, max(before - after) AS d, min(sec) AS a, max(sec) AS b FROM cl GROUP BY ta HAVING count(*) >= 2 OR max(before - after) >= 15) c
-  UNION ALL SELECT NULL, 'network_retry', 'high', 'retries ' || p || ' %', 1, ref, start_us, end_us FROM (SELECT max(w.retry_pct) AS p, min(f.number) AS ref, min(f.epoch_us) AS start_us, max(f.epoch_us) AS end_us FROM (SELECT *, epoch_us // 10000000 AS bucket FROM frames WHERE retry) f JOIN (SELECT * FROM pk3 ORDER BY retry_pct DESC, bucket LIMIT 1) w ON w.bucket = f.bucket WHERE w.retry_pct > 15 HAVING count(*) > 0)
+_MODERN = "('HT', 'VHT', 'HE', 'EHT')"
+#: Issues by rule: heads (``hd``) and the frames behind them (``er``).
+ISSUES = f"""ends AS MATERIALIZED (
+  SELECT ta AS sta, 0 AS side, number, epoch_us, retry FROM frames WHERE ta IN (SELECT mac FROM sta) UNION ALL SELECT ra, 1, number, epoch_us, retry FROM frames WHERE ra IN (SELECT mac FROM sta)
+), rt AS MATERIALIZED (
+  SELECT sta, round(100 * count(*) FILTER (WHERE retry) / count(*), 1) AS p, count(*) AS n FROM ends GROUP BY sta
+), wb AS (
+  SELECT sta, arg_max(bucket, struct_pack(a := k, b := -f)) AS bucket FROM (SELECT sta, epoch_us // 10000000 AS bucket, count(*) AS k, min(side * 1152921504606846976 + epoch_us) AS f FROM ends WHERE retry GROUP BY ALL) GROUP BY sta
+), sent AS MATERIALIZED (
+  SELECT ta AS sta, number, epoch_us, retry, rssi, CASE WHEN mcs_phy IN {_MODERN} THEN CASE WHEN mcs IS NOT NULL THEN mcs_phy || ' ' || mcs END WHEN data_rate IS NOT NULL THEN 'Legacy ' || data_rate END AS rate FROM frames WHERE ta IN (SELECT mac FROM sta)
+), hr AS MATERIALIZED (
+  SELECT sta, b.rate AS rate, b.p AS p, b.n AS n FROM (SELECT q.sta, arg_min(struct_pack(rate := rate, p := q.p, n := q.n), struct_pack(a := -q.p, b := rate)) AS b
+    FROM (SELECT sta, rate, count(*) AS n, round(100 * count(*) FILTER (WHERE retry) / count(*), 1) AS p FROM sent WHERE rate IS NOT NULL GROUP BY ALL) q JOIN rt USING (sta) WHERE q.n >= 30 AND q.p >= greatest(50, 2 * rt.p) GROUP BY q.sta)
+), dp AS MATERIALIZED (
+  SELECT ta AS sta, count(*) AS n, max(before - after) AS db FROM cl WHERE ta IN (SELECT mac FROM sta) GROUP BY ta HAVING count(*) >= 2 OR max(before - after) >= 15
+), nf AS MATERIALIZED (
+  SELECT DISTINCT s.sta, s.number, s.epoch_us FROM sent s JOIN cl ON cl.ta = s.sta AND abs(s.epoch_us - cl.sec * 1000000) <= 1000000 WHERE s.sta IN (SELECT sta FROM dp)
+), wf AS (
+  SELECT s.sta, s.number, s.epoch_us, s.rssi, min(s.rssi) OVER (PARTITION BY s.sta) AS low FROM sent s JOIN (SELECT ta, arg_max(sec, struct_pack(a := before - after, b := -sec)) AS sec FROM cl GROUP BY ta) w ON w.ta = s.sta AND abs(s.epoch_us - w.sec * 1000000) <= 5000000
+  WHERE s.rssi IS NOT NULL AND s.sta IN (SELECT sta FROM dp) AND s.sta NOT IN (SELECT sta FROM nf)
+), wk AS MATERIALIZED (
+  SELECT *, CASE WHEN a < -75 THEN -75 WHEN a < -65 THEN -65 END AS lim FROM (SELECT sta, round(avg(rssi), 1) AS a, min(rssi) AS low, count(*) AS n FROM sent WHERE rssi IS NOT NULL GROUP BY sta) WHERE a < -65
+), mr AS MATERIALIZED (
+  SELECT *, CASE WHEN slow > 2 THEN 'slow_roaming' ELSE 'frequent_roaming' END AS kind FROM (SELECT sta, count(*) AS n, count(*) FILTER (WHERE is_slow) AS slow FROM sl GROUP BY sta) WHERE slow > 2 OR n > 10
+), rfr AS MATERIALIZED (
+  SELECT sta, is_slow, unnest([{{'o': 2 * assoc_us, 'number': auth_num, 'epoch_us': auth_us}}, {{'o': 2 * assoc_us + 1, 'number': assoc_num, 'epoch_us': assoc_us}}], recursive := true) FROM sl
+), lo AS MATERIALIZED (
+  SELECT req_num AS number, epoch_us FROM st WHERE status = 'loss'
+), an AS MATERIALIZED (
+  SELECT kind, n, round(100 * n / total, 6) AS share, CASE WHEN kind = 'deauth' THEN CASE WHEN n > 10 THEN 'high' WHEN n > 3 THEN 'medium' WHEN n > 0 THEN 'low' END WHEN kind = 'probe' THEN CASE WHEN 100 * n / total > 20 THEN 'high' WHEN 100 * n / total > 10 THEN 'medium' WHEN 100 * n / total > 5 THEN 'low' END
+    ELSE CASE WHEN 100 * n / total > 10 THEN 'high' WHEN 100 * n / total > 5 THEN 'medium' WHEN 100 * n / total > 2 THEN 'low' END END AS level
+  FROM (SELECT count(*) AS total, unnest([{{'kind': 'deauth', 'n': count(*) FILTER (WHERE subtype IN (10, 12))}}, {{'kind': 'probe', 'n': count(*) FILTER (WHERE subtype = 4)}}, {{'kind': 'arp', 'n': count(*) FILTER (WHERE protocol = 'ARP')}}], recursive := true) FROM frames)
+), heads AS MATERIALIZED (
+  SELECT 1 AS rule, 'net' AS scope, '' AS sta, 'high_retry' AS signal_type, 'Retry' AS category, 'high' AS severity, p AS value, n FROM (SELECT round(100 * count(*) FILTER (WHERE retry) / count(*), 2) AS p, count(*) AS n FROM frames) WHERE p > 15
+  UNION ALL SELECT 2, 'net', '', 'legacy_heavy', 'PHY', 'medium', v, b FROM (SELECT count(*) AS b, coalesce(round(sum(pct * tx) / nullif(sum(tx), 0), 1), 0) AS v FROM (SELECT count(*) AS tx, {pct(one("mcs_phy = 'Legacy'"), 'count(*)', 1)} AS pct FROM frames WHERE ta IS NOT NULL GROUP BY epoch_us // 10000000)) WHERE v >= 30
+  UNION ALL SELECT 3, 'net', '', 'high_loss', 'Ping', 'high', loss_pct, NULL FROM tt WHERE loss_pct > 5
+  UNION ALL SELECT 4, 'net', '', 'slow_roaming', 'Roaming', 'high', n, n FROM (SELECT count(*) AS n FROM sl WHERE is_slow) WHERE n > 5
+  UNION ALL SELECT 6, 'net', '', 'anomaly', kind, level, share, n FROM an WHERE level IS NOT NULL
+  UNION ALL SELECT 7, 'net', '', 'delay_zone', 'Delay', 'medium', n, n FROM (SELECT count(*) AS n FROM zn) WHERE n > 3
+  UNION ALL SELECT 20, 'sta', sta, 'high_retry', '', CASE WHEN p > 15 THEN 'high' ELSE 'medium' END, p, n FROM rt WHERE p > 5
+  UNION ALL SELECT 21, 'sta', sta, 'mcs_hotspot', '', CASE WHEN p >= 60 THEN 'high' ELSE 'medium' END, p, n FROM hr
+  UNION ALL SELECT 22, 'sta', sta, 'signal_cliff', '', CASE WHEN n >= 3 OR db >= 20 THEN 'high' ELSE 'medium' END, db, n FROM dp
+  UNION ALL SELECT 23, 'sta', sta, 'weak_rssi', '', CASE WHEN lim = -75 THEN 'high' ELSE 'medium' END, a, n FROM wk
+  UNION ALL SELECT 24, 'sta', sta, kind, '', CASE WHEN kind = 'slow_roaming' THEN 'high' ELSE 'medium' END, CASE WHEN kind = 'slow_roaming' THEN slow ELSE n END, n FROM mr
+), er AS (
+  SELECT 1 AS rule, '' AS sta, 'Retry' AS category, epoch_us AS o, number, epoch_us FROM frames WHERE retry AND epoch_us // 10000000 = (SELECT arg_max(b, struct_pack(a := k, b := -f)) FROM (SELECT epoch_us // 10000000 AS b, count(*) AS k, min(epoch_us) AS f FROM frames WHERE retry GROUP BY 1))
+  UNION ALL SELECT 2, '', 'PHY', epoch_us, number, epoch_us FROM frames WHERE ta IS NOT NULL AND NOT coalesce(mcs_phy IN {_MODERN}, false)
+  UNION ALL SELECT 3, '', 'Ping', epoch_us, number, epoch_us FROM lo
+  UNION ALL SELECT 4, '', 'Roaming', o, number, epoch_us FROM rfr WHERE is_slow AND number IS NOT NULL
+  UNION ALL SELECT 6, '', CASE WHEN subtype IN (10, 12) THEN 'deauth' WHEN subtype = 4 THEN 'probe' ELSE 'arp' END, epoch_us, number, epoch_us FROM frames WHERE subtype IN (4, 10, 12) OR protocol = 'ARP' OR arp_opcode IS NOT NULL
+  UNION ALL SELECT 7, '', 'Delay', epoch_us, number, epoch_us FROM lo
+  UNION ALL SELECT 7, '', 'Delay', o, number, epoch_us FROM rfr WHERE number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lo)
+  UNION ALL SELECT 20, e.sta, '', side * 10000000 + epoch_us % 10000000, number, epoch_us FROM ends e JOIN wb ON wb.sta = e.sta AND wb.bucket = epoch_us // 10000000 WHERE retry
+  UNION ALL SELECT 21, s.sta, '', epoch_us, number, epoch_us FROM sent s JOIN hr ON hr.sta = s.sta AND hr.rate = s.rate WHERE retry
+  UNION ALL SELECT 22, sta, '', epoch_us, number, epoch_us FROM nf
+  UNION ALL SELECT 22, sta, '', epoch_us, number, epoch_us FROM wf WHERE rssi = low
+  UNION ALL SELECT 23, s.sta, '', epoch_us, number, epoch_us FROM sent s JOIN wk ON wk.sta = s.sta WHERE CASE WHEN low < lim THEN rssi < lim ELSE rssi = low END
+  UNION ALL SELECT 24, r.sta, '', o, number, epoch_us FROM rfr r JOIN mr ON mr.sta = r.sta WHERE number IS NOT NULL AND (kind <> 'slow_roaming' OR is_slow)
+), rk AS (
+  SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY rule, sta, category) AS al FROM er WINDOW w AS (PARTITION BY rule, sta, category ORDER BY o, number)
+), tk AS (
+  SELECT rule, sta, category, min(epoch_us) AS s, max(epoch_us) AS e, list(number ORDER BY r) FILTER (WHERE al <= 100 OR r = al - 1 OR ceil(r * 100 / al) < 99 AND floor(ceil(r * 100 / al) * al / 100) = r) AS frame_refs FROM rk GROUP BY ALL
+), iss AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, least(heads.rule, 20), heads.sta, heads.rule, heads.category) AS place, heads.*, frame_refs,
+    CASE WHEN heads.rule = 22 THEN (SELECT min(sec) * 1000000 FROM cl WHERE cl.ta = heads.sta) WHEN heads.rule = 7 AND EXISTS (SELECT 1 FROM lo) THEN (SELECT min(start_us) FROM zn) ELSE s END AS start_us,
+    CASE WHEN heads.rule = 22 THEN (SELECT max(sec) * 1000000 FROM cl WHERE cl.ta = heads.sta) WHEN heads.rule = 7 AND EXISTS (SELECT 1 FROM lo) THEN (SELECT max(end_us) FROM zn) ELSE e END AS end_us
+  FROM heads JOIN tk ON tk.rule = heads.rule AND tk.sta = heads.sta AND tk.category = heads.category
 )"""
 RATIO = lambda p, q: f"CASE WHEN {p}.e < {p}.s OR {q}.e < {q}.s OR least({p}.e, {q}.e) - greatest({p}.s, {q}.s) < 0 THEN 0.0::double WHEN least({p}.e - {p}.s, {q}.e - {q}.s) <= 0 THEN 1.0::double ELSE (least({p}.e, {q}.e) - greatest({p}.s, {q}.s)) / least({p}.e - {p}.s, {q}.e - {q}.s) END"
-SIGNAL = "struct(k varchar, s bigint, e bigint)"
+SIGNAL = "struct(k varchar, s bigint, e bigint, r bigint[])"
 FITS = f"list_filter(range(1, len(a) + 1), lambda i: len(list_filter(a[i], lambda m: {RATIO('m', 'x')} < 0.5)) = 0)"
 CLUSTERS = ("lc AS (SELECT sta, " + fold(
-    "{'k': category, 's': start_us, 'e': end_us}",
-    "start_us, end_us, category",
+    "{'k': signal_type, 's': start_us, 'e': end_us, 'r': frame_refs}",
+    "rule",
     f"CASE WHEN len({FITS}) = 0 THEN list_append(a, [x]) ELSE list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = {FITS}[1] THEN list_append(a[i], x) ELSE a[i] END) END",
     f"cast([] as {SIGNAL}[][])",
-) + f""" AS cs FROM iss WHERE sta IS NOT NULL GROUP BY sta),
-nc AS (SELECT sta, list_reduce(nets, lambda a, x: CASE WHEN len(list_filter(a, lambda m: {RATIO('x', 'm')} >= 0.5)) > 0 THEN list_append(a, x) ELSE a END, c) AS c FROM (SELECT sta, unnest(cs) AS c FROM lc), (SELECT coalesce(list({{'k': category, 's': start_us, 'e': end_us}} ORDER BY start_us, end_us, category), cast([] as {SIGNAL}[])) AS nets FROM iss WHERE sta IS NULL)),
-ca AS (SELECT sta, list_sort(list_distinct(list_transform(c, lambda m: m.k))) AS kinds, coalesce(list_avg(flatten(list_transform(range(1, len(c)), lambda i: list_transform(c[i + 1:], lambda m: {RATIO('c[i]', 'm')})))), 1.0) AS over, list_min(list_transform(c, lambda m: m.s)) AS start_us, list_max(list_transform(c, lambda m: m.e)) AS end_us, len(c) AS signals FROM nc)""")
+) + f""" AS cs FROM iss WHERE scope = 'sta' GROUP BY sta),
+nc AS (SELECT sta, list_reduce(nets, lambda a, x: CASE WHEN len(list_filter(a, lambda m: {RATIO('x', 'm')} >= 0.5)) > 0 THEN list_append(a, x) ELSE a END, c) AS c FROM (SELECT sta, unnest(cs) AS c FROM lc), (SELECT coalesce(list({{'k': signal_type, 's': start_us, 'e': end_us, 'r': frame_refs}} ORDER BY place), cast([] as {SIGNAL}[])) AS nets FROM iss WHERE scope = 'net' AND signal_type IS NOT NULL)),
+ca AS (SELECT sta, list_sort(list_distinct(list_transform(c, lambda m: m.k))) AS kinds, coalesce(list_avg(flatten(list_transform(range(1, len(c)), lambda i: list_transform(c[i + 1:], lambda m: {RATIO('c[i]', 'm')})))), 1.0) AS over, list_min(list_transform(c, lambda m: m.s)) AS start_us, list_max(list_transform(c, lambda m: m.e)) AS end_us, len(c) AS signals, len(list_distinct(flatten(list_transform(c, lambda m: m.r)))) AS refs FROM nc)""")
+TITLED = "CASE " + " ".join(f"WHEN list_has_all(kinds, {list(t)}) THEN '{'+'.join(t)}'" for t in issues.TITLES) + " ELSE 'several' END"
 #: Flows of which some were seen on one side only.
 SIDED = "sided AS (SELECT * FROM frames WHERE NOT (icmp_type = 0 AND ip_dst = '10.0.0.10') AND NOT (icmp_type = 8 AND ip_src = '10.0.0.11'))"
 ONE_SIDED = PINGS.replace("FROM frames WHERE icmp_type", "FROM sided WHERE icmp_type")
@@ -394,6 +457,8 @@ de AS (SELECT sta, from_bssid, bssid, epoch_us, line, CASE WHEN ci > coalesce(ri
   SELECT *, max(CASE WHEN event = 'skip' OR kept THEN i END) OVER w AS ri, max(CASE WHEN event = 'condition' THEN i END) OVER w AS ci, max(CASE WHEN event = 'condition' THEN epoch_us END) OVER w AS ct, max(CASE WHEN event = 'candidate' THEN i END) OVER w AS ki, max(CASE WHEN event = 'candidate' THEN epoch_us END) OVER w AS kt
   FROM (SELECT *, row_number() OVER (PARTITION BY sta ORDER BY epoch_us, line) AS i, line IN (SELECT line FROM dk) AS kept FROM logged WHERE event IN ('condition', 'candidate', 'decision', 'skip')) WINDOW w AS (PARTITION BY sta ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE kept)""")
 
+ISSUE_TABLES = (PINGS, GAPS, TOTALS, *SLOW, CLIFF, *ZONES, ISSUES)
+
 ORACLES: dict[str, str] = {
     "per_second": frames_sql("SELECT r.sec, coalesce(total, 0) AS total, coalesce(retry, 0) AS retry, coalesce(bytes, 0) AS bytes, coalesce(data_bytes, 0) AS data_bytes FROM (SELECT sec FROM secs UNION SELECT unnest(CASE WHEN max(sec) - min(sec) <= 21600 THEN range(min(sec), max(sec) + 1) ELSE [] END) FROM secs) r LEFT JOIN secs USING (sec)", SECONDS),
     "per_minute": frames_sql(f"SELECT epoch_us // 60000000 AS minute, count(*) AS total, {one('retry')} AS retry, {one(CTRL)} AS ctrl, {one(CTRL + ' AND retry')} AS ctrl_retry, count(*) FILTER (WHERE retry) > 1000 AS hotspot FROM frames GROUP BY 1"),
@@ -403,7 +468,7 @@ ORACLES: dict[str, str] = {
     "channel_map": frames_sql(f"SELECT ap, f AS channel_freq, {CHANNEL} AS channel, {BAND} AS band FROM (SELECT ta AS ap, channel_freq AS f, row_number() OVER (PARTITION BY ta ORDER BY count(*) DESC, min(epoch_us)) AS r FROM frames WHERE subtype = 8 AND channel_freq IS NOT NULL GROUP BY ta, channel_freq) WHERE r = 1"),
     "channel_distribution": frames_sql(f"SELECT f AS channel_freq, {CHANNEL} AS channel, {BAND} AS band, n FROM (SELECT channel_freq AS f, count(*) AS n FROM frames WHERE channel_freq IS NOT NULL GROUP BY 1)"),
     "device_ips": frames_sql(f"SELECT mac, ip, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY mac ORDER BY weight DESC, ip) AS rank FROM (SELECT *, max(weight) OVER (PARTITION BY mac) AS top FROM (SELECT mac, ip, cast(sum(w) AS bigint) AS weight FROM (SELECT ta AS mac, ip_src AS ip, 2 AS w FROM frames UNION ALL SELECT ra, ip_dst, 1 FROM frames) WHERE ip IS NOT NULL AND {UNICAST} GROUP BY ALL)) WHERE weight >= greatest(2, 0.05 * top)) WHERE rank <= 5"),
-    "throughput": frames_sql("SELECT round(sum(data_bytes) / (max(sec) - min(sec) + 1) * 8 / 1e6, 6) AS avg_mbps, round(max(data_bytes) * 8 / 1e6, 6) AS peak_mbps FROM secs", SECONDS),
+    "throughput": frames_sql("SELECT round(sum(bytes) / (max(sec) - min(sec) + 1) * 8 / 1e6, 6) AS avg_mbps, round(max(bytes) * 8 / 1e6, 6) AS peak_mbps FROM secs", SECONDS),
     "retry_by_mcs": frames_sql(f"SELECT mcs, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct FROM frames WHERE mcs IS NOT NULL GROUP BY mcs"),
     "retry_per_sec": frames_sql(f"SELECT ta, epoch_us // 1000000 AS sec, count(*) AS total, {pct(one('retry'), 'count(*)', 1)} AS retry_pct FROM frames WHERE ta IS NOT NULL GROUP BY ALL"),
     "rssi_buckets": frames_sql("SELECT l.*, mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi, count(*) AS n FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT ta, sec, arg_max(mcs, k) AS mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, mcs, count(*) * 1000 - mcs AS k FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL AND mcs IS NOT NULL GROUP BY 1, 2, 3) GROUP BY ALL) m USING (ta, sec)"),
@@ -411,7 +476,10 @@ ORACLES: dict[str, str] = {
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),
     "ap_compare_pivot": frames_sql(f"SELECT bssid, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi) FILTER (WHERE subtype = 8), 6) AS beacon_rssi, {one('subtype IN (0, 2)')} AS roam_in, {', '.join(one(KIND + f' = {chr(39)}{k}{chr(39)}') + f' AS {k.lower()}' for k in ('Management', 'Control', 'Data', 'Other'))} FROM frames WHERE bssid <> 'ff:ff:ff:ff:ff:ff' GROUP BY bssid"),
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),
-    "anomalies": frames_sql(f"SELECT kind, n, round(100 * n / total, 6) AS share, CASE WHEN kind = 'deauth' THEN CASE WHEN n > 10 THEN 'high' WHEN n > 3 THEN 'medium' END WHEN kind = 'probe' THEN CASE WHEN 100 * n / total > 20 THEN 'high' WHEN 100 * n / total > 10 THEN 'medium' WHEN 100 * n / total > 5 THEN 'low' END ELSE CASE WHEN 100 * n / total > 10 THEN 'high' WHEN 100 * n / total > 5 THEN 'medium' WHEN 100 * n / total > 2 THEN 'low' END END AS level FROM (SELECT 'deauth' AS kind, {one('subtype IN (10, 12)')} AS n, count(*) AS total FROM frames UNION ALL SELECT 'probe', {one('subtype IN (4, 5)')}, count(*) FROM frames UNION ALL SELECT 'arp', {one('arp_opcode IS NOT NULL')}, count(*) FROM frames) WHERE total > 0"),
+    "anomalies": frames_sql("""SELECT kind, n, round(100 * n / total, 6) AS share, CASE WHEN kind = 'deauth' THEN CASE WHEN n > 10 THEN 'high' WHEN n > 3 THEN 'medium' WHEN n > 0 THEN 'low' END WHEN kind = 'probe' THEN CASE WHEN 100 * n / total > 20 THEN 'high' WHEN 100 * n / total > 10 THEN 'medium' WHEN 100 * n / total > 5 THEN 'low' END
+  ELSE CASE WHEN 100 * n / total > 10 THEN 'high' WHEN 100 * n / total > 5 THEN 'medium' WHEN 100 * n / total > 2 THEN 'low' END END AS level
+FROM (SELECT kind, coalesce(sum(c), 0)::BIGINT AS n, (SELECT count(*) FROM frames) AS total FROM (VALUES ('deauth', '10'), ('deauth', '12'), ('probe', '4'), ('arp', 'ARP')) k(kind, v)
+  LEFT JOIN ((SELECT subtype::VARCHAR AS v, count(*) AS c FROM frames GROUP BY 1 ORDER BY c DESC, min(struct_pack(a := epoch_us, b := number)) LIMIT 20) UNION ALL (SELECT protocol, count(*) AS c FROM frames GROUP BY 1 ORDER BY c DESC, min(struct_pack(a := epoch_us, b := number)) LIMIT 20)) USING (v) GROUP BY kind) WHERE total > 0"""),
     "severity_levels": frames_sql(f"SELECT ta, CASE WHEN r > 15 THEN 'danger' WHEN r > 5 THEN 'warn' ELSE 'good' END AS retry_level, CASE WHEN s IS NULL THEN 'unknown' WHEN s < -75 THEN 'danger' WHEN s < -65 THEN 'warn' ELSE 'good' END AS rssi_level, CASE WHEN m IS NULL THEN 'unknown' WHEN m < 3 THEN 'danger' WHEN m < 6 THEN 'warn' ELSE 'good' END AS mcs_level FROM (SELECT ta, 100 * {one('retry')} / count(*) AS r, avg(rssi) AS s, avg(mcs) AS m FROM frames WHERE ta IS NOT NULL GROUP BY ta)"),
     "downsample_peak": frames_sql("SELECT sec // 60 AS stride, arg_max(sec, struct_pack(a := retry, b := -sec)) AS sec, max(retry) AS retry FROM secs GROUP BY 1", SECONDS),
     "control_list": frames_sql(f"SELECT number, epoch_us, ta, ra, CASE WHEN arp_opcode IS NOT NULL THEN CASE WHEN arp_opcode = 1 THEN 'ARP Req' ELSE 'ARP Reply' END WHEN icmp_type = 8 THEN 'ICMP Req' WHEN icmp_type = 0 THEN 'ICMP Reply' WHEN icmp_type IS NOT NULL THEN 'ICMP t=' || icmp_type ELSE 'TCP ACK' END AS detail, retry FROM frames WHERE {CTRL}"),
@@ -423,7 +491,7 @@ ORACLES: dict[str, str] = {
     "seq_gap_loss": frames_sql("SELECT src, dst, ident, unnest(range(icmp_seq + 1, nxt)) AS missing_seq, anchor_us, anchor_num FROM (SELECT src, dst, ident, icmp_seq, min(epoch_us) AS anchor_us, arg_min(number, epoch_us) AS anchor_num, lead(icmp_seq) OVER (PARTITION BY src, dst, ident ORDER BY icmp_seq) AS nxt FROM dd WHERE side = 'req' GROUP BY src, dst, ident, icmp_seq) WHERE nxt - icmp_seq > 1 AND nxt - icmp_seq <= 1000", PINGS),
     "ping_stats": frames_sql(f"SELECT l.src, n, min_us, max_us, avg_us, p50_us, p95_us, p99_us, losses, late, {pct('losses', 'judged')} AS loss_pct, {pct('(losses + late)', 'judged')} AS timeout_pct FROM (SELECT src, {RATED} AS losses, {one(LATE)} AS late, {one('status IS NOT NULL')} AS judged FROM st GROUP BY src) l LEFT JOIN (SELECT src, count(*) AS n, min(rtt_us) AS min_us, max(rtt_us) AS max_us, round(avg(rtt_us), 6) AS avg_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.5) AS bigint)) + 1] AS p50_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.95) AS bigint)) + 1] AS p95_us, list_sort(list(rtt_us))[least(count(*) - 1, cast(floor(count(*) * 0.99) AS bigint)) + 1] AS p99_us FROM st WHERE rtt_us IS NOT NULL GROUP BY src) s USING (src)", PINGS),
     "ping_per_sec": frames_sql(f"SELECT sec, sta, count(*) AS total, {RATED} AS loss, {pct(RATED, 'count(*)')} AS loss_pct, round(avg(rtt_us), 6) AS avg_rtt_us, cast(grouping(sec, sta) AS bigint) AS level FROM (SELECT *, epoch_us // 1000000 AS sec FROM st WHERE status IS NOT NULL) GROUP BY GROUPING SETS ((sec), (sec, sta))", PINGS),
-    "loss_cause": frames_sql(f"SELECT sta, epoch_us, req_num, retry_pct, avg_rssi, CASE WHEN roam THEN 'roaming' WHEN retry_pct > 60 THEN 'high_retry' WHEN avg_rssi < -75 THEN 'weak_signal' WHEN retry_pct > 30 THEN 'retry' ELSE 'unknown' END AS cause FROM (SELECT l.sta, l.epoch_us, l.req_num, CASE WHEN count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000) > 0 THEN round(100 * count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000 AND f.retry) / count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 2) END AS retry_pct, round(avg(f.rssi) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 6) AS avg_rssi, coalesce(bool_or(f.roam AND abs(f.epoch_us - l.epoch_us) < 2000000), false) AS roam FROM (SELECT * FROM st WHERE status = 'loss') l LEFT JOIN (SELECT unnest([ta, ra]) AS sta, epoch_us, retry, rssi, {ROAM} AS roam FROM frames) f ON f.sta = l.sta AND f.epoch_us BETWEEN l.epoch_us - 2000000 AND l.epoch_us + 2000000 GROUP BY l.sta, l.epoch_us, l.req_num)", PINGS),
+    "loss_cause": frames_sql(f"SELECT sta, epoch_us, req_num, retry_pct, avg_rssi, CASE WHEN roam THEN 'roaming' WHEN retry_pct > 60 THEN 'high_retry' WHEN avg_rssi < -75 THEN 'weak_signal' WHEN retry_pct > 30 THEN 'retry' ELSE 'unknown' END AS cause FROM (SELECT l.sta, l.epoch_us, l.req_num, CASE WHEN count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000) > 0 THEN round(100 * count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000 AND f.retry) / count(*) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 2) END AS retry_pct, round(avg(f.rssi) FILTER (WHERE abs(f.epoch_us - l.epoch_us) <= 1000000), 6) AS avg_rssi, coalesce(bool_or(f.roam AND abs(f.epoch_us - l.epoch_us) < 2000000), false) AS roam FROM (SELECT * FROM st WHERE status = 'loss') l LEFT JOIN (SELECT epoch_us, retry, rssi, {ROAM} AS roam FROM frames) f ON f.epoch_us BETWEEN l.epoch_us - 2000000 AND l.epoch_us + 2000000 GROUP BY l.sta, l.epoch_us, l.req_num)", PINGS),
     "capture_mode": frames_sql("SELECT CASE WHEN b > 0 AND b = q THEN 'bidirectional' WHEN b > 0 THEN 'mixed' WHEN n > 0 THEN 'unidirectional' ELSE 'none' END AS mode FROM (SELECT count(*) AS n, count(*) FILTER (WHERE q AND p) AS b, count(*) FILTER (WHERE q) AS q FROM (SELECT bool_or(side = 'req') AS q, bool_or(side = 'rep') AS p FROM dd GROUP BY src, dst, ident))", PINGS),
     "wired_pairs": frames_sql("SELECT * FROM ex", WIRED),
     "wired_sender": frames_sql("SELECT * FROM chief", WIRED),
@@ -435,7 +503,7 @@ ORACLES: dict[str, str] = {
     "cliff_pairs": frames_sql("SELECT * FROM (SELECT ta, sec, hi - min(lo) OVER (PARTITION BY ta ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS drop_db FROM (SELECT ta, epoch_us // 1000000 AS sec, min(rssi) AS lo, max(rssi) AS hi FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL)) WHERE drop_db >= 10"),
     "roam_anchor_sql": frames_sql("SELECT sta, ap, epoch_us, number, CASE WHEN epoch_us - a <= 10000000 THEN epoch_us - a END AS gap_us FROM (SELECT *, max(CASE WHEN event = 'auth' THEN epoch_us END) OVER (PARTITION BY sta, ap ORDER BY epoch_us, number ROWS UNBOUNDED PRECEDING) AS a FROM ev) WHERE event <> 'auth'", ROLES, ASSOC),
     "roaming_events": frames_sql("SELECT * FROM ev", ROLES, ASSOC),
-    "nearest_roaming": frames_sql("SELECT h.number, h.epoch_us, arg_min(r.number, struct_pack(a := abs(r.epoch_us - h.epoch_us), b := r.epoch_us, c := r.number)) AS roam_num, min(abs(r.epoch_us - h.epoch_us)) AS distance_us FROM (SELECT * FROM frames WHERE subtype IN (10, 12)) h LEFT JOIN (SELECT * FROM frames WHERE subtype IN (0, 1, 2, 3, 11)) r ON abs(r.epoch_us - h.epoch_us) < 5000000 GROUP BY h.number, h.epoch_us"),
+    "nearest_roaming": frames_sql(f"SELECT h.req_num AS number, h.epoch_us, arg_min(r.number, struct_pack(a := abs(r.epoch_us - h.epoch_us), b := r.epoch_us, c := CASE WHEN r.epoch_us < h.epoch_us THEN -r.number ELSE r.number END)) AS roam_num, min(abs(r.epoch_us - h.epoch_us)) AS distance_us FROM (SELECT * FROM st WHERE status = 'loss') h LEFT JOIN (SELECT * FROM frames WHERE {ROAM}) r ON r.epoch_us BETWEEN h.epoch_us - 4999999 AND h.epoch_us + 4999999 GROUP BY h.req_num, h.epoch_us", PINGS),
     "sniffer_compare": both_sql(f"SELECT source, epoch_us // 1000000 AS sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi FROM heard GROUP BY ALL"),
     "wpa_episodes": log_sql("SELECT * FROM ep", EPISODES),
     "scan_pairs": log_sql("SELECT * FROM sc", SCANS),
@@ -455,7 +523,7 @@ ORACLES: dict[str, str] = {
     "semi_anti_sta": frames_sql("SELECT ta AS mac, count(*) AS n, CASE WHEN ta IN (SELECT mac FROM sta) THEN 'station' ELSE 'other' END AS kind FROM frames WHERE ta IS NOT NULL GROUP BY ta", ROLES),
     "overview": frames_sql(f"SELECT count(*) AS frames, {pct(one('retry'), 'count(*)')} AS retry_pct, (arg_max(epoch_us, number) - arg_min(epoch_us, number)) / 1000000 AS duration_sec, count(DISTINCT ta) AS senders, count(DISTINCT channel_freq) AS channels FROM frames"),
     "time_axis_bins": frames_sql(f"SELECT cast(least(greatest((epoch_us - a) * 60 // greatest(b - a, 1), 0), 59) AS bigint) AS bin, count(*) AS total, {one('retry')} AS retries, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi FROM frames, (SELECT min(epoch_us) AS a, max(epoch_us) AS b FROM frames) GROUP BY 1"),
-    "top_mcs_share": frames_sql(f"SELECT count(*) AS rated, {one('mcs IN (14, 15)')} AS top, {pct(one('mcs IN (14, 15)'), 'count(*)')} AS top_pct FROM frames WHERE mcs IS NOT NULL"),
+    "top_mcs_share": frames_sql("SELECT retries, top_retries, top_frames, round(share, 2) AS top_pct, share > 60 AS leaning FROM (SELECT *, CASE WHEN top_frames > 0 AND retries > 0 THEN 100 * top_retries / retries END AS share FROM (SELECT count(*) FILTER (WHERE retry) AS retries, count(*) FILTER (WHERE retry AND mcs IN (14, 15)) AS top_retries, count(*) FILTER (WHERE mcs IN (14, 15)) AS top_frames FROM frames WHERE mcs IS NOT NULL))"),
     "legacy_share": frames_sql(f"SELECT count(*) AS buckets, coalesce(round(sum(pct * tx) / nullif(sum(tx), 0), 1), 0) AS legacy_pct, coalesce(round(sum(pct * tx) / nullif(sum(tx), 0), 1), 0) >= 30 AS issue FROM (SELECT count(*) AS tx, {pct(one(LEGACY), 'count(*)', 1)} AS pct FROM frames WHERE ta IS NOT NULL GROUP BY epoch_us // 10000000)"),
     "categories": frames_sql("SELECT CASE WHEN subtype BETWEEN 0 AND 15 THEN 'mgmt' WHEN subtype BETWEEN 16 AND 31 THEN 'ctrl' WHEN subtype BETWEEN 32 AND 47 THEN 'data' ELSE 'other' END AS frame_category, CASE protocol WHEN '802.11' THEN 'header_only' WHEN 'EAPOL' THEN 'auth' WHEN 'ICMP' THEN 'l2l3' WHEN 'ARP' THEN 'l2l3' WHEN 'TCP' THEN 'tcp' ELSE 'other' END AS protocol_category, count(*) AS n FROM frames GROUP BY 1, 2"),
     "frame_rows": frames_sql(f"SELECT number, strftime(make_timestamp(epoch_us), '%Y-%m-%d %H:%M:%S.%f') AS timestamp, strftime(make_timestamp(epoch_us), '%H:%M:%S.%f') AS time, {KIND} || '/' || {NAME} AS type_subtype, retry, mcs, rssi, reason_code, seq, source FROM frames"),
@@ -527,6 +595,6 @@ FROM (SELECT sta, peak_minute, unnest([
 JOIN ow o ON o.sta = s.sta AND CASE s.code WHEN 'ping_loss' THEN o.lost WHEN 'retry_high' THEN o.retry WHEN 'retry_some' THEN o.retry WHEN 'weak_signal' THEN o.rssi < -75 WHEN 'retry_peak' THEN o.retry AND o.minute = s.peak_minute WHEN 'many_roams' THEN o.auth WHEN 'normal' THEN true WHEN 'advise_retry' THEN o.lost OR o.retry WHEN 'advise_roaming' THEN o.lost OR o.auth ELSE o.lost END
 WHERE value IS NOT NULL GROUP BY s.sta, s.code, level, value""", PINGS, ROLES, "ow AS (SELECT f.sta, number, epoch_us, retry, rssi, epoch_us // 60000000 AS minute, subtype = 11 AND ta = f.sta AS auth, coalesce(icmp_type = 8 AND NOT retry AND NOT answered, false) AS lost, coalesce(icmp_type = 8 AND NOT retry AND answered, false) AS met FROM (SELECT *, unnest(list_distinct([ta, ra])) AS sta FROM frames) f LEFT JOIN (SELECT src, dst, icmp_seq, bool_or(status <> 'loss') AS answered FROM st WHERE status IS NOT NULL GROUP BY ALL) k ON k.src = ip_src AND k.dst = ip_dst AND k.icmp_seq = f.icmp_seq WHERE f.sta IN (SELECT mac FROM sta))"),
     "system_peaks": frames_sql("SELECT * FROM pk3", *squeezed(PEAKS)),
-    "issues": frames_sql("SELECT * FROM iss", *squeezed(PINGS, ROLES, CLIFF, PEAKS, ISSUES)),
-    "causality": frames_sql("SELECT sta, list_aggregate(kinds, 'string_agg', '+') AS kinds, round(least(0.95, 0.5 + 0.15 * (len(kinds) - 1) + 0.1 * over), 3) AS confidence, start_us, end_us, signals FROM ca WHERE len(kinds) >= 2", *squeezed(PINGS, ROLES, CLIFF, PEAKS, ISSUES), CLUSTERS),
+    "issues": frames_sql("SELECT place, rule, scope, nullif(sta, '') AS sta, signal_type, category, severity, value, n, frame_refs, start_us, end_us FROM iss", *squeezed(*ISSUE_TABLES)),
+    "causality": frames_sql(f"SELECT sta, {TITLED} AS title, list_aggregate(kinds, 'string_agg', '+') AS kinds, round(least(0.95, 0.5 + 0.15 * (len(kinds) - 1) + 0.1 * over), 3) AS confidence, start_us, end_us, signals, refs FROM ca WHERE len(kinds) >= 2", *squeezed(*ISSUE_TABLES), CLUSTERS),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import thresholds
 from framewright.functions.tables import kept, settled, shared_dir
-from framewright.operators import binding, diagnosis, merge, ping, roaming, signals, stations, stats, timesync, verifier, wired
+from framewright.operators import binding, diagnosis, issues, merge, ping, roaming, signals, stations, stats, timesync, verifier, wired
 from framewright.sources import adapter, capture
 
 
@@ -161,11 +161,6 @@ def _squeezed(frames: DataFrame) -> DataFrame:
     return frames.withColumn("epoch_us", F.expr(f"{adapter.BASE_US} + (epoch_us - {adapter.BASE_US}) div 20"))
 
 
-def _told(issues: DataFrame) -> DataFrame:
-    """Issues with their references as a number and the first."""
-    return issues.select("sta", "category", "severity", "message", F.size("frame_refs").cast("long").alias("refs"), F.element_at("frame_refs", 1).alias("first_ref"), "start_us", "end_us")
-
-
 def _severity_ping(frames: DataFrame) -> DataFrame:
     found = ping.statuses(frames).groupBy("src").agg((F.avg("rtt_us") / 1000).alias("r"), stats.percent(stats.one_if(F.col("status") == "loss"), F.count("status")).alias("l"))
     return found.select("src", thresholds.above(F.col("r"), thresholds.RTT_MS).alias("rtt_level"), thresholds.above(F.col("l"), thresholds.LOSS_PERCENT).alias("loss_level"))
@@ -280,7 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roam_impact": _frames(roaming.roam_impact),
     "roam_reclassified": _reclassified,
     "roam_coverage": _roam_coverage,
-    "nearest_roaming": _frames(roaming.nearest_roaming),
+    "nearest_roaming": _frames(lambda f: roaming.nearest_roaming(ping.statuses(f).where("status = 'loss'").select(F.col("req_num").alias("number"), "epoch_us"), f)),
     "tsf_offset": _both(merge.tsf_offset),
     "seq_offset": _both(merge.seq_offset),
     "merge_dedup": _both(_merged),
@@ -313,9 +308,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "health_score": _frames(diagnosis.health_score),
     "sta_scores": _frames(diagnosis.sta_scores),
     "conclusions": _frames(diagnosis.conclusions),
-    "issues": _frames(lambda f: _told(diagnosis.issues(_squeezed(f)))),
+    "issues": _frames(lambda f: issues.issues(_squeezed(f))),
     "incidents": _frames(diagnosis.incidents),
     "casefile": _frames(diagnosis.casefile),
-    "causality": _frames(lambda f: diagnosis.causality(diagnosis.issues(_squeezed(f)))),
+    "causality": _frames(lambda f: issues.causality(issues.issues(_squeezed(f))).drop("frame_refs")),
     "semi_anti_sta": _frames(_semi_anti),
 }
