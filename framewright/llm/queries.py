@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import bpe, chat, hmm, packing, prefix_trie, quality, resampling, rules, secrets, sharding, simhash, tiled, transport
-from framewright.llm.shared import bucket, materialize, raw, shared_dir, table
+from framewright.llm.shared import bucket, fresh, materialize, raw, shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.compact(docs.schema)
         store.expire()
     sizes = store.manifest().select("shard", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), F.col("level").alias("shard_level"))
-    placed = store.read(docs.schema, shard_as="shard").select("doc_id", "shard")
+    name = fresh(docs.columns, "shard")
+    placed = store.read(docs.schema, shard_as=name).select("doc_id", F.col(f"`{name}`").alias("shard"))
     return placed.join(sizes, "shard").select("doc_id", F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_rows", "shard_bytes", "shard_level")
 
 

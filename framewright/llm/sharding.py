@@ -39,7 +39,7 @@ from framewright.llm.shared import materialize, release
 #: Bytes of a merged file, rows of an arriving shard, ratio of tiers, least
 #: shards in a run, and runs that one Spark job merges.
 TARGET, ARRIVAL_ROWS, FAN_IN, LEAST_RUN, AT_ONCE = 128 << 20, 2000, 4, 4, 64
-#: Shards planned in one window's partition.
+#: Shards of one arrival that are planned in one window's partition.
 PLANNED = 50_000
 MANIFEST = "shard string, level int, arrived long, n_rows long, n_bytes long"
 
@@ -114,16 +114,24 @@ class ShardStore:
     def plan(self, least: int = LEAST_RUN) -> DataFrame:
         """Runs to merge: (run, shards, level, arrived) of similar neighbours.
 
-        A run takes its shards' names; their number is bounded by the target
-        size over the smallest shard's, as sums of sizes cut the runs.
+        Shards of a tier lie in a line by arrival, and a run is what lies
+        within one target size of it. Sums along the line come in two levels,
+        of arrivals and within each (an arrival of many shards in blocks, by a
+        hash of their names), so no window holds a tier. A run takes its
+        shards' names; their number is bounded by the target size over the
+        smallest shard's.
         """
         live = self.manifest().where(F.col("n_bytes") < self.target)
-        slices = max(1, -(-live.count() // PLANNED))
+        blocks = max(1, -(-live.count() // PLANNED))
         tier = F.floor(F.log(float(FAN_IN), F.greatest(F.col("n_bytes"), F.lit(1))))
-        by = Window.partitionBy("slice", "tier").orderBy("arrived", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = live.withColumn("slice", F.pmod(F.col("arrived"), F.lit(slices))).withColumn("tier", tier)
-        cut = cut.withColumn("run", F.floor((F.sum("n_bytes").over(by) - 1) / self.target))
-        runs = cut.groupBy("slice", "tier", "run").agg(F.collect_list("shard").alias("shards"), F.max("level").alias("level"), F.max("arrived").alias("arrived"), F.sum("n_bytes").alias("n_bytes"))
+        cut = live.withColumn("block", F.pmod(F.xxhash64("shard"), F.lit(blocks))).withColumn("tier", tier)
+        place = ["tier", "arrived", "block"]
+        line = Window.partitionBy("tier").orderBy("arrived", "block").rowsBetween(Window.unboundedPreceding, -1)
+        before = cut.groupBy(*place).agg(F.sum("n_bytes").alias("bytes")).select(*place, F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("before"))
+        by = Window.partitionBy(*place).orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = F.floor((F.col("before") + F.col("upto") - 1) / self.target)
+        cut = cut.withColumn("upto", F.sum("n_bytes").over(by)).join(before, place).withColumn("run", run)
+        runs = cut.groupBy("tier", "run").agg(F.collect_list("shard").alias("shards"), F.max("level").alias("level"), F.max("arrived").alias("arrived"), F.sum("n_bytes").alias("n_bytes"))
         return runs.where(F.size("shards") >= least)
 
     def compact(self, schema=None, least: int = LEAST_RUN) -> int:

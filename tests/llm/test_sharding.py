@@ -118,3 +118,35 @@ def test_query(spark):
     assert got.count() == got.select("doc_id").distinct().count() == 1000
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_plan_against_a_plain_one(spark, monkeypatch):
+    """Runs follow one another in time, however many shards an arrival has."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    shards = [(f"s{k:04d}", 0, rng.randrange(1, 12), 10, rng.choice((100, 400, 1600)) + rng.randrange(60)) for k in range(300)]
+    s = store(spark, target=5000)
+    monkeypatch.setattr(s, "manifest", lambda version=None: spark.createDataFrame(shards, sharding.MANIFEST))
+    arrived = {x[0]: x[2] for x in shards}
+    size = {x[0]: x[4] for x in shards}
+    want = {}
+    for name, _, _, _, n in sorted(shards, key=lambda x: (x[2], x[0])):
+        tier = math.floor(math.log(n, sharding.FAN_IN))
+        before = sum(v for (t, _), w in want.items() if t == tier for v in (size[x] for x in w))
+        want.setdefault((tier, (before + n - 1) // 5000), []).append(name)
+    assert sorted(sorted(r.shards) for r in s.plan(1).collect()) == sorted(map(sorted, want.values()))
+    monkeypatch.setattr(sharding, "PLANNED", 20)  # now in many blocks: other runs, as contiguous
+    runs = [(r.tier, r.run, list(r.shards)) for r in s.plan(1).collect()]
+    assert sorted(x for _, _, names in runs for x in names) == sorted(arrived)
+    for tier in {t for t, _, _ in runs}:
+        line = [names for t, _, names in sorted(runs) if t == tier]
+        assert all(max(arrived[x] for x in a) <= min(arrived[x] for x in b) for a, b in zip(line, line[1:]))
+        assert all(sum(size[x] for x in names) < 5000 + 1700 for names in line)
+
+
+def test_query_with_a_clashing_column(spark, odd, tmp_path):
+    odd.withColumn("shard", F.lit("mine")).withColumn("shard_", F.lit(1)).drop("a.b").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_sharding(spark, str(tmp_path))
+    assert got.count() == odd.count() and "mine" not in {r.shard for r in got.collect()}
