@@ -359,6 +359,22 @@ def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray, most: int) -> np.ndarr
     return np.flatnonzero(keep)
 
 
+def _met_before(off: np.ndarray, path: int, exact: int) -> np.ndarray:
+    """Whether pairs of differing bits ``off`` meet in a slice before ``path``.
+
+    Such a pair is named there, so that each is named once, however many slices
+    it meets in. Slices beyond the words at hand aren't looked at.
+    """
+    found = np.zeros(len(off), bool)
+    for j in range(path):
+        k, at = divmod(j * exact, 64)
+        if k + 1 >= WIDE:
+            break
+        bits = off[:, k] << np.uint64(at) | (off[:, k + 1] >> np.uint64(64 - at) if at else np.uint64(0))
+        found |= (bits >> np.uint64(64 - exact) == 0) & (np.bitwise_count(bits) <= SLICE_BUDGET)
+    return found
+
+
 def _candidates(part: pd.DataFrame, failed: pd.DataFrame | None, exact: int, most: int) -> pd.DataFrame:
     """Pairs of a group to compare by their texts next.
 
@@ -386,8 +402,10 @@ def _candidates(part: pd.DataFrame, failed: pd.DataFrame | None, exact: int, mos
             x, y = one[x], two[y]
         apart = labels[root[x]] != labels[root[y]]
         x, y = x[apart], y[apart]
-        d = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
+        off = wide[x] ^ wide[y]
+        d = np.bitwise_count(off).sum(axis=1, dtype=np.int64)
         near = d <= NEAR_BITS
+        near[near] = ~_met_before(off[near], int(path), exact)
         if len(lost):
             a, b = np.maximum(name[x], name[y]), np.minimum(name[x], name[y])
             near &= ~np.isin(a * n + b, lost)
