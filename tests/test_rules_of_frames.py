@@ -165,3 +165,15 @@ def test_kept_tables_go_with_their_files(spark):
     release(spark, one.inputFiles()[0].rsplit("/", 1)[0].replace("file://", ""))
     assert kept(spark, ("numbers", "x"), build).count() == 3 and len(built) == 2
     assert shared_dir(spark)
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    """A table derived from files is built anew once they are rewritten."""
+    from framewright.functions.tables import kept
+
+    path = str(tmp_path / "events.parquet")
+    read = lambda: kept(spark, ("derived", path), lambda: spark.read.parquet(path), path)
+    spark.range(3).write.parquet(path)
+    assert read().count() == 3
+    spark.range(7).write.mode("overwrite").parquet(path)
+    assert read().count() == 7
