@@ -1,4 +1,4 @@
-"""Evidence, scores, issues, incidents and their correlation."""
+"""Evidence, scores, conclusions, incidents and case files."""
 
 from __future__ import annotations
 
@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from framewright.functions import frames as P
 from framewright.functions import thresholds as L
 from framewright.functions.tables import settled
-from framewright.operators import ping, roaming, signals, stats
+from framewright.operators import ping, roaming, stats
 from framewright.operators.joins import SECOND, islands, slices
 from framewright.operators.stats import one_if, percent
 
-# Windows of incidents, joining pause and overlap; weights of
-# confidence; references kept; phrases that give no ground for a conclusion.
+# Windows of incidents, joining pause and overlap; references kept.
 BEFORE_US, AFTER_US, JOIN_US, OVERLAP = 10 * SECOND, 10 * SECOND, 3 * SECOND, 0.5
-LEAST_SIGNALS, BASE, EACH, BONUS, CAP = 2, 0.5, 0.15, 0.1, 0.95
 REFS = 100
 # Phrases that put a conclusion off.
 PUNT = (
@@ -24,7 +22,6 @@ PUNT = (
     "further investigation needed", "needs further investigation", "further investigation", "needs investigation", "investigate further",
     "to be determined", "unknown cause", "tbd", "todo",
 )
-ISSUE = "sta string, category string, severity string, message string, frame_refs array<bigint>, start_us bigint, end_us bigint"
 
 
 def _refs(number: Column, order: Column) -> Column:
@@ -128,22 +125,6 @@ def conclusions(frames: DataFrame) -> DataFrame:
     return said.join(seen, ["sta", "code"]).select("sta", "code", "level", "value", F.least(F.col("k"), F.lit(REFS)).cast("long").alias("refs"), F.col("first.number").alias("first_ref"), "start_us", "end_us")
 
 
-def issues(frames: DataFrame) -> DataFrame:
-    """Issues of stations and (station null) of the network, with windows."""
-    name = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    found = evidence(frames).join(stats.roles(frames).where("role = 'STA'").select(F.col("mac").alias("sta")), "sta", "left_semi")
-    level = F.when(F.col("category") == "weak_signal", "medium").when(F.col("category") == "ping_loss", F.when(F.col("n") > 5, "high").otherwise("medium")).otherwise(F.when(F.col("n") > 10, "high").otherwise("low"))
-    per = found.select("sta", "category", level.alias("severity"), name(F.col("category"), ": ", F.col("n").cast("string"), " frames").alias("message"), "frame_refs", "start_us", "end_us")
-    cliff = signals.cliffs(frames).groupBy(F.col("ta").alias("sta")).agg(F.count("*").alias("n"), F.max(F.col("before") - F.col("after")).alias("d"), F.min("sec").alias("a"), F.max("sec").alias("b")).where("n >= 2 or d >= 15")
-    at = frames.where("rssi is not null").select(F.col("ta").alias("sta"), stats.second().alias("a"), "number").groupBy("sta", "a").agg(F.min("number").alias("ref"))
-    drops = cliff.join(at, ["sta", "a"]).select("sta", F.lit("signal_cliff").alias("category"), F.lit("medium").alias("severity"), name("signal fell ", F.col("n").cast("string"), " times").alias("message"), F.array("ref").alias("frame_refs"), (F.col("a") * SECOND).alias("start_us"), (F.col("b") * SECOND).alias("end_us"))
-    worst = stats.system_peaks(frames, 1)
-    inside = frames.where("retry").select(F.floor(F.col("epoch_us") / (10 * SECOND)).cast("long").alias("bucket"), "number", "epoch_us")
-    peak = inside.join(worst.where("retry_pct > 15"), "bucket").groupBy("bucket").agg(F.max("retry_pct").alias("p"), F.min("number").alias("ref"), F.min("epoch_us").alias("start_us"), F.max("epoch_us").alias("end_us"))
-    net = peak.select(F.lit(None).cast("string").alias("sta"), F.lit("network_retry").alias("category"), F.lit("high").alias("severity"), name("retries ", F.col("p").cast("string"), " %").alias("message"), F.array("ref").alias("frame_refs"), "start_us", "end_us")
-    return grounded(per.unionByName(drops).unionByName(net))
-
-
 def grounded(found: DataFrame) -> DataFrame:
     """Issues with references and a window, and without empty phrases."""
     return found.where((F.size("frame_refs") > 0) & F.col("start_us").isNotNull() & ~F.lower("message").rlike("|".join(PUNT)))
@@ -180,56 +161,3 @@ def casefile(frames: DataFrame) -> DataFrame:
     first = incidents(frames).orderBy("start_us").limit(1)
     inside = frames.join(F.broadcast(first), F.col("epoch_us").between(F.col("start_us"), F.col("end_us")))  # one row
     return inside.groupBy("start_us", "end_us", "trigger_us", "trigger_num", "losses").agg(F.count("*").alias("frames"), percent(one_if(F.col("retry")), F.count("*")).alias("retry_pct"), one_if(P.is_roaming()).alias("roaming")).withColumn("case_id", F.format_string("analysis:%d:%d.%03d", "trigger_num", F.floor(F.col("trigger_us") / SECOND), F.floor(F.col("trigger_us") % SECOND / 1000)))
-
-
-def _ratio(a: tuple, b: tuple) -> float:
-    inter, shorter = min(a[1], b[1]) - max(a[0], b[0]), min(a[1] - a[0], b[1] - b[0])
-    if a[1] < a[0] or b[1] < b[0] or inter < 0:
-        return 0.0
-    return 1.0 if shorter <= 0 else inter / shorter
-
-
-def _clusters(own: pd.DataFrame, net: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
-    found: list[list[tuple[str, int, int]]] = []
-    for r in own.sort_values(["start_us", "end_us", "category"]).itertuples(index=False):
-        s = (r.category, int(r.start_us), int(r.end_us))
-        home = next((c for c in found if all(_ratio(s[1:], m[1:]) >= OVERLAP for m in c)), None)
-        if home is None:
-            found.append([s])
-        else:
-            home.append(s)
-    for n in net:
-        for c in found:
-            if any(_ratio(n[1:], m[1:]) >= OVERLAP for m in c):
-                c.append(n)
-    return found
-
-
-CORRELATED = "sta string, kinds string, confidence double, start_us long, end_us long, signals long"
-
-
-def causality(found: DataFrame) -> DataFrame:
-    """Issues of a station that coincide, with the network's that touch them.
-
-    A group joins an issue that overlaps all of it by half; it counts from two
-    kinds on. Issues are already one row a station and kind.
-    """
-    found = settled(found, "issues")
-    net = found.where("sta is null").select("category", "start_us", "end_us")
-    own = found.where("sta is not null").select("sta", "category", "start_us", "end_us")
-    nets = F.sort_array(F.collect_list(F.struct("start_us", "end_us", "category")))
-    with_net = own.crossJoin(F.broadcast(net.agg(nets.alias("net"))))  # a row per kind of network issue
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        known = [(x["category"], x["start_us"], x["end_us"]) for x in rows["net"].iloc[0]]
-        for c in _clusters(rows, known):
-            kinds = sorted({k for k, _, _ in c})
-            if len(kinds) < LEAST_SIGNALS:
-                continue
-            pairs = [_ratio(a[1:], b[1:]) for i, a in enumerate(c) for b in c[i + 1 :]]
-            score = BASE + EACH * (len(kinds) - 1) + BONUS * (sum(pairs) / len(pairs) if pairs else 1.0)
-            out.append((rows["sta"].iloc[0], "+".join(kinds), round(min(CAP, score), 3), min(x[1] for x in c), max(x[2] for x in c), len(c)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in CORRELATED.split(", ")])
-
-    return with_net.groupBy("sta").applyInPandas(group, CORRELATED)

@@ -143,3 +143,11 @@ def test_loss_cause_looks_at_all_frames(spark):
     rows += [(90.0, ask | {"icmp_seq": 3}), (91.9, other | {"protocol": "EAPOL"})]  # its key message
     rows += [(130.0, ask | {"icmp_seq": 4}), (132.0, other | {"protocol": "EAPOL"})]  # two seconds off: too far
     assert [(r.req_num, r.cause) for r in sorted(ping.loss_cause(table(spark, rows)).collect())] == [(4, "high_retry"), (14, "roaming"), (16, "unknown")]
+
+
+def test_conclusions_without_ground_are_dropped(spark):
+    from framewright.operators import diagnosis
+
+    rows = [("kept", [1], 5), ("no frames", [], 5), ("no window", [1], None), ("Cause: TBD", [1], 5), ("이 구간은 추가 조사 필요", [1], 5), ("needs investigation of the AP", [1], 5)]
+    told = spark.createDataFrame(rows, "message string, frame_refs array<long>, start_us long")
+    assert [r.message for r in diagnosis.grounded(told).collect()] == ["kept"]
