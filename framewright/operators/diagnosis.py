@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framewright.functions import frames as P
 from framewright.functions import thresholds as L
 from framewright.functions.tables import settled
-from framewright.operators import ping, roaming, stats
+from framewright.operators import ping, roaming
 from framewright.operators.joins import SECOND, islands, slices
 from framewright.operators.stats import one_if, percent
 
