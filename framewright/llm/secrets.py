@@ -35,13 +35,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Name, characters, window and least entropy (bits) of each class; a random
-#: window has about 3.2, 3.8, 3.8 (base32 3.7) and 4.1 bits.
+#: window has about 3.2, 3.6, 3.6 (base32 3.5) and 3.8 bits.
 CLASSES = (
     ("hex", frozenset("0123456789abcdefABCDEF"), 16, 2.8),
-    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 20, 3.3),
-    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.3),
-    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.7),
+    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 16, 3.0),
+    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16, 3.0),
+    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 16, 3.3),
 )
+#: Least shares of changes of kind, and of capitals in a row or lone small
+#: letters, in mixed case with few digits; random letters have 0.5 and 0.3.
+TURNS, ROUGH = 0.28, 0.12
+LONE = re.compile(r"(?<!l)l(?!l)")
 #: What is cut out of a run: UUIDs, counting sequences, word-like segments of a
 #: path, placeholders with the letters and digits around them, and of the text
 #: web addresses up to a query.
@@ -83,16 +87,18 @@ def _kinds(s: str) -> str:
 def _mixed(s: str, kind: str) -> bool:
     """Letters and digits as keys have them; words and numbers don't.
 
-    Few digits in mixed case pass only where the kind of character changes
-    more often than at the start of words.
+    Few digits in mixed case pass only where case changes often and not as at
+    the start of words: capitals in a row, or one small letter between capitals.
     """
     kinds = _kinds(s)
     digits = kinds.count("d")
     if kind == "hex":
         return 2 <= digits <= len(s) - 2
-    changes = sum(a != b and a + b != "ul" for a, b in zip(kinds, kinds[1:]))
     if kind == "base64":
-        return "l" in kinds and "u" in kinds and (digits >= 2 or changes >= 0.25 * len(kinds))
+        turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+        rough = kinds.count("uu") + len(LONE.findall(kinds))
+        return "l" in kinds and "u" in kinds and (digits >= 2 or turns >= TURNS * len(kinds) and rough >= ROUGH * len(kinds))
+    changes = sum(a != b and a + b != "ul" for a, b in zip(kinds, kinds[1:]))
     return digits >= 1 and len(kinds) > digits and changes >= (3 if kind == "lower" else 2)
 
 
