@@ -459,6 +459,34 @@ de AS (SELECT sta, from_bssid, bssid, epoch_us, line, CASE WHEN ci > coalesce(ri
 
 ISSUE_TABLES = (PINGS, GAPS, TOTALS, *SLOW, CLIFF, *ZONES, ISSUES)
 
+#: Frames by device (``*``: all) with the label of the rate they were sent at.
+DEVICE_FRAMES = """devs AS (SELECT mac FROM ap UNION SELECT mac FROM sta UNION SELECT '*'),
+de AS (
+  SELECT mac AS device, tx, epoch_us // 1000000 AS sec, subtype, retry, epoch_us, number, CASE WHEN tx THEN rssi END AS rssi,
+    CASE WHEN tx AND m THEN mcs_phy WHEN tx THEN 'Legacy' END AS phy, CASE WHEN tx AND m THEN mcs::VARCHAR WHEN tx THEN nullif(data_rate, '') END AS key, CASE WHEN tx AND m THEN nss END AS nss
+  FROM (SELECT *, coalesce(mcs_phy IN ('HT', 'VHT', 'HE', 'EHT'), false) AS m, unnest([ta, ra, '*']) AS mac, unnest([true, coalesce(ra = ta, false), ta IS NOT NULL]) AS tx FROM frames) JOIN devs USING (mac)
+), dl AS (
+  SELECT *, CASE WHEN key IS NULL THEN NULL WHEN phy = 'Legacy' THEN 'Legacy ' || key || 'Mbps' ELSE phy || ' MCS' || key END AS label FROM de
+), ds AS (
+  SELECT d.*, a, b, a + (sec - a) // 10 * 10 AS start FROM dl d JOIN (SELECT device, min(sec) AS a, max(sec) AS b FROM dl GROUP BY device HAVING max(sec) - min(sec) <= 21600) USING (device)
+)"""
+DEVICE_PEAKS = f"""pb AS (
+  SELECT device, start, count(*) AS peak_total, {pct(one('retry'), 'count(*)', 1)} AS peak_pct FROM ds GROUP BY ALL
+), pk AS (
+  SELECT *, row_number() OVER (PARTITION BY device ORDER BY peak_pct DESC, start) AS place FROM pb WHERE peak_total > 50 AND peak_pct >= 10
+)"""
+
+
+def listed(keys: str, label: str) -> str:
+    return f"(SELECT {keys}, string_agg(l || '×' || format('{{:,}}', n), ', ' ORDER BY l) AS s FROM (SELECT {keys}, {label} AS l, count(*) AS n FROM ds0 WHERE {label} IS NOT NULL GROUP BY ALL) GROUP BY {keys})"
+
+
+def commonest(keys: str, k: int, table: str = "ds") -> str:
+    return f"""(SELECT {keys}, string_agg(label || '×' || format('{{:,}}', n), ', ' ORDER BY i) AS s FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, old, first) AS i
+  FROM (SELECT {keys}, label, phy = 'Legacy' AS old, count(*) AS n, min(struct_pack(a := epoch_us, b := number)) AS first FROM {table} WHERE label IS NOT NULL GROUP BY ALL)) WHERE i <= {k} GROUP BY {keys})"""
+
+
+
 ORACLES: dict[str, str] = {
     "per_second": frames_sql("SELECT r.sec, coalesce(total, 0) AS total, coalesce(retry, 0) AS retry, coalesce(bytes, 0) AS bytes, coalesce(data_bytes, 0) AS data_bytes FROM (SELECT sec FROM secs UNION SELECT unnest(CASE WHEN max(sec) - min(sec) <= 21600 THEN range(min(sec), max(sec) + 1) ELSE [] END) FROM secs) r LEFT JOIN secs USING (sec)", SECONDS),
     "per_minute": frames_sql(f"SELECT epoch_us // 60000000 AS minute, count(*) AS total, {one('retry')} AS retry, {one(CTRL)} AS ctrl, {one(CTRL + ' AND retry')} AS ctrl_retry, count(*) FILTER (WHERE retry) > 1000 AS hotspot FROM frames GROUP BY 1"),
@@ -473,6 +501,14 @@ ORACLES: dict[str, str] = {
     "retry_per_sec": frames_sql(f"SELECT ta, epoch_us // 1000000 AS sec, count(*) AS total, {pct(one('retry'), 'count(*)', 1)} AS retry_pct FROM frames WHERE ta IS NOT NULL GROUP BY ALL"),
     "rssi_buckets": frames_sql("SELECT l.*, mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, round(avg(rssi), 6) AS avg_rssi, min(rssi) AS min_rssi, max(rssi) AS max_rssi, count(*) AS n FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ALL) l LEFT JOIN (SELECT ta, sec, arg_max(mcs, k) AS mode_mcs FROM (SELECT ta, epoch_us // 1000000 AS sec, mcs, count(*) * 1000 - mcs AS k FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL AND mcs IS NOT NULL GROUP BY 1, 2, 3) GROUP BY ALL) m USING (ta, sec)"),
     "device_stats": frames_sql(f"SELECT device, epoch_us // 10000000 AS bucket, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)')} AS retry_pct, {pct(one(LEGACY), 'count(mcs_phy)')} AS legacy_pct, round(avg(rssi), 6) AS avg_rssi FROM (SELECT *, unnest([ta, ra]) AS device FROM frames) WHERE device IS NOT NULL GROUP BY ALL"),
+    "device_profiles": frames_sql(f"SELECT d.device, count(*) AS total, {one('tx')} AS tx_total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, min(rssi)::BIGINT AS min_rssi, max(rssi)::BIGINT AS max_rssi, round(sum(rssi) / nullif(count(rssi), 0), 1) AS avg_rssi, count(rssi) AS heard, any_value(t.s) AS types, any_value(f.s) AS formats FROM dl d LEFT JOIN {listed('device', KIND).replace('ds0', 'dl')} t USING (device) LEFT JOIN {listed('device', 'CASE WHEN key IS NOT NULL THEN phy END').replace('ds0', 'dl')} f USING (device) GROUP BY d.device", *squeezed(ROLES, DEVICE_FRAMES)),
+    "device_rates": frames_sql(f"SELECT device, phy, key, nss, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct FROM (SELECT device, phy, key, NULL::INTEGER AS nss, retry FROM dl WHERE key IS NOT NULL UNION ALL SELECT device, phy, key, nss, retry FROM dl WHERE key IS NOT NULL AND nss IS NOT NULL) GROUP BY ALL", *squeezed(ROLES, DEVICE_FRAMES)),
+    "device_buckets": frames_sql(f"""SELECT device, start, coalesce(total, 0) AS total, coalesce(retry, 0) AS retry, coalesce(retry_pct, 0) AS retry_pct, coalesce(tx_total, 0) AS tx_total, coalesce(c.s, '') AS breakdown, avg_mcs, coalesce(legacy_pct, 0) AS legacy_pct, coalesce(f.s, '') AS formats
+FROM (SELECT device, unnest(range(min(a), max(b) + 1, 10)) AS start FROM ds GROUP BY device)
+  LEFT JOIN (SELECT device, start, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total, round(avg(key::DOUBLE) FILTER (WHERE label IS NOT NULL AND phy <> 'Legacy'), 1) AS avg_mcs, {pct(one("label IS NOT NULL AND phy = 'Legacy'"), one('tx'), 1)} AS legacy_pct FROM ds GROUP BY ALL) USING (device, start)
+  LEFT JOIN {commonest('device, start', 5)} c USING (device, start) LEFT JOIN {listed('device, start', 'CASE WHEN key IS NOT NULL THEN phy END').replace('ds0', 'ds')} f USING (device, start)""", *squeezed(ROLES, DEVICE_FRAMES)),
+    "device_peaks": frames_sql(f"""SELECT device, start, place, peak_total, peak_pct, sec, total, retry, retry_pct, tx_total, coalesce(c.s, '') AS breakdown
+FROM pk JOIN (SELECT device, start, sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total FROM ds GROUP BY ALL) USING (device, start) LEFT JOIN {commonest('device, start, sec', 4)} c USING (device, start, sec) WHERE place <= 3""", *squeezed(ROLES, DEVICE_FRAMES), DEVICE_PEAKS),
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),
     "ap_compare_pivot": frames_sql(f"SELECT bssid, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi) FILTER (WHERE subtype = 8), 6) AS beacon_rssi, {one('subtype IN (0, 2)')} AS roam_in, {', '.join(one(KIND + f' = {chr(39)}{k}{chr(39)}') + f' AS {k.lower()}' for k in ('Management', 'Control', 'Data', 'Other'))} FROM frames WHERE bssid <> 'ff:ff:ff:ff:ff:ff' GROUP BY bssid"),
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import thresholds
 from framewright.functions.tables import kept, settled, shared_dir
-from framewright.operators import binding, diagnosis, issues, merge, ping, roaming, signals, stations, stats, timesync, verifier, wired
+from framewright.operators import binding, devices, diagnosis, issues, merge, ping, roaming, signals, stations, stats, timesync, verifier, wired
 from framewright.sources import adapter, capture
 
 
@@ -161,6 +161,16 @@ def _squeezed(frames: DataFrame) -> DataFrame:
     return frames.withColumn("epoch_us", F.expr(f"{adapter.BASE_US} + (epoch_us - {adapter.BASE_US}) div 20"))
 
 
+def _devices(operator: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """An operator over the counts of the dense capture's devices."""
+
+    def query(frames: DataFrame) -> DataFrame:
+        dense = _squeezed(frames)
+        return operator(devices.counted(dense, stats.roles(dense)))
+
+    return query
+
+
 def _severity_ping(frames: DataFrame) -> DataFrame:
     found = ping.statuses(frames).groupBy("src").agg((F.avg("rtt_us") / 1000).alias("r"), stats.percent(stats.one_if(F.col("status") == "loss"), F.count("status")).alias("l"))
     return found.select("src", thresholds.above(F.col("r"), thresholds.RTT_MS).alias("rtt_level"), thresholds.above(F.col("l"), thresholds.LOSS_PERCENT).alias("loss_level"))
@@ -218,6 +228,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rssi_buckets": _frames(stats.rssi_buckets),
     "device_stats": _frames(stats.device_stats),
     "system_peaks": _frames(lambda f: stats.system_peaks(_squeezed(f))),
+    "device_profiles": _frames(_devices(devices.profiles)),
+    "device_rates": _frames(_devices(devices.rates)),
+    "device_buckets": _frames(_devices(devices.buckets)),
+    "device_peaks": _frames(_devices(devices.peaks)),
     "phy_mcs_grouping_sets": _frames(stats.phy_mcs_grouping_sets),
     "ap_compare_pivot": _frames(stats.ap_compare),
     "signal_quality": _frames(stats.signal_quality),
