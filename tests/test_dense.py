@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from framewright.operators import joins, roaming, verifier
+from framewright.operators import joins, roaming, stations, timesync, verifier
 
 EVENTS = "sta string, ap string, kind string, basis string, subtype int, current_ap string, epoch_us long, number long"
 
@@ -62,3 +62,29 @@ def test_differences_are_counted_as_pairs_are(spark):
         near = sorted((x.u, x.residual, x.w) for x in joins.nearest_in_time(l, r, ["g"], ["g", "u"], 5_000).collect())
         best = [(u, min(((abs(a - t), a) for _, a, _ in right))[1] - t, w) for _, u, t, w in left]
         assert near == sorted(x for x in best if abs(x[1]) <= 5_000)
+
+
+def test_copies_in_a_log_and_a_capture_are_counted_not_paired(spark):
+    """Forty million pairs, of six times each way."""
+    at = lambda shift: spark.range(6 * 2500).select(F.lit("s").alias("sta"), (F.col("id") % 6 * 70_000_000 + shift).alias("x"))
+    got = stations.offset_histogram(at(0).withColumnRenamed("x", "cmd_us"), at(120_000).withColumnRenamed("x", "assoc_us")).collect()
+    assert [tuple(r) for r in got] == [("s", 1, 6 * 2500 * 2500, 6, 120_000.0, 0.0)]
+
+
+def test_contacts_and_replies_of_a_busy_minute_meet_once(spark):
+    """Against every contact's look at all replies; a group holds rows, not pairs."""
+    rng = random.Random(8)
+    syncs = [(k, rng.randrange(60) * 50_000) for k in range(300)]
+    ntp = [(k, 7, rng.randrange(60) * 50_000 + rng.choice((0, 1)), rng.choice("ab")) for k in range(400)]
+    want = []
+    for dst in "ab":
+        used = set()
+        for t, line in sorted((t, n) for n, t in syncs):
+            free = [(abs(o - t), o, f) for f, _, o, d in ntp if d == dst and f not in used and abs(o - t) <= 90_000]
+            if free:
+                _, o, f = min(free)
+                used.add(f)
+                want.append((dst, line, f, 7 - o, o - t))
+    replies = spark.createDataFrame(ntp, "frame_no long, arrival_us long, org_us long, dst string")
+    log = spark.createDataFrame(syncs, "line_no long, ts_us long")
+    assert sorted(map(tuple, timesync.matches(replies, log, 90_000).collect())) == sorted(want)
