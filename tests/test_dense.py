@@ -108,3 +108,42 @@ def test_commands_and_roams_are_paired_without_their_pairs(spark):
     # 64 million pairs within reach
     many = made([("c", "s", "a", k, k, 5) for k in range(8000)], [("c", "s", "a", k, k, k) for k in range(8000)]).where("side = 'both'")
     assert many.where("line = assoc_num and residual_us = 0").count() == 8000
+
+
+def test_impact_of_roams_is_summed_without_their_frames(spark):
+    """Busy and quiet spells, pauses longer than a window, echoes at its edges."""
+    rng = random.Random(11)
+    sta, ap = "02:00:00:00:00:01", "0a:00:00:00:00:01"
+    blank = dict.fromkeys(("rssi", "ip_src", "ip_dst", "icmp_type", "bssid"))
+    rows, t = [], 0
+    for k in range(700):
+        t += rng.choice((0, 250_000, 500_000, 1_000_000, 3_000_000, 7_500_000 if k % 20 == 0 else 0))
+        kind, up = rng.choice(("roam", "echo", "echo", "echo", "data")), rng.random() < 0.5
+        row = blank | {"epoch_us": t, "number": k, "ta": sta if up else ap, "ra": ap if up else sta, "retry": rng.random() < 0.3, "rssi": rng.choice((None, -40 - k % 30)), "subtype": 40, "bssid": ap, "current_ap": None}
+        if kind == "roam":
+            row |= {"subtype": 2, "ta": sta, "ra": ap}
+        elif kind == "echo":
+            there = f"10.0.0.{rng.randrange(3)}"
+            row |= {"icmp_type": 8, "ip_src": "10.0.1.1", "ip_dst": there} if rng.random() < 0.6 else {"icmp_type": 0, "ip_src": there, "ip_dst": "10.0.1.1"}
+        rows.append(row)
+    rows.append(blank | {"epoch_us": 0, "number": 9999, "ta": ap, "ra": "ff:ff:ff:ff:ff:ff", "retry": False, "subtype": 8, "current_ap": None})
+    frames = spark.createDataFrame(rows, "epoch_us long, number long, ta string, ra string, retry boolean, rssi int, subtype int, bssid string, current_ap string, ip_src string, ip_dst string, icmp_type int")
+    found = roaming.roam_impact(frames).collect()
+    share = lambda x: round(100 * sum(r["retry"] for r in x) / len(x), 2) if x else None
+    assert len(found) > 50
+    for f in found:
+        near = [r for r in rows if abs(r["epoch_us"] - f.start_us) <= roaming.IMPACT_US and r["number"] != 9999]
+        before, after = [r for r in near if r["epoch_us"] < f.start_us], [r for r in near if r["epoch_us"] >= f.start_us]
+        flows = {}
+        for r in near:
+            if r["icmp_type"] is not None and (r["icmp_type"] == 0 or not r["retry"]):
+                flows.setdefault(r["ip_dst"] if r["icmp_type"] else r["ip_src"], []).append(r["icmp_type"])
+        matched = sum(a == 8 and b == 0 for x in flows.values() for a, b in zip(x, x[1:], strict=False))
+        lost = sum(x[-1] == 8 for x in flows.values())
+        assert (f.before_frames, f.after_frames, f.matched, f.lost) == (len(before), len(after), matched, lost)
+        assert (f.before_retry_pct, f.after_retry_pct) == (share(before), share(after))
+    # 4000 roams beside 4000 frames: 16 million rows within reach
+    many = [blank | {"epoch_us": k, "number": k, "ta": sta, "ra": f"0a:00:00:00:00:{k % 50 + 10}", "retry": k % 2 == 0, "subtype": 2, "current_ap": None} for k in range(4000)]
+    data = [blank | {"epoch_us": k, "number": 10_000 + k, "ta": sta, "ra": ap, "bssid": ap, "retry": False, "subtype": 40, "current_ap": None} for k in range(4000)]
+    plan = roaming.roam_impact(spark.createDataFrame([*many, *data, rows[-1]], frames.schema))
+    assert plan.selectExpr("sum(before_frames + after_frames) s").first().s == 8000 * plan.count() > 8000 * 3000
