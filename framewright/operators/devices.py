@@ -13,6 +13,8 @@ rate indices before legacy rates. No frames, no rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,28 +29,35 @@ BUCKET, BUCKET_LABELS, SECOND_LABELS = 10, 5, 4
 PEAKS, PEAK_FRAMES, PEAK_PERCENT = 3, 50, 10
 MODERN = ("HT", "VHT", "HE", "EHT")
 ALL = "*"
+#: Parts of one device's counts; what a time counts for before a number.
+PARTS, FIRST = 64, Decimal(10**19)
 
 
 def counted(frames: DataFrame, devices: DataFrame) -> DataFrame:
     """Counts by device, second, side, subtype and rate; ``devices`` has ``mac``.
 
-    ``key`` is the rate index or the legacy rate, ``label`` what it is called.
+    ``key`` is the rate index or the legacy rate, ``label`` what it is called,
+    ``first`` the earliest time and number as one figure, which aggregates by
+    hashing hold. Counts, not frames, are looked up among the devices, dealt so
+    that the whole capture's are in many tasks.
     """
     end = lambda mac, sent: F.struct(mac.alias("device"), F.coalesce(sent, F.lit(False)).alias("tx"))
     ends = F.array(end(F.col("ta"), F.lit(True)), end(F.col("ra"), F.col("ra") == F.col("ta")), end(F.lit(ALL), F.col("ta").isNotNull()))
     known = devices.select(F.col("mac").alias("device")).unionByName(devices.sparkSession.createDataFrame([(ALL,)], "device string"))
     modern = F.coalesce(F.col("mcs_phy").isin(*MODERN), F.lit(False))
     rate = F.nullif("data_rate", F.lit(""))
-    rows = frames.select(F.explode(ends).alias("e"), second().alias("sec"), "subtype", "retry", "epoch_us", "number", "mcs", "nss", "rssi", modern.alias("modern"), "mcs_phy", rate.alias("rate")).select("e.*", "*").drop("e").where("device is not null").join(known, "device", "left_semi")
+    rows = frames.select(F.explode(ends).alias("e"), second().alias("sec"), "subtype", "retry", "epoch_us", "number", "mcs", "nss", "rssi", modern.alias("modern"), "mcs_phy", rate.alias("rate")).select("e.*", "*").drop("e").where("device is not null")
     key = F.when(F.col("tx"), F.when(F.col("modern"), F.col("mcs").cast("string")).otherwise(F.col("rate")))
     rows = rows.withColumn("key", key)
     rated = F.col("key").isNotNull()
     sums = rows.groupBy(
         "device", "sec", "tx", "subtype", "key", F.when(rated, F.when(F.col("modern"), F.col("mcs_phy")).otherwise("Legacy")).alias("phy"), F.when(rated & F.col("modern"), F.col("nss")).alias("nss")
     ).agg(
-        F.count("*").alias("n"), one_if(F.col("retry")).alias("retry"), F.min(F.struct("epoch_us", "number")).alias("first"),
+        F.count("*").alias("n"), one_if(F.col("retry")).alias("retry"), F.min(F.col("epoch_us").cast("decimal(19,0)") * F.lit(FIRST) + F.col("number").cast("decimal(19,0)")).alias("first"),
         F.count(F.when(F.col("tx"), F.col("rssi"))).alias("heard"), F.sum(F.when(F.col("tx"), F.col("rssi"))).cast("long").alias("rssi"), F.min(F.when(F.col("tx"), F.col("rssi"))).alias("low"), F.max(F.when(F.col("tx"), F.col("rssi"))).alias("high"),
     )
+    sums = sums.withColumn("part", F.pmod(F.xxhash64("sec", "subtype", "key"), F.lit(PARTS)).cast("int"))
+    sums = sums.join(known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["device", "part"], "left_semi").drop("part")
     label = F.when(F.col("phy") == "Legacy", F.concat(F.lit("Legacy "), "key", F.lit("Mbps"))).when(F.col("phy").isNotNull(), F.concat("phy", F.lit(" MCS"), "key"))
     return settled(sums.withColumn("label", label), "device-seconds")
 

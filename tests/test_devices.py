@@ -3,9 +3,12 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from framewright.functions import frames as P
 from framewright.operators import devices
 from framewright.operators.joins import SECOND
+from framewright.plans.queries import _semi_anti
 from test_frames import AP, BASE, STA, capture
 
 LABELS = {"HE": "HE MCS", "HT": "HT MCS"}
@@ -84,3 +87,25 @@ def test_buckets_equal_a_plain_count(spark):
             have = got[dev, start]
             assert (have.total, have.retry, have.tx_total) == (len(part), sum(r["retry"] for r, _ in part), sum(tx for _, tx in part))
             assert have.breakdown == ", ".join(f"{k}×{n}" for k, n in (new + old).most_common(5))
+
+
+def test_counts_of_the_whole_capture_are_in_many_tasks(spark):
+    rows = [sent(k * SECOND // 10, mcs=k % 8) for k in range(600)]
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        counts = devices.counted(capture(spark, rows), macs(spark, STA))
+        assert counts.where("device = '*'").select(F.input_file_name()).distinct().count() > 1
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert counts.where("device = '*'").agg(F.sum("n")).first()[0] == 600
+
+
+def test_senders_are_counted_before_they_are_told_apart(spark):
+    rows = [sent(k, subtype=8, ta=AP, ra=P.BROADCAST) for k in range(3)] + [sent(k, bssid=AP) for k in range(9)]
+    found = _semi_anti(capture(spark, rows))
+    assert set(map(tuple, found.collect())) == {(STA, 9, "station"), (AP, 3, "other")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate")
