@@ -73,7 +73,7 @@ def health_score(frames: DataFrame) -> DataFrame:
 def sta_scores(frames: DataFrame) -> DataFrame:
     """Scores of stations from retries, signal and roaming, and their mean."""
     sta = settled(roaming.stations(frames), "stations")
-    ends = frames.select(F.explode(F.array("ta", "ra")).alias("sta"), "retry").join(sta, "sta", "left_semi").groupBy("sta").agg(percent(one_if(F.col("retry")), F.count("*"), 1).alias("r"))
+    ends = frames.select(F.explode(F.array("ta", "ra")).alias("sta"), "retry").groupBy("sta").agg(percent(one_if(F.col("retry")), F.count("*"), 1).alias("r")).join(sta, "sta", "left_semi")
     heard = frames.groupBy(F.col("ta").alias("sta")).agg(F.avg("rssi").alias("s"))
     roams = roaming.slow_roams(frames, sta).groupBy("sta").agg(one_if(F.col("slow_basis").isNotNull()).alias("decided"), one_if(F.col("is_slow")).alias("slow"))
     all_ = ends.join(heard, "sta", "left").join(roams, "sta", "left")

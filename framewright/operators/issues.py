@@ -28,6 +28,8 @@ from framewright.operators.stats import one_if, percent
 # References kept; least frames and share of a hot rate; falls
 # and depths; slow and frequent roams; shares and numbers of the network's.
 REFS = 100
+#: Time of a slice of evidence whose rows may have to be put in order.
+THIN_US = 50_000
 HOT_FRAMES, HOT_PERCENT, HOT_TIMES, HOT_HIGH = 30, 50, 2, 60
 CLIFFS, DEEP_DB, CLIFFS_HIGH, DEEP_HIGH_DB, PAD_US, WIDE_PAD_US = 2, 15, 3, 20, SECOND, 5 * SECOND
 SLOW_STATION, FREQUENT, SLOW_NETWORK, LEGACY_PERCENT, ZONES, COVERAGE_PERCENT = 2, 10, 5, 30, 3, 50.0
@@ -63,7 +65,7 @@ def _worst_bucket(retries: DataFrame, keys: list[str]) -> DataFrame:
     rows = retries.withColumn("bucket", F.floor(F.col("epoch_us") / (10 * SECOND)))
     counts = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("k"), F.min("o").alias("first"))
     if keys:
-        return rows.join(counts.groupBy(*keys).agg(F.max_by("bucket", F.struct("k", -F.col("first"))).alias("bucket")), [*keys, "bucket"])
+        return rows.join(settled(counts.groupBy(*keys).agg(F.max_by("bucket", F.struct("k", -F.col("first"))).alias("bucket")), "worst-buckets"), [*keys, "bucket"])
     return rows.join(F.broadcast(counts.orderBy(F.desc("k"), "first").limit(1).select("bucket")), "bucket")
 
 
@@ -108,7 +110,7 @@ def _of_stations(frames: DataFrame, sta: DataFrame, roams: DataFrame, drops: Dat
 
     heard = sent.where("rssi is not null")
     mean = heard.groupBy("sta").agg(F.round(F.avg("rssi"), 1).alias("avg"), F.min("rssi").alias("low"), F.count("*").alias("n"))
-    weak = mean.withColumn("limit", F.when(F.col("avg") < L.RSSI_DBM[1], L.RSSI_DBM[1]).when(F.col("avg") < L.RSSI_DBM[0], L.RSSI_DBM[0])).where("limit is not null")
+    weak = settled(mean.withColumn("limit", F.when(F.col("avg") < L.RSSI_DBM[1], L.RSSI_DBM[1]).when(F.col("avg") < L.RSSI_DBM[0], L.RSSI_DBM[0])).where("limit is not null"), "weak-stations")
     yield _head(weak, 23, "weak_rssi", none, F.when(F.col("limit") == L.RSSI_DBM[1], "high").otherwise("medium"), F.col("avg"), F.col("n")), _rows(heard.join(weak.select("sta", "limit", "low"), "sta").where(F.when(F.col("low") < F.col("limit"), F.col("rssi") < F.col("limit")).otherwise(F.col("rssi") == F.col("low"))), 23, none)
 
     many = roams.groupBy("sta").agg(F.count("*").alias("n"), one_if(F.col("is_slow")).alias("slow")).withColumn("kind", F.when(F.col("slow") > SLOW_STATION, "slow_roaming").when(F.col("n") > FREQUENT, "frequent_roaming")).where("kind is not null")
@@ -142,14 +144,27 @@ def _of_network(frames: DataFrame, roams: DataFrame, lost: DataFrame, zones: Dat
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
-    """References and window of each issue's evidence."""
+    """References and window of each issue's evidence.
+
+    Numbers of thin slices tell which of them hold a place of the sample; only
+    these slices' rows are put in order.
+    """
     keys = ["rule", "sta", "category"]
-    cut = rows.withColumn("slice", F.floor(F.col("o") / CHUNK_US))
+    cut = rows.withColumn("slice", F.floor(F.col("o") / THIN_US))
     sizes = cut.groupBy(*keys, "slice").agg(F.count("*").alias("k"), F.min("epoch_us").alias("a"), F.max("epoch_us").alias("b"))
+    sizes = settled(sizes.withColumn("chunk", F.floor(F.col("slice") * THIN_US / CHUNK_US)), "slices")
     line = Window.partitionBy(*keys)
-    before = sizes.select(*keys, "slice", (F.sum("k").over(line.orderBy("slice")) - F.col("k")).alias("before"), F.sum("k").over(line).alias("all"))
+    chunks = sizes.groupBy(*keys, "chunk").agg(F.sum("k").alias("in_chunk"))
+    chunks = chunks.select(*keys, "chunk", (F.sum("in_chunk").over(line.orderBy("chunk")) - F.col("in_chunk")).alias("earlier"), F.sum("in_chunk").over(line).alias("all"))
+    within = F.sum("k").over(Window.partitionBy(*keys, "chunk").orderBy("slice")) - F.col("k")
+    placed = sizes.withColumn("within", within).join(chunks, [*keys, "chunk"]).withColumn("before", F.col("earlier") + F.col("within"))
+    end, i = F.col("before") + F.col("k"), F.ceil(F.col("before") * REFS / F.col("all"))
+    inside = [F.floor((i + d) * F.col("all") / REFS).between(F.col("before"), end - 1) for d in (-1, 0, 1)]
+    wanted = (F.col("all") <= REFS) | (end == F.col("all")) | inside[0] | inside[1] | inside[2]
+    before = settled(placed.where(wanted).select(*keys, "slice", "before", "all"), "sampled-slices")
+    ranked = cut.join(before, [*keys, "slice"])
     place = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("o", "number")) - 1
-    ranked = cut.withColumn("r", place).join(before, [*keys, "slice"]).withColumn("r", F.col("r") + F.col("before"))
+    ranked = ranked.withColumn("r", place + F.col("before"))
     i = F.ceil(F.col("r") * REFS / F.col("all"))
     even = (i < REFS - 1) & (F.floor(i * F.col("all") / REFS) == F.col("r"))
     kept = ranked.where((F.col("all") <= REFS) | even | (F.col("r") == F.col("all") - 1))

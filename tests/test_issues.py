@@ -1,7 +1,11 @@
 """Rules of issues on hand-made frames at, under and over their thresholds."""
 
+import random
+from pathlib import Path
+
 import pytest
 
+from framewright.functions import tables
 from framewright.operators import issues, ping, roaming, stats
 from framewright.sources.frames import COLUMNS, SCHEMA
 
@@ -151,3 +155,17 @@ def test_conclusions_without_ground_are_dropped(spark):
     rows = [("kept", [1], 5), ("no frames", [], 5), ("no window", [1], None), ("Cause: TBD", [1], 5), ("이 구간은 추가 조사 필요", [1], 5), ("needs investigation of the AP", [1], 5)]
     told = spark.createDataFrame(rows, "message string, frame_refs array<long>, start_us long")
     assert [r.message for r in diagnosis.grounded(told).collect()] == ["kept"]
+
+
+def test_samples_of_evidence_order_only_some_slices(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for rule, n, span in ((1, 40, 10**6), (2, 100, 10**7), (3, 101, 1), (4, 5000, 3 * 10**8), (5, 2345, 5 * 10**9), (6, 3000, 60_000)):
+        own = sorted((rng.randrange(span), k) for k in range(n))
+        rows += [(rule, "", "c", o, number, o + 7) for o, number in own]
+        places = range(n) if n <= issues.REFS else sorted({i * n // issues.REFS for i in range(issues.REFS - 1)} | {n - 1})
+        want[rule] = ([own[p][1] for p in places], own[0][0] + 7, own[-1][0] + 7)
+    got = issues._sampled(spark.createDataFrame(rows, "rule int, sta string, category string, o long, number long, epoch_us long"))
+    assert {r.rule: (r.frame_refs, r.start_us, r.end_us) for r in got.collect()} == want
+    base = Path(tables.shared_dir(spark))
+    assert spark.read.parquet(str(max(base.glob("sampled-slices-*"), key=lambda p: p.stat().st_mtime))).where("rule = 5").count() <= issues.REFS
