@@ -107,5 +107,10 @@ def test_senders_are_counted_before_they_are_told_apart(spark):
     rows = [sent(k, subtype=8, ta=AP, ra=P.BROADCAST) for k in range(3)] + [sent(k, bssid=AP) for k in range(9)]
     found = _semi_anti(capture(spark, rows))
     assert set(map(tuple, found.collect())) == {(STA, 9, "station"), (AP, 3, "other")}
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # a list of stations too long to be sent to all
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = _semi_anti(capture(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.index("Join LeftSemi") < plan.index("Aggregate")
