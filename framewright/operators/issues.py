@@ -159,7 +159,7 @@ def _sampled(rows: DataFrame) -> DataFrame:
     within = F.sum("k").over(Window.partitionBy(*keys, "chunk").orderBy("slice")) - F.col("k")
     placed = sizes.withColumn("within", within).join(chunks, [*keys, "chunk"]).withColumn("before", F.col("earlier") + F.col("within"))
     end, i = F.col("before") + F.col("k"), F.ceil(F.col("before") * REFS / F.col("all"))
-    inside = [F.floor((i + d) * F.col("all") / REFS).between(F.col("before"), end - 1) for d in (-1, 0, 1)]
+    inside = [F.floor((i + d) * F.col("all") / REFS).between(F.col("before"), end - 1) & (i + d < REFS - 1) for d in (-1, 0, 1)]
     wanted = (F.col("all") <= REFS) | (end == F.col("all")) | inside[0] | inside[1] | inside[2]
     before = settled(placed.where(wanted).select(*keys, "slice", "before", "all"), "sampled-slices")
     ranked = cut.join(before, [*keys, "slice"])
