@@ -68,9 +68,13 @@ def seq_offset(frames: DataFrame, reference: str = "w1") -> DataFrame:
 
 
 def aligned(frames: DataFrame, reference: str = "w1") -> DataFrame:
-    """All sources on the reference's clock; unknown offsets change nothing."""
+    """All sources on the reference's clock; unknown offsets change nothing.
+
+    Offsets, a row a source, go to all frames; frames dealt by source would be
+    one task a sniffer.
+    """
     offsets = tsf_offset(frames, reference).select("source", F.round("offset_us").cast("long").alias("shift"))
-    return frames.join(offsets, "source", "left").withColumn("epoch_us", F.col("epoch_us") + F.coalesce("shift", F.lit(0))).select(*frames.columns)
+    return frames.join(F.broadcast(offsets), "source", "left").withColumn("epoch_us", F.col("epoch_us") + F.coalesce("shift", F.lit(0))).select(*frames.columns)
 
 
 def _score(r: tuple, at: dict[str, int]) -> int:

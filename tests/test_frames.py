@@ -104,6 +104,20 @@ def test_two_sniffers(spark):
     assert ping_row.source == "w1" and ping_row.ip_src == "10.0.0.1"
 
 
+def test_alignment_leaves_frames_where_they_are(spark):
+    """Two sniffers' frames in four tasks stay in four, not in one a sniffer."""
+    rows = [{"epoch_us": BASE + k * 102_400 - late, "subtype": 8, "ta": AP, "tsf": k, "source": w} for k in range(40) for w, late in (("w1", 0), ("w2", 2_500_000))]
+    both = capture(spark, rows).repartition(4, "number")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = merge.aligned(both).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len({r.task for r in got}) == 4 and len({r.task for r in got if r.source == "w2"}) > 1
+    assert sorted(r.epoch_us for r in got) == sorted(BASE + k * 102_400 for k in range(40) for _ in "ab")
+
+
 def test_wired_pairs(spark):
     """Five requests a second apart, the third unanswered."""
     rows = [x for s in range(1, 6) for x in ([echo(s * SECOND, s)] + ([echo(s * SECOND + s * 1000, s, True)] if s != 3 else []))]
