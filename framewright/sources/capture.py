@@ -28,14 +28,16 @@ import contextlib
 import json
 import struct
 import uuid
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from framewright.sources.frames import COLUMNS, SCHEMA
 
@@ -227,6 +229,15 @@ TAP = {0: (8, 8), 1: (1, 1), 2: (1, 1), 3: (2, 4), 4: (2, 2), 5: (1, 1), 6: (1,
 def tapped(data: bytes) -> tuple[dict, bytes]:
     """Fields of a radiotap header, and the frame after it (without checksum)."""
     size = struct.unpack("<H", data[2:4])[0]
+    out, checked = _tap_fields(data[:size], size)
+    frame = data[size:]
+    return out, frame[:-4] if checked else frame
+
+
+@lru_cache(1 << 12)
+def _tap_fields(data: bytes, size: int) -> tuple[dict, bool]:
+    """Fields of a header (not to be changed: few headers are distinct), and
+    whether a checksum ends the frame."""
     present, at = [], 4
     while at + 4 <= size:
         present.append(struct.unpack("<I", data[at : at + 4])[0])
@@ -257,14 +268,15 @@ def tapped(data: bytes) -> tuple[dict, bytes]:
     if seen.get(23):
         he = struct.unpack("<6H", seen[23])
         out |= {"mcs_phy": "HE", "mcs": he[2] >> 8 & 15, "nss": he[5] & 15 or None}
-    frame = data[size:]
-    return out, frame[:-4] if seen.get(1) and seen[1][0] & 0x10 else frame
+    return out, bool(seen.get(1) and seen[1][0] & 0x10)
 
 
+@lru_cache(1 << 12)
 def _mac(data: bytes) -> str | None:
     return data.hex(":") if len(data) == 6 else None
 
 
+@lru_cache(1 << 12)
 def _address(data: bytes) -> str | None:
     return ".".join(map(str, data)) if len(data) == 4 else None
 
@@ -373,6 +385,10 @@ class CaptureReader(DataSourceReader):
         if index:
             self.known = {(path, start): (before, [base64.b64decode(m) for m in marks]) for path, start, before, marks in json.loads(index)}
 
+    def __getstate__(self) -> dict:
+        """What goes to each task: not the index, of which its split has its part."""
+        return self.__dict__ | {"known": {}}
+
     def pushFilters(self, filters):  # noqa: N802
         """Time windows and subtypes are settled here, others are Spark's."""
         for f in filters:
@@ -438,7 +454,8 @@ class CaptureReader(DataSourceReader):
                 except (struct.error, IndexError):
                     found = {"protocol": "802.11", "retry": False} if self.subtypes is None else None
                 if found is not None:
-                    rows.append(found | {"number": number, "epoch_us": t, "source": self.source, "length": length})
+                    found.update(number=number, epoch_us=t, source=self.source, length=length)
+                    rows.append(found)
             if len(rows) >= _ROWS:
                 yield _batch(rows)
                 rows = []
@@ -469,12 +486,14 @@ def _files(path: str) -> list[tuple[str, int]]:
 KEY_FLAGS = {1: 0x008A, 2: 0x010A, 3: 0x13CA, 4: 0x030A}
 
 
+@lru_cache(1 << 12)
 def _raw(mac: str | None) -> bytes:
     return bytes.fromhex(mac.replace(":", "")) if mac else bytes(6)
 
 
-def encoded(row) -> bytes:
-    """A frame with its radiotap header, of the fields that its row has."""
+@lru_cache(1 << 12)
+def _tap(data_rate: str | None, channel_freq: int | None, rssi: int | None, mcs: int | None, phy: str | None, nss: int | None) -> bytes:
+    """A radiotap header of the fields that are known."""
     have, tap = 0, b""
 
     def put(bit: int, data: bytes) -> None:
@@ -482,20 +501,29 @@ def encoded(row) -> bytes:
         have |= 1 << bit
         tap += bytes(-(8 + len(tap)) % TAP[bit][0]) + data
 
-    mcs, phy = row.mcs, row.mcs_phy
-    if row.data_rate is not None:
-        put(2, bytes([int(float(row.data_rate) * 2) & 0xFF]))
-    if row.channel_freq is not None:
-        put(3, struct.pack("<2H", row.channel_freq, 0))
-    if row.rssi is not None:
-        put(5, struct.pack("<b", row.rssi))
+    if data_rate is not None:
+        put(2, bytes([int(float(data_rate) * 2) & 0xFF]))
+    if channel_freq is not None:
+        put(3, struct.pack("<2H", channel_freq, 0))
+    if rssi is not None:
+        put(5, struct.pack("<b", rssi))
     if mcs is not None and phy not in ("VHT", "HE"):
         put(19, bytes([2, 0, mcs]))
     elif mcs is not None and phy == "VHT":
-        put(21, bytes([0, 0, 0, 0, mcs << 4 | (row.nss or 0), 0, 0, 0, 0, 0, 0, 0]))
+        put(21, bytes([0, 0, 0, 0, mcs << 4 | (nss or 0), 0, 0, 0, 0, 0, 0, 0]))
     elif mcs is not None:
-        put(23, struct.pack("<6H", 0x20, 0, mcs << 8, 0, 0, row.nss or 0))
-    head = struct.pack("<2BHI", 0, 0, 8 + len(tap), have) + tap
+        put(23, struct.pack("<6H", 0x20, 0, mcs << 8, 0, 0, nss or 0))
+    return struct.pack("<2BHI", 0, 0, 8 + len(tap), have) + tap
+
+
+@lru_cache(1 << 12)
+def _ip(address: str) -> bytes:
+    return bytes(map(int, address.split(".")))
+
+
+def encoded(row) -> bytes:
+    """A frame with its radiotap header, of the fields that its row has."""
+    head = _tap(row.data_rate, row.channel_freq, row.rssi, row.mcs, row.mcs_phy, row.nss)
     if row.subtype is None:
         return head
     kind, ta, ra, bssid = row.subtype >> 4, _raw(row.ta), _raw(row.ra), _raw(row.bssid)
@@ -524,11 +552,24 @@ def encoded(row) -> bytes:
     else:
         number = 17
     total = 20 + len(inner) + (row.tcp_len or 0)
-    ip = struct.pack(">2B3H2BH", 0x45, 0, total & 0xFFFF, 0, 0, 64, number, 0) + b"".join(bytes(map(int, a.split("."))) for a in (row.ip_src, row.ip_dst))
+    ip = struct.pack(">2B3H2BH", 0x45, 0, total & 0xFFFF, 0, 0, 64, number, 0) + _ip(row.ip_src) + _ip(row.ip_dst)
     return head + body + snap + b"\x08\x00" + ip + inner
 
 
-class CaptureWriter(DataSourceWriter):
+#: A row of the frame table, as a writer takes it from Arrow's columns.
+_Frame = namedtuple("_Frame", COLUMNS)
+
+
+def _listed(column: pa.Array) -> list:
+    """A column's values, of which few are distinct, as a list."""
+    if not column.null_count and pa.types.is_integer(column.type):
+        return column.to_numpy().tolist()
+    coded = column.dictionary_encode()
+    values = [*coded.dictionary.to_pylist(), None]
+    return [values[k] for k in coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False).tolist()]
+
+
+class CaptureWriter(DataSourceArrowWriter):
     """One capture a task; a frame's length is at least that of its bytes.
 
     A task writes under a hidden name, and the driver renames the files of the
@@ -538,15 +579,16 @@ class CaptureWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = _located(self.path)
         fs.create_dir(at, recursive=True)
         name = f"part-{uuid.uuid4().hex}.pcap"
         with fs.open_output_stream(f"{at}/.{name}") as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, RADIOTAP))
-            for row in rows:
-                data = encoded(row)
-                out.write(struct.pack("<4I", row.epoch_us // 10**6, row.epoch_us % 10**6, len(data), max(len(data), row.length or 0)) + data)
+            for batch in batches:
+                for row in map(_Frame, *(_listed(batch.column(c)) for c in COLUMNS)):
+                    data = encoded(row)
+                    out.write(struct.pack("<4I", row.epoch_us // 10**6, row.epoch_us % 10**6, len(data), max(len(data), row.length or 0)) + data)
         return _Written(f"{at}/.{name}", f"{at}/{name}")
 
     def commit(self, messages: list) -> None:
@@ -572,14 +614,22 @@ class _Written(WriterCommitMessage):
 class CaptureSource(DataSource):
     """``spark.read.format("capture")``: path, source, splitBytes, mode=index."""
 
+    planned = False
+
     @classmethod
     def name(cls) -> str:
         return "capture"
 
+    def __getstate__(self) -> dict:
+        """Once splits are planned, only tasks get the source: without the index."""
+        own = dict(self.__dict__)
+        return own | {"options": {k: v for k, v in self.options.items() if k != "index"}} if self.planned else own
+
     def schema(self) -> str:
         return INDEX_SCHEMA if self.options.get("mode") == "index" else SCHEMA
 
     def reader(self, schema) -> CaptureReader:  # noqa: ARG002
+        self.planned = True
         return CaptureReader(dict(self.options), self.options.get("mode") == "index")
 
     def writer(self, schema, overwrite) -> CaptureWriter:  # noqa: ARG002

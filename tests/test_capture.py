@@ -1,9 +1,14 @@
 """Captures made by hand and written ones, whole and cut into splits."""
 
+import glob
+import json
+import pickle
 import struct
 
 import pytest
 
+from framewright.functions.tables import shared_dir
+from framewright.plans import queries
 from framewright.sources import capture
 from framewright.sources.capture import capture_index, read_capture, write_capture
 
@@ -154,3 +159,27 @@ def test_written_captures_read_back(spark, put, tmp_path):
     write_capture(frames.repartition(3), out)
     fields = [c for c in frames.columns if c not in ("number", "length")]
     assert rows(read_capture(spark, out, split_bytes=2000).select(fields).na.fill(-1)) == rows(frames.select(fields).na.fill(-1))
+
+
+def test_captures_of_one_task_are_dealt_before_writing(spark, put):
+    """Frames that one task reads are written by as many as the session has."""
+    one = read_capture(spark, put(pcap(FRAMES[:6] * 20))).coalesce(1)
+    before = set(glob.glob(f"{shared_dir(spark)}/captures-*"))
+    got = queries._through_captures(one)
+    (path,) = set(glob.glob(f"{shared_dir(spark)}/captures-*")) - before
+    assert len(glob.glob(f"{path}/*.pcap")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda df: sorted(map(str, df.select(*queries.CARRIED).collect()))
+    assert len(key(one)) == 120 and key(got) == key(one)
+
+
+def test_tasks_do_not_get_the_whole_index(put):
+    """A task's reader and source are as small with 5,000 splits as with none."""
+    path = put(pcap(FRAMES))
+    known = json.dumps([(path, k * 1000, k, []) for k in range(5000)])
+    source = capture.CaptureSource({"path": path, "splitbytes": "1000", "index": known})
+    assert len(pickle.dumps(source)) > len(known)
+    reader = source.reader(None)
+    sent = pickle.dumps((reader, source))
+    assert len(sent) < 2000
+    assert [s.before for s in reader.partitions()] == list(range(len(reader.partitions())))
+    assert [b.num_rows for b in pickle.loads(sent)[0].read(reader.partitions()[0])]
