@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +13,8 @@ from framewright.functions.tables import settled
 from framewright.operators.joins import SECOND, by_rank, islands, numbered, range_join, slices
 from framewright.operators.stats import one_if, percent, second
 
-# Duplicate window, live groups of a key, least pairs of an
-# offset, reach of the fallback.
-WINDOW_US, LIVE, LEAST_PAIRS, REACH_US = 50_000, 64, 10, 5 * SECOND
+# Duplicate window, least pairs of an offset, reach of the fallback.
+WINDOW_US, LEAST_PAIRS, REACH_US = 50_000, 10, 5 * SECOND
 #: Fields that make one copy of a frame more telling than another.
 SCORED = ("ip_src", "arp_opcode", "icmp_type", "eapol_msgnr", "tcp_flags", "tcp_len")
 #: Fields that a copy may fill in for its group's representative.
@@ -82,29 +83,34 @@ def _score(r: tuple, at: dict[str, int]) -> int:
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Representatives of runs of keys' frames, with their sources."""
+    """Representatives of runs of keys' frames, with their sources.
+
+    A frame joins the latest group of its window that lacks its source, of one
+    time the first. Groups wait by the sources they hold, the latest on top, so
+    a frame looks at one of each and however many are open are all in reach.
+    """
     names, keys = list(rows.columns), ["k1", "k2", "k3", "k4"]
     at = {c: k for k, c in enumerate(names)}
     table = rows.astype(object).where(rows.notna(), None).sort_values([*keys, "epoch_us", "source", "number"], kind="stable")
     same = [at[k] for k in keys]
     held = None
-    live: list[dict] = []
+    waiting: dict[frozenset, list[tuple[int, int]]] = {}
     every: list[dict] = []
     for f in map(list, table.itertuples(index=False, name=None)):
         t, source, key = f[at["epoch_us"]], f[at["source"]], [f[k] for k in same]
         if key != held:
-            live, held = [], key
-        while live and t - live[0]["made"] > WINDOW_US:
-            live.pop(0)
-        fits = [g for g in live if source not in g["sources"] and abs(t - g["made"]) <= WINDOW_US]
-        if not fits:
-            group = {"rep": f, "sources": {source}, "made": t}
-            live.append(group)
-            every.append(group)
-            del live[: max(0, len(live) - LIVE)]
+            waiting, held = {}, key
+        tops = [(groups[0], has) for has, groups in waiting.items() if source not in has and groups and t + groups[0][0] <= WINDOW_US]
+        if not tops:
+            alone = frozenset((source,))
+            heappush(waiting.setdefault(alone, []), (-t, len(every)))
+            every.append({"rep": f, "sources": alone})
             continue
-        g = min(fits, key=lambda g: (abs(t - g["made"]), g["made"]))
-        g["sources"].add(source)
+        place, has = min(tops)
+        heappop(waiting[has])
+        g = every[place[1]]
+        g["sources"] = has | {source}
+        heappush(waiting.setdefault(g["sources"], []), place)
         rep, other = g["rep"], f
         mine, theirs = _score(rep, at), _score(f, at)
         if theirs > mine or theirs == mine and t < rep[at["epoch_us"]]:

@@ -1,5 +1,8 @@
 """Rules that depend on order, over hand-made captures with known results."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
@@ -7,6 +10,7 @@ from framewright.functions.tables import kept, release, settled, shared_dir
 from framewright.operators import diagnosis, merge, ping, roaming, signals, stations, stats, wired
 from framewright.operators.joins import SECOND, by_rank, carried, islands
 from framewright.sources import logs
+from framewright.sources.frames import COLUMNS
 from test_frames import AP, BASE, STA, capture, echo
 
 
@@ -139,6 +143,28 @@ def test_merge_of_one_source_and_its_summary(spark):
     assert (s.kept, s.duplicates, s.shared, s.alone) == (5, 2, 2, 3)
 
 
+def test_merge_holds_however_many_copies_are_open(spark):
+    rows = [{"epoch_us": BASE + k * 100 + late, "subtype": 40, "ta": STA, "seq": 7, "source": s} for s, late in (("w1", 0), ("w2", 20_000)) for k in range(100)]
+    s = merge.summary(settled(merge.dedup(capture(spark, rows)), "merged")).first()
+    assert (s.kept, s.duplicates, s.shared, s.alone) == (100, 100, 100, 0)
+
+
+def test_merge_of_three_sources_equals_a_plain_search():
+    rng = random.Random(8)
+    rows = pd.DataFrame([tuple({"epoch_us": rng.randrange(300) * 1000, "source": f"w{rng.randrange(3)}", "number": n, "protocol": "802.11"}.get(c) for c in COLUMNS) for n in range(600)], columns=COLUMNS).assign(k1=[rng.choice("ab") for _ in range(600)], k2=0, k3=0, k4=False)
+    want = []
+    for _, own in rows.sort_values(["k1", "epoch_us", "source", "number"]).groupby("k1"):
+        groups = []
+        for t, source in zip(own["epoch_us"], own["source"], strict=True):
+            fits = [g for g in groups if source not in g[1] and t - g[0] <= merge.WINDOW_US]
+            if fits:
+                min(fits, key=lambda g: t - g[0])[1].add(source)
+            else:
+                groups.append((t, {source}))
+        want += [",".join(sorted(g[1])) for g in groups]
+    assert list(merge._merged(rows)["sources"]) == want and "w0,w1,w2" in want
+
+
 def test_conclusions_of_a_quiet_and_a_weak_station(spark):
     beacon = {"epoch_us": BASE, "subtype": 8, "ta": AP, "ra": P.BROADCAST, "rssi": -40}
     quiet, weak = "aa:bb:cc:00:00:01", "aa:bb:cc:00:00:02"
