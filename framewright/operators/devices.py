@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import frames as P
 from framewright.functions.tables import settled
-from framewright.operators.joins import SECOND
+from framewright.operators.joins import SECOND, dealt
 from framewright.operators.stats import FILL_CAP, one_if, percent, second
 
 # Seconds of a bucket; labels named of a bucket and of a second;
@@ -29,8 +29,9 @@ BUCKET, BUCKET_LABELS, SECOND_LABELS = 10, 5, 4
 PEAKS, PEAK_FRAMES, PEAK_PERCENT = 3, 50, 10
 MODERN = ("HT", "VHT", "HE", "EHT")
 ALL = "*"
-#: Parts of one device's counts; what a time counts for before a number.
-PARTS, FIRST = 64, Decimal(10**19)
+#: Parts of one device's counts; buckets listed in one step; what a time counts
+#: for before a number.
+PARTS, BLOCK, FIRST = 64, 4096, Decimal(10**19)
 
 
 def counted(frames: DataFrame, devices: DataFrame) -> DataFrame:
@@ -106,20 +107,31 @@ def _breakdown(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     return sums
 
 
-def _spanned(counts: DataFrame, cap: int) -> DataFrame:
+def _spanned(counts: DataFrame, cap: int | None) -> DataFrame:
     """Counts with the ``start`` of their bucket, which a device's first second
-    begins; devices of a span over the cap (in seconds) have none."""
-    spans = counts.groupBy("device").agg(F.min("sec").alias("a"), F.max("sec").alias("b")).where(F.col("b") - F.col("a") <= cap)
+    begins, and the first and last second ``a`` and ``b``. With a ``cap`` (in
+    seconds) devices of a longer span have none. Dealt as in :func:`counted`."""
+    spans = counts.where("sec is not null").groupBy("device").agg(F.min("sec").alias("a"), F.max("sec").alias("b"))
+    spans = spans if cap is None else spans.where(F.col("b") - F.col("a") <= cap)
+    cut = counts.where("sec is not null").withColumn("part", F.pmod(F.xxhash64("sec", "subtype", "key"), F.lit(PARTS)).cast("int"))
     start = F.col("a") + BUCKET * F.floor((F.col("sec") - F.col("a")) / BUCKET)
-    return counts.where("sec is not null").join(spans, "device").withColumn("start", start.cast("long"))
+    return cut.join(spans.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["device", "part"]).drop("part").withColumn("start", start.cast("long"))
 
 
-def buckets(counts: DataFrame, cap: int = FILL_CAP) -> DataFrame:
+def _starts(cut: DataFrame) -> DataFrame:
+    """Starts of all buckets of devices, block by block, so that a long span
+    is neither one row's list nor one task's work."""
+    block = F.lit(BLOCK * BUCKET).cast("long")
+    blocks = cut.select("device", "a", "b").distinct().select("device", "b", F.explode(F.sequence("a", "b", block)).alias("first"))
+    end = F.least("b", F.col("first") + block - BUCKET)
+    return dealt(blocks, "device", "first").select("device", F.explode(F.sequence("first", end, F.lit(BUCKET).cast("long"))).alias("start"))
+
+
+def buckets(counts: DataFrame, cap: int | None = None) -> DataFrame:
     """Each device's 10 s buckets from its first second on, empty ones too."""
     cut = _spanned(counts, cap)
     found = _breakdown(cut, ["device", "start"], BUCKET_LABELS)
-    every = cut.select("device", "a", "b").distinct().select("device", F.explode(F.sequence("a", "b", F.lit(BUCKET).cast("long"))).alias("start"))
-    full = every.join(found, ["device", "start"], "left").na.fill(0, ["total", "retry", "tx_total"]).na.fill(0.0, ["retry_pct", "legacy_pct"]).na.fill("", ["breakdown"])
+    full = _starts(cut).join(found, ["device", "start"], "left").na.fill(0, ["total", "retry", "tx_total"]).na.fill(0.0, ["retry_pct", "legacy_pct"]).na.fill("", ["breakdown"])
     return full.join(_listed(cut, ["device", "start"], F.col("phy"), "formats"), ["device", "start"], "left").na.fill("", ["formats"])
 
 

@@ -470,6 +470,8 @@ de AS (
 ), ds AS (
   SELECT d.*, a, b, a + (sec - a) // 10 * 10 AS start FROM dl d JOIN (SELECT device, min(sec) AS a, max(sec) AS b FROM dl GROUP BY device HAVING max(sec) - min(sec) <= 21600) USING (device)
 )"""
+#: The same with buckets of all devices, however long their span.
+WHOLE_SPANS = DEVICE_FRAMES.replace(" HAVING max(sec) - min(sec) <= 21600", "")
 DEVICE_PEAKS = f"""pb AS (
   SELECT device, start, count(*) AS peak_total, {pct(one('retry'), 'count(*)', 1)} AS peak_pct FROM ds GROUP BY ALL
 ), pk AS (
@@ -506,7 +508,7 @@ ORACLES: dict[str, str] = {
     "device_buckets": frames_sql(f"""SELECT device, start, coalesce(total, 0) AS total, coalesce(retry, 0) AS retry, coalesce(retry_pct, 0) AS retry_pct, coalesce(tx_total, 0) AS tx_total, coalesce(c.s, '') AS breakdown, avg_mcs, coalesce(legacy_pct, 0) AS legacy_pct, coalesce(f.s, '') AS formats
 FROM (SELECT device, unnest(range(min(a), max(b) + 1, 10)) AS start FROM ds GROUP BY device)
   LEFT JOIN (SELECT device, start, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total, round(avg(key::DOUBLE) FILTER (WHERE label IS NOT NULL AND phy <> 'Legacy'), 1) AS avg_mcs, {pct(one("label IS NOT NULL AND phy = 'Legacy'"), one('tx'), 1)} AS legacy_pct FROM ds GROUP BY ALL) USING (device, start)
-  LEFT JOIN {commonest('device, start', 5)} c USING (device, start) LEFT JOIN {listed('device, start', 'CASE WHEN key IS NOT NULL THEN phy END').replace('ds0', 'ds')} f USING (device, start)""", *squeezed(ROLES, DEVICE_FRAMES)),
+  LEFT JOIN {commonest('device, start', 5)} c USING (device, start) LEFT JOIN {listed('device, start', 'CASE WHEN key IS NOT NULL THEN phy END').replace('ds0', 'ds')} f USING (device, start)""", *squeezed(ROLES, WHOLE_SPANS)),
     "device_peaks": frames_sql(f"""SELECT device, start, place, peak_total, peak_pct, sec, total, retry, retry_pct, tx_total, coalesce(c.s, '') AS breakdown
 FROM pk JOIN (SELECT device, start, sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total FROM ds GROUP BY ALL) USING (device, start) LEFT JOIN {commonest('device, start, sec', 4)} c USING (device, start, sec) WHERE place <= 3""", *squeezed(ROLES, DEVICE_FRAMES), DEVICE_PEAKS),
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),

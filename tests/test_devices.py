@@ -40,6 +40,14 @@ def test_buckets_begin_with_the_device_and_hold_empty_ones(spark):
     assert devices.buckets(counts, cap=29).count() == 0
 
 
+def test_buckets_of_a_long_span_are_whole(spark):
+    rows = [sent(3 * SECOND), sent(5 * SECOND, retry=True), sent(100_007 * SECOND), sent(100_007 * SECOND, epoch_us=None)]
+    got = by_device(devices.buckets(devices.counted(capture(spark, rows), macs(spark, STA))), "device", "start")
+    first = BASE // SECOND + 3
+    assert sorted(got) == sorted((dev, first + 10 * k) for dev in ("*", STA) for k in range(10_001))
+    assert {k: (r.total, r.retry) for k, r in got.items() if r.total} == {(dev, first + 10 * k): x for dev in ("*", STA) for k, x in ((0, (2, 1)), (10_000, (1, 0)))}
+
+
 def test_ties_of_labels_go_to_rate_indices_then_to_the_first(spark):
     rows = [sent(1, mcs_phy=None, mcs=None, data_rate="24"), sent(2, mcs=9), sent(3, mcs=1), sent(4, mcs=5), sent(5, mcs=0), sent(6, mcs=2)]
     (r,) = devices.buckets(devices.counted(capture(spark, rows), macs(spark, STA))).where(f"device = '{STA}'").collect()
