@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from framewright.functions import frames as P
 from framewright.functions.tables import settled
 from framewright.operators.joins import SECOND, dealt
-from framewright.operators.stats import FILL_CAP, one_if, percent, second
+from framewright.operators.stats import one_if, percent, second
 
 # Seconds of a bucket; labels named of a bucket and of a second;
 # peaks, and the least frames (exclusive) and retry share of one.
@@ -135,15 +135,16 @@ def buckets(counts: DataFrame, cap: int | None = None) -> DataFrame:
     return full.join(_listed(cut, ["device", "start"], F.col("phy"), "formats"), ["device", "start"], "left").na.fill("", ["formats"])
 
 
-def peaks(counts: DataFrame, cap: int = FILL_CAP) -> DataFrame:
+def peaks(counts: DataFrame, cap: int | None = None) -> DataFrame:
     """The seconds of each device's three buckets of the highest retry share.
 
     Buckets of over 50 frames and 10 % count; of equal shares the earlier is
-    higher. Seconds without frames are left out.
+    higher. Seconds without frames are left out. Places beyond the third are
+    dropped in each task before a device's are put together.
     """
     cut = _spanned(counts, cap)
     sums = cut.groupBy("device", "start").agg(F.sum("n").alias("peak_total"), percent(F.sum("retry"), F.sum("n"), 1).alias("peak_pct")).where((F.col("peak_total") > PEAK_FRAMES) & (F.col("peak_pct") >= PEAK_PERCENT))
-    place = F.row_number().over(Window.partitionBy("device").orderBy(F.desc("peak_pct"), "start"))  # buckets within the cap
-    best = sums.withColumn("place", place.cast("long")).where(F.col("place") <= PEAKS)
+    place = F.row_number().over(Window.partitionBy("device").orderBy(F.desc("peak_pct"), "start"))
+    best = sums.withColumn("place", place).where(F.col("place") <= PEAKS).withColumn("place", F.col("place").cast("long"))
     inside = cut.join(best, ["device", "start"])
     return _breakdown(inside, ["device", "start", "place", "peak_total", "peak_pct", "sec"], SECOND_LABELS).drop("avg_mcs", "legacy_pct")

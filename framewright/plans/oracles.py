@@ -510,7 +510,7 @@ FROM (SELECT device, unnest(range(min(a), max(b) + 1, 10)) AS start FROM ds GROU
   LEFT JOIN (SELECT device, start, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total, round(avg(key::DOUBLE) FILTER (WHERE label IS NOT NULL AND phy <> 'Legacy'), 1) AS avg_mcs, {pct(one("label IS NOT NULL AND phy = 'Legacy'"), one('tx'), 1)} AS legacy_pct FROM ds GROUP BY ALL) USING (device, start)
   LEFT JOIN {commonest('device, start', 5)} c USING (device, start) LEFT JOIN {listed('device, start', 'CASE WHEN key IS NOT NULL THEN phy END').replace('ds0', 'ds')} f USING (device, start)""", *squeezed(ROLES, WHOLE_SPANS)),
     "device_peaks": frames_sql(f"""SELECT device, start, place, peak_total, peak_pct, sec, total, retry, retry_pct, tx_total, coalesce(c.s, '') AS breakdown
-FROM pk JOIN (SELECT device, start, sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total FROM ds GROUP BY ALL) USING (device, start) LEFT JOIN {commonest('device, start, sec', 4)} c USING (device, start, sec) WHERE place <= 3""", *squeezed(ROLES, DEVICE_FRAMES), DEVICE_PEAKS),
+FROM pk JOIN (SELECT device, start, sec, count(*) AS total, {one('retry')} AS retry, {pct(one('retry'), 'count(*)', 1)} AS retry_pct, {one('tx')} AS tx_total FROM ds GROUP BY ALL) USING (device, start) LEFT JOIN {commonest('device, start, sec', 4)} c USING (device, start, sec) WHERE place <= 3""", *squeezed(ROLES, WHOLE_SPANS), DEVICE_PEAKS),
     "phy_mcs_grouping_sets": frames_sql(f"SELECT mcs_phy, mcs, nss, count(*) AS total, {one('retry')} AS retry, cast(grouping(mcs_phy, mcs, nss) AS bigint) AS level FROM (SELECT mcs_phy, coalesce(mcs, -1) AS mcs, coalesce(nss, -1) AS nss, retry FROM frames WHERE mcs_phy IS NOT NULL) GROUP BY GROUPING SETS ((mcs_phy), (mcs_phy, mcs), (mcs_phy, mcs, nss))"),
     "ap_compare_pivot": frames_sql(f"SELECT bssid, count(*) AS total, {pct(one('retry'), 'count(*)')} AS retry_pct, round(avg(rssi) FILTER (WHERE subtype = 8), 6) AS beacon_rssi, {one('subtype IN (0, 2)')} AS roam_in, {', '.join(one(KIND + f' = {chr(39)}{k}{chr(39)}') + f' AS {k.lower()}' for k in ('Management', 'Control', 'Data', 'Other'))} FROM frames WHERE bssid <> 'ff:ff:ff:ff:ff:ff' GROUP BY bssid"),
     "signal_quality": frames_sql("SELECT ta, count(*) AS n, min(rssi) AS min_rssi, max(rssi) AS max_rssi, round(avg(rssi), 6) AS avg_rssi, arg_min(number, struct_pack(a := rssi, b := epoch_us, c := number)) AS worst_frame FROM frames WHERE rssi IS NOT NULL AND ta IS NOT NULL GROUP BY ta"),

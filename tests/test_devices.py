@@ -63,6 +63,16 @@ def test_peaks_at_their_thresholds(spark):
     assert [(r.sec - sec, r.total, r.retry) for r in sorted(got, key=lambda r: r.sec)[:2]] == [(30, 40, 30), (31, 20, 0)]
 
 
+def test_peaks_of_a_long_span_are_found(spark):
+    part = lambda at, n, k: [sent(at * SECOND + i * (SECOND // 100), retry=i < k) for i in range(n)]
+    rows = part(0, 60, 12) + part(30_000, 60, 30) + part(60_000, 60, 20) + part(90_000, 60, 12)
+    found = devices.peaks(devices.counted(capture(spark, rows), macs(spark, STA)))
+    sec = BASE // SECOND
+    for dev in (STA, "*"):
+        assert sorted((r.place, r.start - sec, r.total, r.retry) for r in found.collect() if r.device == dev) == [(1, 30_000, 60, 30), (2, 60_000, 60, 20), (3, 0, 60, 12)]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+
+
 def test_rates_profiles_and_frames_to_oneself(spark):
     rows = [sent(1, rssi=-40), sent(2, nss=1, retry=True, rssi=-45), sent(3, nss=None), sent(4, ra=STA), sent(5, ta=None, ra=STA, rssi=-10), sent(6, ta=AP, ra=P.BROADCAST, subtype=8, mcs_phy="Legacy", mcs=None, data_rate="1")]
     counts = devices.counted(capture(spark, rows), macs(spark, STA))
